@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import linededup, mixing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +17,92 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan(_read(spark, sf_dir, "documents"))
+    return secrets.digest_columns(findings)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.with_first_position(mixing.document_plan(_read(spark, sf_dir, "documents")))
+    plan = plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return plan.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_secret_scans": op5_secret_scans,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    """One query a rule: matches placed by the lengths of the texts between them."""
+    each = []
+    for rank, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        size = f"length(regexp_extract(m[i], '{p}', {r.group}))" if r.group else "length(m[i])"
+        each.append(f"""
+            SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, start, start + n AS stop FROM (
+                SELECT doc_id, {size} AS gauge, length(m[i]) AS n,
+                       list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT
+                       + coalesce(list_sum(list_transform(m[1:i-1], lambda g: length(g))), 0)::BIGINT AS start
+                FROM (SELECT doc_id, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+                    SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, string_split_regex(text, '{p}') AS gaps
+                    FROM documents WHERE text IS NOT NULL)))
+            WHERE gauge >= {r.least}""")
+    shown = "kind || ':' || start || ':' || stop"
+    return f"""
+        WITH found AS ({" UNION ALL ".join(each)}),
+        grouped AS (
+            SELECT doc_id, string_agg({shown}, ',' ORDER BY start, rank) AS spans,
+                   string_agg({shown}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+                   count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex
+            FROM found GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+               coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN grouped g ON d.doc_id = g.doc_id"""
+
+
+_MIX_SQL = """
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+               md5(coalesce(doc_id::VARCHAR, '')) AS spot FROM documents),
+    by_source AS (
+        SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+        FROM sized GROUP BY source),
+    weighed AS (
+        SELECT source, source_size, [5, 2, 1][place % 3 + 1] AS weight, [0.5::DOUBLE, 0, -0.5][place % 3 + 1] AS slope,
+               3 * source_size AS most, (3 * source_size)::DOUBLE / [5, 2, 1][place % 3 + 1] AS ratio FROM by_source),
+    levels AS (
+        SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                  / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM weighed),
+    targets AS (
+        SELECT source, source_size, slope, least(most::DOUBLE, (SELECT level FROM levels WHERE level <= ratio
+               ORDER BY ratio, source NULLS LAST LIMIT 1) * weight) AS target FROM levels),
+    placed AS (
+        SELECT d.*, t.source_size, t.target, t.slope,
+               coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id, size
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead,
+               CASE WHEN source_size > 0 THEN floor(round(target)::BIGINT / source_size)::BIGINT ELSE 0 END AS passes
+        FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+    ended AS (
+        SELECT *, greatest(0, least(size, round(target)::BIGINT - passes * source_size - ahead))::BIGINT AS last FROM placed),
+    middles AS (
+        SELECT *, (passes * size + last)::BIGINT AS taken,
+               least(1.0::DOUBLE, (ahead + CASE WHEN passes > 0 THEN size ELSE last END / 2.0::DOUBLE) / target) AS share FROM ended)
+    SELECT doc_id, size, source_size, target, taken,
+           CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN share
+                ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END, 9) END AS position
+    FROM middles"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scans": _secret_sql(),
+    "op7_mixing": _MIX_SQL,
+}
