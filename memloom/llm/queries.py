@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, secrets
+from . import linededup, mixing, quality, secrets, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,11 +33,22 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_read(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op7_mixing": op7_mixing,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op10_warc": op10_warc,
 }
 
 def _secret_sql() -> str:
@@ -102,7 +114,33 @@ _MIX_SQL = """
                 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END, 9) END AS position
     FROM middles"""
 
+_TOP_SQL = """
+    WITH v AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    scored AS (
+        SELECT q.vec_id AS query_id, x.vec_id,
+               list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+_WARC_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex,
+                 max(page_id) OVER (PARTITION BY html) AS top FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT
+                      >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+    FROM d"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_secret_scans": _secret_sql(),
     "op7_mixing": _MIX_SQL,
+    "op8_exact_top_k": _TOP_SQL,
+    "op10_warc": _WARC_SQL,
 }
