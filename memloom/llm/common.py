@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: The word separators of every contract: ASCII white space only.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-_WS_CHARS = " \t\n\x0b\x0c\r"
 
 _own_dir: dict[str, str] = {}
 
@@ -47,8 +46,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array where it has none."""
-    core = F.btrim(text, F.lit(_WS_CHARS))
-    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, WS))
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    rare = [F.lit(c) for c in "\t\x0b\x0c\r"]
+    any_rare = rare[0].isNull()
+    cleaned = plain
+    for c in rare:
+        any_rare = any_rare | plain.contains(c)
+        cleaned = F.replace(cleaned, c, F.lit(" "))
+    return F.array_remove(F.split(F.when(any_rare, cleaned).otherwise(plain), " ", -1), "")
 
 
 def let(value: Column, body) -> Column:
