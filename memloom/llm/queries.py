@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, secrets, topk, warc
+from . import linededup, mixing, packing, quality, secrets, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(findings)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.with_first_position(mixing.document_plan(_read(spark, sf_dir, "documents")))
     plan = plan.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_warc": op10_warc,
