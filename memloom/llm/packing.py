@@ -148,13 +148,13 @@ def _best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often to use each) of the linear program min sum x, patterns @ x = demand, x >= 0.
 
-    Revised simplex: the basis starts with one pattern a size. A round prices one column.
+    Revised simplex: the basis starts with one pattern a size. A round prices one column. Rounding may drift; counts are
+    made whole against the true demand afterwards, so only padding could suffer.
     """
-    m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand
-    for k in range(rounds):
+    for _ in range(rounds):
         duals = inverse.sum(0)
         column = _best_pattern(duals, sizes, room)
         if column @ duals <= 1 + GAP:  # the optimum is no less than sum(x) / (column @ duals)
@@ -172,10 +172,6 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         pivot = inverse[leave] / d[leave]
         inverse = inverse - np.outer(d, pivot)
         inverse[leave] = pivot
-        if k % 100 == 99:  # against rounding
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0.0)
-    assert basis.shape == (m, m)
     return basis, np.maximum(x, 0.0)
 
 
