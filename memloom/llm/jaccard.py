@@ -39,6 +39,7 @@ K = 5
 #: Jaccard >= NUM / DEN.
 NUM, DEN = 75, 100
 MINHASHES = 6
+MIN_VOTES = 2
 SKETCH_BITS = 18
 _BLOCK = 4096
 #: Rows of a list, or sets compared with one set, that one task takes.
@@ -111,8 +112,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = K) -> DataFrame:
     """The pairs (x, y) of distinct doc_ids whose sets are similar."""
     fans = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("c")).select("y", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
     asked = pairs.join(fans, "y").groupBy("x").agg(F.collect_list(F.struct("y", "salts")).alias("ys"))
-    info = asked.withColumnRenamed("x", "id").join(fans.withColumnRenamed("y", "id"), "id", "full")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(info.hint("shuffle_hash"), "id")
+    info = materialize(asked.withColumnRenamed("x", "id").join(fans.withColumnRenamed("y", "id"), "id", "full"), "asked")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(info, "id")  # Spark broadcasts info if the stored table is small
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     names = ["y", "salt", "x", "set"]
 
@@ -226,32 +227,35 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             node, comp, n = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("node", "comp", "n"))
             split = 1 + np.maximum(0, often[(flat.view(np.uint64) >> shift).astype(np.int64)] - 2 * usual) // CELL_ROWS
-            cell = np.zeros(len(flat), np.int64)
             if split.max(initial=1) > 1:  # part r of a long list goes to the cells (r, s) and (s, r) of its grid
                 part = mix(node.view(np.uint64)).astype(np.uint64) % split.astype(np.uint64)
                 idx = np.repeat(np.arange(len(flat)), split)
                 other = np.arange(len(idx)) - np.repeat(np.cumsum(split) - split, split)
                 mine = part[idx].astype(np.int64)
                 cell = np.minimum(mine, other) * split[idx] + np.maximum(mine, other)
-                flat, node, comp, n, pos = flat[idx], node[idx], comp[idx], n[idx], pos[idx]
+                flat, node, comp, n, pos = mix(flat[idx].view(np.uint64) ^ mix(cell.view(np.uint64))).view(np.int64), node[idx], comp[idx], n[idx], pos[idx]
+            key = flat.view(np.uint64) >> np.uint64(16)  # 48 bits: lists that fall together only cost time
+            place = (n.astype(np.int64) << 32) | pos
             for lo in range(0, len(flat), 200_000):
                 p = slice(lo, lo + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[p]), pa.array(cell[p].astype(np.int32)), pa.array(comp[p]), pa.array(node[p]), pa.array(n[p].astype(np.int32)), pa.array(pos[p].astype(np.int32))], names=["token", "cell", "comp", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[p].view(np.int64)), pa.array(node[p]), pa.array((node - comp)[p]), pa.array(place[p])], names=["key", "node", "above", "place"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
+
         def done(cols: list[np.ndarray], upto: int) -> Iterator[pa.RecordBatch]:
-            token, cell, comp, node, n, pos = (c[:upto] for c in cols)
-            if not len(token):
+            key, node, above, place = (c[:upto] for c in cols)
+            if not len(key):
                 return
-            cuts = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(token)]))
+            comp, n, pos = node - above, place >> 32, place & 0xFFFFFFFF
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             many = np.flatnonzero(ends - starts > 1)
             mixed = [i for i in many.tolist() if (comp[starts[i] : ends[i]] != comp[starts[i]]).any()]
             found: set[tuple[int, int]] = set()
             for i in mixed:
                 s = slice(starts[i], ends[i])
-                found.update((min(p), max(p)) for p in _list_pairs(comp[s], node[s], n[s].astype(np.int64), pos[s].astype(np.int64)))
+                found.update((min(p), max(p)) for p in _list_pairs(comp[s], node[s], n[s], pos[s]))
                 if len(found) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
                     found = set()
@@ -264,7 +268,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
                 continue
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            same = cols[0] == cols[0][-1]
             first = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             yield from done(cols, first)
             rest = [c[first:] for c in cols]
@@ -273,8 +277,8 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
 
     table = docs.select("doc_id", "text").mapInArrow(prefix, "node long, tokens array<long>")
     table = table.join(nodes.hint("shuffle_hash"), "node").select("node", "comp", "n", "tokens")
-    spread = table.mapInArrow(cells, "token long, cell int, comp long, node long, n int, pos int")
-    spread = spread.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    spread = table.mapInArrow(cells, "key long, node long, above long, place long")
+    spread = spread.repartition("key").sortWithinPartitions("key")
     return spread.mapInArrow(lists, "x long, y long").distinct()
 
 
@@ -286,7 +290,10 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     classes = materialize(classes.filter("node is not null"), "classes")
     stars = classes.select("node", F.posexplode("mins").alias("i", "value"))
     leads = stars.groupBy("i", "value").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    pairs = materialize(stars.join(leads, ["i", "value"]).filter("node <> y").select(F.col("node").alias("x"), "y").distinct(), "pairs")
+    votes = stars.join(leads, ["i", "value"]).filter("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("votes"))
+    # one candidate a set: the document that most of its MinHash values point to; pairs this misses are found later
+    pairs = votes.filter(F.col("votes") >= MIN_VOTES).groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("y"))).alias("best"))
+    pairs = materialize(pairs.select("x", (-F.col("best.y")).alias("y")), "pairs")
     first = components(verify(docs, pairs, k))
     n_of = classes.groupBy("node").agg(F.max("n").alias("n"))  # a doc_id with several texts counts once
     nodes = materialize(n_of.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), "n"), "nodes")
