@@ -129,9 +129,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, m: int = M, hot: int
             if rows:
                 yield _batches(rows, kinds, names)
 
-    parts = materialize(whole.mapInArrow(split, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, text string, mini long, packed binary, pd binary, start long"), "parts")
+    parts = materialize(whole.mapInArrow(split, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, text string, mini long, packed binary, pd binary, start long"), "parts", "zstd")
     occurrences = parts.filter("packed is not null")
-    strings = materialize(occurrences.groupBy("mini", "pd", "packed").agg(F.count(F.lit(1)).alias("times")), "strings")
+    strings = materialize(occurrences.groupBy("mini", "pd", "packed").agg(F.count(F.lit(1)).alias("times")), "strings", "zstd")
     crowded = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("mini")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
