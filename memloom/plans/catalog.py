@@ -1,6 +1,455 @@
-"""The driver's queries for the engine's own operators, with equivalent SQL."""
+"""The driver's queries for the engine's own operators, with equivalent SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scoring, temporal, text
+from ..operators import evidence, ranking, sessions, stores, vectors
+from ..sources import tables
+from ..streaming import chunker, throttle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _some(e: DataFrame, *ids: int) -> DataFrame:
+    """The request's query vectors, taken from the store by id."""
+    return e.filter(F.col("vec_id").isin(list(ids))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+_L2 = "round(list_sum(list_transform(list_zip({a}, {b}), lambda p: power(p[1]::DOUBLE - p[2]::DOUBLE, 2))), 6)"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+_L2QE = _L2.format(a="e.embedding", b="q.embedding")
+_HITS = f"SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_L2QE} AS distance FROM embeddings e JOIN embeddings q ON q.vec_id IN ({{ids}}) AND len(q.embedding) = len(e.embedding)"
+_SCORE = "greatest(0, least(1, 1 - distance))"
+_TURNS = "SELECT conv_id AS session_id, turn::INTEGER AS turn_index, role, coalesce(text, '') AS content FROM conversations"
+
+
+def _tokens(c: str) -> str:
+    plain = f"regexp_replace({c}, '[A-Za-z0-9_]+', '', 'g')"
+    return f"greatest(1, length({c}) - length(regexp_replace({c}, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) + len(regexp_extract_all({c}, '[A-Za-z0-9_]+')) + floor((length({plain}) - (length({c}) - length(regexp_replace({c}, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')))) / 4))::BIGINT"
+
+
+def _key(c: str) -> str:
+    x = f"regexp_replace(lower(trim({c})), '[\\s\\-_:/\\\\|,;\\x{{ff0c}}\\x{{ff1b}}\\x{{ff1a}}]+', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_ ]+', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+# ---- vectors -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='0')}), r AS (SELECT *, row_number() OVER (ORDER BY distance, id)::INTEGER AS rank FROM h)
+    SELECT query_id, id, distance, rank, {_SCORE} AS score FROM r WHERE rank <= 15""")
+def knn_l2_topk(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    return vectors.nearest(e, _some(e, 0), 15).withColumn("score", scoring.retrieval_score(F.col("distance")))
+
+
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - greatest(-1, least(1, {_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')})))), 6) AS distance
+    FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM h)
+    SELECT query_id, id, distance, rank FROM r WHERE rank <= 15""")
+def knn_cosine_topk(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    return vectors.nearest(e, _some(e, 1, 2), 15, metric="cosine")
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='3, 4, 5')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM h),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, id)::INTEGER AS group_rank FROM r WHERE rank <= 40)
+    SELECT query_id, id, label, distance, rank, group_rank FROM g WHERE group_rank <= 4""")
+def knn_batch_per_label_cap(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    hits = vectors.nearest(e, _some(e, 3, 4, 5), 40).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    return vectors.cap_per_group(hits, "label", 40, 4).select("query_id", "id", "label", "distance", "rank", "group_rank")
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='7')}), r AS (SELECT *, row_number() OVER (ORDER BY distance, id)::INTEGER AS rank FROM h),
+    f AS (SELECT * FROM r WHERE rank <= 95 AND label = (SELECT min(label) FROM embeddings))
+    SELECT query_id, id, distance, rank FROM f ORDER BY rank LIMIT 15""")
+def knn_post_filter_parity(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    low = e.agg(F.min("label").alias("low"))
+    hits = vectors.nearest(e, _some(e, 7), vectors.headroom(15, True)).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    return hits.join(F.broadcast(low), F.col("label") == F.col("low")).select("query_id", "id", "distance", "rank").orderBy("rank").limit(15)
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (coalesce(len(embedding), 0) <> 64)::BIGINT AS n_wrong, min(len(embedding))::INTEGER AS min_width, max(len(embedding))::INTEGER AS max_width FROM embeddings")
+def vector_width_contract(spark, d):
+    return vectors.width_report(tables.read(spark, d, "embeddings"), 64)
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='10, 11')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM h),
+    a AS (SELECT id, 1 - distance AS score FROM r WHERE query_id = 10 AND rank <= 30), b AS (SELECT id, 1 - distance AS score FROM r WHERE query_id = 11 AND rank <= 30)
+    SELECT coalesce(a.id, b.id) AS id, round(0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b ON a.id = b.id""")
+def dual_channel_full_outer_fusion(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    hits = vectors.nearest(e, _some(e, 10, 11), 30).withColumn("score", 1 - F.col("distance"))
+    fused = vectors.fuse_channels(hits.filter("query_id = 10"), hits.filter("query_id = 11"))
+    return fused.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label)
+    SELECT m.label, (i - 1)::INTEGER AS i, round(m / n, 6) AS x FROM m JOIN n ON m.label = n.label""")
+def label_centroids(spark, d):
+    c = vectors.centroid(tables.read(spark, d, "embeddings"), "label")
+    return c.select("label", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"""WITH fresh AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), old AS (SELECT * FROM embeddings WHERE vec_id % 10 <> 0),
+    c AS (SELECT f.vec_id AS new_id, o.vec_id AS old_id, round({_DOT.format(a='f.embedding', b='o.embedding')} / (sqrt({_DOT.format(a='f.embedding', b='f.embedding')}) * sqrt({_DOT.format(a='o.embedding', b='o.embedding')})), 6) AS sim FROM fresh f, old o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) AS r FROM c)
+    SELECT new_id, CASE WHEN sim >= 0.85 THEN old_id ELSE new_id END AS skill_id, sim FROM r WHERE r = 1""")
+def skill_upsert_nn(spark, d):
+    """Each new skill takes the id of the old one it is nearest to, from .85 on (H8). New skills are a request's few."""
+    e = tables.read(spark, d, "embeddings")
+    new, old = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("new_id"), F.col("embedding").alias("a")), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("old_id"), F.col("embedding").alias("b"))
+    # blocks of both sides meet: equi-join on a block pair, so neither side is broadcast
+    new, old = new.withColumn("i", F.lit(0)), old.withColumn("i", F.lit(0))
+    pairs = new.join(old.hint("shuffle_hash"), "i").select("new_id", "old_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("sim"))
+    w = Window.partitionBy("new_id").orderBy(F.desc("sim"), "old_id")
+    best = pairs.withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return best.select("new_id", F.when(F.col("sim") >= 0.85, F.col("old_id")).otherwise(F.col("new_id")).alias("skill_id"), "sim")
+
+
+# ---- sessions ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id AS session_id, count(*)::BIGINT AS turn_count, max(turn)::INTEGER AS last_turn,
+    substr(min_by(text, turn) FILTER (role = 'user'), 1, 40) AS title, substr(max_by(text, turn) FILTER (role = 'user'), 1, 120) AS last_message
+    FROM conversations GROUP BY conv_id""")
+def session_summary(spark, d):
+    return sessions.summaries(tables.turns(spark, d))
+
+
+@query(f"""WITH t AS ({_TURNS}), a AS (SELECT session_id, turn_index FROM t WHERE turn_index % 3 = 1)
+    SELECT a.session_id || ':' || a.turn_index AS anchor_id, t.session_id, t.turn_index, t.role, t.content
+    FROM a JOIN t ON a.session_id = t.session_id AND t.turn_index BETWEEN a.turn_index - 2 AND a.turn_index + 2""")
+def turn_window_range_join(spark, d):
+    t = tables.turns(spark, d)
+    anchors = t.filter("turn_index % 3 = 1").select("session_id", F.col("turn_index").alias("lo"), F.col("turn_index").alias("hi"), F.concat_ws(":", "session_id", "turn_index").alias("anchor_id"))
+    return sessions.window_around(t, anchors, 2)
+
+
+@query(f"""WITH t AS ({_TURNS}) SELECT a.session_id, a.turn_index, max(u.turn_index)::INTEGER AS user_turn, max_by(u.content, u.turn_index) AS user_content
+    FROM t a LEFT JOIN t u ON u.session_id = a.session_id AND u.role = 'user' AND u.turn_index < a.turn_index WHERE a.role = 'assistant' GROUP BY a.session_id, a.turn_index""")
+def prev_user_asof(spark, d):
+    return sessions.previous_user(tables.turns(spark, d))
+
+
+@query(f"""WITH t AS ({_TURNS}), p AS (SELECT u.session_id, u.turn_index AS user_turn, a.turn_index AS answer_turn,
+    row_number() OVER (PARTITION BY u.session_id, u.turn_index ORDER BY a.turn_index) - 1 AS nth
+    FROM t u JOIN t a ON a.session_id = u.session_id AND a.role = 'assistant' AND a.turn_index > u.turn_index WHERE u.role = 'user')
+    SELECT session_id, user_turn, nth::INTEGER AS nth, answer_turn FROM p WHERE nth < 2""")
+def next_answers_two(spark, d):
+    return sessions.next_answers(tables.turns(spark, d))
+
+
+@query(f"""WITH t AS ({_TURNS}), x AS (SELECT *, sum((role = 'user')::INTEGER) OVER (PARTITION BY session_id ORDER BY turn_index)::BIGINT AS exchange FROM t)
+    SELECT session_id, exchange, min(turn_index)::INTEGER AS start_turn, max(turn_index)::INTEGER AS end_turn, count(*)::BIGINT AS n_turns, sum({_tokens('content')} + 4)::BIGINT AS tokens
+    FROM x GROUP BY session_id, exchange""")
+def exchange_segments(spark, d):
+    return sessions.exchanges(tables.turns(spark, d))
+
+
+@query(f"""WITH t AS ({_TURNS}), b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) AS back FROM t),
+    g AS (SELECT session_id, count(*)::BIGINT AS n_live, max(turn_index) FILTER (back = 4) AS edge, sum({_tokens('content')} + 4)::BIGINT AS tokens FROM b GROUP BY session_id)
+    SELECT session_id, n_live, tokens, CASE WHEN n_live > 4 THEN edge ELSE 0 END::INTEGER AS boundary, CASE WHEN tokens > 900 THEN 'sync' WHEN tokens > 700 THEN 'async' ELSE 'none' END AS action FROM g""")
+def compression_boundary(spark, d):
+    b = sessions.boundaries(tables.turns(spark, d))
+    return b.withColumn("action", scoring.compression(F.col("tokens"), budget=1000))
+
+
+@query(f"""WITH t AS ({_TURNS}), s AS (SELECT session_id, 2 AS boundary, 'summary of ' || session_id AS summary FROM t WHERE turn_index = 0),
+    g AS (SELECT t.session_id, any_value(summary) AS summary, string_agg(role || ': ' || content, chr(10) ORDER BY turn_index) AS body
+          FROM t LEFT JOIN s ON s.session_id = t.session_id WHERE turn_index >= coalesce(boundary, 0) AND trim(content) <> '' GROUP BY t.session_id)
+    SELECT session_id, concat_ws(chr(10), summary, body) AS context FROM g""")
+def render_context(spark, d):
+    t = tables.turns(spark, d)
+    s = t.filter("turn_index = 0").select("session_id", F.lit(2).alias("boundary_index"), F.concat(F.lit("summary of "), F.col("session_id").cast("string")).alias("content"))
+    return sessions.render(t, s)
+
+
+@query(f"""WITH t AS ({_TURNS}), w AS (SELECT session_id, greatest(turn_index - 1, 0) AS lo, turn_index + 1 AS hi, 0.5 + (turn_index % 5) / 100.0::DOUBLE AS score FROM t WHERE turn_index % 4 <> 2),
+    n AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY session_id ORDER BY lo, hi, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM w),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY lo, hi, score ROWS UNBOUNDED PRECEDING) AS island FROM n),
+    p AS (SELECT *, row_number() OVER (PARTITION BY session_id, island ORDER BY lo, hi, score) AS i, count(*) OVER (PARTITION BY session_id, island) AS n FROM i)
+    SELECT session_id, island::BIGINT AS island, min(lo)::INTEGER AS lo, max(hi)::INTEGER AS hi, max(n)::BIGINT AS n_windows,
+           round(least(1, max(CASE WHEN n = 1 THEN score ELSE score + 0.03 * (n - greatest(i, 2) + 1) END)), 6)::DOUBLE AS score FROM p GROUP BY session_id, island""")
+def window_islands(spark, d):
+    t = tables.turns(spark, d).filter("turn_index % 4 <> 2")
+    w = t.select("session_id", F.greatest(F.col("turn_index") - 1, F.lit(0)).alias("lo"), (F.col("turn_index") + 1).alias("hi"), (0.5 + (F.col("turn_index") % 5) / 100.0).alias("score"))
+    return sessions.islands(w, 0)
+
+
+@query(f"""WITH t AS ({_TURNS}), o AS (SELECT DISTINCT session_id, 3 AS watermark FROM t WHERE session_id % 2 = 0),
+    n AS (SELECT t.session_id, max(turn_index) + 1 AS e FROM t LEFT JOIN o ON o.session_id = t.session_id WHERE turn_index >= coalesce(watermark, 0) GROUP BY t.session_id)
+    SELECT coalesce(o.session_id, n.session_id) AS session_id, greatest(coalesce(watermark, 0), coalesce(e, 0))::INTEGER AS watermark FROM o FULL JOIN n ON o.session_id = n.session_id""")
+def watermark_increment(spark, d):
+    t = tables.turns(spark, d)
+    offsets = t.filter("session_id % 2 = 0").select("session_id", F.lit(3).alias("watermark")).distinct()
+    return sessions.advanced(offsets, sessions.new_turns(t, offsets))
+
+
+# ---- text, time and content addresses ------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents")
+def token_estimate(spark, d):
+    return tables.read(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, {_key('text')} AS key FROM documents")
+def normalize_key(spark, d):
+    return tables.read(spark, d, "documents").select("doc_id", text.normalize_key(F.col("text")).alias("key"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS record_id, max(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1")
+def content_hash_dedup(spark, d):
+    return stores.content_dedup(tables.read(spark, d, "documents"), "text", "doc_id")
+
+
+@query("SELECT DISTINCT 'ev_entity_' || substr(sha256('entity:' || source), 1, 24) AS node_id, source FROM documents WHERE source IS NOT NULL")
+def node_ids(spark, d):
+    s = tables.read(spark, d, "documents").filter("source is not null").select("source").distinct()
+    return s.select(text.node_id(F.lit("entity"), F.col("source")).alias("node_id"), "source")
+
+
+@query("""WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+    SELECT o_orderkey, day, 'day:' || day AS day_key, 'month:' || substr(day, 1, 7) AS month_key, strftime(last_day(day::DATE), '%Y-%m-%d') AS month_end FROM t""")
+def date_keys(spark, d):
+    """Dates written out in three forms and found again."""
+    o = tables.read(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    form = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy/M/d")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
+    o = o.select("o_orderkey", temporal.date_key(F.concat(F.lit("we met on "), form, F.lit(" at noon"))).alias("day"))
+    keys = temporal.temporal_keys(F.col("day"))
+    return o.select("o_orderkey", "day", F.get(keys, F.lit(0)).alias("day_key"), F.get(keys, F.lit(1)).alias("month_key"), temporal.month_end(temporal.month_key(F.col("day"))).alias("month_end"))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), s AS (SELECT avg(len(w)) AS a, count(*) AS n FROM w),
+    x AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM w), h AS (SELECT doc_id, l, term, count(*) AS tf FROM x WHERE term IN ('license', 'apache', 'version', 'released') GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+    b AS (SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM h JOIN f ON h.term = f.term, s GROUP BY doc_id)
+    SELECT id, score FROM b ORDER BY score DESC, id LIMIT 20""")
+def bm25_topk(spark, d):
+    return ranking.bm25(tables.read(spark, d, "documents"), ["license", "apache", "version", "released"], 20)
+
+
+@query("SELECT page_id, url FROM pages WHERE html LIKE '%tion%' OR url LIKE '%blog%' ORDER BY page_id DESC LIMIT 20 OFFSET 5")
+def like_search(spark, d):
+    p = tables.read(spark, d, "pages").filter(F.col("html").contains("tion") | F.col("url").contains("blog"))
+    return p.select("page_id", "url").orderBy(F.desc("page_id")).offset(5).limit(20)
+
+
+@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS a FROM benchmark), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS b FROM documents),
+    x AS (SELECT item_id, unnest(a) AS t, len(a) AS n FROM q), y AS (SELECT doc_id, unnest(b) AS t, len(b) AS n FROM o),
+    s AS (SELECT item_id, doc_id, count(*) AS shared, any_value(x.n) AS nx, any_value(y.n) AS ny FROM x JOIN y ON x.t = y.t GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, round(shared / (nx + ny - shared), 6) AS similarity FROM s WHERE shared * 5 >= nx + ny - shared""")
+def jaccard_similarity(spark, d):
+    """Question and document term sets that share a fifth or more: an equi-join on terms, not on pairs."""
+    terms = lambda t, i: tables.read(spark, d, t).select(i, text.token_set(F.col("text")).alias("s")).select(i, F.explode("s").alias("t"), F.size("s").alias("n"))
+    x, y = terms("benchmark", "item_id").withColumnRenamed("n", "nx"), terms("documents", "doc_id").withColumnRenamed("n", "ny")
+    s = x.join(y, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    union = F.col("nx") + F.col("ny") - F.col("both")
+    return s.filter(5 * F.col("both") >= union).select("item_id", "doc_id", F.round(F.col("both") / union, 6).alias("similarity"))
+
+
+# ---- evidence ------------------------------------------------------------------------------------------------
+
+
+def _records(spark, d) -> DataFrame:
+    docs = tables.read(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("record_id"), F.array_compact(F.array("source")).alias("entities"), F.array_compact(F.array("lang", F.lit("fact"))).alias("tags"))
+
+
+_INDEX = """SELECT 'entity' AS node_type, source AS key, doc_id AS record_id FROM documents WHERE source IS NOT NULL
+    UNION ALL SELECT 'tag', lang, doc_id FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'tag', 'fact', doc_id FROM documents"""
+
+
+@query(f"""WITH i AS ({_INDEX} UNION ALL SELECT 'entity_tag', source || '::' || lang, doc_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
+    UNION ALL SELECT 'entity_tag', source || '::fact', doc_id FROM documents WHERE source IS NOT NULL)
+    SELECT 'ev_' || node_type || '_' || substr(sha256(node_type || ':' || key), 1, 24) AS node_id, node_type, key, list_sort(list(DISTINCT record_id)) AS record_ids FROM i GROUP BY node_type, key""")
+def evidence_entity_tag_nodes(spark, d):
+    return evidence.term_nodes(_records(spark, d))
+
+
+@query(f"""WITH t AS ({_TURNS}) SELECT session_id, (turn_index // 4)::INTEGER AS frame, min(turn_index)::INTEGER AS start_turn, max(turn_index)::INTEGER AS end_turn,
+    list_sort(list(DISTINCT role)) AS roles, count(*)::BIGINT AS n_turns FROM t GROUP BY 1, 2""")
+def event_frames(spark, d):
+    return evidence.event_frames(tables.turns(spark, d))
+
+
+def _days(spark, d) -> DataFrame:
+    return tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+_NODES = """SELECT 'day:' || day AS key, day AS start, day AS "end", count(*)::BIGINT AS n_records FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders) GROUP BY day
+    UNION ALL SELECT 'month:' || m, m || '-01', strftime(last_day((m || '-01')::DATE), '%Y-%m-%d'), count(*)::BIGINT FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m FROM orders) GROUP BY m"""
+
+
+@query(_NODES)
+def temporal_nodes(spark, d):
+    return evidence.temporal_nodes(_days(spark, d))
+
+
+@query(f"""WITH n AS ({_NODES}), p AS (SELECT * FROM (VALUES (1, '1995-03-10', '1995-03-20'), (2, '1996-12-30', '1997-01-02'), (3, '2050-01-01', '2050-02-01')) v(plan_id, since, until)),
+    h AS (SELECT plan_id, key, n_records, CASE WHEN key LIKE 'day:%' THEN 0.42 ELSE 0.28 END::DOUBLE AS score FROM n JOIN p ON n."end" >= p.since AND n.start <= p.until),
+    r AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, key)::INTEGER AS rank FROM h)
+    SELECT plan_id, key, n_records, score, rank FROM r WHERE rank <= 12""")
+def temporal_overlap_recall(spark, d):
+    plans = spark.createDataFrame([(1, "1995-03-10", "1995-03-20"), (2, "1996-12-30", "1997-01-02"), (3, "2050-01-01", "2050-02-01")], "plan_id int, since string, until string")
+    return evidence.temporal_recall(evidence.temporal_nodes(_days(spark, d)), plans, 12)
+
+
+@query(f"""WITH i AS (SELECT DISTINCT * FROM ({_INDEX})), n AS (SELECT * FROM (VALUES ('entity', 'src1', 0.9), ('entity', 'src2', 0.5), ('tag', 'fr', 0.8)) v(node_type, key, score))
+    SELECT record_id, round(max(score * CASE WHEN i.node_type = 'entity' THEN 0.34 ELSE 0.32 END), 6)::DOUBLE AS field_score, count(*)::BIGINT AS n_nodes FROM n JOIN i ON n.node_type = i.node_type AND n.key = i.key GROUP BY record_id""")
+def node_to_record_expansion(spark, d):
+    hits = spark.createDataFrame([("entity", "src1", 0.9), ("entity", "src2", 0.5), ("tag", "fr", 0.8)], "node_type string, key string, score double")
+    return evidence.expand(hits, evidence.postings(_records(spark, d)))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i FROM lineitem WHERE l_orderkey IS NOT NULL), n AS (SELECT o, count(*) AS n FROM s GROUP BY o),
+    b AS (SELECT a.o AS child, c.o AS parent, count(*) AS shared FROM s a JOIN s c ON a.i = c.i AND a.o <> c.o GROUP BY 1, 2),
+    x AS (SELECT child, parent, nc.n AS n_child, np.n AS n_parent, row_number() OVER (PARTITION BY child ORDER BY np.n, parent) AS r FROM b JOIN n nc ON nc.o = child JOIN n np ON np.o = parent WHERE shared = nc.n AND np.n > nc.n)
+    SELECT child, parent, n_child, n_parent FROM x WHERE r = 1""")
+def containment_tree(spark, d):
+    return evidence.containment_tree(tables.read(spark, d, "lineitem").filter("l_orderkey is not null").select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("item")))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'entity:' || source AS node, d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND source IS NOT NULL)
+    SELECT node AS id FROM e GROUP BY node UNION ALL SELECT doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e)""")
+def bipartite_roots(spark, d):
+    docs, good = tables.read(spark, d, "documents"), tables.read(spark, d, "labels").filter("quality = 1")
+    index = docs.filter("source is not null").join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(F.lit("entity").alias("node_type"), F.col("source").alias("key"), F.col("doc_id").alias("record_id"))
+    return evidence.graph(index, docs.select(F.col("doc_id").alias("record_id")))[1]
+
+
+# ---- stores --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_backfill(spark, d):
+    return stores.missing(tables.read(spark, d, "documents"), tables.read(spark, d, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_join_lookup(spark, d):
+    return stores.lookup(tables.read(spark, d, "documents"), tables.read(spark, d, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query("""SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value, min_by(ts, event_id) AS created_at FROM events GROUP BY user_id""")
+def upsert_first_created(spark, d):
+    e = tables.read(spark, d, "events").select("user_id", "event_id", "event_type", "value", F.col("ts").alias("created_at"))
+    old, new = e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")
+    return stores.upsert(old, new, "user_id", "event_id", ["created_at"]).select("user_id", "event_type", "value", "created_at")
+
+
+@query("SELECT event_type AS scene_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
+def scene_stats(spark, d):
+    return tables.read(spark, d, "events").groupBy(F.col("event_type").alias("scene_type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
+
+
+@query("SELECT event_type AS source, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type")
+def usage_stats(spark, d):
+    e = tables.read(spark, d, "events").groupBy(F.col("event_type").alias("source"))
+    return e.agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+
+
+@query("""WITH x AS (SELECT *, concat_ws('|', event_type, floor(value / 10)::BIGINT) AS mark FROM events), y AS (SELECT *, lag(mark) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM x)
+    SELECT event_id, user_id FROM y WHERE b IS NULL OR b <> mark""")
+def pair_dedup_lag(spark, d):
+    e = tables.read(spark, d, "events").withColumn("bin", F.floor(F.col("value") / 10).cast("bigint"))
+    return stores.pair_dedup(e, ["event_type", "bin"]).select("event_id", "user_id")
+
+
+@query("""WITH x AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+    SELECT event_id, user_id FROM x WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) >= 3600000000""")
+def debounce_gap(spark, d):
+    return stores.throttle_gaps(tables.read(spark, d, "events"), 3600).select("event_id", "user_id")
+
+
+@query("""WITH x AS (SELECT event_id, least(1, greatest(0, value / 100)) AS imp, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9 AS h FROM events), y AS (SELECT event_id,
+    round(least(1, power(0.5::DOUBLE, h / (168 * (1 + imp * (720.0::DOUBLE / 168 - 1)))) + least(0.3, 0.05 * (event_id % 4))), 4)::DOUBLE AS decay FROM x) SELECT event_id, decay, decay < 0.1 AS forget FROM y""")
+def forgetting_curve(spark, d):
+    e = tables.read(spark, d, "events")
+    hours = F.timestamp_diff("MICROSECOND", F.col("ts"), F.expr("timestamp_ntz'2024-02-01 00:00:00'")) / 3.6e9
+    t = e.select("event_id", scoring.decay(hours, scoring.clamp(F.col("value") / 100), F.col("event_id") % 4).alias("decay"))
+    return t.withColumn("forget", F.col("decay") < 0.1)
+
+
+@query("SELECT event_id, CASE WHEN value / 100 >= 0.8 THEN 90 WHEN value / 100 >= 0.5 THEN 30 WHEN value / 100 >= 0.3 THEN 14 ELSE 7 END AS days FROM events")
+def ttl_tiers(spark, d):
+    return tables.read(spark, d, "events").select("event_id", scoring.ttl_days(F.col("value") / 100).alias("days"))
+
+
+# ---- ranking -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='20, 21, 22')}), s AS (SELECT query_id AS route, id, 1 - distance / 4 AS score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, id) AS rank FROM s),
+    f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(score) AS best, min(rank) AS best_rank FROM r WHERE rank <= 60 GROUP BY id),
+    g AS (SELECT id, best_rank, round(0.82 * best + 0.18 * (rrf / (SELECT max(rrf) FROM f)), 6) AS score FROM f),
+    o AS (SELECT *, row_number() OVER (ORDER BY (best_rank <= 4) DESC, score DESC, id)::INTEGER AS place FROM g)
+    SELECT id, best_rank::INTEGER AS best_rank, score, place FROM o WHERE place <= 15""")
+def rrf_fusion(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    hits = vectors.nearest(e, _some(e, 20, 21, 22), 60).select(F.col("query_id").alias("route"), "id", (1 - F.col("distance") / 4).alias("score"))
+    return ranking.rrf(hits, 15, 4)
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='30')}), c AS (SELECT id, label AS bucket, 1 - distance / 4 AS score, row_number() OVER (ORDER BY 1 - distance / 4 DESC, id) AS place FROM h),
+    f AS (SELECT id, 0 AS turn, NULL AS spot, score FROM c WHERE place <= 40),
+    r AS (SELECT id, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id) AS turn, bucket::VARCHAR AS spot, score FROM c WHERE place > 40 AND place <= 120),
+    p AS (SELECT *, row_number() OVER (ORDER BY turn, spot NULLS FIRST, score DESC, id)::INTEGER AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM r))
+    SELECT n, id, turn::INTEGER AS turn, score FROM p WHERE n <= 60""")
+def rerank_pool_round_robin(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    hits = vectors.nearest(e, _some(e, 30), 120).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("bucket")), "id")
+    return ranking.rerank_pool(hits.select("id", "bucket", (1 - F.col("distance") / 4).alias("score")), 60)
+
+
+@query()
+def mmr_select(spark, d):
+    docs = tables.read(spark, d, "documents")
+    c = docs.select(F.col("lang").alias("request"), F.col("doc_id").alias("id"), (1 / (1 + F.col("n_chars") / 1000)).alias("score"), text.token_set(F.col("text")).alias("terms")).filter("request is not null")
+    return ranking.mmr(c, 10)
+
+
+@query()
+def episode_budget(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    hits = vectors.nearest(e, _some(e, 40, 41), 15)
+    rows = hits.select(F.col("query_id").alias("request"), "id", F.when(F.col("id") % 2 == 0, "episode").otherwise("record").alias("kind"), (1 - F.col("distance") / 4).alias("score"))
+    return ranking.episode_budget(rows, 15)
+
+
+# ---- streams -------------------------------------------------------------------------------------------------
+
+
+@query()
+def chunker_batch(spark, d):
+    return chunker.chunks(tables.turns(spark, d))
+
+
+@query()
+def chunker_stream_equals_batch(spark, d):
+    """Turns fed as a stream, session by session: the same chunks as in one batch."""
+    return chunker.stream_chunks(spark, f"{d}/conversations.parquet")
+
+
+@query()
+def cooldown_throttle(spark, d):
+    return throttle.cooldown(tables.read(spark, d, "events"), 3600)
