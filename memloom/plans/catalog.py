@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, temporal, text
-from ..operators import evidence, ranking, sessions, stores, vectors
+from ..operators import evidence, plans_io, ranking, sessions, stores, vectors
 from ..sources import tables
 from ..streaming import chunker, throttle
 
@@ -453,3 +453,90 @@ def chunker_stream_equals_batch(spark, d):
 @query()
 def cooldown_throttle(spark, d):
     return throttle.cooldown(tables.read(spark, d, "events"), 3600)
+
+
+# ---- more of the stores, plans and scores ------------------------------------------------------------------------
+
+
+@query("""SELECT 'n' || event_type AS node_id, max(event_id) AS seq, list_sort(list(DISTINCT user_id)) AS record_ids, strftime(min(ts), '%Y-%m-%d') AS start, strftime(max(ts), '%Y-%m-%d') AS "end" FROM events GROUP BY event_type""")
+def node_merge(spark, d):
+    e = tables.read(spark, d, "events").groupBy("event_type", (F.col("event_id") % 7).alias("part"))
+    nodes = e.agg(F.max("event_id").alias("seq"), F.collect_set("user_id").alias("record_ids"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("start"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("end"))
+    nodes = nodes.select(F.concat(F.lit("n"), "event_type").alias("node_id"), "part", "seq", "record_ids", F.col("event_type").alias("search_text"), "start", "end")
+    merged = stores.merge_nodes(nodes.filter("part < 4").drop("part"), nodes.filter("part >= 4").drop("part"))
+    return merged.select("node_id", "seq", "record_ids", "start", "end")
+
+
+@query("SELECT user_id, event_type FROM events WHERE event_id % 2 = 1 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 AND value >= 10")
+def insert_missing(spark, d):
+    e = tables.read(spark, d, "events")
+    return stores.insert_missing(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "value >= 10")
+
+
+@query("SELECT c_custkey AS user_id, count(event_id) AS retrieval_count FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey")
+def counter_updates(spark, d):
+    rows = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(0).cast("bigint").alias("retrieval_count"))
+    return stores.add_counts(rows, tables.read(spark, d, "events"), "user_id", "retrieval_count").select("user_id", "retrieval_count")
+
+
+@query("""SELECT conv_id AS session_id, count(*) FILTER (NOT (conv_id = 1 AND turn < 3))::BIGINT AS turn_count FROM conversations GROUP BY conv_id""")
+def soft_delete_listing(spark, d):
+    return sessions.summaries(sessions.soft_delete(tables.turns(spark, d), 1, 3)).select("session_id", "turn_count")
+
+
+@query("""SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, label + 100 AS label, embedding FROM embeddings WHERE vec_id % 20 = 0""")
+def vector_replace(spark, d):
+    e = tables.read(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    new = e.filter("vec_id % 20 = 0").withColumn("label", F.col("label") + 100)
+    return stores.replace_by_key(e, vectors.checked(new, 64), "vec_id")
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events""")
+def json_columns(spark, d):
+    e = tables.read(spark, d, "events")
+    return e.select("event_id", F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0).cast("bigint")).alias("k"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 197) || chr(10) || '...' || chr(10) || right(text, 197) END AS text,
+    'user: ' || source || ': ' || substr(text, 1, 30) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+def embedding_text(spark, d):
+    t = tables.read(spark, d, "documents").filter("text is not null and source is not null")
+    return t.select("doc_id", text.head_and_tail(F.col("text"), 400).alias("text"), text.turn_line(F.lit("user"), F.substring("text", 1, 30), F.col("source")).alias("line"))
+
+
+@query("""SELECT event_id, round(CASE WHEN value / 50 BETWEEN 0 AND 1 THEN value / 50 ELSE 1 / (1 + exp(-least(50, greatest(-50, value / 50)))) END, 6) AS score FROM events""")
+def rerank_normalization(spark, d):
+    return tables.read(spark, d, "events").select("event_id", F.round(scoring.rerank_score(F.col("value") / 50), 6).alias("score"))
+
+
+@query(f"""SELECT session_id, n_live, tokens, n_live * 250 AS chunk_tokens, CASE WHEN n_live * 250 < 700 THEN -1.3 WHEN n_live * 250 < 1000 THEN -0.8 + 0.8 * ((n_live * 250 - 700) / 300.0)
+    WHEN n_live * 250 < 1500 THEN 0.45 + 1.45 * ((n_live * 250 - 1000) / 500.0) WHEN n_live * 250 < 2000 THEN 1.9 + 0.9 * ((n_live * 250 - 1500) / 500.0) ELSE 3.0 END::DOUBLE AS hazard
+    FROM (SELECT conv_id AS session_id, count(*)::BIGINT AS n_live, sum({_tokens("coalesce(text, '')")} + 4)::BIGINT AS tokens FROM conversations GROUP BY conv_id)""")
+def length_hazards(spark, d):
+    b = sessions.boundaries(tables.turns(spark, d)).select("session_id", "n_live", "tokens").withColumn("chunk_tokens", F.col("n_live") * 250)
+    return b.withColumn("hazard", scoring.length_hazard(F.col("chunk_tokens")))
+
+
+@query("""WITH i AS (SELECT DISTINCT source AS k, doc_id FROM documents WHERE source IS NOT NULL) SELECT 'entity:' || k AS source, doc_id::VARCHAR AS target FROM i""")
+def graph_edges(spark, d):
+    docs = tables.read(spark, d, "documents")
+    index = docs.filter("source is not null").select(F.lit("entity").alias("node_type"), F.col("source").alias("key"), F.col("doc_id").alias("record_id")).distinct()
+    return evidence.graph(index, docs.select(F.col("doc_id").alias("record_id")))[0]
+
+
+@query("""SELECT * FROM (VALUES (1, 'temporal', ['when', 'date of move'], ['place: Rome'], 2, ['when', 'Move']), (2, 'single', ['x'], []::VARCHAR[], 1, ['x']), (3, 'default', ['y'], []::VARCHAR[], 1, ['y']))
+    v(plan_id, strategy, semantic_queries, constraints, n_routes, first_queries) WHERE plan_id = 1 UNION ALL SELECT 2, 'default', ['x'], []::VARCHAR[], 1, ['x'] UNION ALL SELECT 3, 'default', ['y'], []::VARCHAR[], 1, ['y']""")
+def plan_parsing(spark, d):
+    """A full plan, malformed JSON, and an unknown question type."""
+    full = '{"question_type": " Temporal ", "semantic_queries": ["When", "date of move", ""], "constraints": [{"kind": "place", "value": "Rome"}], "routes": [{"goal": "g", "queries": ["Move", "MOVE"]}, {"route_id": "b"}]}'
+    rows = spark.createDataFrame([(1, "when", full), (2, "x", "{oops"), (3, "y", '{"question_type": "riddle"}')], "plan_id int, query string, plan string")
+    p = plans_io.with_strategy(plans_io.parse_plans(rows))
+    return p.select("plan_id", "strategy", "semantic_queries", "constraints", F.size("routes").alias("n_routes"), F.get("routes", F.lit(0))["queries"].alias("first_queries"))
+
+
+@query(f"""SELECT v.question_type AS strategy, greatest(45, 30) * 1.0 AS base, floor(45 * evidence_mult)::INTEGER AS evidence, floor(45 * record_mult)::INTEGER AS records, floor(20 * turn_mult)::INTEGER AS turns
+    FROM (VALUES {', '.join(str(r[:4]) for r in scoring.STRATEGIES)}) v(question_type, evidence_mult, record_mult, turn_mult)""")
+def channel_limits(spark, d):
+    s = plans_io.strategies(spark)
+    x = plans_io.depths(F.lit(15), F.col("evidence_mult"), F.col("record_mult"), F.col("turn_mult"))
+    return s.select(F.col("question_type").alias("strategy"), F.lit(45.0).alias("base"), x["evidence"].alias("evidence"), x["records"].alias("records"), x["turns"].alias("turns"))
