@@ -7,7 +7,8 @@ A document's set holds its distinct K-word shingles (64-bit hashes); two documen
   values. A set so linked takes over the answers of the set it is like: members of one component are not compared
   again, and only pairs of different components are candidates afterwards.
 * Index level: each representative enters the lists of the rarest quarter of its shingles (prefix filter). A list is
-  cut into blocks by position; pairs of blocks whose positions and sizes leave too little overlap are skipped.
+  cut into blocks by position; pairs of blocks whose positions and sizes leave too little overlap are skipped. What a
+  pair shares in all lists, with what is left after the last of them, bounds its overlap again before any set moves.
 * Every remaining candidate pair is verified on the whole sets. Components come from alternating large-star and
   small-star steps.
 
@@ -170,8 +171,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
 
 
-def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
-    """Candidate pairs of one list: different components, and enough overlap possible at these positions."""
+def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
+    """Columns x, y, left, need for the pairs of one list that are of different components and may overlap enough.
+
+    need: the overlap that the pair needs; left: the most that it can have after this shingle.
+    """
     order = np.lexsort((node, pos))
     comp, node, n, pos = comp[order], node[order], n[order], pos[order]
     starts = range(0, len(node), block)
@@ -179,7 +183,6 @@ def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
     most = [int(n[a:b].max()) for a, b in zip(starts, ends)]
     least = [int(n[a:b].min()) for a, b in zip(starts, ends)]
     reach = [int((n[a:b] - pos[a:b]).max()) for a, b in zip(starts, ends)]
-    found: list[tuple[int, int]] = []
     for i, (a, b) in enumerate(zip(starts, ends)):
         for j in range(i, len(ends)):
             c, d = starts[j], ends[j]
@@ -188,13 +191,25 @@ def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
             # at most: all before the earlier position, and what is left after both
             if (NUM + DEN) * (min(int(pos[b - 1]), int(pos[d - 1])) + min(reach[i], reach[j])) < NUM * (least[i] + least[j]):
                 continue
-            room = np.minimum(pos[a:b, None], pos[None, c:d]) + np.minimum((n - pos)[a:b, None], (n - pos)[None, c:d])
-            fits = (comp[a:b, None] != comp[None, c:d]) & ((NUM + DEN) * room >= NUM * (n[a:b, None] + n[None, c:d]))
-            x, y = np.nonzero(fits)
-            x, y = x + a, y + c
-            up = x < y
-            found += zip(node[x[up]].tolist(), node[y[up]].tolist())
-    return found
+            left = np.minimum((n - pos)[a:b, None], (n - pos)[None, c:d]) - 1
+            need = -(-NUM * (n[a:b, None] + n[None, c:d]) // (NUM + DEN))
+            fits = (comp[a:b, None] != comp[None, c:d]) & (np.minimum(pos[a:b, None], pos[None, c:d]) + left + 1 >= need)
+            u, v = np.nonzero(fits)
+            up = u + a < v + c
+            u, v = u[up], v[up]
+            if len(u):
+                x, y = node[u + a], node[v + c]
+                yield np.stack([np.minimum(x, y), np.maximum(x, y), left[u, v], need[u, v]])
+
+
+def _combined(found: list[np.ndarray]) -> pa.RecordBatch:
+    """A row a pair: how many shingles it shares here, and the least that is left after one of them."""
+    x, y, left, need = np.concatenate(found, axis=1)
+    order = np.lexsort((y, x))
+    x, y, left, need = x[order], y[order], left[order], need[order]
+    at = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
+    shared = np.diff(np.concatenate((at, [len(x)])))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], shared, np.minimum.reduceat(left, at), need[at])], names=["x", "y", "shared", "left", "need"])
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K) -> DataFrame:
@@ -242,6 +257,8 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
+        found: list[np.ndarray] = []
+        held = [0]
 
         def done(cols: list[np.ndarray], upto: int) -> Iterator[pa.RecordBatch]:
             key, node, above, place = (c[:upto] for c in cols)
@@ -252,15 +269,15 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             many = np.flatnonzero(ends - starts > 1)
             mixed = [i for i in many.tolist() if (comp[starts[i] : ends[i]] != comp[starts[i]]).any()]
-            found: set[tuple[int, int]] = set()
             for i in mixed:
-                s = slice(starts[i], ends[i])
-                found.update((min(p), max(p)) for p in _list_pairs(comp[s], node[s], n[s], pos[s]))
-                if len(found) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
-                    found = set()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
+                part = slice(starts[i], ends[i])
+                for some in _list_pairs(comp[part], node[part], n[part], pos[part]):
+                    found.append(some)
+                    held[0] += some.shape[1]
+                    if held[0] > 500_000:
+                        yield _combined(found)
+                        found.clear()
+                        held[0] = 0
 
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -274,12 +291,17 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             rest = [c[first:] for c in cols]
         if rest is not None:
             yield from done(rest, len(rest[0]))
+        if found:
+            yield _combined(found)
 
     table = docs.select("doc_id", "text").mapInArrow(prefix, "node long, tokens array<long>")
     table = table.join(nodes.hint("shuffle_hash"), "node").select("node", "comp", "n", "tokens")
     spread = table.mapInArrow(cells, "key long, node long, above long, place long")
     spread = spread.repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(lists, "x long, y long").distinct()
+    pairs = spread.mapInArrow(lists, "x long, y long, shared long, left long, need long")
+    # all shared shingles up to the last one found are in both prefixes: the overlap is at most their number and what is left
+    pairs = pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("left").alias("left"), F.max("need").alias("need"))
+    return pairs.filter("shared + left >= need").select("x", "y")
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
