@@ -118,9 +118,11 @@ def skill_upsert_nn(spark, d):
     """Each new skill takes the id of the old one it is nearest to, from .85 on (H8). New skills are a request's few."""
     e = tables.read(spark, d, "embeddings")
     new, old = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("new_id"), F.col("embedding").alias("a")), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("old_id"), F.col("embedding").alias("b"))
-    # blocks of both sides meet: equi-join on a block pair, so neither side is broadcast
-    new, old = new.withColumn("i", F.lit(0)), old.withColumn("i", F.lit(0))
-    pairs = new.join(old.hint("shuffle_hash"), "i").select("new_id", "old_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("sim"))
+    # the batch of new skills is dealt to every block of old ones
+    blocks = 16
+    new = new.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    old = old.withColumn("block", F.pmod(F.xxhash64("old_id"), F.lit(blocks)).cast("int"))
+    pairs = new.join(old.hint("shuffle_hash"), "block").select("new_id", "old_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("sim"))
     w = Window.partitionBy("new_id").orderBy(F.desc("sim"), "old_id")
     best = pairs.withColumn("r", F.row_number().over(w)).filter("r = 1")
     return best.select("new_id", F.when(F.col("sim") >= 0.85, F.col("old_id")).otherwise(F.col("new_id")).alias("skill_id"), "sim")

@@ -11,7 +11,6 @@ import math
 import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -56,12 +55,12 @@ def token_estimate(text: str) -> int:
 
 
 def embed(text: str) -> np.ndarray:
-    """The default embedding: hashed character trigrams at length 1."""
-    v = np.zeros(WIDTH)
-    t = f" {text.lower()} "
-    for i in range(len(t) - 2):
-        h = zlib.crc32(t[i : i + 3].encode())
-        v[h % WIDTH] += 1 if h & 0x10000 else -1
+    """The default embedding: hashed byte trigrams at length 1."""
+    b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return np.zeros(WIDTH)
+    h = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+    v = np.bincount(h >> np.uint32(26), np.where(h & np.uint32(1 << 16), 1.0, -1.0), WIDTH)
     n = float(np.sqrt(v @ v))
     return v / n if n else v
 
