@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_runs(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,46 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_runs(spark, docs, empty):
+    """Every repeated run of two or more lines goes as a whole, whatever stands around it."""
+    short = [f"only {i}\nfirst shared line\nsecond shared line\nalso only {i}" for i in range(9)]
+    short += ["lone a\n\n\n\nb of a run\nx1", "lone a\n\n\n\nb of a run\nx2", "one line\n\n\n\nx3", "t t\nt t\nt t\nx4", "\n\n\n", "\n\n\n"]
+    rows = ROWS + [(1000 + i, t, "en", "s1", len(t), "r", "s", "k", "h") for i, t in enumerate(short)]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    found = collections.defaultdict(list)
+    for k in sorted({key(r) for r in rows}):
+        lines = k[2].split("\n")
+        for i in range(len(lines) - 1):
+            if WORD.search(lines[i] + lines[i + 1]):
+                found[lines[i], lines[i + 1]].append((k, i))
+    gone = collections.defaultdict(set)
+    for (k, i), *again in found.values():
+        for j, at in again:
+            if j[:2] != k[:2] or j == k:  # texts under the first doc_id each keep their own first occurrence
+                gone[j].update((at, at + 1))
+    for k, g in gone.items():
+        lines = k[2].split("\n")
+        for a, b in zip(sorted(g), sorted(g)[1:]):
+            if not any(WORD.search(x) for x in lines[a + 1 : b]):
+                g.update(range(a, b))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = linededup.dedup_runs(frame)
+    want = [(r[0], "\n".join(x for i, x in enumerate((r[1] or "").split("\n")) if i not in gone[key(r)]) if gone[key(r)] else r[1], len(gone[key(r)])) for r in rows]
+    same([(r.doc_id, r.text, r.n_removed_lines) for r in got.collect()], want)
+    assert [w[1] for w in want if w[0] in range(1000, 1009)] == [short[0]] + [f"only {i}\nalso only {i}" for i in range(1, 9)]
+    assert [w[1] for w in want if w[0] == 1010] == ["x2"]
+    assert linededup.dedup_runs(empty).count() == 0
+
+
+def test_line_dedup_query_removes_short_runs(spark, tmp_path):
+    from memloom.llm import queries
+
+    texts = [f"only {i}\nfirst shared line\nsecond shared line\nalso only {i}" for i in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_removed_lines) for r in got) == [(i, 2 * (i > 0)) for i in range(30)]
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_substring(docs, empty, hot):
     times = collections.Counter(tuple(w[i : i + 35]) for r in ROWS for w in [words(r[1])] for i in range(len(w) - 34))
