@@ -4,13 +4,13 @@ A document's set holds its distinct K-word shingles (64-bit hashes); two documen
 
 * Equal sets are one class with one representative; only representatives are joined.
 * Answer level: representatives are first compared with the smallest document that shares one of a few MinHash
-  values. A set so linked takes over the answers of the set it is like: members of one component are not compared
-  again, and only pairs of different components are candidates afterwards.
+  values, their leader. A set similar to its leader is held as its difference from it, and the links among the sets of
+  one leader follow from the differences; only pairs that share no leader so are candidates afterwards.
 * Index level: each representative enters the lists of the rarest quarter of its shingles (prefix filter). A list is
   cut into blocks by position; pairs of blocks whose positions and sizes leave too little overlap are skipped. What a
   pair shares in all lists, with what is left after the last of them, bounds its overlap again before any set moves.
-* Every remaining candidate pair is verified on the whole sets. Components come from alternating large-star and
-  small-star steps.
+* Every remaining candidate pair is verified on the whole sets. All links are counted (n_links: how many other
+  representatives the set's own is linked with); components come from alternating large-star and small-star steps.
 
 "Rarest" follows a count sketch of fixed size over all shingles; any total order keeps the join exact, and the
 sketch keeps frequent shingles out of the lists. Lists that the sketch says are long are dealt to a grid of cells,
@@ -18,7 +18,7 @@ and popular documents of a verification are spread over salts, so no key has to
 
 Edge cases: null text or no word: empty set, linked with nothing; fewer than K words: the whole sequence is the one
 shingle; a doc_id is one vertex, so texts that share a doc_id share its component; a null doc_id gets the component
-of its class if that has an id, else null; repeated rows are all returned; extra columns are ignored; an empty table
+and links of its class if that has an id, else null; repeated rows are all returned; extra columns are ignored; an empty table
 gives no rows.
 """
 
@@ -46,6 +46,8 @@ _BLOCK = 4096
 #: Rows of a list, or sets compared with one set, that one task takes.
 CELL_ROWS = 50_000
 SALT_ROWS = 1_000
+#: Sets of one leader, and bytes of their differences, that one task compares with as many others.
+STAR_ROWS, STAR_BYTES = 1_000, 8 << 20
 
 
 def shingle_set(text: bytes | None, k: int = K) -> np.ndarray:
@@ -109,8 +111,11 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return total
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int = K) -> DataFrame:
-    """The pairs (x, y) of distinct doc_ids whose sets are similar."""
+def verify(docs: DataFrame, pairs: DataFrame, k: int = K, differences: bool = False) -> DataFrame:
+    """The pairs (x, y) of distinct doc_ids whose sets are similar, each once.
+
+    differences: also base, the size of y's set, and what x's set has less and more.
+    """
     fans = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("c")).select("y", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
     asked = pairs.join(fans, "y").groupBy("x").agg(F.collect_list(F.struct("y", "salts")).alias("ys"))
     info = materialize(asked.withColumnRenamed("x", "id").join(fans.withColumnRenamed("y", "id"), "id", "full"), "asked")
@@ -132,24 +137,109 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = K) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
+    schema = [("x", pa.int64()), ("y", pa.int64())] + [("base", pa.int64()), ("less", pa.binary()), ("more", pa.binary())] * differences
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
+        at, own, last = None, [], None
         for b in batches:
-            found = []
+            found, held = [], 0
             for y, x, s in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), b.column("set"), strict=True):
                 one = np.frombuffer(s.as_buffer(), np.uint64)
                 if x is None:  # the set of y comes first; several only if a doc_id repeats
                     if at != y:
-                        at, own = y, []
+                        at, own, last = y, [], None
                     own.append(one.copy())
-                elif at == y and any(similar(len(one), len(o), len(np.intersect1d(one, o, assume_unique=True))) for o in own):
-                    found.append((x, y))
+                elif at == y and x != last:
+                    like = next((o for o in own if similar(len(one), len(o), len(np.intersect1d(one, o, assume_unique=True)))), None)
+                    if like is None:
+                        continue
+                    last = x
+                    if differences:
+                        found.append((x, y, len(like), np.setdiff1d(like, one, assume_unique=True).tobytes(), np.setdiff1d(one, like, assume_unique=True).tobytes()))
+                        held += len(found[-1][3]) + len(found[-1][4])
+                    else:
+                        found.append((x, y))
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found), schema)], names=[n for n, _ in schema])
+                    found, held = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found), schema)], names=[n for n, _ in schema])
 
     sets = texts.mapInArrow(emit, "y long, salt int, x long, set binary")
     met = sets.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first())
-    return met.select("y", "x", "set").mapInArrow(compare, "x long, y long")
+    return met.select("y", "x", "set").mapInArrow(compare, "x long, y long" + ", base long, less binary, more binary" * differences)
+
+
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each of the sets a shares with each of the sets b."""
+    value, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    again = np.cumsum(times > 1) - 1
+    held = times[at] > 1
+    row, at = row[held], again[at[held]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, int(again[-1]) + 1 if len(value) else 0, 2048):
+        i, j = np.searchsorted(at, [lo, lo + 2048])
+        has = np.zeros((len(sets), min(2048, int(again[-1]) + 1 - lo)), np.float32)
+        has[row[i:j], at[i:j] - lo] = 1
+        out += has[a] @ has[b].T
+    return out.astype(np.int64)
+
+
+def linked(base: int, less: list[np.ndarray], more: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets a and b of one leader with base values are similar, from what they have less and more than it."""
+    less_n, more_n = np.array([len(x) for x in less]), np.array([len(x) for x in more])
+    n = base - less_n + more_n
+    both = base - less_n[a][:, None] - less_n[b][None, :] + _common(less, a, b) + _common(more, a, b)
+    return similar(n[a][:, None], n[b][None, :], both)
+
+
+def star_links(led: DataFrame, rows: int = STAR_ROWS) -> DataFrame:
+    """node, links: how many sets of the same leader each set is linked with, the leader itself not counted.
+
+    The sets of a popular leader are dealt to parts, and each two parts meet in one cell.
+    """
+    held = F.sum(F.length("less") + F.length("more"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(held / STAR_BYTES)).cast("int")
+    stars = led.groupBy("y").agg(F.count(F.lit(1)).alias("c"), parts.alias("parts")).filter("c > 1").select("y", "parts")
+    dealt = led.join(stars, "y").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("y", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "x", "base", "less", "more")
+
+    def done(cell: tuple, part: list, x: list, base: int, less: list, more: list) -> list[tuple[int, int]]:
+        _, lo, hi = cell
+        part = np.array(part)
+        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if not len(a) or not len(b):
+            return []
+        hit = linked(base, less, more, a, b)
+        if lo == hi:
+            np.fill_diagonal(hit, False)
+            return [(x[i], int(c)) for i, c in zip(a, hit.sum(axis=1)) if c]
+        return [(x[i], int(c)) for at, axis in ((a, 1), (b, 0)) for i, c in zip(at, hit.sum(axis=axis)) if c]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["node", "links"])
+        cell, own, size = None, ([], [], [], []), 0
+        for b in batches:
+            found = []
+            as_set = lambda c: [np.frombuffer(v.as_buffer(), np.uint64) if len(v.as_buffer()) else np.zeros(0, np.uint64) for v in b.column(c)]  # noqa: E731, B023
+            for y, lo, hi, part, x, base, less, more in zip(*(b.column(c).to_pylist() for c in ("y", "lo", "hi", "part", "x", "base")), as_set("less"), as_set("more"), strict=True):
+                if cell != (y, lo, hi):
+                    if cell:
+                        found += done(cell, own[0], own[1], size, own[2], own[3])
+                    cell, own, size = (y, lo, hi), ([], [], [], []), base
+                for held, v in zip(own, (part, x, less, more)):
+                    held.append(v)
+            if found:
+                yield out(found)
+        if cell and (found := done(cell, own[0], own[1], size, own[2], own[3])):
+            yield out(found)
+
+    met = cells.repartition("y", "lo", "hi").sortWithinPartitions("y", "lo", "hi")
+    return met.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
-    """Columns x, y, left, need for the pairs of one list that are of different components and may overlap enough.
+    """Columns x, y, left, need for the pairs of one list that are not decided by a leader and may overlap enough.
 
     need: the overlap that the pair needs; left: the most that it can have after this shingle.
     """
@@ -193,7 +283,8 @@ def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
                 continue
             left = np.minimum((n - pos)[a:b, None], (n - pos)[None, c:d]) - 1
             need = -(-NUM * (n[a:b, None] + n[None, c:d]) // (NUM + DEN))
-            fits = (comp[a:b, None] != comp[None, c:d]) & (np.minimum(pos[a:b, None], pos[None, c:d]) + left + 1 >= need)
+            open_ = (comp[a:b, None] != comp[None, c:d]) & (comp[a:b, None] != node[None, c:d]) & (node[a:b, None] != comp[None, c:d])
+            fits = open_ & (np.minimum(pos[a:b, None], pos[None, c:d]) + left + 1 >= need)
             u, v = np.nonzero(fits)
             up = u + a < v + c
             u, v = u[up], v[up]
@@ -213,7 +304,7 @@ def _combined(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K) -> DataFrame:
-    """Distinct pairs (x, y) of nodes(node, comp) of different components that may be similar."""
+    """Distinct pairs (x, y) of nodes(node, comp, n) that no leader (comp, or the node itself) decides and that may be similar."""
     shift = np.uint64(64 - SKETCH_BITS)
     usual = int(counts.mean()) if len(counts) else 0
     sketch = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))  # 2 ** SKETCH_BITS values
@@ -305,26 +396,30 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of docs."""
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set), n_links of every row of docs."""
     both = materialize(signatures(docs, k), "signatures")
     rows = both.filter("block is null").select("doc_id", "n", "digest", "mins")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     classes = materialize(classes.filter("node is not null"), "classes")
-    stars = classes.select("node", F.posexplode("mins").alias("i", "value"))
+    # a doc_id with several texts has no one difference from a leader, and is none
+    several = rows.filter("n > 0").groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").select(F.col("doc_id").alias("node"))
+    stars = classes.join(several, "node", "left_anti").select("node", F.posexplode("mins").alias("i", "value"))
     leads = stars.groupBy("i", "value").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     votes = stars.join(leads, ["i", "value"]).filter("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("votes"))
     # one candidate a set: the document that most of its MinHash values point to; pairs this misses are found later
     pairs = votes.filter(F.col("votes") >= MIN_VOTES).groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("y"))).alias("best"))
     pairs = materialize(pairs.select("x", (-F.col("best.y")).alias("y")), "pairs")
-    first = components(verify(docs, pairs, k))
+    led = materialize(verify(docs, pairs, k, differences=True), "led", "zstd")
     n_of = classes.groupBy("node").agg(F.max("n").alias("n"))  # a doc_id with several texts counts once
-    nodes = materialize(n_of.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), "n"), "nodes")
+    nodes = materialize(n_of.join(led.select(F.col("x").alias("node"), "y"), "node", "left").select("node", F.coalesce("y", "node").alias("comp"), "n"), "nodes")
     more = materialize(candidates(docs, nodes, _sketch(both.filter("block is not null").select("block", "counts")), k), "candidates")
-    links = verify(docs, more, k)
-    of = nodes.select("node", "comp")
-    edges = links.join(of.toDF("x", "cx"), "x").join(of.toDF("y", "cy"), "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
-    second = components(edges)
-    final = nodes.join(second.toDF("comp", "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("component_id"))
+    links = materialize(verify(docs, more, k), "links")
+    edges = led.select("x", "y").union(links)
+    ends = edges.select(F.col("x").alias("node")).union(edges.select("y")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    n_links = ends.union(star_links(led)).groupBy("node").agg(F.sum("links").alias("n_links"))
+    final = nodes.select("node").join(components(edges), "node", "left").join(n_links, "node", "left")
+    final = final.select("node", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = classes.select("digest", "node").join(final, "node").withColumnRenamed("node", "class_id")
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    n_links = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("bigint")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"))

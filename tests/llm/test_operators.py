@@ -317,6 +317,32 @@ def test_jaccard(docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_links(spark):
+    """Every link between different sets is counted, also inside a group of near copies and across its leaders."""
+    pick = random.Random(5)
+    body = [f"w{i}" for i in range(120)]
+
+    def copy(edits):
+        w = list(body)
+        for i in range(edits):
+            w[pick.randrange(120)] = f"{pick.choice('abc')}{pick.randrange(4)}"
+        return " ".join(w)
+
+    texts = [copy(i % 6) for i in range(70)] + [" ".join(f"z{i}" for i in range(50))] * 3 + [" ".join([f"z{i}" for i in range(49)] + ["y"]), "alone in the world today", "", None]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (words(t) for t in texts)]
+    kinds = {s for s in sets if s}
+    n_links = {s: sum(s != t and 100 * len(s & t) >= 75 * len(s | t) for t in kinds) for s in kinds} | {frozenset(): 0}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.join(frame).collect()
+    same([(r.doc_id, r.n_links) for r in got], [(i, n_links[s]) for i, s in enumerate(sets)])
+    assert 0 < sum(n_links.values()) < len(kinds) * (len(kinds) - 1)
+    # the same counts however a leader's sets are dealt to cells
+    led = jaccard.verify(frame, spark.createDataFrame([(i, 0) for i in range(1, 70)], "x long, y long"), differences=True).cache()
+    counts = [sorted(map(tuple, jaccard.star_links(led, rows=n).collect())) for n in (1000, 7)]
+    near = {r.x for r in led.collect()}
+    assert counts[0] == counts[1] == sorted((i, c) for i in near if (c := sum(j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in near)))
+
+
 def test_html(spark):
     pages = [
         ("<html><head><title>T</title><script>var a='</p>';</script></head><body class=has-sidebar><nav><a href=/>Home</a></nav><div class=ad>Buy</div><article><h1>A &amp; B</h1><p><b>one<br>two</b><p>x&nbsp; y &lt;z&gt;</article><aside>s</aside><footer>f</footer>", "A & B\none two\nx y <z>"),
