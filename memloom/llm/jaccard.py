@@ -261,13 +261,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
 
 
-def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
+def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, several: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
     """Columns x, y, left, need for the pairs of one list that are not decided by a leader and may overlap enough.
 
-    need: the overlap that the pair needs; left: the most that it can have after this shingle.
+    need: the overlap that the pair needs, 0 if one has several texts, whose rows cannot be summed; left: the most that
+    it can have after this shingle.
     """
     order = np.lexsort((node, pos))
-    comp, node, n, pos = comp[order], node[order], n[order], pos[order]
+    comp, node, n, pos, several = comp[order], node[order], n[order], pos[order], several[order]
     starts = range(0, len(node), block)
     ends = [min(s + block, len(node)) for s in starts]
     most = [int(n[a:b].max()) for a, b in zip(starts, ends)]
@@ -290,7 +291,7 @@ def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
             u, v = u[up], v[up]
             if len(u):
                 x, y = node[u + a], node[v + c]
-                yield np.stack([np.minimum(x, y), np.maximum(x, y), left[u, v], need[u, v]])
+                yield np.stack([np.minimum(x, y), np.maximum(x, y), left[u, v], np.where(several[u + a] | several[v + c], 0, need[u, v])])
 
 
 def _combined(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -304,7 +305,7 @@ def _combined(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K) -> DataFrame:
-    """Distinct pairs (x, y) of nodes(node, comp, n) that no leader (comp, or the node itself) decides and that may be similar."""
+    """Distinct pairs (x, y) of nodes(node, comp, several) that no leader (comp, or the node itself) decides and that may be similar."""
     shift = np.uint64(64 - SKETCH_BITS)
     usual = int(counts.mean()) if len(counts) else 0
     sketch = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))  # 2 ** SKETCH_BITS values
@@ -315,13 +316,13 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             out, sizes = [], []
             for text in _binary(b, "text"):
                 s = shingle_set(text.as_py(), k)
+                sizes.append(len(s))
                 keep = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1 if len(s) else 0
                 if keep:
                     c = often[(s >> shift).astype(np.int64)]
                     s = s[np.lexsort((s, c))[:keep]]
                 out.append(s.view(np.int64).tolist())
-                sizes.append(keep)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
@@ -332,6 +333,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             row = np.repeat(np.arange(b.num_rows), lengths)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             node, comp, n = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("node", "comp", "n"))
+            n = n | b.column("several").to_numpy(zero_copy_only=False)[row].astype(np.int64) << 30
             split = 1 + np.maximum(0, often[(flat.view(np.uint64) >> shift).astype(np.int64)] - 2 * usual) // CELL_ROWS
             if split.max(initial=1) > 1:  # part r of a long list goes to the cells (r, s) and (s, r) of its grid
                 part = mix(node.view(np.uint64)).astype(np.uint64) % split.astype(np.uint64)
@@ -355,14 +357,14 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             key, node, above, place = (c[:upto] for c in cols)
             if not len(key):
                 return
-            comp, n, pos = node - above, place >> 32, place & 0xFFFFFFFF
+            comp, n, pos, several = node - above, place >> 32 & 0x3FFFFFFF, place & 0xFFFFFFFF, place >> 62 > 0
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             many = np.flatnonzero(ends - starts > 1)
             mixed = [i for i in many.tolist() if (comp[starts[i] : ends[i]] != comp[starts[i]]).any()]
             for i in mixed:
                 part = slice(starts[i], ends[i])
-                for some in _list_pairs(comp[part], node[part], n[part], pos[part]):
+                for some in _list_pairs(comp[part], node[part], n[part], pos[part], several[part]):
                     found.append(some)
                     held[0] += some.shape[1]
                     if held[0] > 500_000:
@@ -385,8 +387,8 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
         if found:
             yield _combined(found)
 
-    table = docs.select("doc_id", "text").mapInArrow(prefix, "node long, tokens array<long>")
-    table = table.join(nodes.hint("shuffle_hash"), "node").select("node", "comp", "n", "tokens")
+    table = docs.select("doc_id", "text").mapInArrow(prefix, "node long, n long, tokens array<long>")
+    table = table.join(nodes.hint("shuffle_hash"), "node").select("node", "comp", "n", "several", "tokens")
     spread = table.mapInArrow(cells, "key long, node long, above long, place long")
     spread = spread.repartition("key").sortWithinPartitions("key")
     pairs = spread.mapInArrow(lists, "x long, y long, shared long, left long, need long")
@@ -403,6 +405,7 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     classes = materialize(classes.filter("node is not null"), "classes")
     # a doc_id with several texts has no one difference from a leader, and is none
     several = rows.filter("n > 0").groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").select(F.col("doc_id").alias("node"))
+    several = materialize(several.filter("node is not null"), "several")
     stars = classes.join(several, "node", "left_anti").select("node", F.posexplode("mins").alias("i", "value"))
     leads = stars.groupBy("i", "value").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     votes = stars.join(leads, ["i", "value"]).filter("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("votes"))
@@ -410,14 +413,17 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     pairs = votes.filter(F.col("votes") >= MIN_VOTES).groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("y"))).alias("best"))
     pairs = materialize(pairs.select("x", (-F.col("best.y")).alias("y")), "pairs")
     led = materialize(verify(docs, pairs, k, differences=True), "led", "zstd")
-    n_of = classes.groupBy("node").agg(F.max("n").alias("n"))  # a doc_id with several texts counts once
-    nodes = materialize(n_of.join(led.select(F.col("x").alias("node"), "y"), "node", "left").select("node", F.coalesce("y", "node").alias("comp"), "n"), "nodes")
+    nodes = classes.select("node").distinct().join(led.select(F.col("x").alias("node"), "y"), "node", "left").join(several.withColumn("several", F.lit(True)), "node", "left")
+    nodes = materialize(nodes.select("node", F.coalesce("y", "node").alias("comp"), F.coalesce("several", F.lit(False)).alias("several")), "nodes")
     more = materialize(candidates(docs, nodes, _sketch(both.filter("block is not null").select("block", "counts")), k), "candidates")
     links = materialize(verify(docs, more, k), "links")
     edges = led.select("x", "y").union(links)
     ends = edges.select(F.col("x").alias("node")).union(edges.select("y")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     n_links = ends.union(star_links(led)).groupBy("node").agg(F.sum("links").alias("n_links"))
-    final = nodes.select("node").join(components(edges), "node", "left").join(n_links, "node", "left")
+    # and ties the classes of its texts
+    texts = rows.join(several.toDF("doc_id"), "doc_id").join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    ties = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("low")), "doc_id").filter("node <> low").select("node", "low")
+    final = nodes.select("node").join(components(edges.union(ties)), "node", "left").join(n_links, "node", "left")
     final = final.select("node", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = classes.select("digest", "node").join(final, "node").withColumnRenamed("node", "class_id")
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")

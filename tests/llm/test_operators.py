@@ -343,6 +343,19 @@ def test_jaccard_links(spark):
     assert counts[0] == counts[1] == sorted((i, c) for i in near if (c := sum(j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in near)))
 
 
+def test_jaccard_several_texts_of_a_doc_id(spark):
+    """A short text is not judged by the size of a long one under the same doc_id; all texts of a doc_id share a component."""
+    rows = []
+    for i in range(20):
+        short = [f"s{i}_{j}" for j in range(40)]
+        rows += [(i, " ".join(short)), (i, " ".join(f"l{i}_{j}" for j in range(400))), (100 + i, " ".join(short[:-4] + ["x", "y", "z", "u"]))]
+    rows += [(50, "one text here of six words"), (51, "another text of as many words"), (60, "one text here of six words"), (60, "another text of as many words")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, len(t.split()) - 4, i % 100 if i < 50 or i >= 100 else 50) for i, t in rows]
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
+    assert all(r.n_links == 1 for r in got if r.doc_id < 50 or r.doc_id >= 100)
+
+
 def test_html(spark):
     pages = [
         ("<html><head><title>T</title><script>var a='</p>';</script></head><body class=has-sidebar><nav><a href=/>Home</a></nav><div class=ad>Buy</div><article><h1>A &amp; B</h1><p><b>one<br>two</b><p>x&nbsp; y &lt;z&gt;</article><aside>s</aside><footer>f</footer>", "A & B\none two\nx y <z>"),
