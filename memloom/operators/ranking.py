@@ -42,7 +42,9 @@ def rrf(hits: DataFrame, k: int, quota: int, depth: int = 60) -> DataFrame:
 def rerank_pool(candidates: DataFrame, limit: int) -> DataFrame:
     """(bucket, id, score): half by score, then round-robin over the buckets."""
     share = max(limit // 2, min(40, limit))
-    c = candidates.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).filter(F.col("place") <= 50 * limit)
+    in_bucket = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
+    c = candidates.withColumn("r", F.row_number().over(in_bucket)).filter(F.col("r") <= limit).drop("r")  # no bucket gives more
+    c = c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     first = c.filter(F.col("place") <= share).select("id", F.lit(0).alias("turn"), F.col("place").cast("string").alias("spot"), "score")
     rest = c.filter(F.col("place") > share)
     turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "id"))

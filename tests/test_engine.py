@@ -88,3 +88,13 @@ def test_chunker_covers_every_turn_once():
         at = pick.randrange(len(turns))
         twice = [*chunker.feed(halves, turns[: at + 1], False), *chunker.feed(halves, turns[at - 1 if at else 0 :], True)]
         assert twice == found
+
+
+def test_rerank_pool_reaches_low_buckets(spark):
+    from memloom.operators import ranking
+
+    rows = [("a", i, 1000.0 - i) for i in range(400)] + [("b", 1000 + i, 1.0 - i) for i in range(3)]
+    got = ranking.rerank_pool(spark.createDataFrame(rows, "bucket string, id long, score double"), 4).collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3]  # with limits up to 40 the global best fill the pool
+    got = ranking.rerank_pool(spark.createDataFrame([("a", i, 9000.0 - i) for i in range(3000)] + rows[-3:], "bucket string, id long, score double"), 50).collect()
+    assert {r.id for r in got if r.turn} == {40, 41, 42, 43, 44, 45, 46, 1000, 1001, 1002}
