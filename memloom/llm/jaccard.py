@@ -3,28 +3,31 @@
 A document's set holds its distinct K-word shingles (64-bit hashes); two documents link at Jaccard >= 0.75.
 
 * Equal sets are one class with one representative; only representatives are joined.
-* Answer level: representatives are first compared with the smallest document that shares one of a few MinHash
-  values, their leader. A set similar to its leader is held as its difference from it, and the links among the sets of
-  one leader follow from the differences; only pairs that share no leader so are candidates afterwards.
+* Answer level: representatives that agree in half of their MinHash values with the smallest document that shares one of
+  them form a ball around it, their leader. Inside a cell of the join, a set of a ball is held as its difference from the
+  leader, and its overlap with any other set follows from the leader's overlap and that difference. Balls only group
+  the work: whatever they hold, no pair is left out.
 * Index level: each representative enters the lists of the rarest quarter of its shingles (prefix filter). A list is
-  cut into blocks by position; pairs of blocks whose positions and sizes leave too little overlap are skipped. What a
-  pair shares in all lists, with what is left after the last of them, bounds its overlap again before any set moves.
-* Every remaining candidate pair is verified on the whole sets. All links are counted (n_links: how many other
-  representatives the set's own is linked with); components come from alternating large-star and small-star steps.
+  cut into blocks by position; pairs of blocks whose positions and sizes leave too little overlap, and pairs of one ball,
+  are skipped. A list yields (host ball, guest set), not pairs of sets, so a group of near copies yields a row a
+  stray set and not one a pair. Between two single sets, what a pair shares in all lists, with what is left after the
+  last of them, bounds its overlap again before any set moves.
+* The sets of a ball meet each other and the ball's guests in cells of bounded size (PART_ROWS, PART_BYTES,
+  GUEST_ROWS); a popular ball or host has many cells. A cell returns how many links each of its sets has and the
+  smallest node each is connected with there. n_links is the sum; components come from alternating large-star and
+  small-star steps over those edges.
 
 "Rarest" follows a count sketch of fixed size over all shingles; any total order keeps the join exact, and the
-sketch keeps frequent shingles out of the lists. Lists that the sketch says are long are dealt to a grid of cells,
-and popular documents of a verification are spread over salts, so no key has to fit one task.
+sketch keeps frequent shingles out of the lists. Lists that the sketch says are long are dealt to a grid of cells.
 
 Edge cases: null text or no word: empty set, linked with nothing; fewer than K words: the whole sequence is the one
-shingle; a doc_id is one vertex, so texts that share a doc_id share its component; a null doc_id gets the component
-and links of its class if that has an id, else null; repeated rows are all returned; extra columns are ignored; an empty table
-gives no rows.
+shingle; a doc_id is one vertex, so texts that share a doc_id share its component and links; a null doc_id gets the
+component and links of its class if that has an id, else null; repeated rows are all returned; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +42,20 @@ from .wordhash import hashes, mix, runs
 K = 5
 #: Jaccard >= NUM / DEN.
 NUM, DEN = 75, 100
-MINHASHES = 6
-MIN_VOTES = 2
+#: Bits that deal a set's shingles to the bins of which each gives one MinHash value.
+BIN_BITS = 3
+#: Rounds in which sets outside all balls may form further ones.
+ROUNDS = 3
 SKETCH_BITS = 18
 _BLOCK = 4096
-#: Rows of a list, or sets compared with one set, that one task takes.
+#: Rows of a list that one task takes.
 CELL_ROWS = 50_000
-SALT_ROWS = 1_000
-#: Sets of one leader, and bytes of their differences, that one task compares with as many others.
-STAR_ROWS, STAR_BYTES = 1_000, 8 << 20
+#: Sets of a ball, and bytes of them, in one part; two parts at most meet in a cell.
+PART_ROWS, PART_BYTES = 1_000, 32 << 20
+#: Guests of a ball in one cell.
+GUEST_ROWS = 2_000
+_BATCH_ROWS, _BATCH_BYTES = 256, 8 << 20
+_NONE = np.iinfo(np.int64).max
 
 
 def shingle_set(text: bytes | None, k: int = K) -> np.ndarray:
@@ -65,13 +73,19 @@ def similar(a: int, b: int, both: np.ndarray | int) -> np.ndarray | bool:
     return DEN * both >= NUM * (a + b - both)
 
 
+def minhashes(s: np.ndarray) -> np.ndarray:
+    """The least mixed value in each bin of a sorted set that is not empty."""
+    starts = np.searchsorted(s, np.arange(1 << BIN_BITS, dtype=np.uint64) << np.uint64(64 - BIN_BITS))
+    starts = starts[np.diff(np.append(starts, len(s))) > 0]
+    return np.minimum.reduceat(mix(s), starts).view(np.int64)
+
+
 def _binary(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(name).cast(pa.binary())
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     """A row a document: doc_id, n, digest, mins; and rows block, counts that hold the task's part of the sketch."""
-    seeds = [mix(np.array([i + 1], np.uint64))[0] for i in range(MINHASHES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -84,8 +98,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                 s = shingle_set(text.as_py(), k)
                 if len(s):
                     np.add.at(sketch, (s >> shift).astype(np.int64), 1)
-                    mins = [int(s[mix(s ^ seed).argmin()].view(np.int64)) for seed in seeds]
-                    rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), mins, None, None))
+                    rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), minhashes(s), None, None))
                 else:
                     rows.append((doc_id, 0, b"", [], None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
@@ -111,164 +124,37 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return total
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int = K, differences: bool = False) -> DataFrame:
-    """The pairs (x, y) of distinct doc_ids whose sets are similar, each once.
-
-    differences: also base, the size of y's set, and what x's set has less and more.
-    """
-    fans = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("c")).select("y", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
-    asked = pairs.join(fans, "y").groupBy("x").agg(F.collect_list(F.struct("y", "salts")).alias("ys"))
-    info = materialize(asked.withColumnRenamed("x", "id").join(fans.withColumnRenamed("y", "id"), "id", "full"), "asked")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(info, "id")  # Spark broadcasts info if the stored table is small
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    names = ["y", "salt", "x", "set"]
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, held = [], 0
-            for me, text, ys, salts in zip(b.column("id").to_pylist(), _binary(b, "text"), b.column("ys").to_pylist(), b.column("salts").to_pylist(), strict=True):
-                s = shingle_set(text.as_py(), k).tobytes()
-                rows += [(y["y"], me % y["salts"], me, s) for y in ys or ()]
-                rows += [(me, i, None, s) for i in range(salts or 0)]
-                held += len(s) * (len(ys or ()) + (salts or 0))
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    schema = [("x", pa.int64()), ("y", pa.int64())] + [("base", pa.int64()), ("less", pa.binary()), ("more", pa.binary())] * differences
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, last = None, [], None
-        for b in batches:
-            found, held = [], 0
-            for y, x, s in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), b.column("set"), strict=True):
-                one = np.frombuffer(s.as_buffer(), np.uint64)
-                if x is None:  # the set of y comes first; several only if a doc_id repeats
-                    if at != y:
-                        at, own, last = y, [], None
-                    own.append(one.copy())
-                elif at == y and x != last:
-                    like = next((o for o in own if similar(len(one), len(o), len(np.intersect1d(one, o, assume_unique=True)))), None)
-                    if like is None:
-                        continue
-                    last = x
-                    if differences:
-                        found.append((x, y, len(like), np.setdiff1d(like, one, assume_unique=True).tobytes(), np.setdiff1d(one, like, assume_unique=True).tobytes()))
-                        held += len(found[-1][3]) + len(found[-1][4])
-                    else:
-                        found.append((x, y))
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found), schema)], names=[n for n, _ in schema])
-                    found, held = [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found), schema)], names=[n for n, _ in schema])
-
-    sets = texts.mapInArrow(emit, "y long, salt int, x long, set binary")
-    met = sets.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first())
-    return met.select("y", "x", "set").mapInArrow(compare, "x long, y long" + ", base long, less binary, more binary" * differences)
-
-
-def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values each of the sets a shares with each of the sets b."""
-    value, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    again = np.cumsum(times > 1) - 1
-    held = times[at] > 1
-    row, at = row[held], again[at[held]]
-    out = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    for lo in range(0, int(again[-1]) + 1 if len(value) else 0, 2048):
-        i, j = np.searchsorted(at, [lo, lo + 2048])
-        has = np.zeros((len(sets), min(2048, int(again[-1]) + 1 - lo)), np.float32)
-        has[row[i:j], at[i:j] - lo] = 1
-        out += has[a] @ has[b].T
-    return out.astype(np.int64)
-
-
-def linked(base: int, less: list[np.ndarray], more: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sets a and b of one leader with base values are similar, from what they have less and more than it."""
-    less_n, more_n = np.array([len(x) for x in less]), np.array([len(x) for x in more])
-    n = base - less_n + more_n
-    both = base - less_n[a][:, None] - less_n[b][None, :] + _common(less, a, b) + _common(more, a, b)
-    return similar(n[a][:, None], n[b][None, :], both)
-
-
-def star_links(led: DataFrame, rows: int = STAR_ROWS) -> DataFrame:
-    """node, links: how many sets of the same leader each set is linked with, the leader itself not counted.
+def balls(classes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """node, ball for the sets of classes(node, mins) that belong to the ball of another one, their leader.
 
-    The sets of a popular leader are dealt to parts, and each two parts meet in one cell.
+    In each round a set goes to the leader that half of its MinHash values, two at least, name, if that one goes nowhere itself.
     """
-    held = F.sum(F.length("less") + F.length("more"))
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(held / STAR_BYTES)).cast("int")
-    stars = led.groupBy("y").agg(F.count(F.lit(1)).alias("c"), parts.alias("parts")).filter("c > 1").select("y", "parts")
-    dealt = led.join(stars, "y").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select("y", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "x", "base", "less", "more")
-
-    def done(cell: tuple, part: list, x: list, base: int, less: list, more: list) -> list[tuple[int, int]]:
-        _, lo, hi = cell
-        part = np.array(part)
-        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        if not len(a) or not len(b):
-            return []
-        hit = linked(base, less, more, a, b)
-        if lo == hi:
-            np.fill_diagonal(hit, False)
-            return [(x[i], int(c)) for i, c in zip(a, hit.sum(axis=1)) if c]
-        return [(x[i], int(c)) for at, axis in ((a, 1), (b, 0)) for i, c in zip(at, hit.sum(axis=axis)) if c]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["node", "links"])
-        cell, own, size = None, ([], [], [], []), 0
-        for b in batches:
-            found = []
-            as_set = lambda c: [np.frombuffer(v.as_buffer(), np.uint64) if len(v.as_buffer()) else np.zeros(0, np.uint64) for v in b.column(c)]  # noqa: E731, B023
-            for y, lo, hi, part, x, base, less, more in zip(*(b.column(c).to_pylist() for c in ("y", "lo", "hi", "part", "x", "base")), as_set("less"), as_set("more"), strict=True):
-                if cell != (y, lo, hi):
-                    if cell:
-                        found += done(cell, own[0], own[1], size, own[2], own[3])
-                    cell, own, size = (y, lo, hi), ([], [], [], []), base
-                for held, v in zip(own, (part, x, less, more)):
-                    held.append(v)
-            if found:
-                yield out(found)
-        if cell and (found := done(cell, own[0], own[1], size, own[2], own[3])):
-            yield out(found)
-
-    met = cells.repartition("y", "lo", "hi").sortWithinPartitions("y", "lo", "hi")
-    return met.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, label for edges (x, y): label is the smallest node of its component; only nodes with an edge."""
-    e = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "edges")
-    state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    while state[0]:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "m").union(low.select(F.col("u"), "m")).toDF("u", "v").filter("u <> v")
-        new = materialize(small.distinct(), "edges")
-        after = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        e, done = new, after == state
-        state = after
-        if done:
-            break
-    return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-
-
-def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, several: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
-    """Columns x, y, left, need for the pairs of one list that are not decided by a leader and may overlap enough.
-
-    need: the overlap that the pair needs, 0 if one has several texts, whose rows cannot be summed; left: the most that
-    it can have after this shingle.
+    every = classes.select("node", F.size("mins").alias("of"), F.explode("mins").alias("value"))
+    shared = every.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
+    left = materialize(every.join(shared, "value"), "values")
+    found = None
+    for i in range(rounds):
+        leads = left.groupBy("value").agg(F.min("node").alias("ball"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("value", "ball")
+        votes = left.join(leads, "value").filter("node <> ball").groupBy("node", "of", "ball").agg(F.count(F.lit(1)).alias("votes"))
+        best = votes.filter("votes >= 2 and 2 * votes >= of").groupBy("node").agg(F.max(F.struct("votes", (-F.col("ball")).alias("ball"))).alias("best"))
+        best = materialize(best.select("node", (-F.col("best.ball")).alias("ball")), "led")
+        led = best.join(best.select(F.col("node").alias("ball")), "ball", "left_anti").select("node", "ball")
+        found = led if found is None else found.unionByName(led)
+        if i + 1 < rounds:
+            done = led.select("node").union(led.select("ball")).distinct()
+            left = materialize(left.join(done, "node", "left_anti"), "values")
+    return materialize(found, "balls")
+
+
+def _list_pairs(ball: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, several: np.ndarray, multi: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
+    """Columns host, guest, left, need for the pairs of one list that are of different balls and may overlap enough.
+
+    The host is the ball that is no single set, else the smaller. need: the overlap that the pair needs, 0 if the host is
+    no single set or one has several texts, as their rows cannot be summed; left: the most that it can have after this
+    shingle.
     """
     order = np.lexsort((node, pos))
-    comp, node, n, pos, several = comp[order], node[order], n[order], pos[order], several[order]
+    ball, node, n, pos, several, multi = (c[order] for c in (ball, node, n, pos, several, multi))
     starts = range(0, len(node), block)
     ends = [min(s + block, len(node)) for s in starts]
     most = [int(n[a:b].max()) for a, b in zip(starts, ends)]
@@ -282,71 +168,79 @@ def _list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
             # at most: all before the earlier position, and what is left after both
             if (NUM + DEN) * (min(int(pos[b - 1]), int(pos[d - 1])) + min(reach[i], reach[j])) < NUM * (least[i] + least[j]):
                 continue
+            open_ = ball[a:b, None] != ball[None, c:d]
+            if not open_.any():
+                continue
             left = np.minimum((n - pos)[a:b, None], (n - pos)[None, c:d]) - 1
             need = -(-NUM * (n[a:b, None] + n[None, c:d]) // (NUM + DEN))
-            open_ = (comp[a:b, None] != comp[None, c:d]) & (comp[a:b, None] != node[None, c:d]) & (node[a:b, None] != comp[None, c:d])
-            fits = open_ & (np.minimum(pos[a:b, None], pos[None, c:d]) + left + 1 >= need)
-            u, v = np.nonzero(fits)
+            u, v = np.nonzero(open_ & (np.minimum(pos[a:b, None], pos[None, c:d]) + left + 1 >= need))
             up = u + a < v + c
             u, v = u[up], v[up]
             if len(u):
-                x, y = node[u + a], node[v + c]
-                yield np.stack([np.minimum(x, y), np.maximum(x, y), left[u, v], np.where(several[u + a] | several[v + c], 0, need[u, v])])
+                x, y = u + a, v + c
+                first = np.where(multi[x] == multi[y], ball[x] < ball[y], multi[x])
+                h, g = np.where(first, x, y), np.where(first, y, x)
+                loose = multi[h] | several[x] | several[y]
+                yield np.stack([ball[h], node[g], left[u, v], np.where(loose, 0, need[u, v])])
 
 
 def _combined(found: list[np.ndarray]) -> pa.RecordBatch:
-    """A row a pair: how many shingles it shares here, and the least that is left after one of them."""
+    """A row a host and guest: how many shingles they share here, and the least that is left after one of them."""
     x, y, left, need = np.concatenate(found, axis=1)
     order = np.lexsort((y, x))
     x, y, left, need = x[order], y[order], left[order], need[order]
     at = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
     shared = np.diff(np.concatenate((at, [len(x)])))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], shared, np.minimum.reduceat(left, at), need[at])], names=["x", "y", "shared", "left", "need"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], shared, np.minimum.reduceat(left, at), np.minimum.reduceat(need, at))], names=["host", "guest", "shared", "left", "need"])
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K) -> DataFrame:
-    """Distinct pairs (x, y) of nodes(node, comp, several) that no leader (comp, or the node itself) decides and that may be similar."""
+    """Distinct (host, guest) of nodes(node, ball, several, multi): balls and the sets outside them that may be similar to one inside."""
     shift = np.uint64(64 - SKETCH_BITS)
     usual = int(counts.mean()) if len(counts) else 0
-    sketch = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))  # 2 ** SKETCH_BITS values
+    long_ones = 1 + np.maximum(0, counts - 2 * usual) // CELL_ROWS
+    order = np.argsort(np.argsort(counts, kind="stable"), kind="stable") >> max(0, SKETCH_BITS - 16)
+    # 2 ** SKETCH_BITS values each
+    sketch = docs.sparkSession.sparkContext.broadcast((order.astype(np.uint16), long_ones.astype(np.int32)))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sketch.value
+        rank = sketch.value[0]
         for b in batches:
             out, sizes = [], []
             for text in _binary(b, "text"):
                 s = shingle_set(text.as_py(), k)
                 sizes.append(len(s))
                 keep = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1 if len(s) else 0
-                if keep:
-                    c = often[(s >> shift).astype(np.int64)]
-                    s = s[np.lexsort((s, c))[:keep]]
-                out.append(s.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+                if keep:  # by rank, then by value: s is sorted
+                    s = s[np.argsort(rank[(s >> shift).astype(np.int64)], kind="stable")[:keep]]
+                out.append(s.view(np.int64))
+            ends = np.cumsum([0, *map(len, out)])
+            tokens = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), tokens.cast(pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sketch.value
+        splits = sketch.value[1]
         for b in batches:
             tokens = b.column("tokens")
             flat = tokens.flatten().to_numpy(zero_copy_only=False)
             lengths = np.diff(tokens.offsets.to_numpy())
             row = np.repeat(np.arange(b.num_rows), lengths)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            node, comp, n = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("node", "comp", "n"))
-            n = n | b.column("several").to_numpy(zero_copy_only=False)[row].astype(np.int64) << 30
-            split = 1 + np.maximum(0, often[(flat.view(np.uint64) >> shift).astype(np.int64)] - 2 * usual) // CELL_ROWS
+            node, ball, n, several, multi = (b.column(c).to_numpy(zero_copy_only=False)[row].astype(np.int64) for c in ("node", "ball", "n", "several", "multi"))
+            n = n | several << 30 | multi << 29
+            split = splits[(flat.view(np.uint64) >> shift).astype(np.int64)]
             if split.max(initial=1) > 1:  # part r of a long list goes to the cells (r, s) and (s, r) of its grid
                 part = mix(node.view(np.uint64)).astype(np.uint64) % split.astype(np.uint64)
                 idx = np.repeat(np.arange(len(flat)), split)
                 other = np.arange(len(idx)) - np.repeat(np.cumsum(split) - split, split)
                 mine = part[idx].astype(np.int64)
                 cell = np.minimum(mine, other) * split[idx] + np.maximum(mine, other)
-                flat, node, comp, n, pos = mix(flat[idx].view(np.uint64) ^ mix(cell.view(np.uint64))).view(np.int64), node[idx], comp[idx], n[idx], pos[idx]
+                flat, node, ball, n, pos = mix(flat[idx].view(np.uint64) ^ mix(cell.view(np.uint64))).view(np.int64), node[idx], ball[idx], n[idx], pos[idx]
             key = flat.view(np.uint64) >> np.uint64(16)  # 48 bits: lists that fall together only cost time
-            place = (n.astype(np.int64) << 32) | pos
+            place = (n << 32) | pos
             for lo in range(0, len(flat), 200_000):
                 p = slice(lo, lo + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[p].view(np.int64)), pa.array(node[p]), pa.array((node - comp)[p]), pa.array(place[p])], names=["key", "node", "above", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[p].view(np.int64)), pa.array(node[p]), pa.array((node - ball)[p]), pa.array(place[p])], names=["key", "node", "above", "place"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -357,14 +251,15 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             key, node, above, place = (c[:upto] for c in cols)
             if not len(key):
                 return
-            comp, n, pos, several = node - above, place >> 32 & 0x3FFFFFFF, place & 0xFFFFFFFF, place >> 62 > 0
+            ball, n, pos, several, multi = node - above, place >> 32 & 0x1FFFFFFF, place & 0xFFFFFFFF, place >> 62 & 1 > 0, place >> 61 & 1 > 0
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             many = np.flatnonzero(ends - starts > 1)
-            mixed = [i for i in many.tolist() if (comp[starts[i] : ends[i]] != comp[starts[i]]).any()]
-            for i in mixed:
+            for i in many.tolist():
                 part = slice(starts[i], ends[i])
-                for some in _list_pairs(comp[part], node[part], n[part], pos[part], several[part]):
+                if (ball[part] == ball[starts[i]]).all():
+                    continue
+                for some in _list_pairs(ball[part], node[part], n[part], pos[part], several[part], multi[part]):
                     found.append(some)
                     held[0] += some.shape[1]
                     if held[0] > 500_000:
@@ -388,44 +283,253 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             yield _combined(found)
 
     table = docs.select("doc_id", "text").mapInArrow(prefix, "node long, n long, tokens array<long>")
-    table = table.join(nodes.hint("shuffle_hash"), "node").select("node", "comp", "n", "several", "tokens")
+    table = table.join(nodes.select("node", "ball", "several", "multi").hint("shuffle_hash"), "node").select("node", "ball", "n", "several", "multi", "tokens")
     spread = table.mapInArrow(cells, "key long, node long, above long, place long")
     spread = spread.repartition("key").sortWithinPartitions("key")
-    pairs = spread.mapInArrow(lists, "x long, y long, shared long, left long, need long")
-    # all shared shingles up to the last one found are in both prefixes: the overlap is at most their number and what is left
-    pairs = pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("left").alias("left"), F.max("need").alias("need"))
-    return pairs.filter("shared + left >= need").select("x", "y")
+    pairs = spread.mapInArrow(lists, "host long, guest long, shared long, left long, need long")
+    # all shared shingles of two sets up to the last one found are in both prefixes: the overlap is at most their number and what is left
+    pairs = pairs.groupBy("host", "guest").agg(F.sum("shared").alias("shared"), F.min("left").alias("left"), F.min("need").alias("need"))
+    return pairs.filter("shared + left >= need").select("host", "guest")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
+    """node, set of the documents whose ids are listed.
+
+    A bitmap of hashed ids, 16 MB at most, keeps most other texts from being shingled and moved; what it lets through is joined away.
+    """
+    bits = min(27, max(20, int(ids.count() * 8).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = ids.select(spot("node").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(b & 63)))").alias("m"))
+    known = np.zeros(1 << bits - 6, np.int64)
+    for part in words.toArrow().to_batches():  # 2 ** (bits - 6) words at most
+        known[part.column("w").to_numpy()] = part.column("m").to_numpy()
+    known = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
+        for b in batches:
+            spots = b.column("spot").to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = (table[spots >> 6] >> (spots & 63) & 1).astype(bool) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            if hit.any():
+                some = b.filter(pa.array(hit))
+                sets = [shingle_set(t.as_py(), k).tobytes() for t in _binary(some, "text")]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    asked = docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(run, "node long, set binary")
+    return asked.join(ids.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left_semi")
+
+
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each of the sets a shares with each of the sets b."""
+    value, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    again = np.cumsum(times > 1) - 1
+    held = times[at] > 1
+    row, at = row[held], again[at[held]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, int(again[-1]) + 1 if len(value) else 0, 2048):
+        i, j = np.searchsorted(at, [lo, lo + 2048])
+        has = np.zeros((len(sets), min(2048, int(again[-1]) + 1 - lo)), np.float32)
+        has[row[i:j], at[i:j] - lo] = 1
+        out += has[a] @ has[b].T
+    return out.astype(np.int64)
+
+
+def _spread(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels a of rows and b of columns, each lowered to the least that hits connect it with."""
+    if not hit.any():
+        return a, b
+    rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+    hit, x, y = hit[np.ix_(rows, columns)], a[rows], b[columns]
+    while True:
+        low = np.minimum(x, np.where(hit, y[None, :], _NONE).min(1))
+        other = np.minimum(y, np.where(hit, low[:, None], _NONE).min(0))
+        if (low == x).all() and (other == y).all():
+            break
+        x, y = low, other
+    a, b = a.copy(), b.copy()
+    a[rows], b[columns] = x, y
+    return a, b
+
+
+def _folded(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """hit with the texts of a doc_id as one: rows and columns tell the place of each."""
+    out = np.zeros((int(rows.max(initial=-1)) + 1, int(columns.max(initial=-1)) + 1), bool)
+    i, j = np.nonzero(hit)
+    out[rows[i], columns[j]] = True
+    return out
+
+
+class Cell:
+    """Sets of a ball, held as what they have less and more than the leader's base, and the ball's guests."""
+
+    def __init__(self, key: tuple[int, int, int, int], base: np.ndarray):
+        self.key, self.base = key, base
+        self.texts: list[tuple[int, int]] = []  # node, part
+        self.less: list[np.ndarray] = []
+        self.more: list[np.ndarray] = []
+        self.nodes: np.ndarray | None = None
+
+    def add(self, node: int, part: int, s: np.ndarray) -> None:
+        self.texts.append((node, part))
+        self.less.append(np.setdiff1d(self.base, s, assume_unique=True))
+        self.more.append(np.setdiff1d(s, self.base, assume_unique=True))
+
+    def within(self) -> list[tuple[int, int, int | None]]:
+        """node, links, least connected node, of the links inside the ball."""
+        node, part = np.array(self.texts, np.int64).reshape(-1, 2).T
+        self.nodes, self.place = np.unique(node, return_inverse=True)
+        self.less_n, self.more_n = np.array([len(x) for x in self.less]), np.array([len(x) for x in self.more])
+        self.label = self.nodes.copy()
+        _, lo, hi, salt = self.key
+        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if salt or not len(a) or not len(b) or len(self.nodes) < 2:
+            return []
+        n = len(self.base) - self.less_n + self.more_n
+        both = len(self.base) - self.less_n[a][:, None] - self.less_n[b][None, :] + _common(self.less, a, b) + _common(self.more, a, b)
+        hit = similar(n[a][:, None], n[b][None, :], both)
+        size = len(self.nodes)
+        whole = np.zeros((size, size), bool)
+        i, j = np.nonzero(hit)
+        whole[self.place[a[i]], self.place[b[j]]] = True
+        np.fill_diagonal(whole, False)
+        links = whole.sum(1) if lo == hi else whole.sum(1) + whole.sum(0)
+        x, y = _spread(whole, self.label, self.label)
+        self.label = np.minimum(x, y)
+        return [(int(v), int(c), int(low) if low < v else None) for v, c, low in zip(self.nodes, links, self.label) if c]
+
+    def meet(self, guests: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int | None]]:
+        """node, links, least connected node, of the links between the ball and guests."""
+        sets = [s for _, s in guests]
+        names, place = np.unique(np.array([g for g, _ in guests], np.int64), return_inverse=True)
+        k, m = len(self.less), len(sets)
+        size = np.array([len(s) for s in sets])
+        # the leader's overlap with each guest; each other set's follows from its difference
+        base = np.array([len(np.intersect1d(self.base, s, assume_unique=True)) for s in sets])
+        a, b = np.arange(k), np.arange(k, k + m)
+        both = base[None, :] - np.zeros((k, 1), np.int64)
+        if self.less_n.any():
+            both = both - _common([*self.less, *sets], a, b)
+        if self.more_n.any():
+            both = both + _common([*self.more, *sets], a, b)
+        n = len(self.base) - self.less_n + self.more_n
+        hit = _folded(similar(n[:, None], size[None, :], both), self.place, place)
+        before = self.label
+        self.label, label = _spread(hit, self.label, names)
+        out = [(int(v), int(c), int(low) if low < v else None) for v, c, low in zip(names, hit.sum(0), label) if c]
+        links = hit.sum(1)
+        return out + [(int(v), int(c), int(low) if low < v and low != old else None) for v, c, low, old in zip(self.nodes, links, self.label, before) if c or low != old]
+
+
+def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int = K, part_rows: int = PART_ROWS, guest_rows: int = GUEST_ROWS) -> DataFrame:
+    """node, links, other: partial counts of links, and edges that connect what links connect.
+
+    nodes(node, ball, n) and pairs(host, guest); every two sets of a ball, and every set of a host and its guest, are compared.
+    """
+    guests = pairs.groupBy(F.col("host").alias("ball")).agg(F.count(F.lit(1)).alias("guests"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / part_rows), F.ceil(8 * F.sum("n") / PART_BYTES)).cast("int")
+    dealt = nodes.groupBy("ball").agg(F.count(F.lit(1)).alias("size"), parts.alias("parts")).join(guests, "ball", "left")
+    dealt = dealt.filter("size > 1 or guests is not null")
+    dealt = materialize(dealt.select("ball", "parts", F.greatest(F.lit(1), F.ceil(F.coalesce("guests", F.lit(0)) / guest_rows)).cast("int").alias("salts")), "dealt")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    upto = lambda low, end: F.sequence(low, end - 1)
+    salted = lambda t: t.withColumn("salt", F.explode(upto(F.lit(0), F.when(F.col("lo") == F.col("hi"), F.col("salts")).otherwise(F.lit(1)))))
+    columns = ["node", "ball", "lo", "hi", "salt", "role", "part"]
+    leaders = dealt.withColumn("node", F.col("ball")).withColumn("lo", F.explode(upto(F.lit(0), F.col("parts"))))
+    leaders = salted(leaders.withColumn("hi", F.explode(upto(F.col("lo"), F.col("parts"))))).withColumn("role", F.lit(0)).withColumn("part", own)
+    members = nodes.filter("node <> ball").join(dealt, "ball").withColumn("part", own).withColumn("other", F.explode(upto(F.lit(0), F.col("parts"))))
+    members = salted(members.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))).withColumn("role", F.lit(1))
+    strangers = pairs.select(F.col("guest").alias("node"), F.col("host").alias("ball")).join(dealt, "ball")
+    strangers = strangers.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).withColumn("lo", F.explode(upto(F.lit(0), F.col("parts"))))
+    strangers = strangers.withColumn("hi", F.col("lo")).withColumn("role", F.lit(2)).withColumn("part", F.lit(-1))
+    routes = materialize(leaders.select(*columns).union(members.select(*columns)).union(strangers.select(*columns)), "routes")
+    sets = sets_of(docs, materialize(routes.select("node").distinct(), "asked"), k)
+    met = routes.join(sets, "node").select("ball", "lo", "hi", "salt", "role", "node", "part", "set")
+    met = met.repartition("ball", "lo", "hi", "salt").sortWithinPartitions("ball", "lo", "hi", "salt", "role", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: Cell | None = None
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["node", "links", "other"])
+
+        def done() -> list:
+            found = [] if cell.nodes is not None else cell.within()
+            if waiting:
+                found += cell.meet(waiting)
+                waiting.clear()
+            return found
+
+        for b in batches:
+            found: list = []
+            for ball, lo, hi, salt, role, node, part, s in zip(*(b.column(c).to_pylist() for c in ("ball", "lo", "hi", "salt", "role", "node", "part")), b.column("set"), strict=True):
+                key, values = (ball, lo, hi, salt), np.frombuffer(s.as_buffer(), np.uint64)
+                if cell is None or cell.key != key:
+                    if cell is not None:
+                        found += done()
+                    cell, held = Cell(key, values.copy()), 0
+                if role == 2:
+                    if waiting and waiting[-1][0] != node and (len(waiting) >= _BATCH_ROWS or held > _BATCH_BYTES):
+                        found += done()
+                        held = 0
+                    waiting.append((node, values.copy()))
+                    held += values.nbytes
+                elif role or part in (lo, hi):
+                    cell.add(node, part, values)
+            if found:
+                yield out(found)
+        if cell is not None and (found := done()):
+            yield out(found)
+
+    return met.mapInArrow(run, "node long, links long, other long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label for edges (x, y): label is the smallest node of its component; only nodes with an edge."""
+    e = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "edges")
+    state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    while state[0]:
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select("v", "m").union(low.select(F.col("u"), "m")).toDF("u", "v").filter("u <> v")
+        new = materialize(small.distinct(), "edges")
+        after = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        e, done = new, after == state
+        state = after
+        if done:
+            break
+    return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
 
 
-def join(docs: DataFrame, k: int = K) -> DataFrame:
+def join(docs: DataFrame, k: int = K, part_rows: int = PART_ROWS, guest_rows: int = GUEST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set), n_links of every row of docs."""
     both = materialize(signatures(docs, k), "signatures")
     rows = both.filter("block is null").select("doc_id", "n", "digest", "mins")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     classes = materialize(classes.filter("node is not null"), "classes")
-    # a doc_id with several texts has no one difference from a leader, and is none
+    # a doc_id with several texts is in no ball
     several = rows.filter("n > 0").groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").select(F.col("doc_id").alias("node"))
     several = materialize(several.filter("node is not null"), "several")
-    stars = classes.join(several, "node", "left_anti").select("node", F.posexplode("mins").alias("i", "value"))
-    leads = stars.groupBy("i", "value").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    votes = stars.join(leads, ["i", "value"]).filter("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("votes"))
-    # one candidate a set: the document that most of its MinHash values point to; pairs this misses are found later
-    pairs = votes.filter(F.col("votes") >= MIN_VOTES).groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("y"))).alias("best"))
-    pairs = materialize(pairs.select("x", (-F.col("best.y")).alias("y")), "pairs")
-    led = materialize(verify(docs, pairs, k, differences=True), "led", "zstd")
-    nodes = classes.select("node").distinct().join(led.select(F.col("x").alias("node"), "y"), "node", "left").join(several.withColumn("several", F.lit(True)), "node", "left")
-    nodes = materialize(nodes.select("node", F.coalesce("y", "node").alias("comp"), F.coalesce("several", F.lit(False)).alias("several")), "nodes")
-    more = materialize(candidates(docs, nodes, _sketch(both.filter("block is not null").select("block", "counts")), k), "candidates")
-    links = materialize(verify(docs, more, k), "links")
-    edges = led.select("x", "y").union(links)
-    ends = edges.select(F.col("x").alias("node")).union(edges.select("y")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    n_links = ends.union(star_links(led)).groupBy("node").agg(F.sum("links").alias("n_links"))
-    # and ties the classes of its texts
+    led = balls(classes.join(several, "node", "left_anti"))
+    nodes = classes.groupBy("node").agg(F.sum("n").alias("n")).join(led, "node", "left").join(several.withColumn("several", F.lit(True)), "node", "left")
+    nodes = nodes.join(led.select(F.col("ball").alias("node"), F.lit(True).alias("leads")).distinct(), "node", "left")
+    nodes = nodes.select("node", "n", F.coalesce("ball", "node").alias("ball"), F.coalesce("several", F.lit(False)).alias("several"), (F.col("ball").isNotNull() | F.col("leads").isNotNull()).alias("multi"))
+    nodes = materialize(nodes, "nodes")
+    pairs = materialize(candidates(docs, nodes, _sketch(both.filter("block is not null").select("block", "counts")), k), "pairs")
+    found = materialize(links(docs, nodes, pairs, k, part_rows, guest_rows), "links")
+    n_links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    edges = found.filter("other is not null").select(F.col("node").alias("x"), F.col("other").alias("y"))
+    # a doc_id ties the classes of its texts
     texts = rows.join(several.toDF("doc_id"), "doc_id").join(classes.select("digest", "node"), "digest").select("doc_id", "node")
     ties = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("low")), "doc_id").filter("node <> low").select("node", "low")
     final = nodes.select("node").join(components(edges.union(ties)), "node", "left").join(n_links, "node", "left")
-    final = final.select("node", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = final.select("node", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     named = classes.select("digest", "node").join(final, "node").withColumnRenamed("node", "class_id")
-    out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
-    n_links = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("bigint")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"))
+    out = rows.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return out.unionByName(empty)

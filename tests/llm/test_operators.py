@@ -336,11 +336,35 @@ def test_jaccard_links(spark):
     got = jaccard.join(frame).collect()
     same([(r.doc_id, r.n_links) for r in got], [(i, n_links[s]) for i, s in enumerate(sets)])
     assert 0 < sum(n_links.values()) < len(kinds) * (len(kinds) - 1)
-    # the same counts however a leader's sets are dealt to cells
-    led = jaccard.verify(frame, spark.createDataFrame([(i, 0) for i in range(1, 70)], "x long, y long"), differences=True).cache()
-    counts = [sorted(map(tuple, jaccard.star_links(led, rows=n).collect())) for n in (1000, 7)]
-    near = {r.x for r in led.collect()}
-    assert counts[0] == counts[1] == sorted((i, c) for i in near if (c := sum(j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in near)))
+    # the same however the sets of a ball and its guests are dealt to cells
+    same([tuple(r) for r in jaccard.join(frame, part_rows=7, guest_rows=3).collect()], map(tuple, got))
+
+
+def test_jaccard_near_copies_of_low_likeness(spark):
+    """2,000 copies of one text, most of them too far from each other to be linked: no pair of sets becomes a row."""
+    pick = random.Random(9)
+    body = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(2000):
+        w = list(body)
+        for at in pick.sample(range(150), pick.randrange(1, 6)):
+            w[at] = f"x{pick.randrange(40)}"
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in map(str.split, texts)]
+    name: dict = {}
+    kinds = list(dict.fromkeys(sets))
+    row, col = zip(*[(i, name.setdefault(g, len(name))) for i, s in enumerate(kinds) for g in s])
+    has = np.zeros((len(kinds), len(name)), np.float32)
+    has[list(row), list(col)] = 1
+    both, n = has @ has.T, has.sum(1)
+    hit = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(hit, False)
+    links = dict(zip(kinds, hit.sum(1).astype(int).tolist()))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.join(frame).collect()
+    same([(r.doc_id, r.n_links) for r in got], [(i, links[s]) for i, s in enumerate(sets)])
+    classes = spark.createDataFrame([(i, jaccard.minhashes(jaccard.shingle_set(t.encode())).tolist()) for i, t in enumerate(texts)], "node long, mins array<long>")
+    assert jaccard.balls(classes).count() > 1800
 
 
 def test_jaccard_several_texts_of_a_doc_id(spark):
