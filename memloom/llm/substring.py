@@ -6,8 +6,10 @@ minimiser that only one super-k-mer has rules its windows out; the others travel
 minimiser's bucket. Equal strings are counted before they move; a bucket's windows are then sorted and counted
 exactly, by their bytes. Words covered by a window that occurs twice or more anywhere are removed.
 
-A minimiser with more than HOT distinct strings is not given to one bucket: its windows are counted by digest over
-the cluster instead.
+A bucket with more than HOT bytes of distinct strings is split by a second minimiser of longer m-mers (the next of
+MS, another hash), and so on: its windows become super-k-mers again, of which those of one second minimiser are sorted
+and counted in a bucket of their own. The last of MS is the window itself, whose bucket is one distinct string, so
+sorting in buckets of bounded size is the one way of counting.
 
 Edge cases: null text is the empty text; fewer words than a window: nothing is removed; rows that repeat doc_id and
 text are documents of their own, so all their windows repeat; a null doc_id is like any other; extra columns are
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .wordhash import hashes, runs
+from .wordhash import hashes, mix, runs
 
 WINDOW = 35
 M = 8
-HOT = 20_000
+#: Lengths of the m-mers that split crowded buckets, in turn; the window's own length comes last.
+MS = (14, 22)
+#: Bytes of distinct strings that a bucket sorts.
+HOT = 4 << 20
 
 
 def super_kmers(h: np.ndarray, window: int = WINDOW, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +137,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, m: int = M, hot: int
     parts = materialize(whole.mapInArrow(split, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, text string, mini long, packed binary, pd binary, start long"), "parts", "zstd")
     occurrences = parts.filter("packed is not null")
     strings = materialize(occurrences.groupBy("mini", "pd", "packed").agg(F.count(F.lit(1)).alias("times")), "strings", "zstd")
-    crowded = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("mini")
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
 
@@ -154,21 +157,50 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, m: int = M, hot: int
         if own and (rows := done()):
             yield _batches(rows, [pa.int64(), pa.binary(), pa.list_(pa.int32())], ["mini", "pd", "hits"])
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for mini, pd, packed, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = packed.split(b" ")
-                rows += [(mini, pd, times, i, hashlib.md5(b" ".join(words[i : i + window])).digest()) for i in range(len(words) - window + 1)]
-            if rows:
-                yield _batches(rows, [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], ["mini", "pd", "times", "i", "digest"])
+    def split_by(level: int, m: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Strings of crowded buckets as shorter ones, each with its place (windows) in the string it comes from."""
+            fields = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            for b in batches:
+                rows, held = [], 0
+                for up, upd, packed, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    words = packed.split(b" ")
+                    second, starts, counts = super_kmers(mix(hashes(words) + np.uint64(level)), window, m)
+                    keys = mix(second ^ mix(np.array([up], np.int64).view(np.uint64) + np.uint64(level))).view(np.int64)
+                    for key, at, n in zip(keys.tolist(), starts.tolist(), counts.tolist()):
+                        part = b" ".join(words[at : at + n + window - 1])
+                        rows.append((up, upd, at, key, hashlib.md5(part).digest(), part, times))
+                        held += len(part)
+                    if held > 8 << 20:
+                        yield _batches(rows, fields, ["up", "upd", "at", "mini", "pd", "packed", "times"])
+                        rows, held = [], 0
+                if rows:
+                    yield _batches(rows, fields, ["up", "upd", "at", "mini", "pd", "packed", "times"])
+
+        return run
 
     columns = ["mini", "pd", "packed", "times"]
-    buckets = strings.join(crowded, "mini", "left_anti").select(*columns).repartition("mini").sortWithinPartitions("mini")
-    hits = buckets.mapInArrow(count, "mini long, pd binary, hits array<int>")
-    wide = strings.join(crowded, "mini", "left_semi").select(*columns).mapInArrow(digests, "mini long, pd binary, times long, i int, digest binary")
-    twice = wide.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest")
-    hits = hits.unionByName(wide.join(twice, "digest", "left_semi").groupBy("mini", "pd").agg(F.collect_set("i").alias("hits")))
+
+    def hits_of(strings: DataFrame, level: int) -> DataFrame:
+        """mini, pd, hits: which windows of each string occur twice or more."""
+        crowded = None
+        if level <= len(MS):
+            crowded = strings.groupBy("mini").agg(F.sum(F.length("packed")).alias("c"), F.count(F.lit(1)).alias("n")).filter((F.col("c") > hot) & (F.col("n") > 1))
+            crowded = materialize(crowded.select("mini"), "crowded")
+            crowded = None if crowded.isEmpty() else crowded
+        calm = strings if crowded is None else strings.join(crowded, "mini", "left_anti")
+        found = calm.select(*columns).repartition("mini").sortWithinPartitions("mini").mapInArrow(count, "mini long, pd binary, hits array<int>")
+        if crowded is None:
+            return found
+        longer = MS[level] if level < len(MS) else window
+        parts = strings.join(crowded, "mini", "left_semi").select(*columns).mapInArrow(split_by(level + 1, min(longer, window)), "up long, upd binary, at int, mini long, pd binary, packed binary, times long")
+        parts = materialize(parts, "parts", "zstd")
+        shorter = materialize(parts.groupBy("mini", "pd", "packed").agg(F.sum("times").alias("times")), "strings", "zstd")
+        below = parts.select("up", "upd", "at", "mini", "pd").join(hits_of(shorter, level + 1), ["mini", "pd"])
+        below = below.select(F.col("up").alias("mini"), F.col("upd").alias("pd"), F.transform("hits", lambda i: i + F.col("at")).alias("hits"))
+        return found.unionByName(below.groupBy("mini", "pd").agg(F.flatten(F.collect_list("hits")).alias("hits")))  # bounded by the string
+
+    hits = hits_of(strings, 0)
     placed = occurrences.select("doc_id", "row", "mini", "pd", "start").join(hits, ["mini", "pd"])
     placed = placed.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("nil", F.col("doc_id").isNull())
     marks = placed.groupBy("id", "nil", "row").agg(F.collect_set(F.struct("start", "hits")).alias("marks"))  # bounded by the row
