@@ -1,9 +1,12 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page becomes a flat list of text blocks. Each has its word count, its link density, those of the blocks before
-and after it, and its zone: inside the page's main element, outside it though there is one, inside an element that
-by its name or role is not article text, or none of these. A small decision tree, grown here from the labelled
-table EXAMPLES, keeps or drops each block.
+Elements whose kind is not article text (menus, footers, asides, forms, scripts, what is hidden, and those named so)
+yield no blocks. The rest of a page becomes a flat list of text blocks. Each has its word count, its link density, those
+of the blocks before and after it, its place (inside the page's main element, outside it though there is one, or on a
+page without one) and whether a wrapper has the name of a layout part. A small decision tree, grown here from the
+labelled pages PAGES, keeps or drops each block. Words and densities decide on pages without a main element, on link
+lists and headings inside one, and inside wrappers with a layout part's name; the place is a feature beside them, since
+short paragraphs of an article and short notices around it have the same words and densities.
 
 Character references are decoded once; white space inside a block becomes one space; blocks are joined by one
 newline in page order. Edge cases: null or empty html and pages without kept blocks give the empty text; cut-off
@@ -32,21 +35,25 @@ _RAW = frozenset("script style textarea title noframes xmp".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 _NOT_TEXT = frozenset("head nav footer aside form script style noscript template textarea title button select option dialog menu iframe object svg canvas math audio video map datalist noframes".split())
-_MAIN_NAMES = ("article", "main")
 _NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-_NOT_TEXT_NAMES = frozenset("nav navbar navigation menu sidebar footer header masthead ad ads adv advert advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notification alert comment comments respond disqus share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal widget toolbar pagination pager copyright disclaimer".split())
+#: Names of elements that hold something else than the article.
+_NOT_TEXT_NAMES = frozenset("nav navbar navigation ad ads adv advert advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments respond disqus breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal toolbar pagination pager footer copyright disclaimer notice notification alert".split())
+#: Names that layout parts share with wrappers of an article: words and link densities decide inside.
+_LAYOUT_NAMES = frozenset("menu sidebar header masthead banner promo share sharing social related recommended widget teaser meta".split())
 
 
 class Block(NamedTuple):
     text: str
     n_words: int
     link_density: float
-    #: 1 in the main element, 0 where the page has none, -1 outside it, -2 in an element that is not article text
-    zone: int
+    #: 1 in the main element, 0 where the page has none, -1 outside it
+    place: int
+    #: 1 inside a wrapper with the name of a layout part
+    layout: int
 
 
 def _opens(tag: str, attributes: str, in_main: bool) -> str:
-    """What an element means for the text inside: "main", "out" or ""."""
+    """What an element means for the text inside: "main", "out", "head", "layout" or ""."""
     if tag in _NOT_TEXT:
         return "out"
     names: set[str] = set()
@@ -66,44 +73,40 @@ def _opens(tag: str, attributes: str, in_main: bool) -> str:
         return "head" if in_main else "out"
     if tag in ("html", "body", "main") or role in ("main", "article"):
         return "" if tag in ("html", "body") else "main"
-    if names & _NOT_TEXT_NAMES:
-        return "out"
-    return "main" if tag == "article" else ""
+    if tag == "article":
+        return "out" if names & _NOT_TEXT_NAMES else "main"
+    return "out" if names & _NOT_TEXT_NAMES else "layout" if names & _LAYOUT_NAMES else ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, those of zone 1 or 0 and those around them."""
-    found: list[list] = []  # text, words, words in links, zone
+    """The flat text blocks of a page, without those of elements that hold something else than the article."""
+    found: list[list] = []  # text, words, words in links, in main, in a layout part
     text: list[str] = []
+    linked: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements: tag and what it means
-    out = mains = links = heads = 0
-    words = linked = 0
+    out = mains = links = heads = layouts = 0
 
     def flush() -> None:
-        nonlocal words, linked
         if text:
             flat = " ".join("".join(text).split())
-            if flat:
-                found.append([flat, words, linked, -2 if out or heads and not (stack and stack[-1][0] in ("h1", "h2", "h3")) else 1 if mains else 0])
+            if flat and not out and not (heads and not (stack and stack[-1][0] in ("h1", "h2", "h3"))):
+                found.append([flat, flat.count(" ") + 1, len("".join(linked).split()), mains > 0, layouts > 0])
             text.clear()
-        words = linked = 0
+            linked.clear()
 
     def add(raw: str) -> None:
-        nonlocal words, linked
         if raw:
-            piece = unescape(raw) if "&" in raw else raw
-            text.append(piece)
-            n = len(piece.split())
-            words += n
+            text.append(unescape(raw) if "&" in raw else raw)
             if links:
-                linked += n
+                linked.append(text[-1])
 
     def close(at: int) -> None:
-        nonlocal out, mains, links, heads
+        nonlocal out, mains, links, heads, layouts
         for tag, means in stack[at:]:
             out -= means == "out"
             mains -= means == "main"
             heads -= means == "head"
+            layouts -= means == "layout"
             links -= tag == "a"
         del stack[at:]
 
@@ -147,6 +150,7 @@ def blocks(page: str) -> list[Block]:
             out += means == "out"
             mains += means == "main"
             heads += means == "head"
+            layouts += means == "layout"
             links += tag == "a"
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -154,30 +158,74 @@ def blocks(page: str) -> list[Block]:
             close(len(stack) - 1)
     add(page[at:])
     flush()
-    has_main = any(b[3] == 1 for b in found)
-    return [Block(t, n, k / n if n else 0.0, -1 if has_main and z == 0 else z) for t, n, k, z in found]
+    has_main = any(b[3] for b in found)
+    return [Block(t, n, min(1.0, k / n), 1 if main else -1 if has_main else 0, int(layout)) for t, n, k, main, layout in found]
+
+
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "place", "layout")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """zone, words, link density, and the neighbours' words and link densities; a row a block."""
+    """A row a block, its columns in the order of FEATURES."""
     if not found:
-        return np.zeros((0, 7))
-    own = np.array([(b.zone, b.n_words, b.link_density) for b in found])
+        return np.zeros((0, len(FEATURES)))
+    own = np.array([(b.n_words, b.link_density) for b in found])
+    where = np.array([(b.place, b.layout) for b in found])
     edge = np.zeros((1, 2))
-    return np.hstack([own, np.vstack([edge, own[:-1, 1:]]), np.vstack([own[1:, 1:], edge])])
-
-
-#: Labelled blocks: zone, words, link density, before: words, density, after: words, density; 1: article text.
-EXAMPLES = np.array([
-    (1, 60, 0.0, 9, 0.0, 44, 0.0, 1), (1, 1, 0.0, 30, 0.0, 0, 0.0, 1), (1, 7, 0.0, 0, 0.0, 80, 0.0, 1), (1, 3, 0.9, 25, 0.0, 4, 0.1, 1),
-    (1, 2, 0.0, 3, 1.0, 5, 1.0, 1), (1, 90, 0.6, 1, 1.0, 2, 0.0, 1), (1, 20, 0.2, 70, 0.0, 6, 0.5, 1), (1, 4, 1.0, 2, 0.0, 1, 0.0, 1),
-    (1, 6, 0.9, 5, 1.0, 4, 0.9, 1), (1, 3, 1.0, 70, 0.0, 2, 1.0, 1), (1, 12, 0.5, 9, 0.8, 8, 0.75, 1), (-1, 9, 0.5, 60, 0.0, 60, 0.0, 0),
-    (-1, 4, 0.0, 1, 1.0, 60, 0.0, 0), (-1, 12, 0.1, 50, 0.0, 0, 0.0, 0), (-1, 45, 0.0, 8, 0.5, 70, 0.0, 0), (-1, 80, 0.0, 66, 0.0, 52, 0.0, 0),
-    (-2, 1, 1.0, 1, 1.0, 1, 1.0, 0), (-2, 30, 0.0, 40, 0.0, 49, 0.0, 0), (-2, 8, 0.0, 33, 0.0, 0, 0.0, 0), (-2, 75, 0.0, 20, 0.0, 90, 0.0, 0),
-    (0, 55, 0.05, 12, 0.0, 48, 0.0, 1), (0, 18, 0.0, 50, 0.0, 8, 0.0, 1), (0, 25, 0.0, 3, 0.5, 30, 0.1, 1), (0, 35, 0.1, 2, 1.0, 3, 1.0, 1),
-    (0, 5, 0.0, 47, 0.0, 39, 0.0, 1), (0, 6, 0.0, 2, 1.0, 66, 0.0, 1), (0, 3, 0.0, 15, 0.0, 20, 0.0, 1), (0, 2, 1.0, 2, 1.0, 3, 1.0, 0),
-    (0, 14, 0.8, 3, 1.0, 5, 1.0, 0), (0, 4, 0.0, 2, 1.0, 3, 1.0, 0), (0, 7, 0.3, 60, 0.0, 0, 0.0, 0), (0, 40, 0.7, 20, 0.6, 18, 0.9, 0),
-])
+    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), where])
+
+
+def _words(n: int) -> str:
+    return " ".join(f"w{i}" for i in range(n))
+
+
+def _p(*sizes: int) -> str:
+    """Paragraphs of the article."""
+    return "".join(f"<p>{KEEP}{_words(n)}</p>" for n in sizes)
+
+
+def _list(*sizes: int) -> str:
+    """A list of links of so many words."""
+    return "<ul>" + "".join(f"<li><a href=x>{_words(n)}</a></li>" for n in sizes) + "</ul>"
+
+
+#: Marks the blocks of the labelled pages that are article text.
+KEEP = "\u00a7"
+#: Labelled pages of varied layout. Elements that yield no blocks are left out.
+PAGES = (
+    # a main element: everything in it but lists of links, nothing around it
+    f"<p>{_words(12)}</p><article><h1>{KEEP}{_words(6)}</h1>{_p(55, 40, 3, 1, 80, 12)}</article><p>{_words(14)}</p>",
+    f"<div>{_words(45)}</div><main><h1>{KEEP}{_words(2)}</h1>{_p(30, 2, 5, 60)}<p>{KEEP}{_words(8)} <a href=x>{_words(8)}</a></p>{_p(25)}</main><div>{_words(80)}</div>",
+    f"<main>{_p(70, 44)}{_list(3, 4, 2, 5)}</main>{_list(4, 3)}<p>{_words(30)}</p>",
+    f"<article><h1>{KEEP}{_words(9)}</h1>{_list(1, 2, 1, 1)}{_p(90, 35, 20)}</article><p>{_words(5)}</p>",
+    f"<article>{_p(1, 2, 1, 260)}<p>{KEEP}<a href=x>{_words(6)}</a></p>{_p(48)}</article>",
+    f"<article><p>{KEEP}{_words(40)}</p><p>{KEEP}<a href=x>{_words(4)}</a> {_words(2)}</p>{_p(9, 7, 22)}</article><p>{_words(11)}</p>",
+    # no main element: long blocks with few links, and short ones between them
+    f"{_list(1, 1, 2)}<h1>{KEEP}{_words(7)}</h1>{_p(50, 66, 38)}<p>{_words(9)} <a href=x>{_words(5)}</a></p>{_list(2, 3, 2)}<p>{_words(6)}</p>",
+    f"<p>{_words(4)} <a href=x>{_words(3)}</a></p>{_list(2, 1)}{_p(120)}<h2>{KEEP}{_words(3)}</h2>{_p(45, 60)}{_list(3, 3, 4)}<p>{_words(10)} <a href=x>{_words(3)}</a></p>",
+    f"{_list(1, 1, 1, 2)}<p>{_words(3)}</p>{_list(2, 2)}{_p(35, 28, 41, 33)}<p>{KEEP}{_words(20)} <a href=x>{_words(2)}</a></p>{_p(30)}{_list(6, 7, 5)}",
+    f"<h2>{KEEP}{_words(5)}</h2>{_p(75, 18, 52)}<div>{_words(12)} <a href=x>{_words(20)}</a></div>{_list(8, 9)}",
+    f"{_list(1, 2)}{_p(40, 30, 60)}",
+    f"{_list(2, 1)}{_p(50)}",
+    f"{_p(33, 45)}",
+    f"{_p(4)}",
+    f"<h1>{KEEP}{_words(4)}</h1>{_p(26, 14, 90)}",
+    f"{_p(31, 27)}{_list(4, 2)}<p>{_words(5)}</p>",
+    # wrappers with the name of a layout part
+    f"<div class='layout has-sidebar'>{_p(64, 48, 71)}<h2>{KEEP}{_words(4)}</h2>{_p(55)}</div><div class=sidebar><p>{_words(8)} <a href=x>{_words(6)}</a></p>{_list(3, 2, 4)}</div>",
+    f"<div class='has-sidebar'>{_p(40, 70)}</div>",
+    f"<div class='page menu-left'>{_p(80, 60, 24)}</div>",
+    f"{_p(46, 52)}<div class=promo><p>{_words(8)}</p><p>{_words(6)}</p></div>",
+    f"<article>{_p(60, 44)}<div class=share>{_list(1, 1, 1)}</div></article><div class=related><p>{_words(3)}</p>{_list(5, 6, 7)}</div>",
+    f"<div class=header><p>{_words(2)}</p>{_list(1, 2, 1)}</div>{_p(42, 58, 37)}<div class=widget><p>{_words(9)}</p>{_list(2, 2)}<p>{_words(7)}</p></div>",
+    f"<div class=page-header>{_list(1, 1)}</div><div class='post with-related'><p>{KEEP}{_words(62)}</p>{_p(57, 49)}</div><div class=social><p>{_words(4)}</p>{_list(1, 1)}</div>",
+)
+
+
+def labelled(pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages' blocks."""
+    found = [blocks(p) for p in pages]
+    return np.vstack([features(b) for b in found]), np.array([x.text.startswith(KEEP) for b in found for x in b], float)
 
 
 class Node(NamedTuple):
@@ -187,7 +235,7 @@ class Node(NamedTuple):
     high: Node | bool
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node | bool:
     """A binary decision tree by Gini impurity; ties go to the first feature and the lowest cut."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return bool(2 * y.sum() > len(y))
@@ -219,7 +267,7 @@ def main_text(page: str | None, tree: Node | bool) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of pages(page_id, url, html)."""
-    tree = grow(EXAMPLES[:, :-1], EXAMPLES[:, -1])
+    tree = grow(*labelled())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
