@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty
+from .common import let, materialize, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -44,6 +44,8 @@ BASE = ("assign", "access", "hex")
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 #: For [x]+ with a least length, a run of that length is as good: shorter runs are dropped whole.
 _FAST = {"hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
+#: Matches of a text that are placed in one go: arrays grow by copies, so longer lists are placed in blocks.
+BLOCK = 256
 
 
 def blob_id(text: Column) -> Column:
@@ -58,13 +60,17 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     def placed(found: Column) -> Column:
         def gather(gaps: Column) -> Column:
             # a match begins where the texts between matches, and the matches before it, end
-            step = lambda a, m: F.struct(
-                (a["k"] + 1).alias("k"),
-                (a["at"] + F.length(F.get(gaps, a["k"])) + F.length(m)).cast("bigint").alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(F.get(gaps, a["k"]))).cast("bigint").alias("start"), F.lit(rank).alias("rank"), (a["at"] + F.length(F.get(gaps, a["k"])) + F.length(m)).cast("bigint").alias("end"), F.lit(rule.kind).alias("kind")))).cast(_SPANS).alias("out"),
-            )
-            zero = F.struct(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-            every = F.aggregate(found, zero, step, lambda a: a["out"])
+            sizes = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("own")))
+            return let(let(sizes, _in_blocks), lambda blocks: let(_starts(blocks), lambda at: finished(blocks, at)))
+
+        def finished(blocks: Column, at: Column) -> Column:
+            def step(a: Column, x: Column) -> Column:
+                start = a["at"] + x["gap"]
+                span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["own"]).alias("end"), F.lit(rule.kind).alias("kind"))
+                return F.struct((start + x["own"]).alias("at"), F.concat(a["out"], F.array(span)).cast(_SPANS).alias("out"))
+
+            one = lambda block, o: F.aggregate(block, F.struct(o.alias("at"), none.alias("out")), step, lambda a: a["out"])
+            every = F.flatten(F.zip_with(blocks, at, one))
             if rule.group:
                 ok = lambda _, i: F.length(F.regexp_extract(F.get(found, i), rule.pattern, rule.group)) >= rule.least
             else:
@@ -77,6 +83,18 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.contains(rule.needs), hits).otherwise(none) if rule.needs else hits
 
 
+def _in_blocks(items: Column) -> Column:
+    count = F.ceil(F.size(items) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _starts(blocks: Column) -> Column:
+    """Where each block of (gap, own) sizes starts."""
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x["gap"] + x["own"]))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(sums, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
 def _label(rule: Rule) -> str:
     return f"{rule.kind}@{rule.version}"
 
@@ -103,7 +121,7 @@ def scan(versions: DataFrame, key: str = "doc_id", ledger: DataFrame | None = No
     unseen = t.join(d, (F.col("t.blob") == F.col("d.blob")) & F.col("t.key").eqNullSafe(F.col("d.key"))).select("t.blob", "text", "done")
     parts = [F.when(F.array_contains("done", _label(r)), F.array().cast(_SPANS)).otherwise(spans_of(F.col("text"), r, i)) for i, r in enumerate(rules)]
     scanned = unseen.select("blob", F.array_except(wanted, F.col("done")).alias("done"), F.sort_array(F.concat(*parts)).alias("spans"))
-    new = scanned.dropDuplicates(["blob"])
+    new = materialize(scanned.dropDuplicates(["blob"]), "ledger")
     if ledger is None:
         known = new.filter(F.size("spans") > 0).select("blob", "spans")
     else:
@@ -111,6 +129,7 @@ def scan(versions: DataFrame, key: str = "doc_id", ledger: DataFrame | None = No
         live = [F.struct(F.lit(r.kind).alias("kind"), F.lit(_label(r)).alias("label")) for r in rules]
         current = F.filter("spans", lambda x: F.exists(F.array(*live), lambda r: (r["kind"] == x["kind"]) & F.array_contains("done", r["label"])))
         known = known.select("blob", current.alias("spans")).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        known = materialize(known.filter(F.size("spans") > 0), "known")  # a join of two stored tables can split the paths of a popular blob
     findings = keyed.join(known, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
     return findings, new
 
