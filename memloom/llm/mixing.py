@@ -2,7 +2,7 @@
 
 Targets share the corpus' words by weight and stop at ``cap`` times a source's size; what is over is shared
 again by weight. A source's weight changes over training time u in [0, 1] as target * (1 + slope * (2u - 1));
-its integral is the source's cumulative demand. Documents stand in a fixed order (by md5 of doc_id) in their
+its integral is the source's cumulative demand. Documents stand in a fixed order (by md5 of doc_id and text) in their
 source's stream, pass after pass; inverting the demand at the middle of a document's stretch of the stream gives
 its training position, and documents are range-sorted by position. SQL expressions only.
 
@@ -10,7 +10,7 @@ Running sums within a source are made in two levels (md5 prefix, then within it)
 all rows is spread over 16 ** PREFIX groups.
 
 Edge cases: null text has size 0 and takes 0 words; null sources are one source, placed last; repeated rows
-are separate documents (which of two equal rows is taken is immaterial); a corpus without words has targets 0;
+are separate documents (which of two rows with equal doc_id and text is taken is immaterial); a corpus without words has targets 0;
 empty tables give no rows; extra columns are ignored.
 """
 
@@ -51,8 +51,9 @@ def document_plan(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> Da
 
     carry: further columns to keep.
     """
-    t = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"), *[F.col(c) for c in carry if c not in ("doc_id", "source")])
-    t = t.withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("g", F.substring("at", 1, PREFIX))
+    spot = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text_or_empty()).cast("binary"))
+    t = docs.select("doc_id", "source", spot.alias("at"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"), *[F.col(c) for c in carry if c not in ("doc_id", "source")])
+    t = t.withColumn("g", F.substring("at", 1, PREFIX))
     groups = t.select("source", "g", "size").groupBy("source", "g").agg(F.sum("size").alias("size"))
     targets = source_targets(groups, **options)
     run = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
