@@ -44,14 +44,16 @@ _SAFE_BREAK = re.compile(r"(?<=\S)(?= )")
 
 
 class _Known(dict):
-    """A piece's ids, encoded when first asked for."""
+    """A piece's ids, encoded when first asked for; those of long pieces are not remembered, so the entries bound the bytes."""
 
     def __init__(self, encode):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            self[piece] = packed
         return packed
 
 
@@ -148,8 +150,8 @@ def _best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often to use each) of the linear program min sum x, patterns @ x = demand, x >= 0.
 
-    Revised simplex: the basis starts with one pattern a size. A round prices one column. Rounding may drift; counts are
-    made whole against the true demand afterwards, so only padding could suffer.
+    Revised simplex: the basis starts with one pattern a size. A round prices one column. The rounds are bounded, and
+    rounding may drift; counts are made whole against the true demand afterwards, so only padding could suffer.
     """
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))

@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return quality.score_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")).drop("row")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(_read(spark, sf_dir, "documents"))
-    return secrets.digest_columns(findings)
+    """The documents arrive as two batches; the second is scanned against the ledger that the first has left."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    late = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 1
+    first, ledger = secrets.scan(docs.filter(~late))
+    second, _ = secrets.scan(docs.filter(late), ledger=ledger)
+    return secrets.digest_columns(first.unionByName(second))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +108,7 @@ def _secret_sql() -> str:
 _MIX_SQL = """
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-               md5(coalesce(doc_id::VARCHAR, '')) AS spot FROM documents),
+               md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS spot FROM documents),
     by_source AS (
         SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
         FROM sized GROUP BY source),

@@ -10,8 +10,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
+    """Hashes of words that were asked for; long words are not remembered, so the entries bound the bytes."""
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
