@@ -9,9 +9,10 @@ A document's set holds its distinct K-word shingles (64-bit hashes); two documen
   the work: whatever they hold, no pair is left out.
 * Index level: each representative enters the lists of the rarest quarter of its shingles (prefix filter). A list is
   cut into blocks by position; pairs of blocks whose positions and sizes leave too little overlap, and pairs of one ball,
-  are skipped. A list yields (host ball, guest set), not pairs of sets, so a group of near copies yields a row a
-  stray set and not one a pair. Between two single sets, what a pair shares in all lists, with what is left after the
-  last of them, bounds its overlap again before any set moves.
+  are skipped. A ball of many sets enters a list's pairs as a whole, as (host ball, guest set), so a group of near copies
+  yields a row a stray set and not one a pair. For the other pairs, what they share in all lists, with what is left after
+  the last of them, bounds the overlap again, and the parities of their shingles, counted by hash in twice as many bits
+  as there are shingles, bound the difference from below. Only then do sets move.
 * The sets of a ball meet each other and the ball's guests in cells of bounded size (PART_ROWS, PART_BYTES,
   GUEST_ROWS); a popular ball or host has many cells. A cell returns how many links each of its sets has and the
   smallest node each is connected with there. n_links is the sum; components come from alternating large-star and
@@ -46,6 +47,8 @@ NUM, DEN = 75, 100
 BIN_BITS = 3
 #: Rounds in which sets outside all balls may form further ones.
 ROUNDS = 3
+#: Sets from which a ball enters the pairs of a list as a whole.
+BIG_BALL = 64
 SKETCH_BITS = 18
 _BLOCK = 4096
 #: Rows of a list that one task takes.
@@ -80,32 +83,47 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(mix(s), starts).view(np.int64)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Whether the number of values is odd, for each low part of them; two bits a value or more."""
+    bits = min(1 << 16, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their parities."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _binary(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(name).cast(pa.binary())
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
-    """A row a document: doc_id, n, digest, mins; and rows block, counts that hold the task's part of the sketch."""
+    """A row a document: doc_id, n, digest, mins, parity; and rows block, counts that hold the task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         shift = np.uint64(64 - SKETCH_BITS)
-        names = ["doc_id", "n", "digest", "mins", "block", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "digest", "mins", "parity", "block", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), _binary(b, "text"), strict=True):
                 s = shingle_set(text.as_py(), k)
                 if len(s):
                     np.add.at(sketch, (s >> shift).astype(np.int64), 1)
-                    rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), minhashes(s), None, None))
+                    rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), minhashes(s), parities(s), None, None))
                 else:
-                    rows.append((doc_id, 0, b"", [], None, None))
+                    rows.append((doc_id, 0, b"", [], None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
-        parts = [(None, None, None, None, i, sketch[i * _BLOCK : (i + 1) * _BLOCK].tobytes()) for i in range(len(sketch) // _BLOCK)]
+        parts = [(None, None, None, None, None, i, sketch[i * _BLOCK : (i + 1) * _BLOCK].tobytes()) for i in range(len(sketch) // _BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), kinds)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, mins array<long>, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, mins array<long>, parity binary, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -146,15 +164,15 @@ def balls(classes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return materialize(found, "balls")
 
 
-def _list_pairs(ball: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, several: np.ndarray, multi: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
-    """Columns host, guest, left, need for the pairs of one list that are of different balls and may overlap enough.
+def _list_pairs(ball: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, several: np.ndarray, big: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
+    """Columns x, y, left, need for the pairs of one list that are of different balls and may overlap enough.
 
-    The host is the ball that is no single set, else the smaller. need: the overlap that the pair needs, 0 if the host is
-    no single set or one has several texts, as their rows cannot be summed; left: the most that it can have after this
-    shingle.
+    Two sets, the smaller node first, with need: the overlap that they need, and left: the most that they can have after
+    this shingle. Or a host ball and a guest, with need 0, if the host is a big ball or one of the two has several texts:
+    their rows cannot be summed.
     """
     order = np.lexsort((node, pos))
-    ball, node, n, pos, several, multi = (c[order] for c in (ball, node, n, pos, several, multi))
+    ball, node, n, pos, several, big = (c[order] for c in (ball, node, n, pos, several, big))
     starts = range(0, len(node), block)
     ends = [min(s + block, len(node)) for s in starts]
     most = [int(n[a:b].max()) for a, b in zip(starts, ends)]
@@ -178,24 +196,25 @@ def _list_pairs(ball: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
             u, v = u[up], v[up]
             if len(u):
                 x, y = u + a, v + c
-                first = np.where(multi[x] == multi[y], ball[x] < ball[y], multi[x])
+                first = np.where(big[x] == big[y], ball[x] < ball[y], big[x])
                 h, g = np.where(first, x, y), np.where(first, y, x)
-                loose = multi[h] | several[x] | several[y]
-                yield np.stack([ball[h], node[g], left[u, v], np.where(loose, 0, need[u, v])])
+                loose = big[h] | several[x] | several[y]
+                low, high = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                yield np.stack([np.where(loose, ball[h], low), np.where(loose, node[g], high), left[u, v], np.where(loose, 0, need[u, v])])
 
 
 def _combined(found: list[np.ndarray]) -> pa.RecordBatch:
-    """A row a host and guest: how many shingles they share here, and the least that is left after one of them."""
+    """A row a pair: how many shingles it shares here, and the least that is left after one of them."""
     x, y, left, need = np.concatenate(found, axis=1)
-    order = np.lexsort((y, x))
+    order = np.lexsort((need, y, x))
     x, y, left, need = x[order], y[order], left[order], need[order]
-    at = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
+    at = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (need[1:] != need[:-1])) + 1))
     shared = np.diff(np.concatenate((at, [len(x)])))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], shared, np.minimum.reduceat(left, at), np.minimum.reduceat(need, at))], names=["host", "guest", "shared", "left", "need"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], shared, np.minimum.reduceat(left, at), need[at])], names=["x", "y", "shared", "left", "need"])
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K) -> DataFrame:
-    """Distinct (host, guest) of nodes(node, ball, several, multi): balls and the sets outside them that may be similar to one inside."""
+    """Distinct (host, guest) of nodes(node, n, ball, several, multi, big, parity): balls and the sets outside them that may be similar to one inside."""
     shift = np.uint64(64 - SKETCH_BITS)
     usual = int(counts.mean()) if len(counts) else 0
     long_ones = 1 + np.maximum(0, counts - 2 * usual) // CELL_ROWS
@@ -226,8 +245,8 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             lengths = np.diff(tokens.offsets.to_numpy())
             row = np.repeat(np.arange(b.num_rows), lengths)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            node, ball, n, several, multi = (b.column(c).to_numpy(zero_copy_only=False)[row].astype(np.int64) for c in ("node", "ball", "n", "several", "multi"))
-            n = n | several << 30 | multi << 29
+            node, ball, n, several, big = (b.column(c).to_numpy(zero_copy_only=False)[row].astype(np.int64) for c in ("node", "ball", "n", "several", "big"))
+            n = n | several << 30 | big << 29
             split = splits[(flat.view(np.uint64) >> shift).astype(np.int64)]
             if split.max(initial=1) > 1:  # part r of a long list goes to the cells (r, s) and (s, r) of its grid
                 part = mix(node.view(np.uint64)).astype(np.uint64) % split.astype(np.uint64)
@@ -251,7 +270,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             key, node, above, place = (c[:upto] for c in cols)
             if not len(key):
                 return
-            ball, n, pos, several, multi = node - above, place >> 32 & 0x1FFFFFFF, place & 0xFFFFFFFF, place >> 62 & 1 > 0, place >> 61 & 1 > 0
+            ball, n, pos, several, big = node - above, place >> 32 & 0x1FFFFFFF, place & 0xFFFFFFFF, place >> 62 & 1 > 0, place >> 61 & 1 > 0
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             many = np.flatnonzero(ends - starts > 1)
@@ -259,7 +278,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
                 part = slice(starts[i], ends[i])
                 if (ball[part] == ball[starts[i]]).all():
                     continue
-                for some in _list_pairs(ball[part], node[part], n[part], pos[part], several[part], multi[part]):
+                for some in _list_pairs(ball[part], node[part], n[part], pos[part], several[part], big[part]):
                     found.append(some)
                     held[0] += some.shape[1]
                     if held[0] > 500_000:
@@ -283,21 +302,35 @@ def candidates(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, k: int = K
             yield _combined(found)
 
     table = docs.select("doc_id", "text").mapInArrow(prefix, "node long, n long, tokens array<long>")
-    table = table.join(nodes.select("node", "ball", "several", "multi").hint("shuffle_hash"), "node").select("node", "ball", "n", "several", "multi", "tokens")
+    table = table.join(nodes.select("node", "ball", "several", "big").hint("shuffle_hash"), "node").select("node", "ball", "n", "several", "big", "tokens")
     spread = table.mapInArrow(cells, "key long, node long, above long, place long")
     spread = spread.repartition("key").sortWithinPartitions("key")
-    pairs = spread.mapInArrow(lists, "host long, guest long, shared long, left long, need long")
+    pairs = spread.mapInArrow(lists, "x long, y long, shared long, left long, need long")
     # all shared shingles of two sets up to the last one found are in both prefixes: the overlap is at most their number and what is left
-    pairs = pairs.groupBy("host", "guest").agg(F.sum("shared").alias("shared"), F.min("left").alias("left"), F.min("need").alias("need"))
-    return pairs.filter("shared + left >= need").select("host", "guest")
+    pairs = pairs.groupBy("x", "y", "need").agg(F.sum("shared").alias("shared"), F.min("left").alias("left"))
+    pairs = materialize(pairs.filter("shared + left >= need").select("x", "y", "need"), "pairs")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("x_n").to_numpy() + b.column("y_n").to_numpy()
+            most = total - 2 * b.column("need").to_numpy()
+            least = [least_difference(x, y) for x, y in zip(b.column("x_parity").to_pylist(), b.column("y_parity").to_pylist())]
+            yield b.select(["x", "x_ball", "x_multi", "y", "y_ball", "y_multi"]).filter(pa.array(np.array(least, np.int64) <= most))
+
+    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("ball", "multi", "n", "parity")])
+    tight = pairs.filter("need > 0").join(side("x"), "x").join(side("y"), "y")
+    tight = tight.mapInArrow(near, "x long, x_ball long, x_multi boolean, y long, y_ball long, y_multi boolean")
+    x_hosts = F.when(F.col("x_multi") == F.col("y_multi"), F.col("x_ball") < F.col("y_ball")).otherwise(F.col("x_multi"))
+    tight = tight.select(F.when(x_hosts, F.col("x_ball")).otherwise(F.col("y_ball")).alias("host"), F.when(x_hosts, F.col("y")).otherwise(F.col("x")).alias("guest"))
+    return tight.union(pairs.filter("need = 0").select("x", "y")).distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
-    """node, set of the documents whose ids are listed.
+    """node, set of the documents whose ids are listed, and of a few more.
 
-    A bitmap of hashed ids, 16 MB at most, keeps most other texts from being shingled and moved; what it lets through is joined away.
+    A bitmap of hashed ids, 16 MB at most, keeps most other texts from being shingled and moved.
     """
-    bits = min(27, max(20, int(ids.count() * 8).bit_length()))
+    bits = min(27, max(20, int(ids.count() * 32).bit_length()))
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     words = ids.select(spot("node").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(b & 63)))").alias("m"))
     known = np.zeros(1 << bits - 6, np.int64)
@@ -316,7 +349,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     asked = docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(run, "node long, set binary")
-    return asked.join(ids.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left_semi")
+    return asked
 
 
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -505,21 +538,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
 
 
-def join(docs: DataFrame, k: int = K, part_rows: int = PART_ROWS, guest_rows: int = GUEST_ROWS) -> DataFrame:
+def join(docs: DataFrame, k: int = K, part_rows: int = PART_ROWS, guest_rows: int = GUEST_ROWS, big_ball: int = BIG_BALL) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set), n_links of every row of docs."""
     both = materialize(signatures(docs, k), "signatures")
-    rows = both.filter("block is null").select("doc_id", "n", "digest", "mins")
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+    rows = both.filter("block is null").select("doc_id", "n", "digest", "mins", "parity")
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("parity").alias("parity"))
     classes = materialize(classes.filter("node is not null"), "classes")
     # a doc_id with several texts is in no ball
     several = rows.filter("n > 0").groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").select(F.col("doc_id").alias("node"))
     several = materialize(several.filter("node is not null"), "several")
     led = balls(classes.join(several, "node", "left_anti"))
-    nodes = classes.groupBy("node").agg(F.sum("n").alias("n")).join(led, "node", "left").join(several.withColumn("several", F.lit(True)), "node", "left")
-    nodes = nodes.join(led.select(F.col("ball").alias("node"), F.lit(True).alias("leads")).distinct(), "node", "left")
-    nodes = nodes.select("node", "n", F.coalesce("ball", "node").alias("ball"), F.coalesce("several", F.lit(False)).alias("several"), (F.col("ball").isNotNull() | F.col("leads").isNotNull()).alias("multi"))
+    sizes = led.groupBy("ball").agg((F.count(F.lit(1)) + 1).alias("size"))
+    nodes = classes.groupBy("node").agg(F.sum("n").alias("n"), F.first("parity").alias("parity")).join(led, "node", "left").join(several.withColumn("several", F.lit(True)), "node", "left")
+    nodes = nodes.withColumn("ball", F.coalesce("ball", "node")).join(sizes, "ball", "left")
+    nodes = nodes.select("node", "n", "parity", "ball", F.coalesce("several", F.lit(False)).alias("several"), F.col("size").isNotNull().alias("multi"), F.coalesce(F.col("size") >= big_ball, F.lit(False)).alias("big"))
     nodes = materialize(nodes, "nodes")
-    pairs = materialize(candidates(docs, nodes, _sketch(both.filter("block is not null").select("block", "counts")), k), "pairs")
+    pairs = materialize(candidates(docs, nodes, _sketch(both.filter("block is not null").select("block", "counts")), k), "guests")
     found = materialize(links(docs, nodes, pairs, k, part_rows, guest_rows), "links")
     n_links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     edges = found.filter("other is not null").select(F.col("node").alias("x"), F.col("other").alias("y"))

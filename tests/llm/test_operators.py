@@ -359,7 +359,7 @@ def test_jaccard_links(spark):
     same([(r.doc_id, r.n_links) for r in got], [(i, n_links[s]) for i, s in enumerate(sets)])
     assert 0 < sum(n_links.values()) < len(kinds) * (len(kinds) - 1)
     # the same however the sets of a ball and its guests are dealt to cells
-    same([tuple(r) for r in jaccard.join(frame, part_rows=7, guest_rows=3).collect()], map(tuple, got))
+    same([tuple(r) for r in jaccard.join(frame, part_rows=7, guest_rows=3, big_ball=3).collect()], map(tuple, got))
 
 
 def test_jaccard_near_copies_of_low_likeness(spark):
@@ -389,6 +389,18 @@ def test_jaccard_near_copies_of_low_likeness(spark):
     assert jaccard.balls(classes).count() > 1800
 
 
+@pytest.mark.parametrize("size", [3, 40, 900, 50_000])
+def test_jaccard_parities_bound_the_difference(size):
+    pick = np.random.default_rng(size)
+    values = pick.integers(0, 2**64, 2 * size, np.uint64)
+    for shift in (0, 1, size // 7, size // 2, size):
+        a, b = values[:size], values[shift : shift + int(size * pick.uniform(0.8, 1))]
+        least = jaccard.least_difference(jaccard.parities(a), jaccard.parities(b))
+        assert least <= len(np.setxor1d(a, b)) and least == jaccard.least_difference(jaccard.parities(b), jaccard.parities(a))
+        if size < 10_000 and shift == size and size > 3:
+            assert least > len(np.setxor1d(a, b)) / 3
+
+
 def test_jaccard_several_texts_of_a_doc_id(spark):
     """A short text is not judged by the size of a long one under the same doc_id; all texts of a doc_id share a component."""
     rows = []
