@@ -44,6 +44,18 @@ def raw_turn(score: Column, mult: Column, role: Column, assistant_bonus: Column,
     return clamp((0.34 + 0.42 * score) * mult + bonus)
 
 
+def record_bonus(strategy: Column, role: Column, memory_type: Column, has_time: Column) -> Column:
+    """What a record gains by the question's type."""
+    kind, who = F.lower(F.trim(memory_type)), F.lower(F.trim(role))
+    return (
+        F.when((strategy == "prior_assistant_response") & who.isin("assistant", "both"), F.lit(0.08))
+        .when((strategy == "personalized_advice") & kind.isin("preference", "constraint", "event", "failure_pattern"), F.lit(0.05))
+        .when((strategy == "temporal") & has_time, F.lit(0.04))
+        .when(strategy.isin("aggregate", "comparison") & (kind == "event"), F.lit(0.03))
+        .otherwise(F.lit(0.0))
+    )
+
+
 def signal_bonus(distance: Column, n_queries: Column) -> Column:
     return 0.03 * clamp(1 - distance) + F.least(F.lit(0.03), 0.01 * n_queries)
 

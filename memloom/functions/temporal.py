@@ -82,7 +82,21 @@ def overlaps(start: Column, end: Column, since: Column, until: Column) -> Column
 
 def time_label(c: Column) -> Column:
     """The date in a time text, else the text without fractions of a second."""
-    return F.coalesce(date_key(c), F.regexp_replace(c, r"\.\d+", ""))
+    return F.coalesce(date_key(c), F.regexp_replace(F.trim(c), r"\.\d+(?=(?:Z|[+-]\d{2}:?\d{2})?$)", ""))
+
+
+def query_label(since: Column, until: Column) -> Column:
+    """How a date range reads as a query (G26); null without ends."""
+    s, u = F.nullif(since, F.lit("")), F.nullif(until, F.lit(""))
+    return (
+        F.when(s == u, F.concat(F.lit("time = "), s)).when(s.isNotNull() & u.isNotNull(), F.concat(F.lit("time between "), s, F.lit(" and "), u))
+        .when(s.isNotNull(), F.concat(F.lit("time >= "), s)).when(u.isNotNull(), F.concat(F.lit("time <= "), u))
+    )
+
+
+def time_basis(now: Column) -> Column:
+    """What relative dates in a text are reckoned from."""
+    return F.concat(F.lit("Local date: "), F.date_format(now, "yyyy-MM-dd"), F.lit("\nUTC time: "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def reference_time(c: Column) -> Column:

@@ -15,13 +15,25 @@ STOP_WORDS = (
 ).split()
 
 
+#: Case foldings beyond lower case.
+FOLDINGS = (("ß", "ss"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def casefold(c: Column) -> Column:
+    """Lower case with the full foldings that lower-casing leaves out: sharp s, final sigma and the Latin ligatures."""
+    x = F.lower(c)
+    for a, b in FOLDINGS:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
 def normalize_key(c: Column) -> Column:
-    """Lower case; separators to spaces; other non-word characters dropped; blanks squeezed (G1)."""
-    x = F.lower(F.trim(_text(c)))
+    """Case folded; separators to spaces; other non-word characters dropped; blanks squeezed (G1)."""
+    x = casefold(F.trim(_text(c)))
     x = F.regexp_replace(x, r"[\s\-_:/\\|,;\x{ff0c}\x{ff1b}\x{ff1a}]+", " ")
     x = F.regexp_replace(x, r"[^\p{L}\p{N}_ ]+", "")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
@@ -51,8 +63,8 @@ def token_estimate(c: Column) -> Column:
 
 
 def token_set(c: Column) -> Column:
-    """Distinct lower-case words in any script."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(_text(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    """Distinct case-folded words in any script."""
+    return F.array_distinct(F.regexp_extract_all(casefold(_text(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def query_terms(c: Column) -> Column:
@@ -85,7 +97,7 @@ def clean_terms(c: Column) -> Column:
 
 def distinct_folded(c: Column) -> Column:
     """Order-preserving distinct without regard to case: the first spelling stays."""
-    earlier = lambda x, i: ~F.exists(F.slice(c, F.lit(1), i), lambda y: F.lower(y) == F.lower(x))
+    earlier = lambda x, i: ~F.exists(F.slice(c, F.lit(1), i), lambda y: casefold(y) == casefold(x))
     return F.filter(c, earlier)
 
 
@@ -118,12 +130,14 @@ def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-#: Phrases that mark something worth remembering.
-LONG_TERM_SIGNALS = r"(?i)\b(remember|prefer(?:s|red)?|always|never|my name is|i am|i'm|i like|i love|i hate|favou?rite|birthday|deadline|from now on|going forward|policy|decided|plan to)\b"
+#: Words that mark something worth remembering.
+SIGNAL_WORDS = ("remember", "keep in mind", "default", "preference", "workflow", "policy", "requirement", "standard", "prefer", "always", "never", "must")
+SIGNAL_TERMS = ("记住", "记下", "默认", "以后", "规范", "规则", "要求", "偏好", "优先", "必须", "流程", "标准", "部署前", "文档")
 
 
 def long_term_signal(c: Column) -> Column:
-    return _text(c).rlike(LONG_TERM_SIGNALS)
+    """Whether a text holds one of the words as a whole, in either case, or one of the terms anywhere."""
+    return _text(c).rlike(rf"(?i)\b({'|'.join(SIGNAL_WORDS)})\b|" + "|".join(SIGNAL_TERMS))
 
 
 def search_text(kind: str, **parts: Column) -> Column:

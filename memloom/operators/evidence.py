@@ -45,25 +45,51 @@ def event_frames(turns: DataFrame, size: int = 4) -> DataFrame:
     return turns.groupBy("session_id", frame.alias("frame")).agg(F.min("turn_index").alias("start_turn"), F.max("turn_index").alias("end_turn"), F.sort_array(F.collect_set("role")).alias("roles"), F.count(F.lit(1)).alias("n_turns"))
 
 
+def _by_month(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each month of a row's span (month), with the first one (first)."""
+    months = F.sequence(F.trunc(F.to_date(start), "month"), F.trunc(F.to_date(end), "month"), F.expr("interval 1 month"))
+    return rows.withColumn("m", F.explode(months)).withColumn("month", F.date_format("m", "yyyy-MM")).withColumn("first", F.substring(start, 1, 7)).drop("m")
+
+
 def temporal_recall(nodes: DataFrame, plans: DataFrame, limit: int) -> DataFrame:
     """Temporal nodes that overlap each plan's range (plan_id, since, until), by granularity score.
 
-    Plans are joined by month as equi key where both ends are given, with the exact overlap as residual; each plan covers
-    a bounded number of months.
+    Both sides are joined by month as equi key, a pair at the later of their first months, with the exact overlap as
+    residual. An open end is filled from the nodes' own range; plans without ends and reversed ranges recall nothing.
     """
-    months = F.sequence(F.trunc(F.to_date("since"), "month"), F.trunc(F.to_date("until"), "month"), F.expr("interval 1 month"))
-    p = plans.select("plan_id", "since", "until", F.explode(months).alias("m")).withColumn("month", F.date_format("m", "yyyy-MM")).drop("m")
-    n = nodes.withColumn("month", F.substring("start", 1, 7))
-    hits = n.join(p, "month").filter(temporal.overlaps(F.col("start"), F.col("end"), F.col("since"), F.col("until")))
+    range_ = nodes.agg(F.min("start").alias("from"), F.max(F.coalesce("end", "start")).alias("to"))  # one row
+    some = F.coalesce(F.nullif("since", F.lit("")), F.nullif("until", F.lit("")))
+    p = plans.select("plan_id", F.nullif("since", F.lit("")).alias("since"), F.nullif("until", F.lit("")).alias("until")).filter(some.isNotNull())
+    p = p.crossJoin(F.broadcast(range_)).select("plan_id", "since", "until", F.greatest(F.coalesce("since", "from"), F.col("from")).alias("lo"), F.least(F.coalesce("until", "to"), F.col("to")).alias("hi")).filter("lo <= hi")
+    p = _by_month(p, "lo", "hi").withColumnRenamed("first", "p_first")
+    n = nodes.withColumns({"start": F.coalesce("start", "end"), "end": F.coalesce("end", "start")}).filter("start <= end")
+    n = _by_month(n, "start", "end")
+    hits = n.join(p, "month").filter(F.col("month") == F.greatest("first", "p_first"))
+    hits = hits.filter(temporal.overlaps(F.col("start"), F.col("end"), F.col("since"), F.col("until")))
     score = F.when(F.startswith("key", F.lit("day:")), F.lit(0.42)).when(F.startswith("key", F.lit("month:")), F.lit(0.28)).otherwise(F.lit(0.34))
     hits = hits.select("plan_id", "key", "n_records", score.alias("score"))
     w = Window.partitionBy("plan_id").orderBy(F.desc("score"), "key")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def expand(node_hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Records of hit nodes (node_type, key, score): best weighted score and number of nodes of each record."""
+def temporal_records(hits: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
+    """Records of temporal hits (plan_id, key, score) that are not expired: best score and number of nodes of each.
+
+    index(key, record_id); records(record_id, expired).
+    """
+    live = records.filter("not expired").select("record_id")
+    found = hits.join(index, "key").join(live, "record_id", "left_semi")
+    return found.groupBy("plan_id", "record_id").agg(F.max("score").alias("field_score"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+def expand(node_hits: DataFrame, index: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Records of hit nodes (node_type, key, score): best weighted score and number of nodes of each record.
+
+    records(record_id, expired): those that are expired, or unknown, are left out (F1).
+    """
     hit = node_hits.join(index, ["node_type", "key"])
+    if records is not None:
+        hit = hit.join(records.filter("not expired").select("record_id"), "record_id", "left_semi")
     field = hit["score"] * scoring.node_weight(F.col("node_type"))
     return hit.withColumn("field", field).groupBy("record_id").agg(F.round(F.max("field"), 6).alias("field_score"), F.count(F.lit(1)).alias("n_nodes"))
 
@@ -71,15 +97,16 @@ def expand(node_hits: DataFrame, index: DataFrame) -> DataFrame:
 def containment_tree(sets: DataFrame) -> DataFrame:
     """Best parent of each set (set_id, item rows): its smallest strict superset, then smallest id.
 
-    The theta join is by counting shared items on an equi-join, so only sets with a common item meet; a superset shares
-    all items of its subset.
+    A superset holds its subset's rarest item, so a set meets only the larger sets that have it; popular items join
+    nothing. The smallest superset has no other one between, so it is also the parent of the reduced tree.
     """
-    sizes = sets.groupBy("set_id").agg(F.countDistinct("item").alias("n"))
     s = sets.select("set_id", "item").distinct()
-    a, b = s.toDF("child", "item"), s.toDF("parent", "item")
-    shared = a.join(b, "item").filter("child <> parent").groupBy("child", "parent").agg(F.count(F.lit(1)).alias("both"))
-    shared = shared.join(sizes.toDF("child", "n_child"), "child").join(sizes.toDF("parent", "n_parent"), "parent")
-    over = shared.filter("both = n_child and n_parent > n_child")
+    often = s.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
+    whole = s.groupBy("set_id").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("items"))  # bounded by the set
+    rare = s.join(often, "item").groupBy("set_id").agg(F.min(F.struct("times", "item")).alias("rare")).select("set_id", F.col("rare.item").alias("item"))
+    a = whole.join(rare, "set_id").select(F.col("set_id").alias("child"), F.col("items").alias("own"), F.col("n").cast("bigint").alias("n_child"), "item")
+    b = whole.select(F.col("set_id").alias("parent"), "items", F.col("n").cast("bigint").alias("n_parent"), F.explode("items").alias("item"))
+    over = a.join(b, "item").filter((F.col("n_parent") > F.col("n_child")) & (F.size(F.array_except("own", "items")) == 0))
     w = Window.partitionBy("child").orderBy("n_parent", "parent")
     return over.withColumn("r", F.row_number().over(w)).filter("r = 1").select("child", "parent", "n_child", "n_parent")
 

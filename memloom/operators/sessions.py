@@ -61,10 +61,14 @@ def previous_user(turns: DataFrame) -> DataFrame:
 
 def next_answers(turns: DataFrame, n: int = 2) -> DataFrame:
     """The first n assistant turns after each user turn, up to the session's end."""
-    after = _by_turn().rowsBetween(1, Window.unboundedFollowing)
-    answers = F.collect_list(F.when(F.col("role") == "assistant", F.col("turn_index"))).over(after)
-    found = turns.withColumn("answers", answers).filter("role = 'user'")
-    return found.select("session_id", F.col("turn_index").alias("user_turn"), F.posexplode(F.slice("answers", F.lit(1), F.lit(n))).alias("nth", "answer_turn"))
+    # answers are numbered from the end, so the next one after a turn is the number it has seen from there
+    back = Window.partitionBy("session_id").orderBy(F.desc("turn_index"))
+    seen = F.sum((F.col("role") == "assistant").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    t = turns.select("session_id", "turn_index", "role", seen.alias("seen"))
+    users = t.filter("role = 'user'").select("session_id", F.col("turn_index").alias("user_turn"), "seen", F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("nth", "step"))
+    users = users.select("session_id", "user_turn", "nth", (F.col("seen") - F.col("step")).alias("seen"))
+    answers = t.filter("role = 'assistant'").select("session_id", "seen", F.col("turn_index").alias("answer_turn"))
+    return users.join(answers, ["session_id", "seen"]).select("session_id", "user_turn", "nth", "answer_turn")
 
 
 def exchanges(turns: DataFrame) -> DataFrame:

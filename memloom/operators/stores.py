@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import session_segment
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, seq: str, keep_first: Iterable[str] = ()) -> DataFrame:
     """Latest row a key by seq; the keep_first columns stay as they were first written."""
@@ -66,7 +68,7 @@ def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     every = old.unionByName(new).groupBy("node_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("record_ids")))).alias("record_ids"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "search_text"))), lambda x: x["search_text"]).alias("texts"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "search_text"))), lambda x: x["search_text"]).alias("texts"),  # a node's versions
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("seq").alias("seq"),
     )
     grow = lambda a, x: F.when(F.contains(a, x), a).when(F.length(a) == 0, x).otherwise(F.concat_ws("\n", a, x))
@@ -86,3 +88,129 @@ def pair_dedup(events: DataFrame, fingerprint: list[str]) -> DataFrame:
     mark = F.concat_ws("|", *[F.col(c).cast("string") for c in fingerprint])
     t = events.withColumn("mark", mark).withColumn("before", F.lag("mark").over(w))
     return t.filter(F.col("before").isNull() | (F.col("before") != F.col("mark"))).drop("mark", "before")
+
+
+#: Columns of the stores' tables (S1, S39, S40); vectors are arrays whose width the table's property tells.
+SCHEMAS = {
+    "records": "record_id string, memory_type string, semantic_text string, normalized_text string, entities array<string>, tags array<string>, source_session string, source_role string, evidence_turn_range array<int>, created_at timestamp, expired boolean",
+    "evidence_nodes": "node_id string, node_type string, key string, label string, record_ids array<string>, search_text string, temporal struct<start:string,end:string>, metadata map<string,string>",
+    "record_vectors": "record_id string, memory_type string, vector array<float>, normalized_vector array<float>, expired boolean",
+    "turns": "id bigint, session_id string, role string, content string, token_count int, deleted boolean, created_at timestamp, speaker string",
+    "session_meta": "session_id string, topic string, tags array<string>, updated_at timestamp, last_consolidated_turn_index int",
+    "summaries": "session_id string, boundary_index int, content string, token_count int",
+    "skills": "skill_id string, intent string, doc_markdown string, conditions string, success_count int, last_used timestamp, created_at timestamp",
+    "visual": "record_id string, session_id string, image_hash string, image_path string, caption string, scene_type string, importance_score double, retrieval_count int, expired boolean, expired_reason string, created_at timestamp",
+    "chunks": "session_id string, chunk int, start_turn int, end_turn int, tokens int, reason string",
+}
+#: File endings by kind of image.
+IMAGE_ENDINGS = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/bmp": "bmp"}
+
+
+def create_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Empty tables of every store in a folder that driver and executors share."""
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
+
+
+def migrated(rows: DataFrame, schema: str) -> DataFrame:
+    """rows with the columns of a newer schema: missing ones are null, others stay."""
+    wanted = rows.sparkSession.createDataFrame([], schema).schema
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in rows.columns])
+
+
+def point(rows: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key (S3, S6, S31, S45); the filter reaches the scan."""
+    return rows.filter(F.col(key) == value)
+
+
+def scan(rows: DataFrame, kind: str, value: str, key: str, limit: int) -> DataFrame:
+    """Rows of one kind by key, at most limit."""
+    return rows.filter(F.col(kind) == value).orderBy(key).limit(limit)
+
+
+def export(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, row: every row of every table as JSON."""
+    out = None
+    for name, rows in tables.items():
+        part = rows.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def truncated(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(empty tables, deleted rows of each)."""
+    counts = None
+    for name, rows in tables.items():
+        part = rows.agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(name).alias("table"), "deleted")
+        counts = part if counts is None else counts.unionByName(part)
+    return {name: rows.filter(F.lit(False)) for name, rows in tables.items()}, counts
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows less the keys that are gone."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def append_turns(turns: DataFrame, meta: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log, meta) after new turns(session_id, id, role, content, created_at): the sessions' times move on."""
+    touched = new.groupBy("session_id").agg(F.max("created_at").alias("_at"))
+    meta = meta.join(touched, "session_id", "full").withColumn("updated_at", F.coalesce(F.greatest("updated_at", "_at"), "updated_at", "_at")).drop("_at")
+    return turns.unionByName(new, allowMissingColumns=True), meta
+
+
+def update_meta(meta: DataFrame, changes: DataFrame) -> DataFrame:
+    """meta with changed topic and tags; what a change leaves null stays."""
+    c = changes.select("session_id", F.col("topic").alias("_topic"), F.col("tags").alias("_tags"))
+    t = meta.join(c, "session_id", "full")
+    return t.withColumns({"topic": F.coalesce("_topic", "topic"), "tags": F.coalesce("_tags", "tags")}).drop("_topic", "_tags")
+
+
+def image_path(session: Column, image_hash: Column, mime: Column) -> Column:
+    """Where an image is kept: a folder a session, its hash, the ending of its kind."""
+    ending = F.lit("jpg")
+    for kind, name in IMAGE_ENDINGS.items():
+        ending = F.when(F.lower(mime) == kind, F.lit(name)).otherwise(ending)
+    return F.concat(session_segment(session), F.lit("/"), image_hash, F.lit("."), ending)
+
+
+def flushes(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    """The buffer that each row is written with: every size rows of a key in order, the last one what is left."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return rows.withColumn("flush", F.floor(at / size).cast("int"))
+
+
+def merged_metadata(rows: DataFrame, key: str, seq: str, column: str) -> DataFrame:
+    """key, column: maps merged in order of seq, the later value of a name wins."""
+    each = rows.select(key, seq, F.explode(column).alias("name", "value")).groupBy(key, "name").agg(F.max_by("value", seq).alias("value"))
+    return each.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias(column))
+
+
+def merged_statistics(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Running totals resumed from what was saved: calls, tokens, latency and the mean latency."""
+    every = old.unionByName(new).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("calls", "tokens", "latency")])
+    return every.withColumn("mean_latency", F.when(F.col("calls") > 0, F.col("latency") / F.col("calls")))
+
+
+def jobs(events: DataFrame) -> DataFrame:
+    """State of each session's last job: pending, skipped or done; ends of older jobs are ignored.
+
+    events(session_id, job_id, ended boolean, skipped_reason, error).
+    """
+    last = events.groupBy("session_id").agg(F.max("job_id").alias("job_id"))
+    own = events.join(last, ["session_id", "job_id"]).groupBy("session_id", "job_id").agg(F.max("ended").alias("ended"), F.max("skipped_reason").alias("skipped_reason"), F.max("error").alias("error"))
+    status = F.when(~F.col("ended"), "pending").when(F.col("error").isNull() & F.col("skipped_reason").isNotNull(), "skipped").otherwise("done")
+    return own.select("session_id", "job_id", status.alias("status"), F.when(F.col("error").isNull(), F.col("skipped_reason")).alias("skipped_reason"), "error")
+
+
+def generations(events: DataFrame, seconds: int) -> DataFrame:
+    """events with generation: how many boundaries a user has had, those within seconds of the one before left out."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
+    t = events.withColumn("rotates", (gap.isNull() | (gap >= seconds * 1_000_000)).cast("int"))
+    return t.withColumn("generation", F.sum("rotates").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def is_empty(rows: DataFrame) -> bool:
+    """Whether a table has rows, the gate before a search."""
+    return rows.isEmpty()

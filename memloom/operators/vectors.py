@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Queries that are broadcast together, and parts that the rows are dealt to where there are more.
+BROADCAST_QUERIES, SPREAD = 128, 16
+#: Average rows a side of a cell where two large sets of vectors meet.
+CELL = 2048
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -30,12 +38,21 @@ def unit(v: Column) -> Column:
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
     """query_id, id, distance, rank: the k nearest rows of each query.
 
-    queries(query_id, q) is the small side by contract of a request (at most 128 rows: 8 routes of 16 queries), which
-    is what makes its broadcast safe. Vectors of another width than the query's are no match. The distance is
-    computed once, below the ranking, whose group limit is applied before the shuffle.
+    queries(query_id, q) is counted: up to BROADCAST_QUERIES (a request has 8 routes of 16 queries) they are broadcast;
+    more are dealt to blocks of that many, and each row meets every block in one of SPREAD parts. Vectors of another
+    width than the query's are no match. The distance is computed once, below the ranking, whose group limit is applied
+    before the shuffle.
     """
     d = F.round(squared_l2(F.col(vector), F.col("q")) if metric == "l2" else 1 - cosine(F.col(vector), F.col("q")), 6)
-    pairs = rows.join(F.broadcast(queries.select("query_id", "q").limit(128)), F.size(vector) == F.size("q"))
+    queries = queries.select("query_id", "q")
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        pairs = rows.join(F.broadcast(queries), F.size(vector) == F.size("q"))
+    else:
+        blocks = -(-queries.count() // BROADCAST_QUERIES)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", spread(SPREAD))
+        right = rows.select(F.col(id_col), F.col(vector), F.pmod(F.xxhash64(id_col), F.lit(SPREAD)).cast("int").alias("part")).withColumn("block", spread(blocks))
+        pairs = right.join(left.hint("shuffle_hash"), ["block", "part"]).filter(F.size(vector) == F.size("q"))
     scored = pairs.select("query_id", F.col(id_col).alias("id"), d.alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -68,10 +85,44 @@ def checked(rows: DataFrame, width: int, vector: str = "embedding") -> DataFrame
     return rows
 
 
-def fuse_channels(left: DataFrame, right: DataFrame, w_left: float = 0.6, w_right: float = 0.4) -> DataFrame:
-    """Full outer fusion of two hit lists (id, score) by weighted sum; a missing score is 0."""
+def fuse_channels(left: DataFrame, right: DataFrame, w_left: float = 0.6, w_right: float = 0.4, importance: DataFrame | None = None) -> DataFrame:
+    """Full outer fusion of two hit lists (id, score) by weighted sum; a missing score is 0.
+
+    importance(id, importance): scores are scaled by half and half the importance; .5 where it is unknown.
+    """
     l, r = left.select("id", F.col("score").alias("a")), right.select("id", F.col("score").alias("b"))
-    return l.join(r, "id", "full").select("id", (w_left * F.coalesce("a", F.lit(0.0)) + w_right * F.coalesce("b", F.lit(0.0))).alias("score"))
+    fused = l.join(r, "id", "full").select("id", (w_left * F.coalesce("a", F.lit(0.0)) + w_right * F.coalesce("b", F.lit(0.0))).alias("score"))
+    if importance is None:
+        return fused
+    return fused.join(importance, "id", "left").select("id", (F.col("score") * (0.5 + 0.5 * F.coalesce("importance", F.lit(0.5)))).alias("score"))
+
+
+def best_match(new: DataFrame, old: DataFrame, cell: int = CELL) -> DataFrame:
+    """new_id, old_id, sim: the old vector that each new one is nearest to by cosine; ties go to the smaller id (H8).
+
+    new(new_id, a) and old(old_id, b) meet in a grid of cells of about cell rows a side; each cell is one matrix product
+    and returns a row a new vector. Vectors without length are like nothing (0); only equal widths are compared.
+    """
+    down, across = (max(1, -(-t.count() // cell)) for t in (new, old))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = new.select("new_id", "a", F.size("a").alias("dim")).withColumn("down", deal("new_id", down)).withColumn("across", every(across))
+    right = old.select("old_id", "b", F.size("b").alias("dim")).withColumn("across", deal("old_id", across)).withColumn("down", every(down))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"new_id": [], "old_id": [], "sim": []}).astype({"new_id": "int64", "old_id": "int64", "sim": "float64"})
+        y = y.sort_values("old_id")
+        a, b = (np.array(c.tolist(), np.float64) for c in (x["a"], y["b"]))
+        norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        sim = np.round(np.clip(np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0), -1, 1), 6)
+        best = sim.argmax(1)
+        return pd.DataFrame({"new_id": x["new_id"].to_numpy(), "old_id": y["old_id"].to_numpy()[best], "sim": sim[np.arange(len(a)), best]})
+
+    keys = ["down", "across", "dim"]
+    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "new_id long, old_id long, sim double")
+    w = Window.partitionBy("new_id").orderBy(F.desc("sim"), "old_id")
+    return cells.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
 def centroid(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:

@@ -45,8 +45,15 @@ def _tokens(c: str) -> str:
     return f"greatest(1, length({c}) - length(regexp_replace({c}, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) + len(regexp_extract_all({c}, '[A-Za-z0-9_]+')) + floor((length({plain}) - (length({c}) - length(regexp_replace({c}, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')))) / 4))::BIGINT"
 
 
+def _fold(c: str) -> str:
+    c = f"lower({c})"
+    for a, b in text.FOLDINGS:
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
 def _key(c: str) -> str:
-    x = f"regexp_replace(lower(trim({c})), '[\\s\\-_:/\\\\|,;\\x{{ff0c}}\\x{{ff1b}}\\x{{ff1a}}]+', ' ', 'g')"
+    x = f"regexp_replace({_fold(f'trim({c})')}, '[\\s\\-_:/\\\\|,;\\x{{ff0c}}\\x{{ff1b}}\\x{{ff1a}}]+', ' ', 'g')"
     return f"trim(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_ ]+', '', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -94,11 +101,12 @@ def vector_width_contract(spark, d):
 
 @query(f"""WITH h AS ({_HITS.format(ids='10, 11')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM h),
     a AS (SELECT id, 1 - distance AS score FROM r WHERE query_id = 10 AND rank <= 30), b AS (SELECT id, 1 - distance AS score FROM r WHERE query_id = 11 AND rank <= 30)
-    SELECT coalesce(a.id, b.id) AS id, round(0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b ON a.id = b.id""")
+    SELECT coalesce(a.id, b.id) AS id, round((0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0)) * (0.5 + 0.5 * coalesce(n_chars % 100 / 100.0, 0.5)), 6)::DOUBLE AS score FROM a FULL JOIN b ON a.id = b.id LEFT JOIN documents ON doc_id = coalesce(a.id, b.id)""")
 def dual_channel_full_outer_fusion(spark, d):
     e = tables.read(spark, d, "embeddings")
     hits = vectors.nearest(e, _some(e, 10, 11), 30).withColumn("score", 1 - F.col("distance"))
-    fused = vectors.fuse_channels(hits.filter("query_id = 10"), hits.filter("query_id = 11"))
+    importance = tables.read(spark, d, "documents").select(F.col("doc_id").alias("id"), ((F.col("n_chars") % 100) / 100.0).alias("importance"))
+    fused = vectors.fuse_channels(hits.filter("query_id = 10"), hits.filter("query_id = 11"), importance=importance)
     return fused.select("id", F.round("score", 6).alias("score"))
 
 
@@ -115,16 +123,10 @@ def label_centroids(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) AS r FROM c)
     SELECT new_id, CASE WHEN sim >= 0.85 THEN old_id ELSE new_id END AS skill_id, sim FROM r WHERE r = 1""")
 def skill_upsert_nn(spark, d):
-    """Each new skill takes the id of the old one it is nearest to, from .85 on (H8). New skills are a request's few."""
+    """Each new skill takes the id of the old one it is nearest to, from .85 on (H8)."""
     e = tables.read(spark, d, "embeddings")
     new, old = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("new_id"), F.col("embedding").alias("a")), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("old_id"), F.col("embedding").alias("b"))
-    # the batch of new skills is dealt to every block of old ones
-    blocks = 16
-    new = new.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    old = old.withColumn("block", F.pmod(F.xxhash64("old_id"), F.lit(blocks)).cast("int"))
-    pairs = new.join(old.hint("shuffle_hash"), "block").select("new_id", "old_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("sim"))
-    w = Window.partitionBy("new_id").orderBy(F.desc("sim"), "old_id")
-    best = pairs.withColumn("r", F.row_number().over(w)).filter("r = 1")
+    best = vectors.best_match(new, old)
     return best.select("new_id", F.when(F.col("sim") >= 0.85, F.col("old_id")).otherwise(F.col("new_id")).alias("skill_id"), "sim")
 
 
@@ -138,12 +140,12 @@ def session_summary(spark, d):
     return sessions.summaries(tables.turns(spark, d))
 
 
-@query(f"""WITH t AS ({_TURNS}), a AS (SELECT session_id, turn_index FROM t WHERE turn_index % 3 = 1)
+@query(f"""WITH t AS ({_TURNS}), a AS (SELECT session_id, turn_index FROM t WHERE role = 'user')
     SELECT a.session_id || ':' || a.turn_index AS anchor_id, t.session_id, t.turn_index, t.role, t.content
     FROM a JOIN t ON a.session_id = t.session_id AND t.turn_index BETWEEN a.turn_index - 2 AND a.turn_index + 2""")
 def turn_window_range_join(spark, d):
     t = tables.turns(spark, d)
-    anchors = t.filter("turn_index % 3 = 1").select("session_id", F.col("turn_index").alias("lo"), F.col("turn_index").alias("hi"), F.concat_ws(":", "session_id", "turn_index").alias("anchor_id"))
+    anchors = t.filter("role = 'user'").select("session_id", F.col("turn_index").alias("lo"), F.col("turn_index").alias("hi"), F.concat_ws(":", "session_id", "turn_index").alias("anchor_id"))
     return sessions.window_around(t, anchors, 2)
 
 
@@ -186,14 +188,14 @@ def render_context(spark, d):
     return sessions.render(t, s)
 
 
-@query(f"""WITH t AS ({_TURNS}), w AS (SELECT session_id, greatest(turn_index - 1, 0) AS lo, turn_index + 1 AS hi, 0.5 + (turn_index % 5) / 100.0::DOUBLE AS score FROM t WHERE turn_index % 4 <> 2),
+@query(f"""WITH t AS ({_TURNS}), w AS (SELECT session_id, greatest(turn_index - 1, 0) AS lo, turn_index + 1 AS hi, 0.5 + (turn_index % 5) / 100.0::DOUBLE AS score FROM t WHERE role = 'user'),
     n AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY session_id ORDER BY lo, hi, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM w),
     i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY lo, hi, score ROWS UNBOUNDED PRECEDING) AS island FROM n),
     p AS (SELECT *, row_number() OVER (PARTITION BY session_id, island ORDER BY lo, hi, score) AS i, count(*) OVER (PARTITION BY session_id, island) AS n FROM i)
     SELECT session_id, island::BIGINT AS island, min(lo)::INTEGER AS lo, max(hi)::INTEGER AS hi, max(n)::BIGINT AS n_windows,
            round(least(1, max(CASE WHEN n = 1 THEN score ELSE score + 0.03 * (n - greatest(i, 2) + 1) END)), 6)::DOUBLE AS score FROM p GROUP BY session_id, island""")
 def window_islands(spark, d):
-    t = tables.turns(spark, d).filter("turn_index % 4 <> 2")
+    t = tables.turns(spark, d).filter("role = 'user'")
     w = t.select("session_id", F.greatest(F.col("turn_index") - 1, F.lit(0)).alias("lo"), (F.col("turn_index") + 1).alias("hi"), (0.5 + (F.col("turn_index") % 5) / 100.0).alias("score"))
     return sessions.islands(w, 0)
 
@@ -231,15 +233,15 @@ def node_ids(spark, d):
     return s.select(text.node_id(F.lit("entity"), F.col("source")).alias("node_id"), "source")
 
 
-@query("""WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
-    SELECT o_orderkey, day, 'day:' || day AS day_key, 'month:' || substr(day, 1, 7) AS month_key, strftime(last_day(day::DATE), '%Y-%m-%d') AS month_end FROM t""")
+@query("""WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') AS b, strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') AS c FROM orders)
+    SELECT o_orderkey, [a, b, c] AS days, 'day:' || a AS day_key, 'month:' || substr(a, 1, 7) AS month_key, strftime(last_day(a::DATE), '%Y-%m-%d') AS month_end FROM t""")
 def date_keys(spark, d):
-    """Dates written out in three forms and found again."""
-    o = tables.read(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    form = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy/M/d")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
-    o = o.select("o_orderkey", temporal.date_key(F.concat(F.lit("we met on "), form, F.lit(" at noon"))).alias("day"))
-    keys = temporal.temporal_keys(F.col("day"))
-    return o.select("o_orderkey", "day", F.get(keys, F.lit(0)).alias("day_key"), F.get(keys, F.lit(1)).alias("month_key"), temporal.month_end(temporal.month_key(F.col("day"))).alias("month_end"))
+    """Dates written out in three forms, one of them twice, and found again, with one that no calendar has."""
+    day = lambda n, form: F.date_format(F.date_add("o_orderdate", n), form)
+    body = F.concat(F.lit("on "), day(90, "d MMM yyyy"), F.lit(", after "), day(40, "MMMM d, yyyy"), F.lit(" and "), day(0, "yyyy/M/d"), F.lit(", not 2023-02-30; again "), day(0, "yyyy-MM-dd"))
+    o = tables.read(spark, d, "orders").select("o_orderkey", temporal.date_keys(body).alias("days"))
+    keys = temporal.temporal_keys(F.get("days", F.lit(0)))
+    return o.select("o_orderkey", "days", F.get(keys, F.lit(0)).alias("day_key"), F.get(keys, F.lit(1)).alias("month_key"), temporal.month_end(temporal.month_key(F.get("days", F.lit(0)))).alias("month_end"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), s AS (SELECT avg(len(w)) AS a, count(*) AS n FROM w),
@@ -257,17 +259,28 @@ def like_search(spark, d):
     return p.select("page_id", "url").orderBy(F.desc("page_id")).offset(5).limit(20)
 
 
-@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS a FROM benchmark), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS b FROM documents),
+@query(f"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all({_fold('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS a FROM benchmark), o AS (SELECT doc_id, list_distinct(regexp_extract_all({_fold("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}_]+')) AS b FROM documents),
     x AS (SELECT item_id, unnest(a) AS t, len(a) AS n FROM q), y AS (SELECT doc_id, unnest(b) AS t, len(b) AS n FROM o),
     s AS (SELECT item_id, doc_id, count(*) AS shared, any_value(x.n) AS nx, any_value(y.n) AS ny FROM x JOIN y ON x.t = y.t GROUP BY item_id, doc_id)
     SELECT item_id, doc_id, round(shared / (nx + ny - shared), 6) AS similarity FROM s WHERE shared * 5 >= nx + ny - shared""")
 def jaccard_similarity(spark, d):
-    """Question and document term sets that share a fifth or more: an equi-join on terms, not on pairs."""
-    terms = lambda t, i: tables.read(spark, d, t).select(i, text.token_set(F.col("text")).alias("s")).select(i, F.explode("s").alias("t"), F.size("s").alias("n"))
-    x, y = terms("benchmark", "item_id").withColumnRenamed("n", "nx"), terms("documents", "doc_id").withColumnRenamed("n", "ny")
-    s = x.join(y, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    union = F.col("nx") + F.col("ny") - F.col("both")
-    return s.filter(5 * F.col("both") >= union).select("item_id", "doc_id", F.round(F.col("both") / union, 6).alias("similarity"))
+    """Question and document term sets that share a fifth or more.
+
+    Such a pair shares a fifth of the question's terms, so one of its rarest n - ceil(n / 5) + 1; only on these do the sides
+    meet, if their sizes allow it, and the sets are compared then.
+    """
+    sets = lambda t, i, s: tables.read(spark, d, t).select(i, text.token_set(F.col("text")).alias(s))
+    x, y = sets("benchmark", "item_id", "a"), sets("documents", "doc_id", "b")
+    terms = x.select("item_id", F.size("a").alias("nx"), F.explode("a").alias("t"))
+    postings = y.select("doc_id", F.size("b").alias("ny"), F.explode("b").alias("t"))
+    often = postings.join(terms.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    rare = terms.join(often, "t").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "t")))
+    gone = F.col("nx") - F.count(F.lit(1)).over(Window.partitionBy("item_id"))  # terms that no document has are the rarest
+    rare = rare.withColumn("gone", gone).filter(F.col("r") + F.col("gone") <= F.col("nx") - F.ceil(F.col("nx") / 5) + 1)
+    met = rare.join(postings, "t").filter("5 * nx >= ny and 5 * ny >= nx").select("item_id", "doc_id").distinct()
+    both = F.size(F.array_intersect("a", "b"))
+    s = met.join(x, "item_id").join(y, "doc_id").select("item_id", "doc_id", both.alias("both"), (F.size("a") + F.size("b") - both).alias("all"))
+    return s.filter("5 * both >= all").select("item_id", "doc_id", F.round(F.col("both") / F.col("all"), 6).alias("similarity"))
 
 
 # ---- evidence ------------------------------------------------------------------------------------------------
@@ -308,14 +321,6 @@ def temporal_nodes(spark, d):
     return evidence.temporal_nodes(_days(spark, d))
 
 
-@query(f"""WITH n AS ({_NODES}), p AS (SELECT * FROM (VALUES (1, '1995-03-10', '1995-03-20'), (2, '1996-12-30', '1997-01-02'), (3, '2050-01-01', '2050-02-01')) v(plan_id, since, until)),
-    h AS (SELECT plan_id, key, n_records, CASE WHEN key LIKE 'day:%' THEN 0.42 ELSE 0.28 END::DOUBLE AS score FROM n JOIN p ON n."end" >= p.since AND n.start <= p.until),
-    r AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, key)::INTEGER AS rank FROM h)
-    SELECT plan_id, key, n_records, score, rank FROM r WHERE rank <= 12""")
-def temporal_overlap_recall(spark, d):
-    plans = spark.createDataFrame([(1, "1995-03-10", "1995-03-20"), (2, "1996-12-30", "1997-01-02"), (3, "2050-01-01", "2050-02-01")], "plan_id int, since string, until string")
-    return evidence.temporal_recall(evidence.temporal_nodes(_days(spark, d)), plans, 12)
-
 
 @query(f"""WITH i AS (SELECT DISTINCT * FROM ({_INDEX})), n AS (SELECT * FROM (VALUES ('entity', 'src1', 0.9), ('entity', 'src2', 0.5), ('tag', 'fr', 0.8)) v(node_type, key, score))
     SELECT record_id, round(max(score * CASE WHEN i.node_type = 'entity' THEN 0.34 ELSE 0.32 END), 6)::DOUBLE AS field_score, count(*)::BIGINT AS n_nodes FROM n JOIN i ON n.node_type = i.node_type AND n.key = i.key GROUP BY record_id""")
@@ -404,38 +409,53 @@ def ttl_tiers(spark, d):
 @query(f"""WITH h AS ({_HITS.format(ids='20, 21, 22')}), s AS (SELECT query_id AS route, id, 1 - distance / 4 AS score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, id) AS rank FROM s),
     f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(score) AS best, min(rank) AS best_rank FROM r WHERE rank <= 60 GROUP BY id),
     g AS (SELECT id, best_rank, round(0.82 * best + 0.18 * (rrf / (SELECT max(rrf) FROM f)), 6) AS score FROM f),
-    o AS (SELECT *, row_number() OVER (ORDER BY (best_rank <= 4) DESC, score DESC, id)::INTEGER AS place FROM g)
-    SELECT id, best_rank::INTEGER AS best_rank, score, place FROM o WHERE place <= 15""")
+    c1 AS (SELECT id, rank AS n FROM r WHERE route = 20 AND rank <= 4),
+    c2 AS (SELECT id, 4 + row_number() OVER (ORDER BY rank) AS n FROM r WHERE route = 21 AND id NOT IN (SELECT id FROM c1) QUALIFY row_number() OVER (ORDER BY rank) <= 4),
+    c3 AS (SELECT id, 8 + row_number() OVER (ORDER BY rank) AS n FROM r WHERE route = 22 AND id NOT IN (SELECT id FROM c1 UNION SELECT id FROM c2) QUALIFY row_number() OVER (ORDER BY rank) <= 4),
+    c4 AS (SELECT id, 12 + row_number() OVER (ORDER BY score DESC, id) AS n FROM g WHERE id NOT IN (SELECT id FROM c1 UNION SELECT id FROM c2 UNION SELECT id FROM c3)),
+    o AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4)
+    SELECT id, best_rank::INTEGER AS best_rank, score, n::INTEGER AS place FROM o JOIN g USING (id) WHERE n <= 15""")
 def rrf_fusion(spark, d):
     e = tables.read(spark, d, "embeddings")
-    hits = vectors.nearest(e, _some(e, 20, 21, 22), 60).select(F.col("query_id").alias("route"), "id", (1 - F.col("distance") / 4).alias("score"))
-    return ranking.rrf(hits, 15, 4)
+    hits = vectors.nearest(e, _some(e, 20, 21, 22), 60).select(F.lit(1).alias("request"), F.col("query_id").alias("route"), F.col("query_id").alias("route_no"), "id", (1 - F.col("distance") / 4).alias("score"))
+    return ranking.rrf(hits, 15).drop("request")
 
 
-@query(f"""WITH h AS ({_HITS.format(ids='30')}), c AS (SELECT id, label AS bucket, 1 - distance / 4 AS score, row_number() OVER (ORDER BY 1 - distance / 4 DESC, id) AS place FROM h),
-    f AS (SELECT id, 0 AS turn, NULL AS spot, score FROM c WHERE place <= 40),
-    r AS (SELECT id, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id) AS turn, bucket::VARCHAR AS spot, score FROM c WHERE place > 40 AND place <= 120),
-    p AS (SELECT *, row_number() OVER (ORDER BY turn, spot NULLS FIRST, score DESC, id)::INTEGER AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM r))
+@query(f"""WITH h AS ({_HITS.format(ids='30')}), c AS (SELECT id, label::VARCHAR AS bucket, 1 - distance / 4 AS score, row_number() OVER (ORDER BY 1 - distance / 4 DESC, id) AS place FROM h),
+    f AS (SELECT id, 0 AS turn, NULL AS spot, score, place FROM c WHERE place <= 40),
+    r AS (SELECT id, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id) AS turn, bucket AS spot, score, 0 AS place FROM c WHERE place > 40),
+    p AS (SELECT *, row_number() OVER (ORDER BY turn, place, spot NULLS FIRST)::INTEGER AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM r))
     SELECT n, id, turn::INTEGER AS turn, score FROM p WHERE n <= 60""")
 def rerank_pool_round_robin(spark, d):
+    """All vectors as candidates, a channel a label: each label has its turn, however low its best one ranks."""
     e = tables.read(spark, d, "embeddings")
-    hits = vectors.nearest(e, _some(e, 30), 120).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("bucket")), "id")
-    return ranking.rerank_pool(hits.select("id", "bucket", (1 - F.col("distance") / 4).alias("score")), 60)
+    hits = vectors.nearest(e, _some(e, 30), 1 << 30).join(e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("bucket")), "id")
+    c = hits.select(F.lit(1).alias("request"), "id", F.lit("record").alias("source"), F.array("bucket").alias("channels"), (1 - F.col("distance") / 4).alias("score"))
+    return ranking.rerank_pool(c, 60).select("n", "id", "turn", "score")
 
 
 @query()
 def mmr_select(spark, d):
-    docs = tables.read(spark, d, "documents")
-    c = docs.select(F.col("lang").alias("request"), F.col("doc_id").alias("id"), (1 / (1 + F.col("n_chars") / 1000)).alias("score"), text.token_set(F.col("text")).alias("terms")).filter("request is not null")
+    docs = tables.read(spark, d, "documents").filter("lang is not null")
+    c = docs.select(F.col("lang").alias("request"), F.col("doc_id").alias("id"), (1 / (1 + F.col("n_chars") / 1000)).alias("score"), "text", F.col("source").alias("session"), F.array("source").alias("entities"))
     return ranking.mmr(c, 10)
 
 
-@query()
+@query(f"""WITH h AS ({_HITS.format(ids='40, 41')}), c AS (SELECT query_id AS request, id, CASE WHEN id % 2 = 0 THEN 'episode' ELSE 'record' END AS source, 1 - distance / 4 AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM h QUALIFY place <= 40),
+    s AS (SELECT *, id % 3 AS route FROM c WHERE place <= 15), b AS (SELECT request, max(score) AS best FROM c WHERE source = 'record' GROUP BY request),
+    rr AS (SELECT DISTINCT request, route FROM s WHERE source = 'record'), er AS (SELECT request, count(DISTINCT route) AS n FROM s WHERE source = 'episode' GROUP BY request),
+    m AS (SELECT s.*, b.best, er.n AS n_routes, source = 'episode' AND NOT EXISTS (SELECT 1 FROM rr WHERE rr.request = s.request AND rr.route = s.route) AS needed FROM s JOIN b USING (request) JOIN er USING (request)),
+    t AS (SELECT *, source = 'episode' AND NOT needed AND score >= greatest(0.35, best * 0.72) AS fit FROM m),
+    a AS (SELECT *, coalesce(sum((needed OR fit)::INTEGER) OVER (PARTITION BY request ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM t),
+    k AS (SELECT request, id, source, score, 0 AS late FROM a WHERE source = 'record' OR needed OR (fit AND ahead < greatest(1, least(15, greatest(2, 6, n_routes))))),
+    f AS (SELECT c.request, c.id, c.source, c.score, 1 AS late FROM c JOIN (SELECT request, 15 - count(*) AS room FROM k GROUP BY request) USING (request) WHERE source = 'record' AND id NOT IN (SELECT id FROM k WHERE k.request = c.request)
+          QUALIFY row_number() OVER (PARTITION BY c.request ORDER BY c.score DESC, c.id) <= any_value(room) OVER (PARTITION BY c.request))
+    SELECT request, id, source, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, late, id)::INTEGER AS place FROM (SELECT * FROM k UNION ALL SELECT * FROM f)""")
 def episode_budget(spark, d):
+    """Fifteen selected of forty candidates, even ids as dialogue, in three routes (T4)."""
     e = tables.read(spark, d, "embeddings")
-    hits = vectors.nearest(e, _some(e, 40, 41), 15)
-    rows = hits.select(F.col("query_id").alias("request"), "id", F.when(F.col("id") % 2 == 0, "episode").otherwise("record").alias("kind"), (1 - F.col("distance") / 4).alias("score"))
-    return ranking.episode_budget(rows, 15)
+    c = vectors.nearest(e, _some(e, 40, 41), 40).select(F.col("query_id").alias("request"), "id", F.when(F.col("id") % 2 == 0, "episode").otherwise("record").alias("source"), (1 - F.col("distance") / 4).alias("score"), F.col("rank").alias("place"), F.array((F.col("id") % 3).cast("string")).alias("routes"))
+    return ranking.episode_budget(c.filter("place <= 15"), c, 15)
 
 
 # ---- streams -------------------------------------------------------------------------------------------------
@@ -460,13 +480,17 @@ def cooldown_throttle(spark, d):
 # ---- more of the stores, plans and scores ------------------------------------------------------------------------
 
 
-@query("""SELECT 'n' || event_type AS node_id, max(event_id) AS seq, list_sort(list(DISTINCT user_id)) AS record_ids, strftime(min(ts), '%Y-%m-%d') AS start, strftime(max(ts), '%Y-%m-%d') AS "end" FROM events GROUP BY event_type""")
+@query("""WITH e AS (SELECT *, event_id % 7 AS part FROM events), n AS (SELECT event_type, part, max(event_id) AS seq, event_type || ' ' || CASE WHEN part % 3 = 0 THEN '' ELSE part::VARCHAR END AS search_text FROM e GROUP BY event_type, part),
+    o AS (SELECT event_type, trim(string_agg(trim(search_text), chr(10) ORDER BY seq)) AS all_texts, list(trim(search_text) ORDER BY seq) AS texts FROM n GROUP BY event_type),
+    t AS (SELECT event_type, list_reduce(list_prepend('', texts), lambda a, x: CASE WHEN contains(a, x) THEN a WHEN a = '' THEN x ELSE a || chr(10) || x END) AS search_text FROM o)
+    SELECT 'n' || event_type AS node_id, max(event_id) AS seq, list_sort(list(DISTINCT user_id)) AS record_ids, any_value(t.search_text) AS search_text, strftime(min(ts), '%Y-%m-%d') AS start, strftime(max(ts), '%Y-%m-%d') AS "end" FROM events JOIN t USING (event_type) GROUP BY event_type""")
 def node_merge(spark, d):
     e = tables.read(spark, d, "events").groupBy("event_type", (F.col("event_id") % 7).alias("part"))
     nodes = e.agg(F.max("event_id").alias("seq"), F.collect_set("user_id").alias("record_ids"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("start"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("end"))
-    nodes = nodes.select(F.concat(F.lit("n"), "event_type").alias("node_id"), "part", "seq", "record_ids", F.col("event_type").alias("search_text"), "start", "end")
+    part = F.when(F.col("part") % 3 == 0, F.lit("")).otherwise(F.col("part").cast("string"))
+    nodes = nodes.select(F.concat(F.lit("n"), "event_type").alias("node_id"), "part", "seq", "record_ids", F.trim(F.concat("event_type", F.lit(" "), part)).alias("search_text"), "start", "end")
     merged = stores.merge_nodes(nodes.filter("part < 4").drop("part"), nodes.filter("part >= 4").drop("part"))
-    return merged.select("node_id", "seq", "record_ids", "start", "end")
+    return merged.select("node_id", "seq", "record_ids", "search_text", "start", "end")
 
 
 @query("SELECT user_id, event_type FROM events WHERE event_id % 2 = 1 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 AND value >= 10")
@@ -500,10 +524,10 @@ def json_columns(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 197) || chr(10) || '...' || chr(10) || right(text, 197) END AS text,
-    'user: ' || source || ': ' || substr(text, 1, 30) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+    'user: ' || CASE WHEN starts_with(text, source || ':') THEN text ELSE source || ': ' || text END AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
 def embedding_text(spark, d):
     t = tables.read(spark, d, "documents").filter("text is not null and source is not null")
-    return t.select("doc_id", text.head_and_tail(F.col("text"), 400).alias("text"), text.turn_line(F.lit("user"), F.substring("text", 1, 30), F.col("source")).alias("line"))
+    return t.select("doc_id", text.head_and_tail(F.col("text"), 400).alias("text"), text.turn_line(F.lit("user"), F.col("text"), F.col("source")).alias("line"))
 
 
 @query("""SELECT event_id, round(CASE WHEN value / 50 BETWEEN 0 AND 1 THEN value / 50 ELSE 1 / (1 + exp(-least(50, greatest(-50, value / 50)))) END, 6) AS score FROM events""")
@@ -511,12 +535,12 @@ def rerank_normalization(spark, d):
     return tables.read(spark, d, "events").select("event_id", F.round(scoring.rerank_score(F.col("value") / 50), 6).alias("score"))
 
 
-@query(f"""SELECT session_id, n_live, tokens, n_live * 250 AS chunk_tokens, CASE WHEN n_live * 250 < 700 THEN -1.3 WHEN n_live * 250 < 1000 THEN -0.8 + 0.8 * ((n_live * 250 - 700) / 300.0)
-    WHEN n_live * 250 < 1500 THEN 0.45 + 1.45 * ((n_live * 250 - 1000) / 500.0) WHEN n_live * 250 < 2000 THEN 1.9 + 0.9 * ((n_live * 250 - 1500) / 500.0) ELSE 3.0 END::DOUBLE AS hazard
+@query(f"""SELECT session_id, n_live, tokens, CASE WHEN tokens < 700 THEN -1.3 WHEN tokens < 1000 THEN -0.8 + 0.8 * ((tokens - 700) / 300.0)
+    WHEN tokens < 1500 THEN 0.45 + 1.45 * ((tokens - 1000) / 500.0) WHEN tokens < 2000 THEN 1.9 + 0.9 * ((tokens - 1500) / 500.0) ELSE 3.0 END::DOUBLE AS hazard
     FROM (SELECT conv_id AS session_id, count(*)::BIGINT AS n_live, sum({_tokens("coalesce(text, '')")} + 4)::BIGINT AS tokens FROM conversations GROUP BY conv_id)""")
 def length_hazards(spark, d):
-    b = sessions.boundaries(tables.turns(spark, d)).select("session_id", "n_live", "tokens").withColumn("chunk_tokens", F.col("n_live") * 250)
-    return b.withColumn("hazard", scoring.length_hazard(F.col("chunk_tokens")))
+    b = sessions.boundaries(tables.turns(spark, d)).select("session_id", "n_live", "tokens")
+    return b.withColumn("hazard", scoring.length_hazard(F.col("tokens")))
 
 
 @query("""WITH i AS (SELECT DISTINCT source AS k, doc_id FROM documents WHERE source IS NOT NULL) SELECT 'entity:' || k AS source, doc_id::VARCHAR AS target FROM i""")

@@ -9,8 +9,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -20,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_place
+
 OUTPUT = "session_id bigint, chunk int, start_turn int, end_turn int, tokens int, exchanges int, reason string"
 _STATE = "state string"
 WIDTH = 64
@@ -106,26 +106,46 @@ def boundary_probability(s: State, v: np.ndarray) -> tuple[float, float]:
 
 
 def _parts(turns: list[list], most: int) -> Iterator[tuple[int, int, int, str, bool]]:
-    """(first turn, last turn, tokens, text, forced) of an exchange, split where it would exceed most tokens."""
+    """(first turn, last turn, tokens, text, forced) of an exchange, split at turns where it would exceed most tokens.
+
+    Only the fragments of a turn that is too long by itself are forced to be chunks of their own (W7, W8).
+    """
+    whole = "\n".join(f"{role}: {text}" for _, role, text in turns)
+    if turns and (n := token_estimate(whole)) <= most:
+        yield turns[0][0], turns[-1][0], n, whole, False
+        return
     group: list[tuple[int, str, int]] = []
     total = 0
-    forced = False
     for turn, role, text in turns:
         line = f"{role}: {text}"
         n = token_estimate(line)
-        if group and total + n > most:
-            yield group[0][0], group[-1][0], total, "\n".join(x[1] for x in group), True
-            group, total, forced = [], 0, True
-        if n > most:  # a turn too long by itself: by characters
-            step = max(1, len(line) * most // n)
-            for i in range(0, len(line), step):
-                piece = line[i : i + step]
+        if group and (n > most or total + n > most):
+            yield group[0][0], group[-1][0], total, "\n".join(x[1] for x in group), False
+            group, total = [], 0
+        if n > most:
+            for piece in _fragments(role, text, most):
                 yield turn, turn, token_estimate(piece), piece, True
             continue
         group.append((turn, line, n))
         total += n
     if group:
-        yield group[0][0], group[-1][0], total, "\n".join(x[1] for x in group), forced and total >= most
+        yield group[0][0], group[-1][0], total, "\n".join(x[1] for x in group), False
+
+
+def _fragments(role: str, text: str, most: int) -> Iterator[str]:
+    """The longest pieces of a turn's text that fit most tokens, each with the role in front; blank ones are left out.
+
+    The estimate never falls as a text grows, so each end is found by halving.
+    """
+    at = 0
+    while at < len(text):
+        low, high = at + 1, len(text)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if token_estimate(f"{role}: {text[at:middle]}") <= most else (low, middle - 1)
+        if text[at:low].strip():
+            yield f"{role}: {text[at:low].strip()}"
+        at = low
 
 
 def _close(s: State, reason: str) -> tuple:
@@ -213,8 +233,7 @@ def chunk_stream(turns: DataFrame, limits: Limits = Limits(), idle: str | None =
 
 def stream_chunks(spark: SparkSession, path: str) -> DataFrame:
     """chunk_stream over a stored table of conversations, run until all of it is read."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="memloom-stream-")
-    place = f"{base.rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    place = shared_place(spark)
     schema = spark.read.parquet(path).schema
     ends = spark.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("end"))
     folder = path if not path.endswith(".parquet") or _is_folder(spark, path) else path.rpartition("/")[0]
