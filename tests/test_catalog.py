@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from memloom.plans import catalog
+from memloom.plans import catalog, retrieval, upkeep  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
@@ -23,6 +23,8 @@ def duck():
 def plain(v):
     if isinstance(v, float):
         return float(f"{v:.8g}")
+    if isinstance(v, dict):
+        return tuple(sorted(v.items()))
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 

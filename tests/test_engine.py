@@ -64,10 +64,65 @@ def test_islands(spark):
         assert sorted((r["lo"], r["hi"], r["n_windows"], r["score"]) for r in got if r["session_id"] == g) == want
 
 
+def alike(a, b):
+    both = lambda k: len(a[k] & b[k]) / len(a[k] | b[k]) if a[k] | b[k] else 0.0
+    return min(1.0, 0.15 * (a["session"] == b["session"]) + 0.2 * both("entities") + 0.25 * both("terms"))
+
+
 def test_mmr(spark):
-    rows = [("q", i, s, t) for i, (s, t) in enumerate([(1.0, ["a", "b"]), (0.95, ["a", "b"]), (0.8, ["c"]), (0.1, ["d"])])]
-    got = ranking.mmr(spark.createDataFrame(rows, "request string, id long, score double, terms array<string>"), 3).orderBy("place").collect()
-    assert [r["id"] for r in got] == [0, 2, 1]
+    pick = random.Random(2)
+    rows = [(r, i, round(pick.random(), 3), " ".join(pick.choice("abcdef") for _ in range(5)), pick.choice("xy"), [pick.choice("pqr")]) for r in (1, 2) for i in range(60)]
+    got = ranking.mmr(spark.createDataFrame(rows, "request int, id long, score double, text string, session string, entities array<string>"), 6).collect()
+    for r in (1, 2):
+        pool = sorted((x for x in rows if x[0] == r), key=lambda x: (-x[2], x[1]))[:24]
+        marks = {x[1]: {"session": x[4], "entities": set(x[5]), "terms": set(x[3].split())} for x in pool}
+        want: list = []
+        while len(want) < 6:
+            value = lambda x: round(0.75 * x[2] - 0.25 * max((alike(marks[x[1]], marks[c]) for c in want), default=0.0), 9)
+            left = [x for x in pool if x[1] not in want]
+            top = max(map(value, left))
+            want.append(next(x[1] for x in left if value(x) == top))
+        assert [x.id for x in sorted((x for x in got if x.request == r), key=lambda x: x.place)] == want
+
+
+def test_nearest_answers_every_query(spark):
+    pick = random.Random(4)
+    rows = [(i, [round(pick.random(), 3) for _ in range(4)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.nearest(frame, frame.selectExpr("vec_id query_id", "embedding q"), 2).collect()
+    assert len(got) == 600
+    for i, q in rows[::37]:
+        want = sorted((round(sum((x - y) ** 2 for x, y in zip(q, v)), 6), j) for j, v in rows)[:2]
+        assert [(r.distance, r.id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want
+
+
+def test_best_match_in_small_cells(spark):
+    pick = random.Random(6)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(5)]) for i in range(90)] + [(90, [0.0] * 5), (91, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "i long, v array<double>")
+    new, old = frame.filter("i % 3 = 0").selectExpr("i new_id", "v a"), frame.filter("i % 3 <> 0").selectExpr("i old_id", "v b")
+    got = {r.new_id: (r.old_id, r.sim) for r in vectors.best_match(new, old, cell=10).collect()}
+    assert got == {r.new_id: (r.old_id, r.sim) for r in vectors.best_match(new, old).collect()} and len(got) == 31
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for i, v in rows[:90:3]:
+        want = max((round(sum(x * y for x, y in zip(v, w)) / norm(v) / norm(w), 6), -j) for j, w in rows[:90] if j % 3)
+        assert got[i] == (-want[1], want[0])
+
+
+def test_cooldown(spark):
+    from datetime import datetime, timedelta
+
+    from memloom.streaming import throttle
+
+    pick = random.Random(8)
+    rows = [(i, pick.randrange(4), datetime(2024, 1, 1) + timedelta(seconds=pick.randrange(4000))) for i in range(200)]
+    got = throttle.cooldown(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz"), 300).collect()
+    want, last = set(), {}
+    for i, user, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if user not in last or (ts - last[user]).total_seconds() >= 300:
+            want.add((i, user))
+            last[user] = ts
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_upsert(spark):
@@ -90,11 +145,91 @@ def test_chunker_covers_every_turn_once():
         assert twice == found
 
 
-def test_rerank_pool_reaches_low_buckets(spark):
-    from memloom.operators import ranking
-
-    rows = [("a", i, 1000.0 - i) for i in range(400)] + [("b", 1000 + i, 1.0 - i) for i in range(3)]
-    got = ranking.rerank_pool(spark.createDataFrame(rows, "bucket string, id long, score double"), 4).collect()
-    assert sorted(r.id for r in got) == [0, 1, 2, 3]  # with limits up to 40 the global best fill the pool
-    got = ranking.rerank_pool(spark.createDataFrame([("a", i, 9000.0 - i) for i in range(3000)] + rows[-3:], "bucket string, id long, score double"), 50).collect()
+def test_chunker_splits():
+    """Pieces of a long exchange take the ordinary path; only fragments of one long turn are chunks of their own."""
+    long = lambda n: " ".join(["word"] * n)
+    found = list(chunker.feed(chunker.State(), [(0, "user", long(900)), (1, "assistant", long(900)), (2, "system", long(900))], True))
+    assert [f[1:3] for f in found] == [(0, 0), (1, 1), (2, 2)] and [f[5] for f in found] == ["capacity_limit", "capacity_limit", "flush"]
+    found = list(chunker.feed(chunker.State(), [(0, "user", "hi"), (1, "assistant", long(3000)), (2, "user", "bye")], True))
+    assert [f[5] for f in found] == ["oversized_turn_fragment"] * 3 + ["flush"] and [f[1:3] for f in found] == [(0, 0), (1, 1), (1, 1), (2, 2)]
+    pieces = list(chunker._fragments("user", long(3000), 2000))
+    assert all(p.startswith("user: ") and chunker.token_estimate(p) <= 2000 for p in pieces)
+    assert " ".join(p.removeprefix("user: ") for p in pieces).split() == long(3000).split()
+    text = "".join(random.Random(1).choice("ab 中,") for _ in range(500))
+    out, buffer = [], ""  # the same, character by character
+    for c in text:
+        if buffer and chunker.token_estimate(f"x: {buffer}{c}") > 40:
+            out, buffer = [*out, buffer], ""
+        buffer += c
+    assert list(chunker._fragments("x", text, 40)) == [f"x: {b.strip()}" for b in [*out, buffer] if b.strip()]
+
+
+def test_stream_gives_the_chunks_of_the_batch(spark):
+    from memloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, d).collect()))
+    assert rows("chunker_stream_equals_batch") == rows("chunker_batch")
+
+
+def test_rerank_pool(spark):
+    """Buckets of (source, channel) take turns; candidates in several buckets come once; low buckets have their turn."""
+    kinds = "request int, id long, source string, channels array<string>, score double"
+    low = [(1, 1000 + i, "a", ["low"], 1.0 - i) for i in range(3)]
+    got = ranking.rerank_pool(spark.createDataFrame([(1, i, "a", ["x"], 9000.0 - i) for i in range(3000)] + low, kinds), 50).collect()
     assert {r.id for r in got if r.turn} == {40, 41, 42, 43, 44, 45, 46, 1000, 1001, 1002}
+    pick = random.Random(9)
+    rows = [(1, i, pick.choice("ab"), pick.sample(["x", "y", "z", "w"], pick.randrange(0, 4)), float(200 - i)) for i in range(200)]
+    got = sorted(ranking.rerank_pool(spark.createDataFrame(rows, kinds), 90).collect(), key=lambda r: r.n)
+    chosen = [r[1] for r in rows[:45]]
+    buckets: dict = {}
+    for r in rows:
+        for c in r[3] or ["unknown"]:
+            buckets.setdefault((r[2], c), []).append(r[1])
+    while len(chosen) < 90:
+        for key in sorted(buckets):
+            left = [i for i in buckets[key] if i not in chosen]
+            if left and len(chosen) < 90:
+                chosen.append(left[0])
+    assert [r.id for r in got] == chosen
+
+
+def test_search_end_to_end(spark):
+    """Fusion, quotas, diversity and budget from the scored candidates of every route, in plain Python."""
+    from memloom.operators import search
+    from memloom.plans import retrieval
+    from memloom.sources import tables
+
+    d, k = "/root/testdata/sf0.001", retrieval.K
+    requests, routes, channels, turns = retrieval._requests(spark), retrieval._routes(spark), retrieval._channels(spark, d), tables.dated_turns(spark, d)
+    scored = search.route_search(requests, routes, channels, turns)
+    found = search.search(requests, routes, channels, turns, k).collect()
+    ranked = scored.join(routes.select("request", "route", "route_no"), ["request", "route"]).select("request", "route", "route_no", "id", "source", "final", "rank").collect()
+    ratios = {r.request: (r.episode_ratio, r.min_ratio) for r in requests.collect()}
+    for request in {r.request for r in ranked}:
+        rows = [r for r in ranked if r.request == request]
+        names = sorted({r.route_no for r in rows})
+        quota = max(1, min(4, k // len(names)))
+        near = [r for r in rows if r.rank <= max(4 * k, 4 * quota)]
+        rrf, best, source = {}, {}, {r.id: r.source for r in rows}
+        for r in near:
+            rrf[r.id] = rrf.get(r.id, 0) + 1 / (60 + r.rank)
+            best[r.id] = max(best.get(r.id, 0), r.final)
+        fused = {i: round(min(1, 0.82 * best[i] + 0.18 * rrf[i] / max(rrf.values())), 6) for i in rrf}
+        chosen: list = []
+        for no in names:
+            own = [r.id for r in sorted((r for r in near if r.route_no == no), key=lambda r: r.rank) if r.id not in chosen][:quota]
+            chosen += own[: k - len(chosen)]
+        for i in sorted(fused, key=lambda i: (-fused[i], i)):
+            if i not in chosen and len(chosen) < k:
+                chosen.append(i)
+        got = [r for r in found if r.request == request]
+        records = [r.final for r in rows if r.source == "record"]
+        dialogues = [i for i in chosen if source[i] == "episode"]
+        if not dialogues or not records:
+            assert {r.id for r in got} == set(chosen)
+        kept = [r.id for r in got if r.source == "episode"]
+        needed = {r.route for r in rows if r.id in dialogues} - {r.route for r in rows if r.id in chosen and r.source == "record"}
+        assert set(kept) <= set(dialogues) and {i for i in chosen if source[i] == "record"} <= {r.id for r in got} and len(got) <= k
+        assert len(kept) <= max(2, round(k * ratios[request][0]), len(names)) + sum(any(r.id == i and r.route in needed for r in rows) for i in dialogues)
+    assert {r.request for r in found} == {1, 2, 3}
