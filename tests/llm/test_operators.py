@@ -292,6 +292,16 @@ def test_encoder(text):
     assert e.encode(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_fuzz():
+    """Ids made piece by piece are those of the tokenizer on whole texts."""
+    pick = random.Random(3)
+    encoder = packing.Encoder.of(packing.tokenizer_path())
+    parts = ["the ", " of", "é", "ß", "\n", "\n\n", "  ", " \t", "\r\n", "1", "234", "'s", "...", "<|", "|>", "<|endoftext|>", "中文", "\u00a0", "\u2028", "a" * 70, "\x00", " \x0b", "Über", "👍", "e\u0301"]
+    for _ in range(3000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randrange(1, 14)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_patterns_hold_every_piece():
     pick = np.random.default_rng(2)
     for _ in range(10):
