@@ -233,3 +233,43 @@ def listing(turns: DataFrame, meta: DataFrame) -> DataFrame:
     """Session listing with each session's topic and tags, if it has any (J12, P17). meta(session_id, topic, tags)."""
     t = sessions.summaries(turns).join(meta, "session_id", "left")
     return t.withColumn("title", F.coalesce(F.nullif(F.trim("topic"), F.lit("")), "title")).drop("topic")
+
+
+def normalized_plan(plan: Column, query: Column) -> Column:
+    """A planner's answer in the coordinator's form, with the older names for aggregates."""
+    texts = "array<string>"
+    p = F.from_json(plan, f"mode string, question_type string, reason string, reasoning string, is_aggregate_query boolean, semantic_queries {texts}, pragmatic_queries {texts}, evidence_target string, aggregate_target string, evidence_constraints {texts}, aggregate_constraints {texts}")
+    clean = lambda c: F.filter(F.coalesce(c, F.array().cast(texts)), lambda x: _of(x) != "")
+    some = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
+    has = lambda c: F.nullif(c, F.lit(""))
+    aggregate = F.coalesce(p["is_aggregate_query"], F.lit(False)) | (F.lower(F.trim(F.coalesce(p["question_type"], F.lit("")))) == "aggregate")
+    queries = clean(p["semantic_queries"])
+    return F.struct(
+        F.coalesce(has(p["mode"]), F.lit("answer")).alias("mode"), F.coalesce(has(p["reason"]), p["reasoning"], F.lit("")).alias("reason"), F.coalesce(has(p["question_type"]), F.when(aggregate, "aggregate").otherwise("single")).alias("question_type"), aggregate.alias("is_aggregate_query"),
+        F.when(aggregate, some(queries, F.array(_of(query)))).otherwise(queries).alias("semantic_queries"), clean(p["pragmatic_queries"]).alias("pragmatic_queries"), F.coalesce(has(p["evidence_target"]), has(p["aggregate_target"]), query, F.lit("")).alias("evidence_target"),
+        some(clean(p["evidence_constraints"]), clean(p["aggregate_constraints"])).alias("evidence_constraints"), F.when(aggregate, _of(p["aggregate_target"])).otherwise(F.lit("")).alias("aggregate_target"),
+    )
+
+
+def trimmed_response(rows: DataFrame, level: Column) -> DataFrame:
+    """A search response by level: minimal keeps the context, compact the counts too, full all of it.
+
+    rows(request, context, provenance array, skills array).
+    """
+    lists = lambda c: F.when(level == "full", F.col(c)).otherwise(F.slice(F.col(c), 1, 0))
+    counts = F.when(level == "minimal", F.lit(None)).otherwise(F.greatest(F.lit(1), F.size("provenance")) + F.size("skills"))
+    return rows.select("request", level.alias("level"), "context", lists("provenance").alias("provenance"), lists("skills").alias("skills"), counts.alias("total"))
+
+
+def visual_context(hits: DataFrame, k: int = 3) -> DataFrame:
+    """request, context: the k best images of each request as lines (P26). hits(request, id, score, caption, scene_type)."""
+    t = hits.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k)
+    line = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] ("), "scene_type", F.lit(") "), "caption")
+    t = t.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    return t.select("request", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
+
+
+def token_usage(prompt: Column, answer: Column) -> Column:
+    """Token counts as a compatible chat interface tells them."""
+    p, a = F.coalesce(prompt, F.lit(0)), F.coalesce(answer, F.lit(0))
+    return F.struct(p.alias("prompt_tokens"), a.alias("completion_tokens"), (p + a).alias("total_tokens"))

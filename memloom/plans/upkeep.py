@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, temporal, text
-from ..operators import projections, ranking, sessions, stores, vectors
+from ..operators import ingest, projections, ranking, sessions, stores, vectors
 from ..sources import tables
 from ..sources.shared import shared_place
 from .catalog import _L2QE, _TURNS, query
@@ -428,3 +428,66 @@ def pipeline_status(spark, d):
     count = lambda t, what: t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
     turns = tables.turns(spark, d)
     return count(_docs(spark, d), "memories").unionByName(count(turns, "turns")).unionByName(count(tables.read(spark, d, "embeddings"), "vectors")).unionByName(count(turns.select("session_id").distinct(), "sessions"))
+
+
+# ---- ingest --------------------------------------------------------------------------------------------------
+
+_NEW = "t AS (SELECT conv_id AS session_id, turn::INTEGER AS turn_index, role, trim(coalesce(text, ''), ' ') AS content FROM conversations WHERE turn >= CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 0 END)"
+_MADE = f"{_NEW}, m AS (SELECT sha256(content) AS record_id, content, session_id, turn_index, role, row_number() OVER (PARTITION BY content ORDER BY session_id DESC, turn_index DESC) AS r FROM t WHERE role <> 'system' AND content <> '' AND NOT (role = 'user' AND content LIKE '/%')), o AS (SELECT * FROM m WHERE r = 1)"
+_KIND = f"CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])(?i:{_WORDS})([^A-Za-z0-9_]|$)') OR regexp_matches(content, '{_TERMS}') THEN 'preference' ELSE 'fact' END"
+
+
+def _ingested(spark, d) -> ingest.Ingested:
+    t = tables.turns(spark, d)
+    return ingest.ingest(t, t.filter("session_id % 2 = 0").select("session_id", F.lit(2).alias("watermark")).distinct())
+
+
+@query(f"WITH {_MADE} SELECT record_id, {_KIND} AS memory_type, session_id, [turn_index] AS evidence_turns FROM o")
+def ingest_records(spark, d):
+    """Records of the turns after each session's watermark: checked, one a text."""
+    return _ingested(spark, d).records.select("record_id", "memory_type", "session_id", "evidence_turns")
+
+
+@query(f"WITH {_MADE} SELECT 'entity' AS node_type, 'session ' || session_id AS key, record_id FROM o UNION ALL SELECT 'tag', role, record_id FROM o UNION ALL SELECT 'tag', {_KIND}, record_id FROM o")
+def ingest_evidence(spark, d):
+    return _ingested(spark, d).nodes
+
+
+@query(f"WITH {_NEW} SELECT session_id, max(turn_index + 1)::INTEGER AS watermark FROM (SELECT session_id, turn_index FROM t UNION ALL SELECT conv_id, 1 FROM conversations WHERE conv_id % 2 = 0) GROUP BY session_id")
+def ingest_watermarks(spark, d):
+    return _ingested(spark, d).watermarks
+
+
+@query("""WITH i AS (SELECT page_id % 40 AS session_id, substr(sha256(coalesce(html, '')), 1, 16) AS image_hash, min(CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'image/webp' END) AS mime FROM pages GROUP BY 1, 2), o AS (SELECT DISTINCT page_id % 40 AS session_id, substr(sha256(coalesce(html, '')), 1, 16) AS image_hash FROM pages WHERE page_id % 5 = 1)
+    SELECT substr(sha256(session_id || ':' || image_hash), 1, 32) AS record_id, session_id, session_id || '/' || image_hash || CASE mime WHEN 'image/png' THEN '.png' ELSE '.webp' END AS image_path, 'other' AS scene_type, 0.3::DOUBLE AS importance_score FROM i WHERE (session_id, image_hash) NOT IN (SELECT (session_id, image_hash) FROM o)""")
+def image_ingest(spark, d):
+    """Pages stand for images: hashed, placed, with defaults for what no model told; known ones are skipped."""
+    p = tables.read(spark, d, "pages").select((F.col("page_id") % 40).alias("session_id"), "page_id", F.coalesce("html", F.lit("")).alias("content"), F.when(F.col("page_id") % 3 == 0, "image/png").otherwise("image/webp").alias("mime"), F.lit("no answer").alias("answer"))
+    old = p.filter("page_id % 5 = 1").select("session_id", text.image_hash(F.col("content")).alias("image_hash"), F.lit(False).alias("expired"))
+    return ingest.ingest_images(p, old).select("record_id", "session_id", "image_path", "scene_type", "importance_score")
+
+
+@query("""SELECT v.* FROM (VALUES (1, 'action', 'aggregate', true, ['how many'], 'cats', ['alive']), (2, 'answer', 'single', false, []::VARCHAR[], 'x', []::VARCHAR[]), (3, 'answer', 'temporal', false, ['q'], 't', ['c'])) v(id, mode, question_type, is_aggregate_query, semantic_queries, evidence_target, evidence_constraints)""")
+def plan_normalization(spark, d):
+    rows = [(1, "how many", '{"mode": "action", "question_type": "aggregate", "aggregate_target": "cats", "aggregate_constraints": ["alive", " "]}'), (2, "x", "{oops"), (3, "y", '{"question_type": "temporal", "semantic_queries": ["q", ""], "evidence_target": "t", "evidence_constraints": ["c"]}')]
+    x = spark.createDataFrame(rows, "id int, query string, plan string").select("id", projections.normalized_plan(F.col("plan"), F.col("query")).alias("x"))
+    return x.select("id", *[F.col(f"x.{c}").alias(c) for c in ("mode", "question_type", "is_aggregate_query", "semantic_queries", "evidence_target", "evidence_constraints")])
+
+
+@query("""SELECT source AS request, CASE WHEN source < 'src1' THEN 'minimal' WHEN source < 'src2' THEN 'compact' ELSE 'full' END AS level, source AS context, CASE WHEN source >= 'src2' THEN list_sort(list(doc_id)) ELSE [] END AS provenance, CASE WHEN source >= 'src2' THEN ['s'] ELSE [] END AS skills,
+    CASE WHEN source >= 'src1' THEN (count(*) + 1)::INTEGER END AS total FROM documents GROUP BY source""")
+def response_trimming(spark, d):
+    t = _docs(spark, d).groupBy(F.col("source").alias("request")).agg(F.sort_array(F.collect_list("doc_id")).alias("provenance")).withColumns({"context": F.col("request"), "skills": F.array(F.lit("s"))})
+    return projections.trimmed_response(t, F.when(F.col("request") < "src1", "minimal").when(F.col("request") < "src2", "compact").otherwise("full"))
+
+
+@query("""WITH h AS (SELECT source AS request, doc_id AS id, n_chars AS score, lang, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) SELECT request, string_agg('[' || place || '] (' || lang || ') doc ' || id, chr(10) ORDER BY place) AS context FROM h WHERE place <= 3 GROUP BY request""")
+def visual_contexts(spark, d):
+    t = _docs(spark, d).select(F.col("source").alias("request"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("caption"), F.col("lang").alias("scene_type"))
+    return projections.visual_context(t)
+
+
+@query("SELECT conv_id AS session_id, count(*) AS prompt_tokens, count(*) FILTER (role = 'assistant') AS completion_tokens, count(*) + count(*) FILTER (role = 'assistant') AS total_tokens FROM conversations GROUP BY conv_id")
+def chat_usage(spark, d):
+    t = tables.turns(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("p"), F.count_if(F.col("role") == "assistant").alias("a"))
+    return t.select("session_id", projections.token_usage(F.col("p"), F.col("a")).alias("u")).select("session_id", "u.*")
