@@ -95,8 +95,9 @@ def query_label(since: Column, until: Column) -> Column:
 
 
 def time_basis(now: Column) -> Column:
-    """What relative dates in a text are reckoned from."""
-    return F.concat(F.lit("Local date: "), F.date_format(now, "yyyy-MM-dd"), F.lit("\nUTC time: "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    """What relative dates in a text are reckoned from: the day, and the time of a UTC timestamp."""
+    day, time = F.date_format(now, "yyyy-MM-dd"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(F.lit("Current time basis (for resolving relative time expressions):\n- Current local date: "), day, F.lit("\n- Current UTC time: "), time, F.lit("+00:00\n"))
 
 
 def reference_time(c: Column) -> Column:

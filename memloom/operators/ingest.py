@@ -37,6 +37,7 @@ def checked_records(records: DataFrame, counts: DataFrame) -> DataFrame:
     """Records with a known type and evidence turns inside their session (H3, F15). counts(session_id, n)."""
     kind = F.lower(F.trim("memory_type"))
     t = records.join(counts, "session_id").withColumn("memory_type", F.when(kind.isin(*MEMORY_TYPES), kind).otherwise(F.lit("fact")))
+    t = t.withColumn("normalized_text", F.concat("memory_type", F.lit(": "), "semantic_text"))
     return t.withColumn("evidence_turns", projections.evidence_turns(F.col("evidence_turns"), F.lit(0), F.col("n"))).drop("n").filter("trim(semantic_text) <> ''")
 
 
@@ -49,7 +50,7 @@ def ingest(turns: DataFrame, offsets: DataFrame, records: DataFrame | None = Non
     made = default_records(new) if records is None else records
     ends = turns.groupBy("session_id").agg((F.max("turn_index") + 1).alias("n"))
     made = checked_records(made, ends)
-    once = made.groupBy("record_id").agg(F.max_by(F.struct("memory_type", "semantic_text", "entities", "tags", "session_id", "evidence_turns"), F.struct("session_id", "seq")).alias("r")).select("record_id", "r.*")
+    once = made.groupBy("record_id").agg(F.max_by(F.struct("memory_type", "semantic_text", "normalized_text", "entities", "tags", "session_id", "evidence_turns"), F.struct("session_id", "seq")).alias("r")).select("record_id", "r.*")
     nodes = evidence.postings(once.select("record_id", "entities", F.array_append("tags", F.col("memory_type")).alias("tags")))
     return Ingested(chunker.chunks(new), once, nodes, sessions.advanced(offsets, new))
 

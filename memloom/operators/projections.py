@@ -201,7 +201,8 @@ def repaired_json(c: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
-SCENES = ("screenshot", "document", "photo", "chart", "other")
+#: Kinds of scenes.
+SCENES = ("screenshot", "chart", "photo", "document", "ui", "code", "other")
 
 
 def checked_extraction(c: Column) -> Column:

@@ -103,7 +103,7 @@ SCHEMAS = {
     "chunks": "session_id string, chunk int, start_turn int, end_turn int, tokens int, reason string",
 }
 #: File endings by kind of image.
-IMAGE_ENDINGS = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/bmp": "bmp"}
+IMAGE_ENDINGS = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/gif": "gif", "image/webp": "webp"}
 
 
 def create_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -411,6 +411,12 @@ def reference_times(spark, d):
     return rows.select("id", temporal.reference_time(F.col("t")).cast("timestamp_ntz").alias("moment"))
 
 
+@query("""SELECT event_id, 'Current time basis (for resolving relative time expressions):' || chr(10) || '- Current local date: ' || strftime(ts, '%Y-%m-%d') || chr(10) || '- Current UTC time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) AS basis FROM events""")
+def time_basis(spark, d):
+    """What relative dates are reckoned from."""
+    return _events(spark, d).select("event_id", temporal.time_basis(F.col("ts")).alias("basis"))
+
+
 @query("""SELECT v.* FROM (VALUES (1, 'image/png', 'QUJD'), (2, NULL, NULL)) v(id, mime, base64)""")
 def data_urls(spark, d):
     rows = spark.createDataFrame([(1, "data:image/png;base64,QUJD"), (2, "http://x/y.png")], "id int, url string")
@@ -442,10 +448,10 @@ def _ingested(spark, d) -> ingest.Ingested:
     return ingest.ingest(t, t.filter("session_id % 2 = 0").select("session_id", F.lit(2).alias("watermark")).distinct())
 
 
-@query(f"WITH {_MADE} SELECT record_id, {_KIND} AS memory_type, session_id, [turn_index] AS evidence_turns FROM o")
+@query(f"WITH {_MADE} SELECT record_id, {_KIND} AS memory_type, {_KIND} || ': ' || content AS normalized_text, session_id, [turn_index] AS evidence_turns FROM o")
 def ingest_records(spark, d):
     """Records of the turns after each session's watermark: checked, one a text."""
-    return _ingested(spark, d).records.select("record_id", "memory_type", "session_id", "evidence_turns")
+    return _ingested(spark, d).records.select("record_id", "memory_type", "normalized_text", "session_id", "evidence_turns")
 
 
 @query(f"WITH {_MADE} SELECT 'entity' AS node_type, 'session ' || session_id AS key, record_id FROM o UNION ALL SELECT 'tag', role, record_id FROM o UNION ALL SELECT 'tag', {_KIND}, record_id FROM o")
