@@ -203,6 +203,34 @@ def bm25_prefix(spark, d):
     return ranking.bm25(_docs(spark, d), ranking.query_terms('"Licen" version*'), 20, prefixes=True)
 
 
+_FTS = """WITH w AS (SELECT {id} AS id, regexp_extract_all(lower({text}), '[a-z0-9]+') AS w FROM {table}), s AS (SELECT avg(len(w)) AS a, count(*) AS n FROM w), x AS (SELECT id, len(w) AS l, unnest(w) AS term FROM w),
+    h AS (SELECT id, l, term, count(*) AS tf FROM x WHERE term IN ({terms}) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+    b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM h JOIN f ON h.term = f.term, s GROUP BY id), t AS (SELECT * FROM b ORDER BY score DESC, id LIMIT {limit})"""
+
+
+@query(_FTS.format(id="doc_id", text="coalesce(text, '')", table="documents", terms="'license', 'version'", limit=60) + ", k AS (SELECT id, score, source, lang FROM t JOIN documents ON doc_id = id WHERE lang IN ('en', 'fr') AND doc_id % 17 <> 0) SELECT * FROM k ORDER BY score DESC, id LIMIT 12")
+def fulltext_records(spark, d):
+    """Full-text hits with headroom, joined to their rows, of some types and not expired."""
+    docs = _docs(spark, d)
+    hits = ranking.bm25(docs, ["license", "version"], 60)
+    rows = docs.filter(F.col("lang").isin("en", "fr") & (F.col("doc_id") % 17 != 0)).select(F.col("doc_id").alias("id"), "source", "lang")
+    return hits.join(rows, "id").orderBy(F.desc("score"), "id").limit(12)
+
+
+@query("SELECT item_id AS skill_id, 1.0::DOUBLE AS score FROM benchmark WHERE len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'of'])) > 0 ORDER BY skill_id LIMIT 10")
+def fulltext_skills(spark, d):
+    """Skills that hold a term, all with the same score."""
+    b = tables.read(spark, d, "benchmark")
+    return ranking.bm25(b, ["the", "of"], 1 << 30, id_col="item_id").select(F.col("id").alias("skill_id"), F.lit(1.0).alias("score")).orderBy("skill_id").limit(10)
+
+
+@query(_FTS.format(id="'entity:' || source || ':' || doc_id", text="source || ' ' || coalesce(text, '')", table="documents", terms="'src3', 'license'", limit=10) + " SELECT id AS node_id, score FROM t")
+def fulltext_nodes(spark, d):
+    """Full text over evidence nodes' search texts."""
+    n = _docs(spark, d).select(F.concat(F.lit("entity:"), "source", F.lit(":"), F.col("doc_id").cast("string")).alias("node_id"), F.concat("source", F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    return ranking.bm25(n, ["src3", "license"], 10, id_col="node_id").withColumnRenamed("id", "node_id")
+
+
 @query(f"""WITH q AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY lower(trim(word))) AS first_id, lower(trim(word)) AS key FROM (VALUES (3, ' When '), (4, 'when'), (5, 'Where'), (6, 'WHERE ')) v(vec_id, word)),
     h AS (SELECT DISTINCT q.key, e.vec_id AS id, {_L2QE.replace('q.embedding', 'v.embedding')} AS distance FROM q JOIN embeddings v ON v.vec_id = q.first_id JOIN embeddings e ON len(e.embedding) = len(v.embedding))
     SELECT key, id, distance FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY distance, id) <= 5""")
