@@ -1,6 +1,6 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Each vector carries its distances to a fixed set of pivots. For a query q and a candidate x, the largest
+Each vector carries its distances to a fixed set of pivots, far apart in a bounded sample. For a query q and a candidate x, the largest
 |d(q, p) - d(x, p)| over the pivots is a lower bound of d(q, x), and so (|q|^2 + |x|^2 - bound^2) / 2 is an upper
 bound of their inner product. Candidates are evaluated in bound order until the k-th score exceeds every bound left.
 
@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 PIVOTS = 32
+#: Rows of a vector length among which its pivots are chosen, at most so many components in all; lengths with pivots.
+SAMPLE, SAMPLE_COMPONENTS, WIDTHS = 1024, 1 << 18, 16
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 #: Candidates evaluated between two looks at the bounds.
@@ -42,14 +44,26 @@ def usable(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v")).dropDuplicates()
 
 
-def pivots_of(rows: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """At most n pivots for each vector length, among at most 16 lengths, by hash of vec_id."""
+def far_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n rows of x: the farthest from the mean, then each time the one farthest from those chosen."""
+    chosen = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
+    least = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < n and least.max() > 0:
+        chosen.append(int(least.argmax()))
+        least = np.minimum(least, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def pivots_of(rows: DataFrame, n: int = PIVOTS, sample: int = SAMPLE, widths: int = WIDTHS) -> dict[int, np.ndarray]:
+    """At most n pivots for each of at most widths vector lengths, far apart in a sample of rows by hash of vec_id."""
     w = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("vec_id"), "vec_id", "v")
-    few = rows.select("vec_id", "v", F.row_number().over(w).alias("r")).filter(F.col("r") <= n).orderBy(F.size("v"), "r").limit(16 * n).collect()
+    dim = F.size("v")
+    most = F.greatest(F.lit(n), F.least(F.lit(sample), F.floor(F.lit(SAMPLE_COMPONENTS) / F.greatest(dim, F.lit(1)))))
+    some = rows.select("vec_id", "v", F.row_number().over(w).alias("r")).filter((F.col("r") <= max(n, sample)) & (F.col("r") <= most))
     by: dict[int, list] = {}
-    for r in few:
+    for r in some.orderBy(dim, "r").limit(widths * max(n, sample)).collect():
         by.setdefault(len(r["v"]), []).append(r["v"])
-    return {d: np.array(x, dtype=np.float64) for d, x in by.items() if d}
+    return {d: far_apart(np.array(x, dtype=np.float64), n) for d, x in sorted(by.items())[:widths] if d}
 
 
 def cell_top(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, xid: np.ndarray, x: np.ndarray, xd: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
