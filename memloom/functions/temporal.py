@@ -24,13 +24,14 @@ def _month(c: Column) -> Column:
 
 def valid_date(c: Column) -> Column:
     """The ISO date c holds, or null if the calendar has no such day."""
-    return F.date_format(F.try_to_date(c, "y-M-d"), "yyyy-MM-dd")
+    return c.try_cast("date").cast("string")
 
 
 def _dates(c: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     part = lambda x, i: F.regexp_extract(x, pattern, i)
-    iso = lambda x: valid_date(F.concat_ws("-", part(x, order[0]), _month(part(x, order[1])), part(x, order[2])))
+    two = lambda x: F.lpad(x, 2, "0")
+    iso = lambda x: valid_date(F.concat_ws("-", part(x, order[0]), two(_month(part(x, order[1]))), two(part(x, order[2]))))
     return F.filter(F.transform(found, iso), lambda x: x.isNotNull())
 
 

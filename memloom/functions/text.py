@@ -25,10 +25,11 @@ def _text(c: Column) -> Column:
 
 def casefold(c: Column) -> Column:
     """Lower case with the full foldings that lower-casing leaves out: sharp s, final sigma and the Latin ligatures."""
-    x = F.lower(c)
+    plain = F.lower(c)
+    x = plain
     for a, b in FOLDINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    return F.when(plain.rlike("[" + "".join(a for a, _ in FOLDINGS) + "]"), x).otherwise(plain)
 
 
 def normalize_key(c: Column) -> Column:

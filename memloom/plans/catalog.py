@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import scoring, temporal, text
 from ..operators import evidence, plans_io, ranking, sessions, stores, vectors
 from ..sources import tables
+from ..sources.shared import stored
 from ..streaming import chunker, throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,17 +268,18 @@ def jaccard_similarity(spark, d):
     """Question and document term sets that share a fifth or more.
 
     Such a pair shares a fifth of the question's terms, so one of its rarest n - ceil(n / 5) + 1; only on these do the sides
-    meet, if their sizes allow it, and the sets are compared then.
+    meet. What they share there and the few frequent terms that are left bound the overlap; only then are sets compared.
     """
     sets = lambda t, i, s: tables.read(spark, d, t).select(i, text.token_set(F.col("text")).alias(s))
-    x, y = sets("benchmark", "item_id", "a"), sets("documents", "doc_id", "b")
+    x, y = stored(sets("benchmark", "item_id", "a"), "questions"), stored(sets("documents", "doc_id", "b"), "terms")
     terms = x.select("item_id", F.size("a").alias("nx"), F.explode("a").alias("t"))
     postings = y.select("doc_id", F.size("b").alias("ny"), F.explode("b").alias("t"))
     often = postings.join(terms.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     rare = terms.join(often, "t").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "t")))
     gone = F.col("nx") - F.count(F.lit(1)).over(Window.partitionBy("item_id"))  # terms that no document has are the rarest
     rare = rare.withColumn("gone", gone).filter(F.col("r") + F.col("gone") <= F.col("nx") - F.ceil(F.col("nx") / 5) + 1)
-    met = rare.join(postings, "t").filter("5 * nx >= ny and 5 * ny >= nx").select("item_id", "doc_id").distinct()
+    met = rare.join(postings, "t").filter("5 * nx >= ny and 5 * ny >= nx").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("some"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    met = met.filter("6 * (some + ceil(nx / 5) - 1) >= nx + ny").select("item_id", "doc_id")
     both = F.size(F.array_intersect("a", "b"))
     s = met.join(x, "item_id").join(y, "doc_id").select("item_id", "doc_id", both.alias("both"), (F.size("a") + F.size("b") - both).alias("all"))
     return s.filter("5 * both >= all").select("item_id", "doc_id", F.round(F.col("both") / F.col("all"), 6).alias("similarity"))
