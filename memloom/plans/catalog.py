@@ -274,6 +274,8 @@ def jaccard_similarity(spark, d):
     x, y = stored(sets("benchmark", "item_id", "a"), "questions"), stored(sets("documents", "doc_id", "b"), "terms")
     terms = x.select("item_id", F.size("a").alias("nx"), F.explode("a").alias("t"))
     postings = y.select("doc_id", F.size("b").alias("ny"), F.explode("b").alias("t"))
+    sizes = terms.agg(F.min("nx").alias("least"), F.max("nx").alias("most"))  # one row
+    postings = postings.crossJoin(F.broadcast(sizes)).filter("5 * most >= ny and 5 * ny >= least").drop("least", "most")
     often = postings.join(terms.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     rare = terms.join(often, "t").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "t")))
     gone = F.col("nx") - F.count(F.lit(1)).over(Window.partitionBy("item_id"))  # terms that no document has are the rarest

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import temporal
 from ..operators import evidence, search, vectors
 from ..sources import tables
+from ..sources.shared import stored
 from .catalog import _L2QE, query
 
 #: Requests, and the vectors that stand for the queries of their routes.
@@ -229,7 +230,7 @@ def _recall(spark, d, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     spans = o.filter("o_custkey % 200 = 1").select("record_id", F.concat(F.lit("span:"), F.col("o_custkey").cast("string")).alias("key"), "day")
     nodes = evidence.temporal_nodes(o).unionByName(spans.groupBy("key").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.countDistinct("record_id").alias("n_records")))
     plans = spark.createDataFrame(PLANS, "plan_id int, since string, until string")
-    return evidence.temporal_recall(nodes, plans, limit), index.unionByName(spans.select("record_id", "key")), o.select("record_id", (F.col("record_id") % 5 == 0).alias("expired"))
+    return evidence.temporal_recall(stored(nodes, "nodes"), plans, limit), index.unionByName(spans.select("record_id", "key")), o.select("record_id", (F.col("record_id") % 5 == 0).alias("expired"))
 
 
 @query(f"WITH {_RECALL} SELECT plan_id, key, n_records, score, rank FROM r WHERE rank <= 40")
