@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, linededup, mixing, packing, quality, secrets, substring, topk, warc
+from . import bpe, collocations, html, jaccard, linededup, mixing, negatives, packing, quality, secrets, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.top(collocations.collocations(_read(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 def _secret_sql() -> str:
@@ -163,9 +182,59 @@ _WARC_SQL = """
            CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
     FROM d"""
 
+_NEGATIVES_SQL = """
+    WITH v AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    scored AS (
+        SELECT q.vec_id AS anchor_id, x.vec_id, q.label = x.label AS same,
+               list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
+_PHRASES_SQL = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    grams AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM words, (SELECT unnest([1, 2, 3, 4]) AS k)),
+    counted AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (
+        SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM counted WHERE k > 1),
+    best AS (
+        SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, (2000000::HUGEINT * c.f // (h.f + t.f))::BIGINT AS score
+        FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = array_to_string(w[1:cut], ' ')
+             JOIN counted t ON t.lang = c.lang AND t.phrase = array_to_string(w[cut + 1:], ' ')
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+    held AS (
+        SELECT lang, array_to_string(w[start:start + size - 1], ' ') AS phrase, max(f) AS held FROM (
+            SELECT lang, w, k, f, size, unnest(range(1, k - size + 2)) AS start FROM (
+                SELECT lang, string_split(phrase, ' ') AS w, k, f, unnest(range(2, k)) AS size FROM counted WHERE k > 2))
+        GROUP BY 1, 2)
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+    FROM best b JOIN totals USING (lang) LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+    WHERE coalesce(held, 0) = 0 OR 100::HUGEINT * held < 80::HUGEINT * a
+    QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_secret_scans": _secret_sql(),
     "op7_mixing": _MIX_SQL,
     "op8_exact_top_k": _TOP_SQL,
     "op10_warc": _WARC_SQL,
+    "op11_hard_negatives": _NEGATIVES_SQL,
+    "op13_collocations": _PHRASES_SQL,
 }
