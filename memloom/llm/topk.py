@@ -9,7 +9,8 @@ neither side is broadcast; a cell returns k rows a query, which are then ranked.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id;
 rows that repeat both vec_id and vector are one row; a query's own row is every row with its vec_id; only vectors of
-equal length are compared; fewer than k candidates give fewer rows; ties go to the smaller vec_id; extra columns
+equal length are compared; integers beyond 2^53 count as 2^53, scores are compared exactly at any size, and one beyond a
+long is returned as the nearest long; fewer than k candidates give fewer rows; ties go to the smaller vec_id; extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -33,6 +34,10 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 #: Candidates evaluated between two looks at the bounds.
 STEP = 512
+#: Integers beyond this count as this, so that scores of any width fit two longs.
+BOUND = 1 << 53
+#: Scores travel as two longs: the multiple of 2 ** 62 and the rest.
+_HALF = 62
 #: Below this, sums of products of up to 2 ** 11 components are exact in doubles.
 _EXACT = 1 << 20
 
@@ -40,7 +45,8 @@ _EXACT = 1 << 20
 def usable(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id and v, the floored multiples of the components, of the rows that take part."""
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    end = F.lit(float(BOUND))
+    v = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(F.lit(scale) * x.cast("double"), -end), end)))
     return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v")).dropDuplicates()
 
 
@@ -118,15 +124,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = PIVO
     block = lambda seed, of: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(of)).cast("int")
     left = table.filter(is_query).withColumn("down", block(1, down)).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     right = table.withColumn("across", block(2, across)).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    left = left.withColumn("wide", F.explode(F.array(F.lit(False), F.lit(True))))
+    right = right.withColumn("wide", F.exists("v", lambda x: F.abs(x) >= _EXACT))  # these meet in Python's integers
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found: list = []
         if len(a) and len(b):
             stack = lambda c: np.array(c.tolist())
-            found = list(cell_top(a["vec_id"].to_numpy(), stack(a["v"]).reshape(len(a), -1), stack(a["pd"]).reshape(len(a), -1), b["vec_id"].to_numpy(), stack(b["v"]).reshape(len(b), -1), stack(b["pd"]).reshape(len(b), -1), k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["down", "across", "dim"]
-    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            wide = np.abs(stack(a["v"]).reshape(len(a), -1)).max(1, initial=0) >= _EXACT
+            for some in (a[~wide], a[wide]):
+                if len(some):
+                    found += cell_top(some["vec_id"].to_numpy(), stack(some["v"]).reshape(len(some), -1), stack(some["pd"]).reshape(len(some), -1), b["vec_id"].to_numpy(), stack(b["v"]).reshape(len(b), -1), stack(b["pd"]).reshape(len(b), -1), k)
+        halves = [(q, v, s >> _HALF, s & ((1 << _HALF) - 1)) for q, v, s in found]
+        return pd.DataFrame(halves, columns=["query_id", "vec_id", "high", "low"]).astype("int64")
+
+    keys = ["down", "across", "dim", "wide"]
+    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, high long, low long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    near = F.shiftleft("high", _HALF) + F.col("low")
+    score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(near)
+    return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
