@@ -7,15 +7,17 @@ such pairs go with them. The globally first occurrence of a line always stays, a
 dedup_lines cuts content-defined chunks: a rolling hash over the hashes of RUN neighbouring lines ends a chunk wherever
 it is 0 modulo DIVISOR. Chunks at the edges of a shared passage depend on foreign lines, so it misses most short runs.
 
-In both, a chunk that occurs again anywhere is removed, except its first occurrence (smallest doc_id, then first in the
-text), after a comparison with that occurrence's bytes. SQL expressions only.
+In both, a chunk that occurs again anywhere is removed, except its first occurrence (smallest doc_id, then smallest hash of
+the text, then first in the text), after a comparison with that occurrence's bytes. The lines of that occurrence stay, also
+where another chunk that goes overlaps it, so each repeated chunk stays whole in one place. SQL expressions only.
 
 Only hashes, ids and line numbers are grouped over the corpus; texts move once, by document, and only the
 repeated chunks' texts are shuffled for the comparison.
 
 Edge cases: null text is one empty line and stays null; texts of one line are never changed; rows that repeat
-doc_id and text are one document and keep the same lines; two texts under one doc_id are told apart by a hash of
-the text; a null doc_id counts as the smallest; extra columns are kept; empty tables give no rows.
+doc_id and text, or text without a doc_id, are one document and keep the same lines; different texts under one doc_id,
+or without one, are documents of their own; a null doc_id counts as the smallest; extra columns are kept; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -78,6 +80,18 @@ def _merged(spans: Column, lines: Column) -> Column:
     return F.zip_with(firsts, lasts, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
 
 
+def _spared(spans: Column, held: Column) -> Column:
+    """Sorted spans without the lines that spans in held cover."""
+    numbers = lambda of: F.flatten(F.transform(of, lambda x: F.sequence(x["s"], x["e"])))
+
+    def again(left: Column) -> Column:
+        firsts = F.filter(left, lambda x, k: (k == 0) | (F.get(left, k - 1) != x - 1))
+        lasts = F.filter(left, lambda x, k: (k == F.size(left) - 1) | (F.get(left, k + 1) != x + 1))
+        return F.zip_with(firsts, lasts, lambda x, y: F.struct(x.alias("s"), y.alias("e")))
+
+    return F.when(F.size(held) == 0, spans).otherwise(let(F.array_except(numbers(spans), numbers(held)), again))
+
+
 def _without(text: Column, gone: Column) -> Column:
     """text without the line spans in gone, which is sorted."""
     start = lambda k: F.coalesce(F.get(gone, k - 1)["e"] + 1, F.lit(0))
@@ -107,9 +121,9 @@ def _dedup(docs: DataFrame, text: str, cut_up: Callable[[Column], Column], merge
     base = base.select("row", F.coalesce(F.col("row.doc_id"), F.lit(0)).alias("k"), F.col("row.doc_id").isNull().alias("nil"), F.xxhash64(whole).alias("th"))
     own = ["k", "nil", "th"]
     cut = materialize(base.select(*own, F.inline(cut_up(whole))), "chunks")
-    order = F.when(F.col("nil"), F.lit(None)).otherwise(F.col("k"))
-    found = cut.groupBy("hash", (F.col("e") - F.col("s")).alias("n")).agg(F.count(F.lit(1)).alias("times"), F.max("nil").alias("any_nil"), F.min(order).alias("first"))
-    found = found.filter("times > 1").select(F.col("hash").alias("fh"), F.col("n").alias("fn"), F.when(F.col("any_nil"), F.lit(None)).otherwise(F.col("first")).alias("first"))
+    place = F.struct((~F.col("nil")).alias("named"), F.col("k"), F.col("th"))
+    found = cut.groupBy("hash", (F.col("e") - F.col("s")).alias("n")).agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
+    found = found.filter("times > 1").select(F.col("hash").alias("fh"), F.col("n").alias("fn"), "first")
     hits = cut.join(found, (F.col("hash") == F.col("fh")) & (F.col("e") - F.col("s") == F.col("fn")))
     hits = hits.groupBy(*own).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("hash", (F.col("e") - F.col("s")).alias("n"), "s", "e", "first")))).alias("hits"))  # bounded by the document
     hits = hits.withColumnsRenamed({c: f"h_{c}" for c in own})
@@ -117,15 +131,17 @@ def _dedup(docs: DataFrame, text: str, cut_up: Callable[[Column], Column], merge
     lines = F.split(whole, "\n", -1)
     before = lambda i: F.get("hits", i - 1)
     leads = lambda x, i: (i == 0) | (before(i)["hash"] != x["hash"]) | (before(i)["n"] != x["n"])
-    texts = let(lines, lambda ls: F.transform("hits", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hash"].alias("hash"), x["first"].alias("first"), leads(x, i).alias("leads"), F.array_join(F.slice(ls, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("bytes"))))
+    texts = let(lines, lambda ls: F.transform("hits", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hash"].alias("hash"), (leads(x, i) & (x["first"] == place)).alias("keeps"), F.array_join(F.slice(ls, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("bytes"))))
     texts = materialize(with_hits.select(*own, F.inline(texts)), "repeats")
-    keeper = F.col("leads") & order.eqNullSafe(F.col("first"))
-    kept = texts.filter(keeper).select(F.col("hash").alias("kh"), (F.col("e") - F.col("s")).alias("kn"), F.col("bytes").alias("kept"))
+    keeper = F.col("keeps")
+    kept = texts.filter(keeper).distinct().select(F.col("hash").alias("kh"), (F.col("e") - F.col("s")).alias("kn"), F.col("bytes").alias("kept"))
     gone = texts.filter(~keeper).join(kept, (F.col("hash") == F.col("kh")) & (F.col("e") - F.col("s") == F.col("kn")) & (F.col("bytes") == F.col("kept")))
-    gone = gone.groupBy(*own).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("s", "e")))).alias("gone"))
+    marks = gone.select(*own, "s", "e", F.lit(False).alias("stays")).unionByName(texts.filter(keeper).select(*own, "s", "e", F.lit(True).alias("stays")))
+    spans = lambda which: F.array_sort(F.array_distinct(F.collect_list(F.when(which, F.struct("s", "e")))))
+    gone = marks.groupBy(*own).agg(spans(~F.col("stays")).alias("gone"), spans(F.col("stays")).alias("held")).filter(F.size("gone") > 0)  # bounded by the document
     gone = gone.withColumnsRenamed({c: f"g_{c}" for c in own})
     out = base.join(gone, (F.col("k") == F.col("g_k")) & (F.col("nil") == F.col("g_nil")) & (F.col("th") == F.col("g_th")), "left")
-    out = out.select("row", F.when(F.col("gone").isNotNull(), merge(F.col("gone"), lines)).alias("gone"))
+    out = out.select("row", F.when(F.col("gone").isNotNull(), _spared(merge(F.col("gone"), lines), F.col("held"))).alias("gone"))
     n_gone = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["e"] - g["s"] + 1), F.lit(0))
     new = F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(_without(whole, F.col("gone")))
     return out.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names], F.size(lines).cast("bigint").alias("n_lines"), n_gone.cast("bigint").alias("n_removed_lines"))

@@ -126,11 +126,10 @@ def test_line_dedup(docs, empty):
     gone = collections.defaultdict(set)
     for at in found.values():
         if len(at) > 1 or times[at[0][:2]] > 1:
-            first = min(at)[0]
-            keep = {t: min(a for j, u, a, _ in at if (j, u) == (first, t)) for i, t, _, _ in at if i == first}
-            for i, t, a, b in at:
-                if not (i == first and keep[t] == a):
-                    gone[i, t].update(range(a, b + 1))
+            i, t, a, _ = min(at, key=lambda x: (x[0], signed(hash_text(x[1])), x[2]))
+            for j, u, c, d in at:
+                if (j, u, c) != (i, t, a):
+                    gone[j, u].update(range(c, d + 1))
     want = []
     for r in ROWS:
         g = gone[r[0] if r[0] is not None else -1, r[1] or ""]
@@ -148,29 +147,38 @@ def test_line_runs(spark, docs, empty):
     short = [f"only {i}\nfirst shared line\nsecond shared line\nalso only {i}" for i in range(9)]
     short += ["lone a\n\n\n\nb of a run\nx1", "lone a\n\n\n\nb of a run\nx2", "one line\n\n\n\nx3", "t t\nt t\nt t\nx4", "\n\n\n", "\n\n\n"]
     rows = ROWS + [(1000 + i, t, "en", "s1", len(t), "r", "s", "k", "h") for i, t in enumerate(short)]
+    shared = ["k l\nY y\nZ z", "X x\nY y\nZ z", "X x\nY y\nw w"]  # the second keeps X x and Y y, which the third has again
+    rows += [(2000 + i, t, "en", "s1", 1, "r", "s", "k", "h") for i, t in enumerate(shared)]
+    rows += [(i, t, "en", "s1", 1, "r", "s", "k", "h") for i in (3000, None) for t in (f"a b {i}\nc d\nx one", f"q two\na b {i}\nc d", f"a b {i}\nc d")]
     key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
     found = collections.defaultdict(list)
-    for k in sorted({key(r) for r in rows}):
+    times = collections.Counter(map(key, rows))
+    for k in sorted(times, key=lambda x: (x[0], x[1], signed(hash_text(x[2])))):
         lines = k[2].split("\n")
         for i in range(len(lines) - 1):
             if WORD.search(lines[i] + lines[i + 1]):
                 found[lines[i], lines[i + 1]].append((k, i))
-    gone = collections.defaultdict(set)
+    gone, held = collections.defaultdict(set), collections.defaultdict(set)
     for (k, i), *again in found.values():
+        if again or times[k] > 1:
+            held[k].update((i, i + 1))
         for j, at in again:
-            if j[:2] != k[:2] or j == k:  # texts under the first doc_id each keep their own first occurrence
-                gone[j].update((at, at + 1))
+            gone[j].update((at, at + 1))
     for k, g in gone.items():
         lines = k[2].split("\n")
         for a, b in zip(sorted(g), sorted(g)[1:]):
             if not any(WORD.search(x) for x in lines[a + 1 : b]):
                 g.update(range(a, b))
+        g -= held[k]
     frame = spark.createDataFrame(rows, SCHEMA)
     got = linededup.dedup_runs(frame)
     want = [(r[0], "\n".join(x for i, x in enumerate((r[1] or "").split("\n")) if i not in gone[key(r)]) if gone[key(r)] else r[1], len(gone[key(r)])) for r in rows]
     same([(r.doc_id, r.text, r.n_removed_lines) for r in got.collect()], want)
     assert [w[1] for w in want if w[0] in range(1000, 1009)] == [short[0]] + [f"only {i}\nalso only {i}" for i in range(1, 9)]
     assert [w[1] for w in want if w[0] == 1010] == ["x2"]
+    assert [w[1] for w in want if w[0] in (2000, 2001, 2002)] == [shared[0], "X x\nY y", "w w"]
+    for i in (3000, None):  # one copy of the pair stays under a shared doc_id, and without one
+        assert sum(f"a b {i}\nc d" in (r.text or "") for r in got.collect() if r.doc_id == i) == 1
     assert linededup.dedup_runs(empty).count() == 0
 
 
@@ -313,16 +321,19 @@ def test_patterns_hold_every_piece():
         assert sum(n for _, n in plan) <= least + len(sizes)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("huge", [[], [(600, [1e30, -1e30] + [1.0] * 6, 1), (650, [-1e30] + [2e4] * 7, 1), (651, [3e4] * 8, 1)]])
+def test_top_k(spark, huge):
     pick = np.random.default_rng(4)
     v = [(i, [float(x) for x in pick.normal(size=8).round(2)], 1) for i in range(300)] + [(i, [0.5] * 8, 1) for i in range(300, 330)]
     rows = [*v, v[3], (400, None, 1), (450, [1.0, None], 1), (500, [float("nan")] * 8, 1), (550, [1.0, 2.0], 2), (None, [1.0] * 8, 1)]
-    ok = {(i, tuple(np.floor(256 * np.array(e, np.float32).astype(float)).astype(int))) for i, e, _ in [*v, rows[-2]]}
+    rows += huge + [(550, [1.0, 2.0], 2)] if huge else []
+    near = lambda x: int(np.floor(min(max(256 * float(np.float32(x)), -(2.0**53)), 2.0**53)))
+    ok = {(i, tuple(near(x) for x in e)) for i, e, _ in [*v, (550, [1.0, 2.0], 2), *huge]}
     want = []
     for i, q in ok:
         if i % 50 == 0:
-            best = sorted((-int(np.dot(q, x)), j) for j, x in ok if j != i and len(x) == len(q))[:5]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in ok if j != i and len(x) == len(q))[:5]
+            want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, pd int")
     from pyspark.sql import functions as F
 
