@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scoring
 from ..functions.text import session_segment
+from ..sources.shared import stored
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, seq: str, keep_first: Iterable[str] = ()) -> DataFrame:
@@ -75,13 +77,6 @@ def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return every.select("node_id", "seq", "record_ids", F.right(F.aggregate("texts", F.lit(""), grow), F.lit(8000)).alias("search_text"), "start", "end")
 
 
-def throttle_gaps(events: DataFrame, seconds: int) -> DataFrame:
-    """Events at least seconds after the one before, of the same user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    last = F.lag("ts").over(w)
-    return events.withColumn("prev", last).filter(F.col("prev").isNull() | (F.timestamp_diff("MICROSECOND", F.col("prev"), F.col("ts")) >= seconds * 1_000_000)).drop("prev")
-
-
 def pair_dedup(events: DataFrame, fingerprint: list[str]) -> DataFrame:
     """Events whose fingerprint differs from that of the user's event before."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -180,6 +175,25 @@ def flushes(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     return rows.withColumn("flush", F.floor(at / size).cast("int"))
 
 
+def faded(rows: DataFrame, now: str, key: str, ts: str, below: float = 0.1) -> DataFrame:
+    """Live rows whose decay is below a limit, and place, their order by age (R16); rows(key, ts, importance, retrievals, expired).
+
+    now is an SQL time. Places are counted over ranges of time, so that no task numbers all rows.
+    """
+    hours = F.timestamp_diff("MICROSECOND", F.col(ts), F.expr(now)) / 3.6e9
+    t = rows.filter("not expired").withColumn("decay", scoring.decay(hours, F.col("importance"), F.col("retrievals"))).filter(F.col("decay") < below)
+    return numbered(t, [ts, key])
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with place, from 1, by order: ranges of the order are sorted apart, and each starts after those before it."""
+    part = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = part.groupBy("range").agg(F.count(F.lit(1)).alias("size"))  # a row a partition
+    starts = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return part.join(F.broadcast(starts), "range").withColumn("place", (own + F.col("start")).cast("int")).drop("range", "start")
+
+
 def merged_metadata(rows: DataFrame, key: str, seq: str, column: str) -> DataFrame:
     """key, column: maps merged in order of seq, the later value of a name wins."""
     each = rows.select(key, seq, F.explode(column).alias("name", "value")).groupBy(key, "name").agg(F.max_by("value", seq).alias("value"))
@@ -203,14 +217,6 @@ def jobs(events: DataFrame) -> DataFrame:
     return own.select("session_id", "job_id", status.alias("status"), F.when(F.col("error").isNull(), F.col("skipped_reason")).alias("skipped_reason"), "error")
 
 
-def generations(events: DataFrame, seconds: int) -> DataFrame:
-    """events with generation: how many boundaries a user has had, those within seconds of the one before left out."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
-    t = events.withColumn("rotates", (gap.isNull() | (gap >= seconds * 1_000_000)).cast("int"))
-    return t.withColumn("generation", F.sum("rotates").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def is_empty(rows: DataFrame) -> bool:
     """Whether a table has rows, the gate before a search."""
     return rows.isEmpty()

@@ -12,7 +12,7 @@ from ..functions import scoring, temporal, text
 from ..operators import evidence, plans_io, ranking, sessions, stores, vectors
 from ..sources import tables
 from ..sources.shared import stored
-from ..streaming import chunker, throttle
+from ..streaming import chunker, lifecycle, throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -387,10 +387,17 @@ def pair_dedup_lag(spark, d):
     return stores.pair_dedup(e, ["event_type", "bin"]).select("event_id", "user_id")
 
 
-@query("""WITH x AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
-    SELECT event_id, user_id FROM x WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) >= 3600000000""")
+#: Each boundary against the last accepted one, event by event.
+_BOUNDARIES = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS kind, NULL::TIMESTAMP AS mo, false AS accepted, 0::BIGINT AS generation FROM e WHERE n = 1
+    UNION ALL SELECT user_id, n, event_id, CASE WHEN takes THEN event_type ELSE kind END, CASE WHEN takes THEN ts ELSE mo END, takes, generation + takes::BIGINT
+    FROM (SELECT e.*, r.kind, r.mo, r.generation, r.kind IS NULL OR r.kind <> e.event_type OR epoch_us(e.ts) - epoch_us(r.mo) >= {gap} AS takes FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))"""
+
+
+@query(_BOUNDARIES.format(gap=36_000_000_000) + " SELECT event_id, user_id FROM r WHERE accepted")
 def debounce_gap(spark, d):
-    return stores.throttle_gaps(tables.read(spark, d, "events"), 3600).select("event_id", "user_id")
+    """Boundaries that are accepted: of another kind than the last accepted one, or long enough after it."""
+    return throttle.boundaries(tables.read(spark, d, "events"), 36_000).filter("accepted").select("event_id", "user_id")
 
 
 @query("""WITH x AS (SELECT event_id, least(1, greatest(0, value / 100)) AS imp, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9 AS h FROM events), y AS (SELECT event_id,
@@ -476,11 +483,57 @@ def chunker_stream_equals_batch(spark, d):
     return chunker.stream_chunks(spark, f"{d}/conversations.parquet")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS mo, false AS runs FROM e WHERE n = 1 UNION ALL SELECT user_id, n, event_id, CASE WHEN runs THEN ts ELSE mo END, runs
+    FROM (SELECT e.*, r.mo, r.mo IS NULL OR epoch_us(e.ts) - epoch_us(r.mo) >= 3600000000 AS runs FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)) SELECT event_id, user_id FROM r WHERE runs""")
 def cooldown_throttle(spark, d):
+    """Events that run: long enough after the last of their user that ran."""
     return throttle.cooldown(tables.read(spark, d, "events"), 3600)
 
 
+#: Seconds that suit the gaps between a user's events.
+_POLICY = lifecycle.Policy(debounce=20_000, boundary=40_000, hook=60_000, proactive=80_000, idle=200_000)
+_LIVES = """WITH RECURSIVE e AS (SELECT event_id, user_id AS session_id, epoch_us(ts) AS mo, event_id % 3 = 0 AS signal, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+      CASE event_type WHEN 'view' THEN 'user' WHEN 'signup' THEN 'assistant' WHEN 'click' THEN 'before_reset' WHEN 'error' THEN 'hook' ELSE CASE WHEN event_id % 4 > 0 THEN 'session_end' ELSE 'command_stop' END END AS kind FROM events),
+    r AS (SELECT session_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS mo, NULL::VARCHAR AS kind, false AS live, NULL::VARCHAR AS b_kind, NULL::BIGINT AS b_at, NULL::BIGINT AS c_at, false AS pending, 0 AS dirty, 0 AS generation,
+        false AS accepted, false AS consolidated, NULL::VARCHAR AS reason, false AS idle, NULL::BIGINT AS idle_at, 0 AS idle_dirty, 0 AS idle_generation FROM e WHERE n = 1
+      UNION ALL SELECT session_id, n, event_id, mo, kind, known AND NOT (accepted AND kind IN ('session_end', 'command_stop')), CASE WHEN accepted AND ends THEN kind ELSE b_kind END, CASE WHEN accepted AND ends THEN mo ELSE b_at END,
+        CASE WHEN done THEN mo ELSE c_at END, pending AND NOT done, CASE WHEN done THEN 0 ELSE dirty END, generation + (accepted AND kind = 'before_reset')::INTEGER, accepted, done,
+        CASE WHEN NOT known THEN 'no_session' WHEN NOT accepted THEN 'debounced' WHEN done THEN CASE kind WHEN 'assistant' THEN 'proactive' WHEN 'hook' THEN 'hook' ELSE 'boundary' END
+          WHEN kind = 'user' OR kind = 'assistant' AND NOT pending THEN 'turn' WHEN kind = 'hook' AND dirty = 0 THEN 'clean' ELSE 'cooldown' END, idle, idle_at, idle_dirty, idle_generation
+      FROM (SELECT *, known AND accepted_if AND CASE kind WHEN 'user' THEN false WHEN 'assistant' THEN pending AND coalesce(mo - c_at >= 80000000000, true) WHEN 'hook' THEN dirty > 0 AND coalesce(mo - c_at >= 60000000000, true)
+          ELSE pending OR coalesce(mo - c_at >= 40000000000, true) END AS done, known AND accepted_if AS accepted
+        FROM (SELECT * EXCLUDE (dirty, pending), dirty + turn::INTEGER AS dirty, pending OR (kind = 'user' AND signal) AS pending, turn OR was_live AS known, kind NOT IN ('user', 'assistant', 'hook') AS ends,
+            kind IN ('user', 'assistant', 'hook') OR NOT coalesce(mo - b_at < 20000000000 AND (b_kind = kind OR (kind = 'session_end' AND b_kind = 'before_reset')), false) AS accepted_if
+          FROM (SELECT *, live AND NOT idle AS was_live, kind IN ('user', 'assistant') AS turn, CASE WHEN live AND NOT idle THEN o_kind END AS b_kind, CASE WHEN live AND NOT idle THEN o_at END AS b_at,
+              CASE WHEN live AND NOT idle THEN o_c END AS c_at, live AND NOT idle AND o_pending AS pending, CASE WHEN live AND NOT idle THEN o_dirty ELSE 0 END AS dirty, CASE WHEN live AND NOT idle THEN o_generation ELSE 0 END AS generation
+            FROM (SELECT e.*, r.live, r.live AND e.mo >= r.mo + 200000000000 AS idle, r.mo + 200000000000 AS idle_at, r.dirty AS idle_dirty, r.generation AS idle_generation, r.b_kind AS o_kind, r.b_at AS o_at, r.c_at AS o_c, r.pending AS o_pending, r.dirty AS o_dirty, r.generation AS o_generation
+              FROM r JOIN e ON e.session_id = r.session_id AND e.n = r.n + 1))))),
+    last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1)
+    SELECT session_id, event_id, mo AS "at", kind, accepted, consolidated, reason, generation, dirty FROM r WHERE n > 0
+    UNION ALL SELECT session_id, NULL, idle_at, 'idle', true, idle_dirty > 0, CASE WHEN idle_dirty > 0 THEN 'idle' ELSE 'clean' END, idle_generation, 0 FROM r WHERE idle
+    UNION ALL SELECT session_id, NULL, mo + 200000000000, 'idle', true, dirty > 0, CASE WHEN dirty > 0 THEN 'idle' ELSE 'clean' END, generation, 0 FROM last WHERE live AND (mo + 200000000000) // 1000 <= (SELECT max(mo) // 1000 FROM e)"""
+
+
+def _host_events(events):
+    """The events table as what a host tells of its sessions."""
+    kind = F.when(F.col("event_type") == "view", "user").when(F.col("event_type") == "signup", "assistant").when(F.col("event_type") == "click", "before_reset").when(F.col("event_type") == "error", "hook")
+    kind = kind.otherwise(F.when(F.col("event_id") % 4 > 0, "session_end").otherwise("command_stop"))
+    return events.select("event_id", F.col("user_id").alias("session_id"), throttle.micros().alias("at"), kind.alias("kind"), (F.col("event_id") % 3 == 0).alias("signal"))
+
+
+@query(_LIVES)
+def lifecycle_decisions(spark, d):
+    """What each turn, hook and boundary of a session does: debounce, cooldowns of three tiers, rotation, idle sessions."""
+    return lifecycle.decisions(_host_events(tables.read(spark, d, "events")), _POLICY)
+
+
+@query(_LIVES)
+def lifecycle_stream(spark, d):
+    """The same as keyed state of a stream, with timers."""
+    return lifecycle.stream_over(spark, _host_events(tables.stream(spark, f"{d}/events.parquet")), _POLICY)
+
+
 # ---- more of the stores, plans and scores ------------------------------------------------------------------------
 
 

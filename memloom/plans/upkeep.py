@@ -10,7 +10,8 @@ from ..functions import scoring, temporal, text
 from ..operators import ingest, projections, ranking, sessions, stores, vectors
 from ..sources import tables
 from ..sources.shared import shared_place
-from .catalog import _L2QE, _TURNS, query
+from ..streaming import throttle
+from .catalog import _BOUNDARIES, _L2QE, _TURNS, query
 from .retrieval import _REC, _STOP
 
 
@@ -165,11 +166,10 @@ def consolidation_jobs(spark, d):
     return stores.jobs(t)
 
 
-@query("""WITH x AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
-    SELECT event_id, user_id, sum((p IS NULL OR epoch_us(ts) - epoch_us(p) >= 3600000000)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS generation FROM x""")
+@query(_BOUNDARIES.format(gap=36_000_000_000) + " SELECT event_id, user_id, generation FROM r WHERE n > 0")
 def session_generations(spark, d):
-    """Sessions rotate at boundaries that are far enough apart."""
-    return stores.generations(_events(spark, d), 3600).select("event_id", "user_id", "generation")
+    """Sessions rotate at accepted boundaries."""
+    return throttle.boundaries(_events(spark, d), 36_000).select("event_id", "user_id", "generation")
 
 
 @query("""SELECT session_id, turn_index FROM (SELECT conv_id AS session_id, turn::INTEGER AS turn_index, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE CASE WHEN session_id % 2 = 0 THEN turn_index > last - 2 ELSE true END""")
@@ -181,13 +181,11 @@ def forced_ingest(spark, d):
 
 
 @query("""SELECT event_id, round(least(1, power(0.5::DOUBLE, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(ts)) / 3.6e9 / (168 * (1 + least(1, greatest(0, value / 100)) * (720.0::DOUBLE / 168 - 1))))), 4)::DOUBLE AS decay,
-    row_number() OVER (ORDER BY ts, event_id)::INTEGER AS place FROM events WHERE event_id % 3 <> 0 AND round(least(1, power(0.5::DOUBLE, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(ts)) / 3.6e9 / (168 * (1 + least(1, greatest(0, value / 100)) * (720.0::DOUBLE / 168 - 1))))), 4) < 0.1 ORDER BY place LIMIT 1000""")
+    row_number() OVER (ORDER BY ts, event_id)::INTEGER AS place FROM events WHERE event_id % 3 <> 0 AND round(least(1, power(0.5::DOUBLE, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(ts)) / 3.6e9 / (168 * (1 + least(1, greatest(0, value / 100)) * (720.0::DOUBLE / 168 - 1))))), 4) < 0.1""")
 def forgetting_sweep(spark, d):
-    """Live rows whose memory has faded, oldest first, at most a thousand a sweep."""
-    hours = F.timestamp_diff("MICROSECOND", F.col("ts"), F.expr("timestamp_ntz'2024-03-01 00:00:00'")) / 3.6e9
-    t = _events(spark, d).filter("event_id % 3 <> 0").select("event_id", "ts", scoring.decay(hours, scoring.clamp(F.col("value") / 100), F.lit(0)).alias("decay")).filter("decay < 0.1")
-    t = t.orderBy("ts", "event_id").limit(1000)
-    return t.withColumn("place", F.row_number().over(Window.orderBy("ts", "event_id"))).select("event_id", "decay", "place")
+    """Every live row whose memory has faded, in the order in which the sweep forgets them."""
+    rows = _events(spark, d).select("event_id", "ts", scoring.clamp(F.col("value") / 100).alias("importance"), F.lit(0).alias("retrievals"), (F.col("event_id") % 3 == 0).alias("expired"))
+    return stores.faded(rows, "timestamp_ntz'2024-03-01 00:00:00'", "event_id", "ts").select("event_id", "decay", "place")
 
 
 # ---- search beside the vectors -------------------------------------------------------------------------------

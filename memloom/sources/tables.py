@@ -33,3 +33,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 100).alias("session_id"), (i % 4).cast("int").alias("lo"), (i % 4 + i % 2).cast("int").alias("hi"), pick("user", "assistant", "both").alias("role"), F.array_compact(F.array("source")).alias("entities"),
         F.array_compact(F.array("lang", F.lit("fact"))).alias("tags"), F.when(i % 3 == 0, day).alias("t_start"), F.lit(None).cast("string").alias("t_end"), F.concat(day, F.lit("T10:00:00.250Z")).alias("created_at"), (i % 17 == 0).alias("expired"),
     )
+
+
+def stream(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stored Parquet table, one file or a folder of files, as a stream."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    top, _, name = path.rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet" if folder else name).parquet(path if folder else top)

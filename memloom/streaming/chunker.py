@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import tables
 from ..sources.shared import shared_place
 
 OUTPUT = "session_id bigint, chunk int, start_turn int, end_turn int, tokens int, exchanges int, reason string"
@@ -234,16 +235,8 @@ def chunk_stream(turns: DataFrame, limits: Limits = Limits(), idle: str | None =
 def stream_chunks(spark: SparkSession, path: str) -> DataFrame:
     """chunk_stream over a stored table of conversations, run until all of it is read."""
     place = shared_place(spark)
-    schema = spark.read.parquet(path).schema
     ends = spark.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("end"))
-    folder = path if not path.endswith(".parquet") or _is_folder(spark, path) else path.rpartition("/")[0]
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder == path else path.rpartition("/")[2]).parquet(folder)
-    turns = stream.join(ends, "conv_id").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("turn_index"), "role", F.coalesce("text", F.lit("")).alias("content"), (F.col("turn") == F.col("end")).alias("last"))
+    turns = tables.stream(spark, path).join(ends, "conv_id").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("turn_index"), "role", F.coalesce("text", F.lit("")).alias("content"), (F.col("turn") == F.col("end")).alias("last"))
     q = chunk_stream(turns, idle=None).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{place}/out")
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
