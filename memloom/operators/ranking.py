@@ -35,11 +35,16 @@ def bm25(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id", text
     else:
         met = F.filter("w", lambda x: x.isin(wanted))
     hits = d.select("id", "len", F.explode(met).alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return bm25_scores(hits, stats, k1, b).orderBy(F.desc("score"), "id").limit(k)
+
+
+def bm25_scores(hits: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id, score from hits(id, len, term, tf) and one row of stats(avg_len, n)."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a query term
     s = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return s.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return s.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def _by_request(rows: DataFrame, fold: Callable[[list], list[tuple]], columns: str) -> DataFrame:

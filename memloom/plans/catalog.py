@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, temporal, text
-from ..operators import evidence, plans_io, ranking, sessions, stores, vectors
+from ..operators import cells, evidence, plans_io, postings, ranking, sessions, stores, vectors
 from ..sources import tables
-from ..sources.shared import stored
+from ..sources.shared import shared_place, stored
 from ..streaming import chunker, lifecycle, throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,27 @@ def knn_post_filter_parity(spark, d):
     return hits.join(F.broadcast(low), F.col("label") == F.col("low")).select("query_id", "id", "distance", "rank").orderBy("rank").limit(15)
 
 
+@query(f"""WITH h AS ({_HITS.format(ids='0, 3, 4')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM h)
+    SELECT query_id, id, distance, rank FROM r WHERE rank <= 15""")
+def knn_cells(spark, d):
+    """The nearest rows from a stored inverted file, cells in order of their bound (K3)."""
+    e, place = tables.read(spark, d, "embeddings"), shared_place(spark)
+    cells.build(e, place)
+    return cells.nearest(spark, place, _some(e, 0, 3, 4), 15)[0]
+
+
+@query(f"""WITH h AS ({_HITS.format(ids='0, 3, 4')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM h WHERE id % 11 <> 2)
+    SELECT query_id, id, distance, rank FROM r WHERE rank <= 15""")
+def knn_cells_changed(spark, d):
+    """The same after rows were added, replaced and removed."""
+    e, place = tables.read(spark, d, "embeddings"), shared_place(spark)
+    wrong = e.filter("vec_id % 5 = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    cells.build(e.filter("vec_id % 5 > 1").unionByName(wrong), place)
+    cells.add(e.filter("vec_id % 5 < 2"), place)
+    cells.remove(e.filter("vec_id % 11 = 2"), place)
+    return cells.nearest(spark, place, _some(e, 0, 3, 4), 15)[0]
+
+
 @query("SELECT count(*) AS n_rows, count(*) FILTER (coalesce(len(embedding), 0) <> 64)::BIGINT AS n_wrong, min(len(embedding))::INTEGER AS min_width, max(len(embedding))::INTEGER AS max_width FROM embeddings")
 def vector_width_contract(spark, d):
     return vectors.width_report(tables.read(spark, d, "embeddings"), 64)
@@ -254,6 +275,32 @@ def bm25_topk(spark, d):
     return ranking.bm25(tables.read(spark, d, "documents"), ["license", "apache", "version", "released"], 20)
 
 
+_INDEXED = """WITH t AS ({docs}), w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM t), s AS (SELECT avg(len(w)) AS a, count(*) AS n FROM w),
+    x AS (SELECT doc_id, len(w) AS l, unnest(w) AS word FROM w), q AS (SELECT * FROM (VALUES {terms}) v(t, p)),
+    h AS (SELECT doc_id, l, t || CASE WHEN p THEN '*' ELSE '' END AS term, count(*) AS tf FROM x JOIN q ON CASE WHEN p THEN starts_with(word, t) ELSE word = t END GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+    b AS (SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM h JOIN f ON h.term = f.term, s GROUP BY doc_id)
+    SELECT id, score FROM b ORDER BY score DESC, id LIMIT 20"""
+
+
+@query(_INDEXED.format(docs="SELECT * FROM documents", terms="('license', false), ('apache', false), ('version', false), ('released', false)"))
+def bm25_indexed(spark, d):
+    """Full text from stored postings; the search reads the folders of its terms."""
+    place = shared_place(spark)
+    postings.add(tables.read(spark, d, "documents"), place)
+    return postings.search(spark, place, ["license", "apache", "version", "released"], 20)
+
+
+@query(_INDEXED.format(docs="SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'version of ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 2", terms="('licen', false), ('licen', true), ('version', false), ('version', true), ('v', false), ('v', true)"))
+def bm25_indexed_changed(spark, d):
+    """The same after documents were added, replaced and removed, with prefixes, also of one letter."""
+    docs, place = tables.read(spark, d, "documents").select("doc_id", "text"), shared_place(spark)
+    postings.add(docs.filter("doc_id % 5 > 0"), place)
+    postings.add(docs.filter("doc_id % 5 = 0"), place)
+    postings.add(docs.filter("doc_id % 7 = 1").withColumn("text", F.concat(F.lit("version of "), "text")), place)
+    postings.remove(docs.filter("doc_id % 11 = 2"), place)
+    return postings.search(spark, place, ["licen", "version", "v"], 20, prefixes=True)
+
+
 @query("SELECT page_id, url FROM pages WHERE html LIKE '%tion%' OR url LIKE '%blog%' ORDER BY page_id DESC LIMIT 20 OFFSET 5")
 def like_search(spark, d):
     p = tables.read(spark, d, "pages").filter(F.col("html").contains("tion") | F.col("url").contains("blog"))
