@@ -121,9 +121,9 @@ def _dedup(docs: DataFrame, text: str, cut_up: Callable[[Column], Column], merge
     base = base.select("row", F.coalesce(F.col("row.doc_id"), F.lit(0)).alias("k"), F.col("row.doc_id").isNull().alias("nil"), F.xxhash64(whole).alias("th"))
     own = ["k", "nil", "th"]
     cut = materialize(base.select(*own, F.inline(cut_up(whole))), "chunks")
-    place = F.struct((~F.col("nil")).alias("named"), F.col("k"), F.col("th"))
-    found = cut.groupBy("hash", (F.col("e") - F.col("s")).alias("n")).agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
-    found = found.filter("times > 1").select(F.col("hash").alias("fh"), F.col("n").alias("fn"), "first")
+    order = F.when(F.col("nil"), F.lit(None)).otherwise(F.col("k"))
+    found = cut.groupBy("hash", (F.col("e") - F.col("s")).alias("n")).agg(F.count(F.lit(1)).alias("times"), F.max("nil").alias("any_nil"), F.min(order).alias("first"))
+    found = found.filter("times > 1").select(F.col("hash").alias("fh"), F.col("n").alias("fn"), F.when(F.col("any_nil"), F.lit(None)).otherwise(F.col("first")).alias("first"))
     hits = cut.join(found, (F.col("hash") == F.col("fh")) & (F.col("e") - F.col("s") == F.col("fn")))
     hits = hits.groupBy(*own).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("hash", (F.col("e") - F.col("s")).alias("n"), "s", "e", "first")))).alias("hits"))  # bounded by the document
     hits = hits.withColumnsRenamed({c: f"h_{c}" for c in own})
@@ -131,12 +131,12 @@ def _dedup(docs: DataFrame, text: str, cut_up: Callable[[Column], Column], merge
     lines = F.split(whole, "\n", -1)
     before = lambda i: F.get("hits", i - 1)
     leads = lambda x, i: (i == 0) | (before(i)["hash"] != x["hash"]) | (before(i)["n"] != x["n"])
-    texts = let(lines, lambda ls: F.transform("hits", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hash"].alias("hash"), (leads(x, i) & (x["first"] == place)).alias("keeps"), F.array_join(F.slice(ls, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("bytes"))))
+    texts = let(lines, lambda ls: F.transform("hits", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hash"].alias("hash"), (leads(x, i) & x["first"].eqNullSafe(order)).alias("leads"), F.array_join(F.slice(ls, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("bytes"))))
     texts = materialize(with_hits.select(*own, F.inline(texts)), "repeats")
-    keeper = F.col("keeps")
-    kept = texts.filter(keeper).distinct().select(F.col("hash").alias("kh"), (F.col("e") - F.col("s")).alias("kn"), F.col("bytes").alias("kept"))
-    gone = texts.filter(~keeper).join(kept, (F.col("hash") == F.col("kh")) & (F.col("e") - F.col("s") == F.col("kn")) & (F.col("bytes") == F.col("kept")))
-    marks = gone.select(*own, "s", "e", F.lit(False).alias("stays")).unionByName(texts.filter(keeper).select(*own, "s", "e", F.lit(True).alias("stays")))
+    size = F.col("e") - F.col("s")
+    kept = texts.filter("leads").groupBy(F.col("hash").alias("kh"), size.alias("kn")).agg(F.min("th").alias("kept_by"), F.min_by("bytes", "th").alias("kept"))
+    marks = texts.join(kept, (F.col("hash") == F.col("kh")) & (size == F.col("kn")) & (F.col("bytes") == F.col("kept")))
+    marks = marks.select(*own, "s", "e", (F.col("leads") & (F.col("th") == F.col("kept_by"))).alias("stays"))
     spans = lambda which: F.array_sort(F.array_distinct(F.collect_list(F.when(which, F.struct("s", "e")))))
     gone = marks.groupBy(*own).agg(spans(~F.col("stays")).alias("gone"), spans(F.col("stays")).alias("held")).filter(F.size("gone") > 0)  # bounded by the document
     gone = gone.withColumnsRenamed({c: f"g_{c}" for c in own})
