@@ -90,19 +90,31 @@ def ttl_days(importance: Column) -> Column:
     return F.when(importance >= 0.8, 90).when(importance >= 0.5, 30).when(importance >= 0.3, 14).otherwise(7)
 
 
+#: The prior of a chunk's end by its tokens so far, in pieces (below, base, rise, from, over), and beyond them.
+LENGTH_PIECES, LENGTH_BEYOND = ((700, -1.30, 0.0, 0, 1), (1000, -0.80, 0.80, 700, 300), (1500, 0.45, 1.45, 1000, 500), (2000, 1.90, 0.90, 1500, 500)), 3.00
+#: The same by its exchanges so far, for none to three; beyond, from .30 by .15 an exchange up to 1.
+TURN_PIECES = (-0.85, -0.85, -0.15, 0.15)
+
+
+def length_prior(tokens: int) -> float:
+    return next((base + rise * (tokens - start) / span for below, base, rise, start, span in LENGTH_PIECES if tokens < below), LENGTH_BEYOND)
+
+
 def length_hazard(tokens: Column) -> Column:
     """Piecewise linear prior of a chunk's end by its tokens so far."""
-    return (
-        F.when(tokens < 700, F.lit(-1.30))
-        .when(tokens < 1000, -0.80 + 0.80 * ((tokens - 700) / 300.0))
-        .when(tokens < 1500, 0.45 + 1.45 * ((tokens - 1000) / 500.0))
-        .when(tokens < 2000, 1.90 + 0.90 * ((tokens - 1500) / 500.0))
-        .otherwise(F.lit(3.00))
-    )
+    hazard = F.lit(LENGTH_BEYOND)
+    for below, base, rise, start, span in reversed(LENGTH_PIECES):
+        hazard = F.when(tokens < below, base + rise * (tokens - start) / float(span)).otherwise(hazard)
+    return hazard
+
+
+def turn_prior(exchanges: int) -> float:
+    return TURN_PIECES[exchanges] if exchanges < len(TURN_PIECES) else min(1.0, 0.30 + 0.15 * (exchanges - 4))
 
 
 def turn_hazard(exchanges: Column) -> Column:
-    return F.when(exchanges <= 1, F.lit(-0.85)).when(exchanges == 2, F.lit(-0.15)).when(exchanges == 3, F.lit(0.15)).otherwise(F.least(F.lit(1.0), 0.30 + 0.15 * (exchanges - 4)))
+    few = F.get(F.array(*[F.lit(x) for x in TURN_PIECES]), exchanges.cast("int"))
+    return F.when(exchanges < len(TURN_PIECES), few).otherwise(F.least(F.lit(1.0), 0.30 + 0.15 * (exchanges - 4)))
 
 
 def compression(tokens: Column, budget: int = 128_000, warn: float = 0.70, block: float = 0.90) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.batches import read_batches, write_batch
+from ..sources.shared import stored
 from ..streaming import chunker
 from . import evidence, projections, sessions, stores
 
@@ -15,6 +18,10 @@ from . import evidence, projections, sessions, stores
 MEMORY_TYPES = ("fact", "preference", "event", "constraint", "procedure", "failure_pattern", "tool_affordance")
 
 
+#: Columns of stored records.
+RECORD = "record_id string, memory_type string, semantic_text string, normalized_text string, entities array<string>, tags array<string>, session_id long, evidence_turns array<int>"
+
+
 class Ingested(NamedTuple):
     chunks: DataFrame
     records: DataFrame
@@ -41,6 +48,12 @@ def checked_records(records: DataFrame, counts: DataFrame) -> DataFrame:
     return t.withColumn("evidence_turns", projections.evidence_turns(F.col("evidence_turns"), F.lit(0), F.col("n"))).drop("n").filter("trim(semantic_text) <> ''")
 
 
+def _last_of_each(made: DataFrame) -> DataFrame:
+    """Of records with equal texts the last."""
+    rest = F.struct("memory_type", "semantic_text", "normalized_text", "entities", "tags", "session_id", "evidence_turns")
+    return made.groupBy("record_id").agg(F.max_by(rest, F.struct("session_id", "seq")).alias("r")).select("record_id", "r.*")
+
+
 def ingest(turns: DataFrame, offsets: DataFrame, records: DataFrame | None = None) -> Ingested:
     """Chunks, records and evidence nodes of the turns after each session's watermark, and the watermarks after them.
 
@@ -50,11 +63,58 @@ def ingest(turns: DataFrame, offsets: DataFrame, records: DataFrame | None = Non
     made = default_records(new) if records is None else records
     ends = turns.groupBy("session_id").agg((F.max("turn_index") + 1).alias("n"))
     made = checked_records(made, ends)
-    once = made.groupBy("record_id").agg(F.max_by(F.struct("memory_type", "semantic_text", "normalized_text", "entities", "tags", "session_id", "evidence_turns"), F.struct("session_id", "seq")).alias("r")).select("record_id", "r.*")
+    once = _last_of_each(made)
     nodes = evidence.postings(once.select("record_id", "entities", F.array_append("tags", F.col("memory_type")).alias("tags")))
     return Ingested(chunker.chunks(new), once, nodes, sessions.advanced(offsets, new))
 
 
+def write_ingested(log: DataFrame, batch: int, folder: str) -> None:
+    """One batch of a chunk log (streaming.chunker.LOG) as chunks, decisions, records, vectors, evidence and watermarks.
+
+    The watermarks end the batch; what a batch without them has written is not read. A batch that is written again, as a
+    stream does after a failure, replaces itself, so it changes nothing.
+    """
+    rows = stored(log, "log")
+    turns = chunker.of_kind(rows, "turn")
+    made = checked_records(default_records(turns), turns.groupBy("session_id").agg((F.max("turn_index") + 1).alias("n")))
+    once = stored(_last_of_each(made), "records")
+    write_batch(chunker.of_kind(rows, "chunk"), folder, "chunks", batch)
+    write_batch(chunker.of_kind(rows, "decision"), folder, "decisions", batch)
+    write_batch(once, folder, "records", batch)
+    write_batch(once.select("record_id", "memory_type", embedded("semantic_text").alias("vector"), embedded("normalized_text").alias("normalized_vector")), folder, "vectors", batch)
+    write_batch(evidence.postings(once.select("record_id", "entities", F.array_append("tags", F.col("memory_type")).alias("tags"))), folder, "nodes", batch)
+    write_batch(turns.groupBy("session_id").agg((F.max("turn_index") + 1).alias("watermark")), folder, "watermarks", batch)
+
+
+def ingest_stream(turns: DataFrame, folder: str, idle: str | None = None, write=write_ingested) -> None:
+    """Ingest a stream of turns (session_id, turn_index, role, content, last) until what is there now is read.
+
+    Sessions' open chunks are keyed state; each micro-batch's log goes to the tables below folder under the stream's batch
+    number. Called again, it goes on where it, or a killed run, stopped.
+    """
+    out = chunker.log_stream(turns, idle=idle).writeStream.foreachBatch(lambda rows, batch: write(rows, batch, folder))
+    out.option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def ingested(spark: SparkSession, folder: str) -> Ingested:
+    """What the batches so far amount to: of records with equal texts the last, of each session the highest watermark."""
+    read = lambda table, schema: read_batches(spark, folder, table, schema, "watermarks")
+    records = read("records", RECORD)
+    latest = records.groupBy("record_id").agg(F.max_by(F.struct(*[c for c in records.columns if c not in ("record_id", "batch")]), "batch").alias("r"))
+    marks = read("watermarks", "session_id long, watermark int").groupBy("session_id").agg(F.max("watermark").alias("watermark"))
+    nodes = read("nodes", "node_type string, key string, record_id string").drop("batch").distinct()
+    return Ingested(read("chunks", chunker.OUTPUT).drop("batch"), latest.select("record_id", "r.*"), nodes, marks)
+
+
+def embedded(column: str) -> Column:
+    """The default embedding of a column of texts."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunker.embed(t or "").tolist())
+
+    return F.pandas_udf(run, "array<double>")(column)
+
+
 def ingest_images(images: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of new images(session_id, content, mime, answer): hash, path, checked extraction; an image's fault stays in its row.
 

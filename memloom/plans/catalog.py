@@ -524,6 +524,21 @@ def chunker_batch(spark, d):
     return chunker.chunks(tables.turns(spark, d))
 
 
+@query()
+def chunk_decisions(spark, d):
+    """What the chunker decided before and after each exchange, with all signals."""
+    return chunker.decisions(tables.turns(spark, d))
+
+
+@query()
+def pending_chunks(spark, d):
+    """What a stopped stream has open, read from its state: no turn is marked as its session's last."""
+    place = shared_place(spark)
+    turns = chunker.turn_stream(spark, f"{d}/conversations.parquet").withColumn("last", F.lit(False))
+    chunker.log_stream(turns, idle=None).writeStream.format("noop").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return chunker.open_chunks(spark, f"{place}/state")
+
+
 @query()
 def chunker_stream_equals_batch(spark, d):
     """Turns fed as a stream, session by session: the same chunks as in one batch."""

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import scoring, temporal, text
 from ..operators import ingest, projections, ranking, sessions, stores, vectors
 from ..sources import tables
+from ..sources.batches import read_batches
 from ..sources.shared import shared_place
-from ..streaming import throttle
+from ..streaming import chunker, throttle
 from .catalog import _BOUNDARIES, _L2QE, _TURNS, query
 from .retrieval import _REC, _STOP
 
@@ -490,6 +491,34 @@ def ingest_watermarks(spark, d):
     return _ingested(spark, d).watermarks
 
 
+_ALL = f"t AS (SELECT conv_id AS session_id, turn::INTEGER AS turn_index, role, trim(coalesce(text, ''), ' ') AS content FROM conversations), m AS (SELECT sha256(content) AS record_id, content, session_id, turn_index, role, row_number() OVER (PARTITION BY content ORDER BY session_id DESC, turn_index DESC) AS r FROM t WHERE role <> 'system' AND content <> '' AND NOT (role = 'user' AND content LIKE '/%')), o AS (SELECT * FROM m WHERE r = 1)"
+
+
+def _stream_ingested(spark, d) -> tuple[ingest.Ingested, str]:
+    place = shared_place(spark)
+    ingest.ingest_stream(chunker.turn_stream(spark, f"{d}/conversations.parquet"), place, idle=None)
+    return ingest.ingested(spark, place), place
+
+
+@query(f"WITH {_ALL} SELECT record_id, {_KIND} AS memory_type, {_KIND} || ': ' || content AS normalized_text, session_id, [turn_index] AS evidence_turns, 64 AS width, 64 AS normalized_width FROM o")
+def ingest_stream_records(spark, d):
+    """Records and their vectors from a stream of turns, written by batches."""
+    found, place = _stream_ingested(spark, d)
+    width = read_batches(spark, place, "vectors", "record_id string, memory_type string, vector array<double>, normalized_vector array<double>", "watermarks")
+    width = width.select("record_id", F.size("vector").alias("width"), F.size("normalized_vector").alias("normalized_width"))
+    return found.records.join(width, "record_id").select("record_id", "memory_type", "normalized_text", "session_id", "evidence_turns", "width", "normalized_width")
+
+
+@query(f"WITH {_ALL}, n AS (SELECT session_id, max(turn_index + 1)::INTEGER AS watermark, min(turn_index)::INTEGER AS first_turn FROM t WHERE trim(content) <> '' GROUP BY session_id), e AS (SELECT key, count(DISTINCT record_id)::BIGINT AS n_records FROM (SELECT 'session ' || session_id AS key, record_id FROM o) GROUP BY key) SELECT session_id, watermark, first_turn, watermark - 1 AS last_turn, coalesce(n_records, 0)::BIGINT AS n_records FROM n LEFT JOIN e ON key = 'session ' || session_id")
+def ingest_stream_sessions(spark, d):
+    """Watermarks, the turns that stored chunks reach from and to, and evidence of each session."""
+    found, _ = _stream_ingested(spark, d)
+    reach = found.chunks.groupBy("session_id").agg(F.min("start_turn").alias("first_turn"), F.max("end_turn").alias("last_turn"))
+    own = found.nodes.filter("node_type = 'entity'").groupBy("key").agg(F.count(F.lit(1)).alias("n_records"))
+    t = found.watermarks.join(reach, "session_id").withColumn("key", F.concat(F.lit("session "), F.col("session_id").cast("string"))).join(own, "key", "left")
+    return t.select("session_id", "watermark", "first_turn", "last_turn", F.coalesce("n_records", F.lit(0)).alias("n_records"))
+
+
 @query("""WITH i AS (SELECT page_id % 40 AS session_id, substr(sha256(coalesce(html, '')), 1, 16) AS image_hash, min(CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'image/webp' END) AS mime FROM pages GROUP BY 1, 2), o AS (SELECT DISTINCT page_id % 40 AS session_id, substr(sha256(coalesce(html, '')), 1, 16) AS image_hash FROM pages WHERE page_id % 5 = 1)
     SELECT substr(sha256(session_id || ':' || image_hash), 1, 32) AS record_id, session_id, session_id || '/' || image_hash || CASE mime WHEN 'image/png' THEN '.png' ELSE '.webp' END AS image_path, 'other' AS scene_type, 0.3::DOUBLE AS importance_score FROM i WHERE (session_id, image_hash) NOT IN (SELECT (session_id, image_hash) FROM o)""")
 def image_ingest(spark, d):

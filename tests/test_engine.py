@@ -149,9 +149,9 @@ def test_chunker_splits():
     """Pieces of a long exchange take the ordinary path; only fragments of one long turn are chunks of their own."""
     long = lambda n: " ".join(["word"] * n)
     found = list(chunker.feed(chunker.State(), [(0, "user", long(900)), (1, "assistant", long(900)), (2, "system", long(900))], True))
-    assert [f[1:3] for f in found] == [(0, 0), (1, 1), (2, 2)] and [f[5] for f in found] == ["capacity_limit", "capacity_limit", "flush"]
+    assert [f[1:3] for f in found] == [(0, 0), (1, 1), (2, 2)] and [f[5] for f in found] == ["capacity_limit", "capacity_limit", "session_flush"]
     found = list(chunker.feed(chunker.State(), [(0, "user", "hi"), (1, "assistant", long(3000)), (2, "user", "bye")], True))
-    assert [f[5] for f in found] == ["oversized_turn_fragment"] * 3 + ["flush"] and [f[1:3] for f in found] == [(0, 0), (1, 1), (1, 1), (2, 2)]
+    assert [f[5] for f in found] == ["oversized_turn_fragment"] * 3 + ["session_flush"] and [f[1:3] for f in found] == [(0, 0), (1, 1), (1, 1), (2, 2)]
     pieces = list(chunker._fragments("user", long(3000), 2000))
     assert all(p.startswith("user: ") and chunker.token_estimate(p) <= 2000 for p in pieces)
     assert " ".join(p.removeprefix("user: ") for p in pieces).split() == long(3000).split()
