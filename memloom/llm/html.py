@@ -1,12 +1,16 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-Elements whose kind is not article text (menus, footers, asides, forms, scripts, what is hidden, and those named so)
-yield no blocks. The rest of a page becomes a flat list of text blocks. Each has its word count, its link density, those
-of the blocks before and after it, its place (inside the page's main element, outside it though there is one, or on a
-page without one) and whether a wrapper has the name of a layout part. A small decision tree, grown here from the
-labelled pages PAGES, keeps or drops each block. Words and densities decide on pages without a main element, on link
-lists and headings inside one, and inside wrappers with a layout part's name; the place is a feature beside them, since
-short paragraphs of an article and short notices around it have the same words and densities.
+A page becomes a flat list of text blocks; only what a browser does not show (head, scripts, styles, hidden elements and
+such) yields none. Each block has its word count, its link density, those of the blocks before and after it, its place
+(in the page's main element, outside it though there is one, or on a page without one) and its layout: how surely the
+elements around it, from the main element on, are parts of the page's layout. A small decision tree, grown here from
+the labelled pages PAGES, keeps or drops each block; nothing else does.
+
+Layout is 3 in elements that are never an article (menus, footers, asides, dialogs, by tag or role), 2 in forms, headers
+and elements whose class or id is a layout part's name, 1 where such a name is a part of a class or id (`has-ads`), else 0.
+A main element (main, article, or by role) starts anew at 0, whatever names its wrappers or itself have, but not inside
+another one, nor as an article whose class is such a name (a reader's comment). One in a layout part counts as main only
+on pages that have none elsewhere.
 
 Character references are decoded once; white space inside a block becomes one space; blocks are joined by one
 newline in page order. Edge cases: null or empty html and pages without kept blocks give the empty text; cut-off
@@ -34,12 +38,11 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noframes xmp".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
-_NOT_TEXT = frozenset("head nav footer aside form script style noscript template textarea title button select option dialog menu iframe object svg canvas math audio video map datalist noframes".split())
-_NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-#: Names of elements that hold something else than the article.
-_NOT_TEXT_NAMES = frozenset("nav navbar navigation ad ads adv advert advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments respond disqus breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal toolbar pagination pager footer copyright disclaimer notice notification alert".split())
-#: Names that layout parts share with wrappers of an article: words and link densities decide inside.
-_LAYOUT_NAMES = frozenset("menu sidebar header masthead banner promo share sharing social related recommended widget teaser meta".split())
+_NOT_SHOWN = frozenset("head script style noscript template title textarea select option datalist iframe object svg canvas audio video map noframes".split())
+_PARTS, _PART_ROLES = frozenset("nav footer aside dialog menu".split()), frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar status".split())
+_OWN_PARTS = frozenset("form header button".split())
+#: Names that layout parts have.
+_NAMES = frozenset("nav navbar navigation menu ad ads adv advert advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments respond disqus breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal toolbar pagination pager header masthead footer copyright disclaimer notice notification alert sidebar banner promo share sharing social related recommended widget teaser meta".split())
 
 
 class Block(NamedTuple):
@@ -48,75 +51,75 @@ class Block(NamedTuple):
     link_density: float
     #: 1 in the main element, 0 where the page has none, -1 outside it
     place: int
-    #: 1 inside a wrapper with the name of a layout part
+    #: 0 to 3: how surely it is in a part of the page's layout
     layout: int
 
 
-def _opens(tag: str, attributes: str, in_main: bool) -> str:
-    """What an element means for the text inside: "main", "out", "head", "layout" or ""."""
-    if tag in _NOT_TEXT:
-        return "out"
-    names: set[str] = set()
-    role = ""
+class _Open(NamedTuple):
+    """An open element with what it inherits from those around it."""
+
+    tag: str
+    hidden: bool = False
+    layout: int = 0
+    #: 0: not in a main element, 1: in one, 2: in one that a layout part holds
+    main: int = 0
+    linked: bool = False
+
+
+def _opened(tag: str, attributes: str, around: _Open) -> _Open:
+    hidden, whole, some, role = around.hidden or tag in _NOT_SHOWN, False, False, ""
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
             if name in ("class", "id"):
-                names.update(x.lower() for x in _NAME.findall(value))
+                whole = whole or not _NAMES.isdisjoint(value.lower().split())
+                some = some or not _NAMES.isdisjoint(x.lower() for x in _NAME.findall(value))
             elif name == "role":
                 role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return "out"
-    if role in _NOT_TEXT_ROLES:
-        return "out"
-    if tag == "header":
-        return "head" if in_main else "out"
-    if tag in ("html", "body", "main") or role in ("main", "article"):
-        return "" if tag in ("html", "body") else "main"
-    if tag == "article":
-        return "out" if names & _NOT_TEXT_NAMES else "main"
-    return "out" if names & _NOT_TEXT_NAMES else "layout" if names & _LAYOUT_NAMES else ""
+                hidden = True
+    is_main = tag == "main" or role in ("main", "article") or tag == "article" and not whole
+    if is_main and not around.main:
+        return _Open(tag, hidden, 0, 2 if around.layout > 1 else 1, around.linked)
+    page = tag in ("html", "body") or is_main
+    own = 0 if page else 3 if tag in _PARTS or role in _PART_ROLES else 2 if tag in _OWN_PARTS or role == "form" or whole else 1 if some else 0
+    if tag in ("h1", "h2", "h3") and around.tag == "header" and around.main:
+        return around._replace(tag=tag, hidden=hidden, layout=0)  # the article's own heading
+    return around._replace(tag=tag, hidden=hidden, layout=max(own, around.layout), linked=around.linked or tag == "a")
 
 
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, without those of elements that hold something else than the article."""
-    found: list[list] = []  # text, words, words in links, in main, in a layout part
+    """The flat text blocks of a page."""
+    found: list[tuple[str, int, int, _Open]] = []  # text, words, words in links, the element around
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements: tag and what it means
-    out = mains = links = heads = layouts = 0
+    stack = [_Open("")]
 
     def flush() -> None:
         if text:
             flat = " ".join("".join(text).split())
-            if flat and not out and not (heads and not (stack and stack[-1][0] in ("h1", "h2", "h3"))):
-                found.append([flat, flat.count(" ") + 1, len("".join(linked).split()), mains > 0, layouts > 0])
+            if flat:
+                found.append((flat, flat.count(" ") + 1, len("".join(linked).split()), stack[-1]))
             text.clear()
             linked.clear()
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not stack[-1].hidden:
             text.append(unescape(raw) if "&" in raw else raw)
-            if links:
+            if stack[-1].linked:
                 linked.append(text[-1])
 
-    def close(at: int) -> None:
-        nonlocal out, mains, links, heads, layouts
-        for tag, means in stack[at:]:
-            out -= means == "out"
-            mains -= means == "main"
-            heads -= means == "head"
-            layouts -= means == "layout"
-            links -= tag == "a"
-        del stack[at:]
-
     def last(tag: str, stop: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == tag:
                 return i
-            if stack[i][0] in stop:
+            if stack[i].tag in stop:
                 break
-        return -1
+        return 0
+
+    def close(tag: str, stop: tuple[str, ...] = ()) -> None:
+        if i := last(tag, stop):
+            del stack[i:]
 
     at = 0
     while m := _TAG.search(page, at):
@@ -133,33 +136,27 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
             continue
         if ends:
-            if (i := last(tag)) >= 0:
-                close(i)
+            close(tag)
             continue
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P and (i := last("p", ("div", "section", "article", "main", "td", "li", "blockquote", "body"))) >= 0:
-            close(i)
-        if tag in ("li", "dt", "dd", "option", "tr", "td", "th") and (i := last(tag, ("ul", "ol", "dl", "table", "select", "menu"))) >= 0:
-            close(i)
-        if tag == "a" and (i := last("a")) >= 0:
-            close(i)
-        means = _opens(tag, attributes, mains > 0)
+        if tag in _CLOSES_P:
+            close("p", ("div", "section", "article", "main", "td", "li", "blockquote", "body"))
+        if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+            close(tag, ("ul", "ol", "dl", "table", "select", "menu"))
+        if tag == "a":
+            close("a")
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, means))
-            out += means == "out"
-            mains += means == "main"
-            heads += means == "head"
-            layouts += means == "layout"
-            links += tag == "a"
+            stack.append(_opened(tag, attributes, stack[-1]))
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            close(len(stack) - 1)
+            stack.pop()
     add(page[at:])
     flush()
-    has_main = any(b[3] for b in found)
-    return [Block(t, n, min(1.0, k / n), 1 if main else -1 if has_main else 0, int(layout)) for t, n, k, main, layout in found]
+    wanted = 1 if any(e.main == 1 for *_, e in found) else 2 if any(e.main for *_, e in found) else 0
+    place = lambda e: 0 if not wanted else 1 if e.main == wanted else -1
+    return [Block(t, n, min(1.0, k / n), place(e), e.layout) for t, n, k, e in found]
 
 
 FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "place", "layout")
@@ -191,7 +188,7 @@ def _list(*sizes: int) -> str:
 
 #: Marks the blocks of the labelled pages that are article text.
 KEEP = "\u00a7"
-#: Labelled pages of varied layout. Elements that yield no blocks are left out.
+#: Labelled pages of varied layout.
 PAGES = (
     # a main element: everything in it but lists of links, nothing around it
     f"<p>{_words(12)}</p><article><h1>{KEEP}{_words(6)}</h1>{_p(55, 40, 3, 1, 80, 12)}</article><p>{_words(14)}</p>",
@@ -218,6 +215,14 @@ PAGES = (
     f"{_p(46, 52)}<div class=promo><p>{_words(8)}</p><p>{_words(6)}</p></div>",
     f"<article>{_p(60, 44)}<div class=share>{_list(1, 1, 1)}</div></article><div class=related><p>{_words(3)}</p>{_list(5, 6, 7)}</div>",
     f"<div class=header><p>{_words(2)}</p>{_list(1, 2, 1)}</div>{_p(42, 58, 37)}<div class=widget><p>{_words(9)}</p>{_list(2, 2)}<p>{_words(7)}</p></div>",
+    # parts by tag and role, around a main element, inside one and on pages without one
+    f"<nav>{_list(1, 1, 2)}</nav><header><p>{_words(3)}</p></header><article><h1>{KEEP}{_words(6)}</h1>{_p(70, 4, 33)}<footer><p>{_words(5)}</p></footer><aside><p>{_words(30)}</p></aside></article><aside><p>{_words(60)}</p></aside><footer><p>{_words(9)}</p></footer>",
+    f"<header>{_list(1, 1)}</header><main><header><h1>{KEEP}{_words(5)}</h1><p>{_words(4)}</p></header>{_p(2, 90, 1, 40)}<form><p>{_words(6)}</p></form><section class=comments><p>{_words(45)}</p><p>{_words(4)}</p><p>{_words(70)}</p></section></main><footer>{_list(2, 2)}</footer>",
+    f"<nav>{_list(1, 2, 1)}</nav><div class=ad><p>{_words(6)}</p></div>{_p(66, 51, 48)}<div class=comments><p>{_words(25)}</p><p>{_words(31)}</p></div><aside><p>{_words(55)}</p></aside><footer><p>{_words(60)}</p></footer>",
+    f"<div class=cookie><p>{_words(22)}</p></div><main>{_p(38, 3)}<div class='content has-ads'>{_p(50, 64, 7)}</div><div class=share-links>{_list(1, 1)}</div></main>",
+    f"<form><nav>{_list(1, 1)}</nav>{_p(72, 58, 90)}<p>{_words(4)}</p></form><footer><p>{_words(14)}</p></footer>",
+    f"<div class=notice>{_p(81, 66, 93, 57)}</div>",
+    f"<div class=notice><p>{_words(14)}</p></div>{_p(50, 70)}<div class=newsletter><p>{_words(18)}</p><p>{_words(3)}</p></div>",
     f"<div class=page-header>{_list(1, 1)}</div><div class='post with-related'><p>{KEEP}{_words(62)}</p>{_p(57, 49)}</div><div class=social><p>{_words(4)}</p>{_list(1, 1)}</div>",
 )
 

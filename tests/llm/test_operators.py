@@ -448,10 +448,29 @@ def test_html(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
-def test_html_blocks_by_brute_force():
-    """Words, link density and neighbours of well-formed pages, found again by a plain parser."""
+WRAPPED = "<article><h1>T</h1><p>one two</p><p>" + "word " * 50 + "</p></article>"
+KEPT = "T\none two\n" + ("word " * 50).strip()
+
+
+@pytest.mark.parametrize("name", ["has-ads", "no-comments", "page-with-footer", "has-cookie-banner", "js-popup-enabled", "notice", "ad sidebar"])
+def test_html_wrappers_keep_their_article(name):
+    """Whatever a wrapper is called, the main element in it counts; without one, its long paragraphs do."""
+    tree = html.grow(*html.labelled())
+    assert html.main_text(f"<div class='{name}'>{WRAPPED}</div><footer>x</footer>", tree) == KEPT
+    assert html.main_text(f"<body class='{name}'><nav><a href=x>h</a></nav><main>{WRAPPED}<div class=comments>{WRAPPED.replace('<article', '<article class=comment')}</div></main>", tree) == KEPT
+    assert html.main_text(WRAPPED.replace("<article>", "<article class='comments-open'>"), tree) == KEPT
+    plain = ["word " * n for n in (60, 90, 75)]
+    assert html.main_text(f"<div class='{name}'>" + "".join(f"<p>{x}</p>" for x in plain) + "</div>", tree) == "\n".join(x.strip() for x in plain)
+
+
+def test_html_by_brute_force():
+    """Words, link density, place, layout and neighbours of well-formed pages, and the whole text, found again by a plain parser."""
     from html.parser import HTMLParser
 
+    def own(tag, name):
+        parts = set(re.findall(r"[a-z]+|\d+", name))
+        return 3 if tag in html._PARTS else 2 if tag in html._OWN_PARTS or set(name.split()) & html._NAMES else 1 if parts & html._NAMES else 0
+
     class Plain(HTMLParser):
         def __init__(self):
             super().__init__()
@@ -459,7 +478,14 @@ def test_html_blocks_by_brute_force():
 
         def end_block(self):
             if self.text.split():
-                self.found.append((" ".join(self.text.split()), len(self.text.split()), len(self.linked.split()), any(t in ("main", "article") for t, _ in self.open)))
+                mains = [i for i, (t, name) in enumerate(self.open) if t == "main" or t == "article" and not set(name.split()) & html._NAMES]
+                inner = self.open[mains[0] + 1 :] if mains else self.open
+                inner = [x for i, x in enumerate(inner) if x[0] not in ("main", "article") or own("", x[1]) == 2]
+                layout = max([own(*x) for x in inner], default=0)
+                if mains and len(inner) > 1 and inner[-2][0] == "header" and inner[-1][0] in ("h1", "h2", "h3"):
+                    layout = 0
+                outer = max([own(*x) for x in self.open[: mains[0]]], default=0) if mains else 0
+                self.found.append((" ".join(self.text.split()), len(self.text.split()), len(self.linked.split()), 0 if not mains else 2 if outer > 1 else 1, layout))
             self.text = self.linked = ""
 
         def handle_starttag(self, tag, attributes):
@@ -477,18 +503,21 @@ def test_html_blocks_by_brute_force():
             if any(t == "a" for t, _ in self.open):
                 self.linked += data
 
-    for page in html.PAGES:
+    tree = html.grow(*html.labelled())
+    more = [f"<div class=notice>{WRAPPED}</div><p>out here</p>", f"<aside>{WRAPPED}</aside><main>{'<p>word</p>' * 9}</main>", f"<div class=comments>{WRAPPED.replace('<article', '<article class=comment')}</div>"]
+    for page in [*html.PAGES, *more]:
         plain = Plain()
         plain.feed(page)
         plain.end_block()
-        main = any(x[3] for x in plain.found)
-        want = [(t, n, k / n, 1 if m else -1 if main else 0) for t, n, k, m in plain.found]
-        got = html.blocks(page)
-        assert [tuple(b)[:4] for b in got] == want
-        x = html.features(got)
-        for i, row in enumerate(x):
+        wanted = min((x[3] for x in plain.found if x[3]), default=0)
+        want = [(t, n, k / n, 0 if not wanted else 1 if m == wanted else -1, layout) for t, n, k, m, layout in plain.found]
+        assert [tuple(b) for b in html.blocks(page)] == want
+        rows = []
+        for i, b in enumerate(want):
             around = [want[j][1:3] if 0 <= j < len(want) else (0, 0) for j in (i, i - 1, i + 1)]
-            assert row[:6].tolist() == [v for pair in around for v in pair]
+            rows.append([*(v for pair in around for v in pair), *b[3:]])
+        walk = lambda node, x: node if isinstance(node, bool) else walk(node.low if x[node.feature] <= node.cut else node.high, x)
+        assert html.main_text(page, tree) == "\n".join(b[0] for b, x in zip(want, rows) if walk(tree, x))
 
 
 def test_html_tree():
