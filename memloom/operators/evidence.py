@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring, temporal
 from ..functions.text import node_id, normalize_key
+from ..sources.shared import stored
+from . import projections
 
 
 def term_nodes(records: DataFrame) -> DataFrame:
@@ -101,16 +103,56 @@ def containment_tree(sets: DataFrame) -> DataFrame:
     nothing. The smallest superset has no other one between, so it is also the parent of the reduced tree.
     """
     s = sets.select("set_id", "item").distinct()
+    sizes = s.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
     often = s.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
-    whole = s.groupBy("set_id").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("items"))  # bounded by the set
     rare = s.join(often, "item").groupBy("set_id").agg(F.min(F.struct("times", "item")).alias("rare")).select("set_id", F.col("rare.item").alias("item"))
-    a = whole.join(rare, "set_id").select(F.col("set_id").alias("child"), F.col("items").alias("own"), F.col("n").cast("bigint").alias("n_child"), "item")
-    b = whole.select(F.col("set_id").alias("parent"), "items", F.col("n").cast("bigint").alias("n_parent"), F.explode("items").alias("item"))
-    over = a.join(b, "item").filter((F.col("n_parent") > F.col("n_child")) & (F.size(F.array_except("own", "items")) == 0))
+    child = rare.join(sizes, "set_id").select(F.col("set_id").alias("child"), F.col("n").alias("n_child"), "item")
+    parent = s.join(sizes, "set_id").select(F.col("set_id").alias("parent"), F.col("n").alias("n_parent"), "item")
+    pairs = child.join(parent, "item").filter("n_parent > n_child").drop("item")
+    shared = pairs.join(s.select(F.col("set_id").alias("child"), "item"), "child").join(s.select(F.col("set_id").alias("parent"), "item"), ["parent", "item"])
+    over = shared.groupBy("child", "parent", "n_child", "n_parent").agg(F.count(F.lit(1)).alias("shared")).filter("shared = n_child")
     w = Window.partitionBy("child").orderBy("n_parent", "parent")
     return over.withColumn("r", F.row_number().over(w)).filter("r = 1").select("child", "parent", "n_child", "n_parent")
 
 
+def memory_tree(sets: DataFrame, records: DataFrame, turns: DataFrame) -> DataFrame:
+    """id, kind, parent, depth, path, name of every node of the memory's trees, once for each path to it.
+
+    sets(set_id, item, name): composites with the records they were made of; records(record_id, session_id, lo, hi,
+    created_at, name); turns(session_id, turn_index, role, content). A composite hangs below its smallest superset, a record below
+    the composites that hold it though none of their children does, a turn below its canonical record. Roots are
+    composites without a superset and records that no composite holds. Depths are found level by level, each level stored: a
+    recursive query would end at a million rows.
+    """
+    s = sets.select(F.col("set_id").cast("string").alias("set_id"), F.col("item").cast("string").alias("item")).distinct()
+    names = sets.groupBy(F.col("set_id").cast("string").alias("set_id")).agg(F.min("name").alias("name"))
+    parents = stored(containment_tree(s).select("child", "parent"), "parents")
+    level = s.select(F.col("set_id").alias("id")).distinct().join(parents, F.col("id") == F.col("child"), "left_anti").select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col("id").alias("path"))
+    found = []
+    while True:
+        level = stored(level, "level")
+        if level.isEmpty():
+            break
+        found.append(level)
+        above = level.select(F.col("id").alias("parent"), "depth", "path")
+        level = parents.join(above, "parent").select(F.col("child").alias("id"), "parent", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "child").alias("path"))
+    composites = level.limit(0)
+    for one in found:
+        composites = composites.unionByName(one)
+    below = lambda rows, parent, name: rows.join(parent.select(F.col("id").alias("parent"), F.col("depth").alias("_depth"), F.col("path").alias("_path")), "parent").select("id", "parent", (F.col("_depth") + 1).alias("depth"), F.concat_ws("/", "_path", "id").alias("path"), name)
+    covered = parents.join(s, F.col("child") == F.col("set_id")).select(F.col("parent").alias("set_id"), "item").distinct()
+    r = records.select(F.col("record_id").cast("string").alias("id"), "name")
+    direct = s.join(covered, ["set_id", "item"], "left_anti").select(F.col("set_id").alias("parent"), F.col("item").alias("id")).join(r, "id")
+    loose = r.join(s.select(F.col("item").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col("id").alias("path"), "name")
+    held = stored(below(direct, composites, "name").unionByName(loose), "records")
+    edges, shown = projections.grounding(records, turns)
+    canonical = edges.filter("rank = 1").select(F.col("record_id").cast("string").alias("parent"), "episode_id")
+    episodes = canonical.join(shown.select("episode_id", "name"), "episode_id").select("parent", F.concat(F.lit("episode:"), "episode_id").alias("id"), "name")
+    kind = lambda rows, name: rows.select("id", F.lit(name).alias("kind"), "parent", "depth", "path", F.substring("name", 1, 123).alias("name"))
+    top = composites.join(names.withColumnRenamed("set_id", "id"), "id")
+    return kind(top, "composite").unionByName(kind(held, "record")).unionByName(kind(below(episodes, held, "name"), "episode"))
+
+
 def graph(index: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges node -> record, roots): roots are nodes, and records that no node points to."""
     edges = index.join(records.select("record_id"), "record_id", "left_semi").select(F.concat_ws(":", "node_type", "key").alias("source"), F.col("record_id").cast("string").alias("target"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, temporal, text
-from ..operators import ingest, projections, ranking, sessions, stores, vectors
-from ..sources import tables
+from ..operators import evidence, ingest, projections, ranking, sessions, statistics, stores, vector_store, vectors
+from ..sources import images, tables
 from ..sources.batches import read_batches
 from ..sources.shared import shared_place
 from ..streaming import chunker, throttle
@@ -393,6 +393,29 @@ def repaired_extractions(spark, d):
     return spark.createDataFrame(rows, "id int, answer string").select("id", projections.checked_extraction(F.col("answer")).alias("x")).select("id", "x.*")
 
 
+_TREE = f"""WITH RECURSIVE {_REC}, t AS ({_TURNS}), x AS (SELECT doc_id::VARCHAR AS item, lang, source, n_chars FROM documents WHERE coalesce(lang, '') <> 'fr'),
+    s AS (SELECT DISTINCT set_id, item FROM (SELECT 'lang:' || lang AS set_id, item FROM x UNION ALL SELECT 'source:' || source, item FROM x UNION ALL SELECT 'both:' || lang || ':' || source, item FROM x UNION ALL SELECT 'long:' || lang || ':' || source, item FROM x WHERE n_chars > 2000) WHERE set_id IS NOT NULL),
+    n AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT a.set_id AS child, c.set_id AS parent, count(*) AS shared FROM s a JOIN s c ON a.item = c.item AND a.set_id <> c.set_id GROUP BY 1, 2),
+    p AS (SELECT child, parent FROM b JOIN n nc ON nc.set_id = child JOIN n np ON np.set_id = parent WHERE shared = nc.n AND np.n > nc.n QUALIFY row_number() OVER (PARTITION BY child ORDER BY np.n, parent) = 1),
+    tree AS (SELECT set_id AS id, NULL::VARCHAR AS parent, 0 AS depth, set_id AS path FROM n WHERE set_id NOT IN (SELECT child FROM p) UNION ALL SELECT p.child, p.parent, depth + 1, path || '/' || p.child FROM tree JOIN p ON p.parent = tree.id),
+    cov AS (SELECT DISTINCT p.parent AS set_id, item FROM p JOIN s ON s.set_id = p.child), d AS (SELECT set_id, item FROM s WHERE (set_id, item) NOT IN (SELECT (set_id, item) FROM cov)),
+    held AS (SELECT item AS id, d.set_id AS parent, depth + 1 AS depth, path || '/' || item AS path FROM d JOIN tree ON tree.id = d.set_id UNION ALL SELECT record_id::VARCHAR, NULL, 0, record_id::VARCHAR FROM rec WHERE record_id::VARCHAR NOT IN (SELECT item FROM s)),
+    e AS (SELECT record_id::VARCHAR AS record_id, 'episode:' || t.session_id || ':' || t.turn_index AS episode_id, t.role || ': ' || content AS name FROM rec r JOIN t ON t.session_id = r.session_id AND t.turn_index BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY t.session_id, t.turn_index ORDER BY r.created_at, record_id) = 1)
+    SELECT id, 'composite' AS kind, parent, depth, path, id AS name FROM tree UNION ALL SELECT held.id, 'record', parent, depth, path, substr(text, 1, 120) FROM held JOIN rec ON record_id::VARCHAR = held.id
+    UNION ALL SELECT episode_id, 'episode', held.id, depth + 1, path || '/' || episode_id, CASE WHEN length(name) > 120 THEN substr(name, 1, 120) || '...' ELSE name END FROM e JOIN held ON held.id = e.record_id"""
+
+
+@query(_TREE)
+def memory_tree(spark, d):
+    """Composites, records and turns with depth and path: languages, sources, both, and their long texts as composites."""
+    x = _docs(spark, d).filter("coalesce(lang, '') <> 'fr'")
+    both = F.concat(F.col("lang"), F.lit(":"), F.col("source"))
+    ids = F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"), F.concat(F.lit("both:"), both), F.when(F.col("n_chars") > 2000, F.concat(F.lit("long:"), both)))
+    sets = x.select(F.explode(ids).alias("set_id"), F.col("doc_id").alias("item")).filter("set_id is not null").withColumn("name", F.col("set_id"))
+    records = tables.records(spark, d).withColumn("name", F.substring("semantic_text", 1, 120))
+    return evidence.memory_tree(sets, records, tables.turns(spark, d))
+
+
 @query(f"""WITH {_REC}, t AS ({_TURNS}), e AS (SELECT record_id, t.session_id || ':' || t.turn_index AS episode_id, row_number() OVER (PARTITION BY t.session_id, t.turn_index ORDER BY r.created_at, record_id) AS rank, t.role || ': ' || content AS name FROM rec r JOIN t ON t.session_id = r.session_id AND t.turn_index BETWEEN lo AND hi)
     SELECT episode_id, count(*) AS grounded_record_count, max(record_id) FILTER (rank = 1) AS canonical_record_id, CASE WHEN length(any_value(name)) > 120 THEN substr(any_value(name), 1, 120) || '...' ELSE any_value(name) END AS name FROM e GROUP BY episode_id""")
 def turn_grounding(spark, d):
@@ -500,6 +523,39 @@ def _stream_ingested(spark, d) -> tuple[ingest.Ingested, str]:
     return ingest.ingested(spark, place), place
 
 
+@query("""SELECT DISTINCT 's-' || page_id % 40 || '/' || substr(sha256(coalesce(html, '')), 1, 16) || '.png' AS image_path, strlen(coalesce(html, ''))::BIGINT AS length, sha256(coalesce(html, '')) AS sha FROM pages WHERE html <> ''""")
+def image_files(spark, d):
+    """Pages' bytes written as image files, twice, and read back."""
+    place, content = shared_place(spark), F.coalesce("html", F.lit(""))
+    path = stores.image_path(F.concat(F.lit("s-"), (F.col("page_id") % 40).cast("string")), text.image_hash(content), F.lit("image/png"))
+    found = tables.read(spark, d, "pages").select(path.alias("image_path"), content.cast("binary").alias("content"))
+    images.write_images(found, place)
+    images.write_images(found, place)
+    return images.read_images(spark, place).select("image_path", "length", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT vec_id AS id, 64 AS width, round((CASE WHEN vec_id % 2 = 0 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE, 5) AS first FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0")
+def vector_upserts(spark, d):
+    """Vectors replaced in the folders that they fall into, in a table that was rebuilt for their width."""
+    e, place = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), shared_place(spark)
+    vector_store.opened(spark, place, 32)
+    vector_store.opened(spark, place, 64)
+    vector_store.upsert(e.filter("id % 3 <> 0"), place)
+    vector_store.upsert(e.filter("id % 2 = 0").withColumn("vector", F.transform("vector", lambda x: -x)), place)
+    return vector_store.rows(spark, place).select("id", F.size("vector").alias("width"), F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query("SELECT event_type AS source, count(*) AS calls, sum(event_id % 100)::BIGINT AS tokens, round(sum(value), 4) AS latency, round(sum(value) / count(*), 6) AS mean_latency FROM events GROUP BY event_type")
+def statistics_observed(spark, d):
+    """The same totals, counted on the way of two writes and resumed from a file."""
+    place, kinds = shared_place(spark), ("view", "click", "signup", "error", "purchase")
+    for half in (0, 1):
+        rows, seen = statistics.observed(_events(spark, d).filter(F.col("event_id") % 2 == half), kinds, F.col("event_type"), F.col("event_id") % 100, F.col("value"))
+        rows.write.parquet(f"{place}/trace-{half}")
+        statistics.save(spark, f"{place}/usage.json", statistics.totals(seen, kinds))
+    return statistics.table(spark, f"{place}/usage.json").select("source", "calls", "tokens", F.round("latency", 4).alias("latency"), F.round("mean_latency", 6).alias("mean_latency"))
+
+
 @query(f"WITH {_ALL} SELECT record_id, {_KIND} AS memory_type, {_KIND} || ': ' || content AS normalized_text, session_id, [turn_index] AS evidence_turns, 64 AS width, 64 AS normalized_width FROM o")
 def ingest_stream_records(spark, d):
     """Records and their vectors from a stream of turns, written by batches."""
