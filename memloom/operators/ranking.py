@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -167,14 +167,14 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.75) -> DataFrame:
     return _by_request(pool, choose, f"request {kinds['request']}, id {kinds['id']}, score double, place int")
 
 
-def episode_budget(selected: DataFrame, candidates: DataFrame, k: int, ratio: float = 0.40, min_ratio: float = 0.72) -> DataFrame:
+def episode_budget(selected: DataFrame, candidates: DataFrame, k: int, ratio: float | Column = 0.40, min_ratio: float | Column = 0.72) -> DataFrame:
     """Cap the dialogue rows of each request's selection and fill up with records (T4, U4).
 
     selected(request, id, source, score, routes array, place), candidates(request, id, source, score). Dialogue rows of a
     route that no selected record has always stay. Of the others those stay, in order of place, that score max(.35, best
     record * min_ratio) or more while fewer than clamp(max(2, round(k * ratio), routes of dialogue rows), 1, k) dialogue rows
     are in. Selections without dialogue rows or a positive record pass unchanged, up to k. Every condition on the rows
-    before is a running count, so there is no fold.
+    before is a running count, so there is no fold. The ratios may be columns of selected.
     """
     whole, by_place = Window.partitionBy("request"), Window.partitionBy("request").orderBy("place", "id")
     before = by_place.rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +186,7 @@ def episode_budget(selected: DataFrame, candidates: DataFrame, k: int, ratio: fl
     s = s.withColumn("any", F.max(episode.cast("int")).over(whole)).withColumn("passes", (F.col("any") == 0) | (F.col("best") <= 0))
     s = s.withColumn("needed", episode & (F.size(F.array_except("routes", "record_routes")) > 0))
     s = s.withColumn("fit", episode & ~F.col("needed") & (F.col("score") >= F.greatest(F.lit(0.35), F.col("best") * min_ratio)))
-    budget = F.greatest(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(2), F.bround(F.lit(k * ratio)).cast("int"), F.col("episode_routes"))))
+    budget = F.greatest(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(2), F.bround(F.lit(k) * ratio).cast("int"), F.col("episode_routes"))))
     ahead = F.coalesce(F.sum((F.col("needed") | F.col("fit")).cast("int")).over(before), F.lit(0))
     s = s.withColumn("ahead", ahead).withColumn("kept", F.col("passes") | ~episode | F.col("needed") | (F.col("fit") & (F.col("ahead") < budget)))
     kept = s.filter("kept").select("request", "id", "source", "score", "passes", F.when(F.col("passes"), F.col("place")).otherwise(F.lit(0)).alias("place"), F.lit(0).alias("late"))

@@ -313,18 +313,15 @@ def search(requests: DataFrame, routes: DataFrame, channels: list[DataFrame], tu
     hits = ranked.select("request", "route", "route_no", "id", F.col("final").alias("score"))
     fused = ranking.rrf(hits, k)
     matches = F.sort_array(F.collect_set(F.struct("rank", "route", "goal")))  # a row a route (A16, P31)
-    best = ranked.groupBy("request", "id").agg(F.max_by(F.struct(*PAYLOAD, "distance", *LISTS), "final").alias("p"), matches.alias("matched"))
+    order = F.struct(F.col("final"), -F.col("route_no"))  # of equal ones the first route's
+    best = ranked.groupBy("request", "id").agg(F.max_by(F.struct(*PAYLOAD, "distance", *LISTS), order).alias("p"), matches.alias("matched"))
     chosen = stored(fused.join(best, ["request", "id"]).select("request", "id", "score", "p.*", F.transform("matched", lambda m: m["route"]).alias("routes")), "chosen")
     turns_of = F.when(F.col("lo").isNull(), _empty("array<int>")).otherwise(F.sequence("lo", "hi"))
     varied = ranking.mmr(chosen.select("request", "id", "score", "text", "session", "entities", "queries", "nodes", turns_of.alias("turns")), k)
     selected = stored(varied.join(chosen.select("request", "id", "source", "routes"), ["request", "id"]), "selected")
     top = hits.groupBy("request", "id").agg(F.max("score").alias("score")).join(best.select("request", "id", F.col("p.source").alias("source")), ["request", "id"])
-    ratios = requests.select("request", "strategy", "episode_ratio", "min_ratio")
-    out = None
-    for ratio, least in sorted({(s[7], s[8]) for s in scoring.STRATEGIES}):  # one budget a strategy
-        of = ratios.filter((F.col("episode_ratio") == ratio) & (F.col("min_ratio") == least)).select("request")
-        part = ranking.episode_budget(selected.join(of, "request", "left_semi"), top.join(of, "request", "left_semi"), k, ratio, least)
-        out = part if out is None else out.unionByName(part)
+    budgeted = selected.join(requests.select("request", "episode_ratio", "min_ratio"), "request")
+    out = ranking.episode_budget(budgeted, top, k, F.col("episode_ratio"), F.col("min_ratio"))
     return out.drop("source").join(best.select("request", "id", "p.*", "matched"), ["request", "id"])
 
 

@@ -669,19 +669,26 @@ def graph_edges(spark, d):
     return evidence.graph(index, docs.select(F.col("doc_id").alias("record_id")))[0]
 
 
-@query("""SELECT * FROM (VALUES (1, 'temporal', ['when', 'date of move'], ['place: Rome'], 2, ['when', 'Move']), (2, 'single', ['x'], []::VARCHAR[], 1, ['x']), (3, 'default', ['y'], []::VARCHAR[], 1, ['y']))
-    v(plan_id, strategy, semantic_queries, constraints, n_routes, first_queries) WHERE plan_id = 1 UNION ALL SELECT 2, 'default', ['x'], []::VARCHAR[], 1, ['x'] UNION ALL SELECT 3, 'default', ['y'], []::VARCHAR[], 1, ['y']""")
+@query("""SELECT doc_id AS plan_id, CASE doc_id % 4 WHEN 0 THEN 'temporal' ELSE 'default' END AS strategy, CASE doc_id % 4 WHEN 0 THEN [source, 'of ' || lang] WHEN 3 THEN list_prepend(source, list_transform(range(1, 16), lambda i: 'q' || i)) ELSE [source] END AS semantic_queries,
+    CASE doc_id % 4 WHEN 0 THEN ['lang: ' || lang] WHEN 3 THEN list_transform(range(12), lambda i: 'k: ' || i) ELSE []::VARCHAR[] END AS constraints, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 8 ELSE 1 END AS n_routes,
+    CASE doc_id % 4 WHEN 0 THEN [source, 'Move ' || lang] ELSE [source] END AS first_queries FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
 def plan_parsing(spark, d):
-    """A full plan, malformed JSON, and an unknown question type."""
-    full = '{"question_type": " Temporal ", "semantic_queries": ["When", "date of move", ""], "constraints": [{"kind": "place", "value": "Rome"}], "routes": [{"goal": "g", "queries": ["Move", "MOVE"]}, {"route_id": "b"}]}'
-    rows = spark.createDataFrame([(1, "when", full), (2, "x", "{oops"), (3, "y", '{"question_type": "riddle"}')], "plan_id int, query string, plan string")
+    """Plans about every document: a full one, malformed JSON, an unknown question type, and one with more of all than is kept."""
+    i, s, lang = F.col("doc_id") % 4, F.col("source"), F.col("lang")
+    full = F.concat(F.lit('{"question_type": " Temporal ", "semantic_queries": ["'), F.upper(s), F.lit('", "of '), lang, F.lit('", ""], "constraints": [{"kind": "lang", "value": "'), lang, F.lit('"}], "routes": [{"goal": "g", "queries": ["Move '), lang, F.lit('", "MOVE '), lang, F.lit('"]}, {"route_id": "b"}]}'))
+    many = '{"semantic_queries": [' + ", ".join(f'"q{n}"' for n in range(1, 30)) + '], "constraints": [' + ", ".join(f'{{"kind": "k", "value": "{n}"}}' for n in range(20)) + '], "routes": [' + ", ".join(f'{{"route_id": "r{n}"}}' for n in range(11)) + "]}"
+    plan = F.when(i == 0, full).when(i == 1, F.concat(F.lit("{oops "), s)).when(i == 2, F.lit('{"question_type": "riddle"}')).otherwise(F.lit(many))
+    rows = tables.read(spark, d, "documents").filter("source is not null and lang is not null").select(F.col("doc_id").alias("plan_id"), s.alias("query"), plan.alias("plan"))
     p = plans_io.with_strategy(plans_io.parse_plans(rows))
     return p.select("plan_id", "strategy", "semantic_queries", "constraints", F.size("routes").alias("n_routes"), F.get("routes", F.lit(0))["queries"].alias("first_queries"))
 
 
-@query(f"""SELECT v.question_type AS strategy, greatest(45, 30) * 1.0 AS base, floor(45 * evidence_mult)::INTEGER AS evidence, floor(45 * record_mult)::INTEGER AS records, floor(20 * turn_mult)::INTEGER AS turns
-    FROM (VALUES {', '.join(str(r[:4]) for r in scoring.STRATEGIES)}) v(question_type, evidence_mult, record_mult, turn_mult)""")
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 'default', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 'prior_assistant_response', 0.95, 0.95, 3.0), (2, 'personalized_advice', 1.25, 1.2, 1.8), (3, 'aggregate', 1.55, 1.45, 1.0), (4, 'temporal', 1.35, 1.3, 1.45), (5, 'comparison', 1.35, 1.3, 1.3)) v(n, strategy, e, r, t)),
+    d AS (SELECT doc_id, doc_id % 6 AS n, (n_chars % 40 + 1)::INTEGER AS k FROM documents WHERE n_chars IS NOT NULL)
+    SELECT doc_id AS plan_id, strategy, floor(greatest(3 * k, 30) * e)::INTEGER AS evidence, floor(greatest(3 * k, 30) * r)::INTEGER AS records, floor(greatest(k, 20) * t)::INTEGER AS turns, greatest(10 * k, 100)::INTEGER AS temporal FROM d JOIN s USING (n)""")
 def channel_limits(spark, d):
-    s = plans_io.strategies(spark)
-    x = plans_io.depths(F.lit(15), F.col("evidence_mult"), F.col("record_mult"), F.col("turn_mult"))
-    return s.select(F.col("question_type").alias("strategy"), F.lit(45.0).alias("base"), x["evidence"].alias("evidence"), x["records"].alias("records"), x["turns"].alias("turns"))
+    """How many hits each channel gives, by strategy and depth (T5)."""
+    kind = F.get(F.array(*[F.lit(x) for x in ("default", "prior_assistant_response", "personalized_advice", "aggregate", "temporal", "comparison")]), (F.col("doc_id") % 6).cast("int"))
+    rows = tables.read(spark, d, "documents").filter("n_chars is not null").select(F.col("doc_id").alias("plan_id"), kind.alias("question_type"), (F.col("n_chars") % 40 + 1).cast("int").alias("k"))
+    t = plans_io.with_strategy(rows)
+    return t.select("plan_id", "strategy", plans_io.depths(F.col("k"), F.col("evidence_mult"), F.col("record_mult"), F.col("turn_mult")).alias("x")).select("plan_id", "strategy", "x.*")

@@ -60,7 +60,7 @@ def _near(spark, d) -> DataFrame:
 
 
 def _channels(spark, d) -> list[DataFrame]:
-    near, records, turns = _near(spark, d), tables.records(spark, d), tables.dated_turns(spark, d)
+    near, records, turns = stored(_near(spark, d), "near"), tables.records(spark, d), tables.dated_turns(spark, d)
     as_id = lambda c: near.select("request", "route", "query", c.cast("string").alias("id"), "distance")
     nodes = tables.read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.get(F.array(*[F.lit(x) for x in ("entity", "tag", "entity_tag")]), (F.col("vec_id") % 3).cast("int")).alias("node_type"), (F.col("vec_id") % 50).alias("bucket"))
     index = nodes.join(records.select("record_id", (F.col("record_id") % 50).alias("bucket")), "bucket").select("id", "record_id")
@@ -129,7 +129,7 @@ def candidate_list_union(spark, d):
 
 
 def _anchors(spark, d) -> DataFrame:
-    """A candidate a turn of the first twenty sessions' users and assistants."""
+    """A candidate a turn of users and assistants."""
     t = search.of_turns(tables.dated_turns(spark, d)).filter("role <> 'system'")
     score = 0.5 + (F.col("lo") % 5) / 100.0
     return t.withColumns({"request": F.lit(3), "route": F.lit("a"), "field": score, "retrieval": F.lit(0.0), "distance": F.lit(1.0), "queries": F.array(F.lit("q")), "channels": F.array(F.lit("raw_turn_direct")), "nodes": F.array().cast("array<string>")})
@@ -247,6 +247,6 @@ def temporal_record_recall(spark, d):
 
 @query()
 def search_end_to_end(spark, d):
-    """Every request's k best candidates over its routes (K21, K22); tests/test_search.py recomputes them in plain Python."""
+    """Every request's k best candidates over its routes (K21, K22); tests/test_search.py computes order, scores and rows again in plain Python."""
     found = search.search(_requests(spark), _routes(spark), _channels(spark, d), tables.dated_turns(spark, d), K)
     return search.provenance(found)

@@ -27,15 +27,13 @@ def _events(spark, d) -> DataFrame:
 # ---- stores --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split()[0]}')" for t, cols in stores.SCHEMAS.items() for i, c in enumerate(__import__("re").split(r", (?![^<]*>)", cols))) + ") v(table_name, position, column_name)")
+@query("""SELECT doc_id::VARCHAR AS record_id, 'record_id memory_type semantic_text normalized_text entities tags source_session source_role evidence_turn_range created_at expired' AS columns, 8 + (text IS NULL)::INTEGER AS n_null FROM documents""")
 def store_schemas(spark, d):
-    """The columns of every store's empty table (S1, S39, S40), one of them after a migration that adds a column."""
-    rows = []
-    for name, schema in stores.SCHEMAS.items():
-        t = spark.createDataFrame([], schema)
-        t = stores.migrated(t.drop(t.columns[-1]), schema)
-        rows += [(name, i, c) for i, c in enumerate(t.columns)]
-    return spark.createDataFrame(rows, "table_name string, position int, column_name string")
+    """Documents as records of an older schema: what the store's columns have beyond theirs is null."""
+    old = _docs(spark, d).select(F.col("doc_id").cast("string").alias("record_id"), F.lit("fact").alias("memory_type"), F.col("text").alias("semantic_text"))
+    t = stores.migrated(old, stores.SCHEMAS["records"])
+    nulls = sum(F.col(c).isNull().cast("int") for c in t.columns)
+    return t.select("record_id", F.lit(" ".join(t.columns)).alias("columns"), nulls.alias("n_null"))
 
 
 @query("SELECT doc_id, text, lang, source FROM documents WHERE doc_id = 17")
@@ -312,9 +310,14 @@ def action_states(spark, d):
     return projections.action_state(t).drop("tentative_action", "failure_signal")
 
 
-@query("""SELECT v.request, v.skill_query FROM (VALUES (1, 'go；try it；first；second'), (2, 'go；try it'), (3, 'go；first')) v(request, skill_query)""")
+@query("""SELECT doc_id AS request, CASE doc_id % 3 WHEN 0 THEN source || '；' || lang || '；first；second' WHEN 1 THEN source || '；' || lang ELSE source || '；first' END AS skill_query FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
 def skill_queries(spark, d):
-    rows = spark.createDataFrame([(1, " go ", "try it", "Action", ["first", "go", " second ", "first"]), (2, "go", "try it", "answer", ["first"]), (3, "go", "go", "mixed", ["", "first"])], "request int, query string, action string, mode string, pragmatic array<string>")
+    """Query, action and, unless only an answer is asked for, pragmatic queries as one text, each once."""
+    i = F.col("doc_id") % 3
+    rows = _docs(spark, d).filter("source is not null and lang is not null").select(
+        F.col("doc_id").alias("request"), F.concat(F.lit(" "), "source", F.lit(" ")).alias("query"), F.when(i == 2, F.col("source")).otherwise(F.col("lang")).alias("action"), F.when(i == 0, "Action").when(i == 1, "answer").otherwise("mixed").alias("mode"),
+        F.when(i == 2, F.array(F.lit(""), F.lit("first"))).otherwise(F.array(F.lit("first"), F.col("source"), F.lit(" second "), F.lit("first"))).alias("pragmatic"),
+    )
     return rows.select("request", projections.skill_query(F.col("query"), F.col("action"), F.col("mode"), F.col("pragmatic")).alias("skill_query"))
 
 
@@ -327,16 +330,23 @@ def rerank_inputs(spark, d):
     return r.select("record_id", shown.alias("text"))
 
 
-@query("""SELECT v.id, v.idx AS "index", v.score FROM (VALUES (1, 0, 0.9::DOUBLE), (1, 2, 0.1), (2, 1, 0.5), (3, 4, 7.0), (3, -1, 0.0)) v(id, idx, score)""")
+@query("""WITH e AS (SELECT event_id AS id, event_id % 4 AS kind, (event_id % 7)::INTEGER AS n, (event_id % 10) / 10.0::DOUBLE AS x FROM events)
+    SELECT id, n AS "index", x AS score FROM e WHERE kind = 0 UNION ALL SELECT id, 9, 0.5 FROM e WHERE kind = 0 UNION ALL SELECT id, n, x FROM e WHERE kind = 1 UNION ALL SELECT id, n, 7.0 FROM e WHERE kind = 2 UNION ALL SELECT id, -1, 0.0 FROM e WHERE kind = 2""")
 def rerank_responses(spark, d):
-    rows = [(1, '{"data": [{"index": 0, "relevance_score": 0.9}, {"index": 2, "score": 0.1}]}'), (2, '[{"document_index": 1, "relevance": 0.5}]'), (3, '{"rerank_results": [{"doc_index": 4, "rerank_score": 7}, {}]}'), (4, "{oops")]
-    return spark.createDataFrame(rows, "id int, response string").select("id", F.inline(projections.rerank_scores(F.col("response"))))
+    """Rerankers' answers for every event, under each of the names that they use, and malformed ones."""
+    i, n, x = F.col("event_id") % 4, (F.col("event_id") % 7).cast("string"), ((F.col("event_id") % 10) / 10.0).cast("string")
+    kinds = F.when(i == 0, F.concat(F.lit('{"data": [{"index": '), n, F.lit(', "relevance_score": '), x, F.lit('}, {"index": 9, "score": 0.5}]}'))).when(i == 1, F.concat(F.lit('[{"document_index": '), n, F.lit(', "relevance": '), x, F.lit("}]")))
+    kinds = kinds.when(i == 2, F.concat(F.lit('{"rerank_results": [{"doc_index": '), n, F.lit(', "rerank_score": 7}, {}]}'))).otherwise(F.concat(F.lit("{oops "), n))
+    return _events(spark, d).select(F.col("event_id").alias("id"), F.inline(projections.rerank_scores(kinds)))
 
 
-@query("""SELECT v.* FROM (VALUES (1, 'whole'), (2, '- a' || chr(10) || '- b'), (3, 'name'), (4, '')) v(id, text)""")
+@query("""SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN trim(text) WHEN 1 THEN '- ' || source || chr(10) || '- ' || lang WHEN 2 THEN source ELSE '' END AS text FROM documents WHERE trim(text) <> '' AND text NOT SIMILAR TO '[\\s].*|.*[\\s]' AND source IS NOT NULL AND lang IS NOT NULL""")
 def memory_hit_texts(spark, d):
-    rows = spark.createDataFrame([(1, " whole ", ["a"], "name"), (2, "", [" a ", "", "b"], "name"), (3, None, [], "name"), (4, None, None, None)], "id int, context string, provenance array<string>, name string")
-    return rows.select("id", projections.hit_text(F.col("context"), F.coalesce("provenance", F.array().cast("array<string>")), F.col("name")).alias("text"))
+    """A hit's context, else its provenance, else its name, else nothing."""
+    t = _docs(spark, d).filter(r"trim(text) <> '' and not text rlike '^\\s|\\s$' and source is not null and lang is not null")
+    i = F.col("doc_id") % 4
+    lines = F.when(i == 1, F.array(F.concat(F.lit(" "), "source"), F.lit(""), F.col("lang"))).otherwise(F.array().cast("array<string>"))
+    return t.select(F.col("doc_id").alias("id"), projections.hit_text(F.when(i == 0, F.col("text")).when(i == 1, F.lit("")), lines, F.when(i < 3, F.col("source"))).alias("text"))
 
 
 @query("""SELECT source AS request, string_agg(lang, chr(10) || chr(10) ORDER BY lang) AS context, (sum(n) + 2)::INTEGER AS total FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source""")
@@ -386,11 +396,14 @@ def reference_contexts(spark, d):
     return t.select("source", projections.reference_context(F.col("source"), F.col("texts")).alias("context"))
 
 
-@query("""SELECT v.* FROM (VALUES (1, 'a dog', 'photo', 1.0::DOUBLE, ['dog']), (2, 'x', 'other', 0.5, []::VARCHAR[]), (3, '', 'other', 0.3, []::VARCHAR[]), (4, 'it', 'chart', 0.2, []::VARCHAR[])) v(id, caption, scene_type, importance_score, entities)""")
+@query("""SELECT doc_id AS id, CASE doc_id % 5 WHEN 2 THEN '' WHEN 4 THEN '' ELSE source END AS caption, CASE doc_id % 5 WHEN 0 THEN 'photo' WHEN 3 THEN 'chart' ELSE 'other' END AS scene_type, CASE doc_id % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 WHEN 3 THEN (doc_id % 10) / 10.0 ELSE 0.3 END AS importance_score,
+    CASE doc_id % 5 WHEN 0 THEN [lang] ELSE []::VARCHAR[] END AS entities FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
 def repaired_extractions(spark, d):
-    """Models' JSON in a fence, between words, beyond repair, and with Python's quotes."""
-    rows = [(1, 'Here:\n```json\n{"caption": "a dog", "scene_type": "photo", "importance_score": 3, "entities": ["dog"]}\n```'), (2, 'I see {"caption": "x", "scene_type": "painting"} there'), (3, "nothing"), (4, "{'caption': 'it', 'scene_type': 'chart', 'importance_score': 0.2, 'entities': None}")]
-    return spark.createDataFrame(rows, "id int, answer string").select("id", projections.checked_extraction(F.col("answer")).alias("x")).select("id", "x.*")
+    """Models' JSON about every document: in a fence, between words, beyond repair, with Python's quotes, and empty."""
+    i, s, lang = F.col("doc_id") % 5, F.col("source"), F.col("lang")
+    answer = F.when(i == 0, F.concat(F.lit('Here:\n```json\n{"caption": "'), s, F.lit('", "scene_type": "photo", "importance_score": 3, "entities": ["'), lang, F.lit('"]}\n```'))).when(i == 1, F.concat(F.lit('I see {"caption": "'), s, F.lit('", "scene_type": "painting"} there')))
+    answer = answer.when(i == 2, F.concat(F.lit("nothing about "), s)).when(i == 3, F.concat(F.lit("{'caption': '"), s, F.lit("', 'scene_type': 'chart', 'importance_score': "), ((F.col("doc_id") % 10) / 10.0).cast("string"), F.lit(", 'entities': None}"))).otherwise(F.lit(""))
+    return _docs(spark, d).filter("source is not null and lang is not null").select(F.col("doc_id").alias("id"), projections.checked_extraction(answer).alias("x")).select("id", "x.*")
 
 
 _TREE = f"""WITH RECURSIVE {_REC}, t AS ({_TURNS}), x AS (SELECT doc_id::VARCHAR AS item, lang, source, n_chars FROM documents WHERE coalesce(lang, '') <> 'fr'),
@@ -455,10 +468,14 @@ def time_labels(spark, d):
     return e.select("event_id", temporal.time_label(stamp).alias("label"), F.regexp_replace(clock, r"\.123", "").alias("clock"), inside.alias("in_range"))
 
 
-@query("""SELECT v.* FROM (VALUES (1, TIMESTAMP '2024-05-01 10:00:00'), (2, TIMESTAMP '2024-05-01 10:20:00'), (3, TIMESTAMP '2024-05-01 00:00:00'), (4, NULL)) v(id, moment)""")
+@query("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS moment FROM events""")
 def reference_times(spark, d):
-    rows = spark.createDataFrame([(1, "2024-05-01T10:00:00"), (2, "2024/05/01 10:20"), (3, "2024-05-01"), (4, "soon")], "id int, t string")
-    return rows.select("id", temporal.reference_time(F.col("t")).cast("timestamp_ntz").alias("moment"))
+    """Events' times in each form that is read, with an offset too, and one that is not."""
+    i = F.col("event_id") % 5
+    form = lambda f: F.date_format("ts", f)
+    t = F.when(i == 0, form("yyyy-MM-dd'T'HH:mm:ss")).when(i == 1, form("yyyy/MM/dd HH:mm")).when(i == 2, form("yyyy-MM-dd")).when(i == 3, F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.concat(F.lit("soon "), form("yyyy")))
+    moment = temporal.reference_time(t)
+    return _events(spark, d).select(F.col("event_id").alias("id"), F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("moment"))
 
 
 @query("""SELECT event_id, 'Current time basis (for resolving relative time expressions):' || chr(10) || '- Current local date: ' || strftime(ts, '%Y-%m-%d') || chr(10) || '- Current UTC time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) AS basis FROM events""")
@@ -467,10 +484,12 @@ def time_basis(spark, d):
     return _events(spark, d).select("event_id", temporal.time_basis(F.col("ts")).alias("basis"))
 
 
-@query("""SELECT v.* FROM (VALUES (1, 'image/png', 'QUJD'), (2, NULL, NULL)) v(id, mime, base64)""")
+@query("""SELECT page_id AS id, CASE WHEN page_id % 3 < 2 THEN CASE page_id % 3 WHEN 0 THEN 'image/png' ELSE 'image/webp' END END AS mime, CASE WHEN page_id % 3 < 2 THEN sha256(coalesce(html, '')) END AS base64 FROM pages""")
 def data_urls(spark, d):
-    rows = spark.createDataFrame([(1, "data:image/png;base64,QUJD"), (2, "http://x/y.png")], "id int, url string")
-    return rows.select("id", text.data_url(F.col("url")).alias("x")).select("id", "x.*")
+    """Pages' hashes in data URLs of two kinds, and plain URLs."""
+    i, body = F.col("page_id") % 3, F.sha2(F.coalesce("html", F.lit("")), 256)
+    url = F.when(i == 0, F.concat(F.lit("data:image/png;base64,"), body)).when(i == 1, F.concat(F.lit("data:image/webp;base64,"), body)).otherwise(F.col("url"))
+    return tables.read(spark, d, "pages").select(F.col("page_id").alias("id"), text.data_url(url).alias("x")).select("id", "x.*")
 
 
 @query("""SELECT doc_id, 'type: entity' || chr(10) || 'entity: ' || source || CASE WHEN text <> '' THEN chr(10) || 'text: ' || text ELSE '' END AS search_text FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)""")
@@ -584,10 +603,14 @@ def image_ingest(spark, d):
     return ingest.ingest_images(p, old).select("record_id", "session_id", "image_path", "scene_type", "importance_score")
 
 
-@query("""SELECT v.* FROM (VALUES (1, 'action', 'aggregate', true, ['how many'], 'cats', ['alive']), (2, 'answer', 'single', false, []::VARCHAR[], 'x', []::VARCHAR[]), (3, 'answer', 'temporal', false, ['q'], 't', ['c'])) v(id, mode, question_type, is_aggregate_query, semantic_queries, evidence_target, evidence_constraints)""")
+@query("""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'action' ELSE 'answer' END AS mode, CASE doc_id % 3 WHEN 0 THEN 'aggregate' WHEN 1 THEN 'single' ELSE 'temporal' END AS question_type, doc_id % 3 = 0 AS is_aggregate_query, CASE doc_id % 3 WHEN 0 THEN [source] WHEN 1 THEN []::VARCHAR[] ELSE ['q ' || lang] END AS semantic_queries,
+    CASE doc_id % 3 WHEN 1 THEN source ELSE lang END AS evidence_target, CASE doc_id % 3 WHEN 0 THEN ['alive'] WHEN 1 THEN []::VARCHAR[] ELSE ['c' || lang] END AS evidence_constraints FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
 def plan_normalization(spark, d):
-    rows = [(1, "how many", '{"mode": "action", "question_type": "aggregate", "aggregate_target": "cats", "aggregate_constraints": ["alive", " "]}'), (2, "x", "{oops"), (3, "y", '{"question_type": "temporal", "semantic_queries": ["q", ""], "evidence_target": "t", "evidence_constraints": ["c"]}')]
-    x = spark.createDataFrame(rows, "id int, query string, plan string").select("id", projections.normalized_plan(F.col("plan"), F.col("query")).alias("x"))
+    """Planners' answers with the older names, beyond repair, and with the newer ones."""
+    i, s, lang = F.col("doc_id") % 3, F.col("source"), F.col("lang")
+    plan = F.when(i == 0, F.concat(F.lit('{"mode": "action", "question_type": "aggregate", "aggregate_target": "'), lang, F.lit('", "aggregate_constraints": ["alive", " "]}'))).when(i == 1, F.concat(F.lit("{oops "), s))
+    plan = plan.otherwise(F.concat(F.lit('{"question_type": "temporal", "semantic_queries": ["q '), lang, F.lit('", ""], "evidence_target": "'), lang, F.lit('", "evidence_constraints": ["c'), lang, F.lit('"]}')))
+    x = _docs(spark, d).filter("source is not null and lang is not null").select(F.col("doc_id").alias("id"), projections.normalized_plan(plan, s).alias("x"))
     return x.select("id", *[F.col(f"x.{c}").alias(c) for c in ("mode", "question_type", "is_aggregate_query", "semantic_queries", "evidence_target", "evidence_constraints")])
 
 

@@ -192,44 +192,3 @@ def test_rerank_pool(spark):
             if left and len(chosen) < 90:
                 chosen.append(left[0])
     assert [r.id for r in got] == chosen
-
-
-def test_search_end_to_end(spark):
-    """Fusion, quotas, diversity and budget from the scored candidates of every route, in plain Python."""
-    from memloom.operators import search
-    from memloom.plans import retrieval
-    from memloom.sources import tables
-
-    d, k = "/root/testdata/sf0.001", retrieval.K
-    requests, routes, channels, turns = retrieval._requests(spark), retrieval._routes(spark), retrieval._channels(spark, d), tables.dated_turns(spark, d)
-    scored = search.route_search(requests, routes, channels, turns)
-    found = search.search(requests, routes, channels, turns, k).collect()
-    ranked = scored.join(routes.select("request", "route", "route_no"), ["request", "route"]).select("request", "route", "route_no", "id", "source", "final", "rank").collect()
-    ratios = {r.request: (r.episode_ratio, r.min_ratio) for r in requests.collect()}
-    for request in {r.request for r in ranked}:
-        rows = [r for r in ranked if r.request == request]
-        names = sorted({r.route_no for r in rows})
-        quota = max(1, min(4, k // len(names)))
-        near = [r for r in rows if r.rank <= max(4 * k, 4 * quota)]
-        rrf, best, source = {}, {}, {r.id: r.source for r in rows}
-        for r in near:
-            rrf[r.id] = rrf.get(r.id, 0) + 1 / (60 + r.rank)
-            best[r.id] = max(best.get(r.id, 0), r.final)
-        fused = {i: round(min(1, 0.82 * best[i] + 0.18 * rrf[i] / max(rrf.values())), 6) for i in rrf}
-        chosen: list = []
-        for no in names:
-            own = [r.id for r in sorted((r for r in near if r.route_no == no), key=lambda r: r.rank) if r.id not in chosen][:quota]
-            chosen += own[: k - len(chosen)]
-        for i in sorted(fused, key=lambda i: (-fused[i], i)):
-            if i not in chosen and len(chosen) < k:
-                chosen.append(i)
-        got = [r for r in found if r.request == request]
-        records = [r.final for r in rows if r.source == "record"]
-        dialogues = [i for i in chosen if source[i] == "episode"]
-        if not dialogues or not records:
-            assert {r.id for r in got} == set(chosen)
-        kept = [r.id for r in got if r.source == "episode"]
-        needed = {r.route for r in rows if r.id in dialogues} - {r.route for r in rows if r.id in chosen and r.source == "record"}
-        assert set(kept) <= set(dialogues) and {i for i in chosen if source[i] == "record"} <= {r.id for r in got} and len(got) <= k
-        assert len(kept) <= max(2, round(k * ratios[request][0]), len(names)) + sum(any(r.id == i and r.route in needed for r in rows) for i in dialogues)
-    assert {r.request for r in found} == {1, 2, 3}
