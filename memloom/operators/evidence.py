@@ -47,6 +47,29 @@ def event_frames(turns: DataFrame, size: int = 4) -> DataFrame:
     return turns.groupBy("session_id", frame.alias("frame")).agg(F.min("turn_index").alias("start_turn"), F.max("turn_index").alias("end_turn"), F.sort_array(F.collect_set("role")).alias("roles"), F.count(F.lit(1)).alias("n_turns"))
 
 
+def record_frames(records: DataFrame, span: int = 4, texts: int = 12) -> DataFrame:
+    """Event frames of records (record_id, session_id, turns, memory_type, entities, tags, text, created_at) (A10).
+
+    A frame holds a session's records whose first turn lies in one span of turns: first and last turn, key, number of records,
+    distinct entities and tags (with the records' types), and its first texts by time. Sets and texts are made of rows that
+    are distinct, or ranked, before they are collected; the frame's records are rows of `postings` under its key.
+    """
+    r = records.withColumns({"first": F.array_min("turns"), "last": F.array_max("turns")}).filter("session_id is not null and first is not null").withColumn("frame", F.floor(F.col("first") / span).cast("int"))
+    keys = ["session_id", "frame"]
+    whole = r.groupBy(*keys).agg(F.min("first").alias("start_turn"), F.max("last").alias("end_turn"), F.count(F.lit(1)).alias("n_records"))
+
+    def distinct(values, name: str) -> DataFrame:
+        rows = r.select(*keys, F.explode(values).alias("v")).withColumn("v", F.trim("v")).filter("v <> ''").distinct()
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias(name))
+
+    ranked = r.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("created_at", "record_id"))).filter(F.col("n") <= texts)
+    first = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("texts"))
+    t = whole.join(distinct("entities", "entities"), keys, "left").join(distinct(F.array_append("tags", F.col("memory_type")), "tags"), keys, "left").join(first, keys)
+    key = F.concat(F.col("session_id").cast("string"), F.lit(":"), F.col("frame").cast("string"), F.lit(":"), F.col("start_turn").cast("string"), F.lit("-"), F.col("end_turn").cast("string"))
+    none = F.array().cast("array<string>")
+    return t.select(key.alias("key"), *keys, "start_turn", "end_turn", "n_records", F.coalesce("entities", none).alias("entities"), F.coalesce("tags", none).alias("tags"), "texts")
+
+
 def _by_month(rows: DataFrame, start: str, end: str) -> DataFrame:
     """A row for each month of a row's span (month), with the first one (first)."""
     months = F.sequence(F.trunc(F.to_date(start), "month"), F.trunc(F.to_date(end), "month"), F.expr("interval 1 month"))

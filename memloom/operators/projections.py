@@ -79,6 +79,11 @@ def skill_query(query: Column, action: Column, mode: Column, pragmatic: Column)
     return F.array_join(F.array_distinct(F.concat(F.array(_of(query)), rest)), "；")
 
 
+def turn_bounds(turns: Column) -> Column:
+    """First and last of a list of turns, null for an empty or missing one."""
+    return F.struct(F.array_min(turns).alias("first"), F.array_max(turns).alias("last"))
+
+
 def skill_gate(mode: Column, procedural: Column, k: Column) -> Column:
     """How many skills to fetch; 0: none."""
     m = F.coalesce(F.nullif(F.lower(F.trim(mode)), F.lit("")), F.lit("answer"))

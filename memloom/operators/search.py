@@ -140,9 +140,10 @@ def boosted(candidates: DataFrame, requests: DataFrame) -> DataFrame:
     return t.select(*candidates.columns)
 
 
-def anchor_score() -> Column:
-    """The best of a candidate's signals."""
-    return F.greatest("field", "retrieval", scoring.retrieval_score(F.col("distance")))
+def anchor_score(rerank: Column | None = None) -> Column:
+    """The best of a candidate's signals (A24); a reranker's score is the fourth, where there is one."""
+    more = [] if rerank is None else [F.coalesce(rerank, F.lit(0.0))]
+    return F.greatest("field", "retrieval", scoring.retrieval_score(F.col("distance")), *more)
 
 
 def answer_windows(candidates: DataFrame, turns: DataFrame, requests: DataFrame) -> DataFrame:

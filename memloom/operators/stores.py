@@ -147,6 +147,15 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def delete_sessions(tables: dict[str, DataFrame], gone: DataFrame, key: str = "session_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """(every table of a session without the sessions that are gone, deleted rows of each)."""
+    ids, counts = gone.select(key).distinct(), None
+    for name, rows in tables.items():
+        part = rows.join(ids, key, "left_semi").agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(name).alias("table"), "deleted")
+        counts = part if counts is None else counts.unionByName(part)
+    return {name: without(rows, ids, key) for name, rows in tables.items()}, counts
+
+
 def append_turns(turns: DataFrame, meta: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log, meta) after new turns(session_id, id, role, content, created_at): the sessions' times move on."""
     touched = new.groupBy("session_id").agg(F.max("created_at").alias("_at"))

@@ -58,6 +58,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def search_rows(rows: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", fetch: int = 3) -> DataFrame:
+    """query_id, score, place and the rows of the k most alike vectors by cosine.
+
+    fetch * k vectors are taken first, as some may have no row any more; rows of the vectors that are beyond them are out.
+    """
+    hits = nearest(vectors, queries, fetch * k, key, vector, "cosine")
+    found = hits.join(rows, hits["id"] == rows[key]).drop("id").withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.drop("distance", "rank").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def headroom(limit: int, filtered: bool) -> int:
     """How many hits to fetch when a filter follows the search (K7)."""
     return max(5 * limit, min(limit + 80, 200)) if filtered else limit

@@ -76,6 +76,16 @@ def knn_cosine_topk(spark, d):
     return vectors.nearest(e, _some(e, 1, 2), 15, metric="cosine")
 
 
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(1 - greatest(-1, least(1, {_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')})))), 6) AS distance
+    FROM embeddings e, embeddings q WHERE q.vec_id IN (6, 7, 8)), r AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 15)
+    SELECT query_id, vec_id, source AS intent, greatest(0, 1 - distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS place FROM r JOIN documents ON doc_id = vec_id WHERE doc_id % 3 <> 1 QUALIFY place <= 5""")
+def skill_search(spark, d):
+    """Skills by cosine, three times as many fetched as wanted, as some were deleted."""
+    e = tables.read(spark, d, "embeddings")
+    skills = tables.read(spark, d, "documents").filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("intent"))
+    return vectors.search_rows(skills, e, _some(e, 6, 7, 8), 5).select("query_id", "vec_id", "intent", "score", "place")
+
+
 @query(f"""WITH h AS ({_HITS.format(ids='3, 4, 5')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM h),
     g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, id)::INTEGER AS group_rank FROM r WHERE rank <= 40)
     SELECT query_id, id, label, distance, rank, group_rank FROM g WHERE group_rank <= 4""")

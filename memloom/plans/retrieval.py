@@ -148,15 +148,18 @@ def answer_windows(spark, d):
     return w.select("id", "lo", "hi", F.round("field", 6).alias("field"), "text")
 
 
-@query(f"""WITH {_TURN}, an AS (SELECT session_id || ':' || turn_index AS id, session_id, turn_index AS lo, 0.5 + (turn_index % 5) / 100.0 AS score, row_number() OVER (ORDER BY 0.5 + (turn_index % 5) / 100.0 DESC, session_id || ':' || turn_index) AS nth FROM turn WHERE role <> 'system'),
-    wi AS (SELECT a.id, a.session_id, any_value(a.score) AS score, min(t.turn_index) AS lo, max(t.turn_index) AS hi FROM an a JOIN turn t ON t.session_id = a.session_id AND t.turn_index BETWEEN a.lo - 4 AND a.lo + 4 WHERE a.nth <= {K} GROUP BY a.id, a.session_id),
+@query(f"""WITH {_TURN}, an AS (SELECT session_id || ':' || turn_index AS id, session_id, turn_index AS lo, '[' || role || ']: ' || content AS said, 0.5 + (turn_index % 5) / 100.0 AS score, row_number() OVER (ORDER BY 0.5 + (turn_index % 5) / 100.0 DESC, session_id || ':' || turn_index) AS nth FROM turn WHERE role <> 'system'),
+    wi AS (SELECT a.id, a.session_id, any_value(a.score) AS score, any_value(a.said) AS said, min(t.turn_index) AS lo, max(t.turn_index) AS hi FROM an a JOIN turn t ON t.session_id = a.session_id AND t.turn_index BETWEEN a.lo - 4 AND a.lo + 4 WHERE a.nth <= {K} GROUP BY a.id, a.session_id),
     n AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY session_id ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS new FROM wi),
-    i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY lo, hi, id ROWS UNBOUNDED PRECEDING) AS island FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY session_id, island ORDER BY lo, hi, id) AS i, count(*) OVER (PARTITION BY session_id, island) AS n FROM i)
-    SELECT 'source_window:' || session_id || ':' || min(lo) || '-' || max(hi) AS id, round(least(1, max(CASE WHEN n = 1 THEN score ELSE score + 0.03 * (n - greatest(i, 2) + 1) END)), 6)::DOUBLE AS field, min(lo)::INTEGER AS lo, max(hi)::INTEGER AS hi FROM p GROUP BY session_id, island""")
+    i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY lo, hi, id ROWS UNBOUNDED PRECEDING) AS island FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY session_id, island ORDER BY lo, hi, id) AS i, count(*) OVER (PARTITION BY session_id, island) AS n FROM i),
+    m AS (SELECT session_id, island, round(least(1, max(CASE WHEN n = 1 THEN score ELSE score + 0.03 * (n - greatest(i, 2) + 1) END)), 6)::DOUBLE AS field, min(lo)::INTEGER AS lo, max(hi)::INTEGER AS hi, list(said ORDER BY i) AS said FROM p GROUP BY session_id, island),
+    y AS (SELECT m.session_id, island, t.turn_index, role, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS at_line FROM m JOIN turn t ON t.session_id = m.session_id AND t.turn_index BETWEEN m.lo AND m.hi),
+    z AS (SELECT session_id, island, string_agg('[' || turn_index || ' role=' || role || ']: ' || trim(line), chr(10) ORDER BY turn_index, at_line) AS body FROM y WHERE trim(line) <> '' GROUP BY session_id, island)
+    SELECT 'source_window:' || session_id || ':' || lo || '-' || hi AS id, field, lo, hi, 'Anchor: ' || array_to_string(list_filter(said, lambda x, j: list_position(said, x) = j)[1:4], ' | ') || chr(10) || 'Original conversation:' || chr(10) || body AS text FROM m JOIN z USING (session_id, island)""")
 def source_windows(spark, d):
-    """Original dialogue around the best turns, merged where it touches."""
+    """Original dialogue around the best turns, merged where it touches, with their texts."""
     w = search.source_windows(_anchors(spark, d), tables.dated_turns(spark, d), _requests(spark), _routes(spark))
-    return w.select("id", F.round("field", 6).alias("field"), "lo", "hi")
+    return w.select("id", F.round("field", 6).alias("field"), "lo", "hi", "text")
 
 
 @query(f"""WITH {_TURN}, an AS (SELECT session_id || ':' || turn_index AS id, session_id, turn_index, row_number() OVER (ORDER BY 0.5 + (turn_index % 5) / 100.0 DESC, session_id || ':' || turn_index) AS nth, 0.5 + (turn_index % 5) / 100.0 AS score FROM turn WHERE role <> 'system'),

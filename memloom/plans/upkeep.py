@@ -94,6 +94,20 @@ def session_delete(spark, d):
     return stores.without(t, t.filter("session_id in (3, 5)"), "session_id").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH t AS (SELECT 'turns' AS "table", conv_id FROM conversations UNION ALL SELECT DISTINCT 'session_meta', conv_id FROM conversations UNION ALL SELECT 'summaries', conv_id FROM conversations WHERE turn % 2 = 0)
+    SELECT "table", count(*) FILTER (conv_id % 3 = 0) AS deleted, count(*) FILTER (conv_id % 3 <> 0) AS left_over, coalesce(sum(conv_id) FILTER (conv_id % 3 <> 0), 0)::BIGINT AS sessions FROM t GROUP BY 1""")
+def session_delete_everywhere(spark, d):
+    """Sessions go from the log, their meta rows and their summaries."""
+    t = tables.turns(spark, d)
+    every = {"turns": t, "session_meta": t.select("session_id").distinct(), "summaries": t.filter("turn_index % 2 = 0").select("session_id", "content")}
+    left, counts = stores.delete_sessions(every, t.filter("session_id % 3 = 0"))
+    rest = None
+    for name, rows in left.items():
+        part = rows.agg(F.count(F.lit(1)).alias("left_over"), F.coalesce(F.sum("session_id"), F.lit(0)).alias("sessions")).withColumn("table", F.lit(name))
+        rest = part if rest is None else rest.unionByName(part)
+    return counts.join(rest, "table").select("table", "deleted", "left_over", "sessions")
+
+
 @query("""SELECT c_custkey AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'topic ' || c_nationkey ELSE c_name END AS topic, CASE WHEN c_custkey % 2 = 0 THEN [c_mktsegment, 'new'] ELSE [c_mktsegment] END AS tags FROM customer""")
 def session_meta_update(spark, d):
     """Topics and tags change where a value is given."""
@@ -265,6 +279,40 @@ def skill_selection(spark, d):
     return t.select("request", "mode", "skill_id", F.round("score", 6).alias("score"), "reusable", "place")
 
 
+@query("""SELECT doc_id AS request, CASE WHEN m IN ('answer', '') AND doc_id % 2 = 1 THEN 0 WHEN m IN ('answer', '') THEN 1 WHEN m = 'mixed' THEN greatest(1, k - 1) ELSE k END::INTEGER AS k FROM (SELECT doc_id, (n_chars % 5 + 1)::INTEGER AS k, ['answer', 'mixed', 'action', '', ''][doc_id % 5 + 1] AS m FROM documents WHERE n_chars IS NOT NULL)""")
+def skill_gates(spark, d):
+    """How many skills are fetched by mode; none for plain answers that ask for no procedure."""
+    i = (F.col("doc_id") % 5).cast("int")
+    mode = F.get(F.array(F.lit(" Answer "), F.lit("mixed"), F.lit("action"), F.lit(""), F.lit(None)), i)
+    return _docs(spark, d).filter("n_chars is not null").select(F.col("doc_id").alias("request"), projections.skill_gate(mode, F.col("doc_id") % 2 == 0, (F.col("n_chars") % 5 + 1).cast("int")).alias("k"))
+
+
+@query(f"""WITH {_REC} SELECT record_id, CASE record_id % 6 WHEN 1 THEN CASE WHEN role IN ('assistant', 'both') THEN 0.08 ELSE 0 END WHEN 2 THEN CASE WHEN memory_type IN ('preference', 'constraint', 'event') THEN 0.05 ELSE 0 END
+    WHEN 4 THEN CASE WHEN t_start IS NOT NULL THEN 0.04 ELSE 0 END WHEN 3 THEN CASE WHEN memory_type = 'event' THEN 0.03 ELSE 0 END WHEN 5 THEN CASE WHEN memory_type = 'event' THEN 0.03 ELSE 0 END ELSE 0 END::DOUBLE AS bonus FROM rec""")
+def record_bonuses(spark, d):
+    """What each record gains by each type of question."""
+    kind = F.get(F.array(*[F.lit(x) for x in ("default", "prior_assistant_response", "personalized_advice", "aggregate", "temporal", "comparison")]), (F.col("record_id") % 6).cast("int"))
+    return tables.records(spark, d).select("record_id", scoring.record_bonus(kind, F.col("role"), F.col("memory_type"), F.col("t_start").isNotNull()).alias("bonus"))
+
+
+@query(f"""WITH {_REC}, r AS (SELECT record_id, session_id, lo, hi, memory_type, source, lang, rec.text, created_at, lo // 4 AS frame FROM rec JOIN documents ON doc_id = record_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY session_id, frame ORDER BY created_at, record_id) AS n FROM r)
+    SELECT session_id || ':' || frame || ':' || min(lo) || '-' || max(hi) AS key, session_id, frame::INTEGER AS frame, min(lo) AS start_turn, max(hi) AS end_turn, count(*) AS n_records, list_sort(list_distinct(list(source) FILTER (source <> ''))) AS entities,
+      list_sort(list_distinct(list_concat(list_concat(list(lang) FILTER (lang <> ''), ['fact']), list(memory_type)))) AS tags, list(text ORDER BY n) FILTER (n <= 12) AS texts FROM n GROUP BY session_id, frame""")
+def record_frames(spark, d):
+    """Records of a session whose first turns lie together, as event frames (A10)."""
+    r = tables.records(spark, d).withColumns({"turns": F.sequence("lo", "hi"), "text": F.col("semantic_text")})
+    return evidence.record_frames(r)
+
+
+@query(f"""WITH {_REC} SELECT record_id, CASE WHEN record_id % 5 > 0 THEN lo END AS first, CASE WHEN record_id % 5 > 0 THEN hi END AS last FROM rec""")
+def turn_bounds(spark, d):
+    """First and last of records' turns, in any order; none for empty and missing lists."""
+    i = F.col("record_id") % 5
+    turns = F.when(i == 0, F.when(i % 2 == 0, F.array().cast("array<int>"))).otherwise(F.reverse(F.sequence("lo", "hi")))
+    return tables.records(spark, d).select("record_id", projections.turn_bounds(turns).alias("x")).select("record_id", "x.*")
+
+
 # ---- payloads and texts --------------------------------------------------------------------------------------
 
 
