@@ -38,8 +38,9 @@ def _dates(c: Column, pattern: str, order: tuple[int, int, int], named: bool) ->
 
 def date_keys(c: Column) -> Column:
     """All distinct valid dates of a text, by form, then by place."""
-    text = F.coalesce(c, F.lit(""))
-    return F.array_distinct(F.concat(*[_dates(text, *form) for form in _ORDERS]))
+    found = F.array_distinct(F.concat(*[_dates(c, *form) for form in _ORDERS]))
+    # every form holds a year: texts without one are not searched for forms
+    return F.when(c.rlike(r"\d{4}"), found).otherwise(F.array().cast("array<string>"))
 
 
 def date_key(c: Column) -> Column:
