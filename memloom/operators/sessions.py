@@ -122,7 +122,3 @@ def advanced(offsets: DataFrame, consumed: DataFrame) -> DataFrame:
     """The watermark after a batch: never backwards."""
     ends = consumed.groupBy("session_id").agg((F.max("turn_index") + 1).alias("end"))
     return offsets.join(ends, "session_id", "full").select("session_id", F.greatest(F.coalesce("watermark", F.lit(0)), F.coalesce("end", F.lit(0))).alias("watermark"))
-
-
-def role_share(turns: DataFrame, role: str) -> Column:
-    return F.avg((F.col("role") == role).cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import temporal
+from ..functions import temporal, text
 from ..operators import evidence, search, vectors
 from ..sources import tables
 from ..sources.shared import stored
@@ -172,7 +172,7 @@ def session_neighbourhood(spark, d):
     return n.select("id", "role", F.round("field", 6).alias("field"))
 
 
-_STOP = "['" + "', '".join(__import__("memloom.functions.text", fromlist=["STOP_WORDS"]).STOP_WORDS) + "']"
+_STOP = "['" + "', '".join(text.STOP_WORDS) + "']"
 _TERMS = "list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9_]{{3,}}')), lambda w: NOT list_contains(" + _STOP + ", w))"
 
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import evidence, statistics, vector_store
+from memloom.operators import evidence, statistics, stores, vector_store
 from memloom.sources import images
 
 
@@ -70,3 +70,13 @@ def test_memory_tree(spark):
     episodes = {(r.id, r.path) for r in tree if r.kind == "episode"}
     assert {p for i, p in episodes if i == "episode:1:2"} == {f"{p}/episode:1:2" for p in ("big/mid/low/2", "else/2", "same/2")}
     assert {p for i, p in episodes if i == "episode:1:5"} == {"5/episode:1:5"} and not any(i == "episode:1:0" for i, _ in episodes)
+
+
+def test_tables_are_created_once_and_migrated(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    assert {n: t.count() for n, t in stores.create_tables(spark, place).items()} == dict.fromkeys(stores.SCHEMAS, 0)
+    spark.createDataFrame([("s", "tea", ["x"])], "session_id string, topic string, tags array<string>").write.mode("append").parquet(f"{place}/session_meta")
+    again = stores.create_tables(spark, place)["session_meta"]  # what is there stays, newer columns are null
+    assert [tuple(r) for r in again.collect()] == [("s", "tea", ["x"], None, None)]
+    old = again.select("session_id", "topic").withColumn("own", F.lit(1))
+    assert stores.migrated(old, stores.SCHEMAS["session_meta"]).columns == ["session_id", "topic", "own", "tags", "updated_at", "last_consolidated_turn_index"]
