@@ -18,6 +18,16 @@ def query_terms(query: str) -> list[str]:
     return sorted({t for x in query.split() if (t := x.replace('"', "").replace("*", "").lower())})
 
 
+def holding(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """docs with at least one of the terms (K16); texts that hold none as a part of a word are not split."""
+    wanted = sorted({t.lower() for t in terms})
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    some = F.lit(False)
+    for t in wanted:
+        some = some | F.contains(lower, F.lit(t))
+    return docs.filter(some & F.exists(F.regexp_extract_all(lower, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda w: w.isin(wanted)))
+
+
 def bm25(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, prefixes: bool = False) -> DataFrame:
     """The k best documents for query terms by published BM25; only the terms' postings are grouped.
 

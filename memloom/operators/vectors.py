@@ -35,13 +35,12 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
-    """query_id, id, distance, rank: the k nearest rows of each query.
+def distances(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
+    """query_id, id, distance of every row to each of queries(query_id, q).
 
-    queries(query_id, q) is counted: up to BROADCAST_QUERIES (a request has 8 routes of 16 queries) they are broadcast;
-    more are dealt to blocks of that many, and each row meets every block in one of SPREAD parts. Vectors of another
-    width than the query's are no match. The distance is computed once, below the ranking, whose group limit is applied
-    before the shuffle.
+    Queries are counted: up to BROADCAST_QUERIES (a request has 8 routes of 16 queries) they are broadcast; more are dealt to
+    blocks of that many, and each row meets every block in one of SPREAD parts. Vectors of another width than the
+    query's are no match.
     """
     d = F.round(squared_l2(F.col(vector), F.col("q")) if metric == "l2" else 1 - cosine(F.col(vector), F.col("q")), 6)
     queries = queries.select("query_id", "q")
@@ -53,7 +52,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", spread(SPREAD))
         right = rows.select(F.col(id_col), F.col(vector), F.pmod(F.xxhash64(id_col), F.lit(SPREAD)).cast("int").alias("part")).withColumn("block", spread(blocks))
         pairs = right.join(left.hint("shuffle_hash"), ["block", "part"]).filter(F.size(vector) == F.size("q"))
-    scored = pairs.select("query_id", F.col(id_col).alias("id"), d.alias("distance"))
+    return pairs.select("query_id", F.col(id_col).alias("id"), d.alias("distance"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
+    """query_id, id, distance, rank: the k nearest rows of each query.
+
+    The distance is computed once, below the ranking, whose group limit is applied before the shuffle.
+    """
+    scored = distances(rows, queries, id_col, vector, metric)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

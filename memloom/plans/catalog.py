@@ -497,7 +497,7 @@ def rrf_fusion(spark, d):
 def rerank_pool_round_robin(spark, d):
     """All vectors as candidates, a channel a label: each label has its turn, however low its best one ranks."""
     e = tables.read(spark, d, "embeddings")
-    hits = vectors.nearest(e, _some(e, 30), 1 << 30).join(e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("bucket")), "id")
+    hits = vectors.distances(e, _some(e, 30)).join(e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("bucket")), "id")
     c = hits.select(F.lit(1).alias("request"), "id", F.lit("record").alias("source"), F.array("bucket").alias("channels"), (1 - F.col("distance") / 4).alias("score"))
     return ranking.rerank_pool(c, 60).select("n", "id", "turn", "score")
 

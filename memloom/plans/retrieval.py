@@ -217,7 +217,7 @@ def temporal_labels(spark, d):
     return o.select(F.col("o_orderkey").alias("plan_id"), temporal.query_label(F.when(k != 1, day(0)), F.when(k == 3, day(0)).when(k != 2, day(7))).alias("label"))
 
 
-_DAYS_INDEX = "SELECT 'day:' || strftime(o_orderdate, '%Y-%m-%d') AS key, o_orderkey AS record_id FROM orders UNION ALL SELECT 'month:' || strftime(o_orderdate, '%Y-%m'), o_orderkey FROM orders UNION ALL SELECT 'span:' || o_custkey, o_orderkey FROM orders WHERE o_custkey % 200 = 1"
+_DAYS_INDEX = "SELECT 'day:' || strftime(o_orderdate, '%Y-%m-%d') AS key, o_orderkey AS record_id FROM orders UNION ALL SELECT 'month:' || strftime(o_orderdate, '%Y-%m'), o_orderkey FROM orders UNION ALL SELECT 'span:' || o_custkey, o_orderkey FROM orders"
 _DAY_NODES = """SELECT key, CASE WHEN key LIKE 'day:%' THEN key[5:14] WHEN key LIKE 'month:%' THEN key[7:13] || '-01' ELSE strftime(min(o_orderdate), '%Y-%m-%d') END AS start,
     CASE WHEN key LIKE 'day:%' THEN key[5:14] WHEN key LIKE 'month:%' THEN strftime(last_day((key[7:13] || '-01')::DATE), '%Y-%m-%d') ELSE strftime(max(o_orderdate), '%Y-%m-%d') END AS "end", count(DISTINCT record_id)::BIGINT AS n_records FROM ix JOIN orders ON o_orderkey = record_id GROUP BY key"""
 PLANS = [(1, "1995-03-10", "1995-03-20"), (2, "1996-12-30", "1997-01-02"), (3, "2050-01-01", "2050-02-01"), (4, "1998-07-01", None), (5, None, "1992-02-10"), (6, "1996-05-01", "1996-04-01"), (7, None, None), (8, "1995-01-01", ""), (9, "1993-01-15", "1994-02-15")]
@@ -230,7 +230,7 @@ _RECALL = f"""ix AS ({_DAYS_INDEX}), n AS ({_DAY_NODES}), {_PLANS}, h AS (SELECT
 def _recall(spark, d, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     o = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     index = o.select("record_id", F.explode(temporal.temporal_keys(F.col("day"))).alias("key"))
-    spans = o.filter("o_custkey % 200 = 1").select("record_id", F.concat(F.lit("span:"), F.col("o_custkey").cast("string")).alias("key"), "day")
+    spans = o.select("record_id", F.concat(F.lit("span:"), F.col("o_custkey").cast("string")).alias("key"), "day")
     nodes = evidence.temporal_nodes(o).unionByName(spans.groupBy("key").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.countDistinct("record_id").alias("n_records")))
     plans = spark.createDataFrame(PLANS, "plan_id int, since string, until string")
     return evidence.temporal_recall(stored(nodes, "nodes"), plans, limit), index.unionByName(spans.select("record_id", "key")), o.select("record_id", (F.col("record_id") % 5 == 0).alias("expired"))

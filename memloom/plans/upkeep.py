@@ -232,7 +232,7 @@ def fulltext_records(spark, d):
 def fulltext_skills(spark, d):
     """Skills that hold a term, all with the same score."""
     b = tables.read(spark, d, "benchmark")
-    return ranking.bm25(b, ["the", "of"], 1 << 30, id_col="item_id").select(F.col("id").alias("skill_id"), F.lit(1.0).alias("score")).orderBy("skill_id").limit(10)
+    return ranking.holding(b, ["the", "of"]).select(F.col("item_id").alias("skill_id"), F.lit(1.0).alias("score")).orderBy("skill_id").limit(10)
 
 
 @query(_FTS.format(id="'entity:' || source || ':' || doc_id", text="source || ' ' || coalesce(text, '')", table="documents", terms="'src3', 'license'", limit=10) + " SELECT id AS node_id, score FROM t")
