@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -235,19 +235,25 @@ def of_kind(log: DataFrame, kind: str) -> DataFrame:
     return log.filter(F.col("kind") == kind).select(*names)
 
 
-def log(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """LOG of each session; the fold needs a session's turns in order, and a session is one conversation."""
+def _folded(turns: DataFrame, frame: Callable[[int, Iterator], pd.DataFrame], fold: Callable, schema: str, limits: Limits) -> DataFrame:
+    """A fold over each session's turns in order; a session is one conversation."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn_index")
-        return _frame(rows["session_id"].iloc[0], steps(State(), zip(rows["turn_index"].tolist(), rows["role"], rows["content"]), True, limits))
+        return frame(rows["session_id"].iloc[0], fold(State(), zip(rows["turn_index"].tolist(), rows["role"], rows["content"]), True, limits))
+
+    return turns.filter("not deleted").select("session_id", "turn_index", "role", "content").groupBy("session_id").applyInPandas(run, schema)
 
-    return turns.filter("not deleted").select("session_id", "turn_index", "role", "content").groupBy("session_id").applyInPandas(run, LOG)
+
+def log(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """LOG of each session."""
+    return _folded(turns, _frame, steps, LOG, limits)
 
 
 def chunks(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Chunks of each session."""
-    return of_kind(log(turns, limits), "chunk")
+    """Chunks of each session, without what else the fold tells."""
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+    return _folded(turns, lambda session, rows: pd.DataFrame([(session, *r) for r in rows], columns=names), feed, OUTPUT, limits)
 
 
 def decisions(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
