@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_fence
+from .text import bound, strip_fence
 
 #: How JSON writes what counts as nothing when it is not a string.
 NOTHING = ("false", "0", "0.0", "-0.0", "[]", "{}")
@@ -31,8 +31,12 @@ def has_kind(v: Column, kind: str) -> Column:
 
 def as_text(v: Column) -> Column:
     """The text of a value: empty for null, false, zero and what holds nothing; lists and objects as canonical JSON."""
-    t = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
-    return F.when(~has_kind(v, "STRING") & t.isin(*NOTHING), F.lit("")).otherwise(t)
+
+    def told(t: Column) -> Column:
+        return F.when(t["text"].isin(*NOTHING) & ~has_kind(t["v"], "STRING"), F.lit("")).otherwise(t["text"])
+
+    read = lambda x: F.struct(x.alias("v"), F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")).alias("text"))
+    return bound(v, lambda x: bound(read(x), told))
 
 
 def first_text(v: Column, *names: str) -> Column:
@@ -42,9 +46,9 @@ def first_text(v: Column, *names: str) -> Column:
 
 def items(v: Column, name: str) -> Column:
     """The elements of a list; any other value that is not empty is a list of itself."""
-    one = inner(v, name)
     none = F.array().cast("array<variant>")
-    return F.when(has_kind(one, "ARRAY"), F.try_variant_get(one, "$", "array<variant>")).when(as_text(one) != "", F.array(one)).otherwise(none)
+    found = lambda one: F.when(has_kind(one, "ARRAY"), F.try_variant_get(one, "$", "array<variant>")).when(as_text(one) != "", F.array(one)).otherwise(none)
+    return bound(inner(v, name), found)
 
 
 def list_items(v: Column, name: str) -> Column:
@@ -75,8 +79,8 @@ def distinct_json(found: Column) -> Column:
     Null, empty texts and the JSON of both go; a malformed text is its own form.
     """
     kept = F.filter(found, lambda x: ~F.coalesce(F.trim(x), F.lit("")).isin("", "null", '""'))
-    forms = F.transform(kept, lambda x: F.coalesce(canonical(x), x))
-    return F.filter(kept, lambda x, i: F.array_position(forms, F.get(forms, i)) == i + 1)
+    forms = lambda a: F.transform(a, lambda x: F.coalesce(canonical(x), x))
+    return bound(kept, lambda a: bound(forms(a), lambda f: F.filter(a, lambda x, i: F.array_position(f, F.get(f, i)) == i + 1)))
 
 
 def rerank_items(answer: Column) -> Column:

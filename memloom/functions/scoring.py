@@ -65,8 +65,10 @@ def final_score(field: Column, weight: Column, bonus: Column, rerank: Column | N
     return plain if rerank is None else F.when(rerank.isNotNull(), clamp(rerank * weight + bonus + 0.01)).otherwise(plain)
 
 
-def source_weight(source: Column) -> Column:
-    return F.when(source.isin("record", "episode"), F.lit(1.0)).otherwise(F.lit(0.95))
+def source_weight(source: Column, override: Column | None = None) -> Column:
+    """A source's weight, unless a candidate brings its own."""
+    own = F.when(F.lower(F.trim(F.coalesce(source, F.lit("")))).isin("record", "episode"), F.lit(1.0)).otherwise(F.lit(0.95))
+    return own if override is None else F.coalesce(override, own)
 
 
 def fused(best: Column, rrf: Column) -> Column:

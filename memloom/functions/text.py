@@ -5,6 +5,8 @@ Null texts count as empty throughout: the data model has no nulls in text column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +98,15 @@ def clean_terms(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, though body names it many times: within lambdas Spark shares nothing."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_folded(c: Column) -> Column:
-    """Order-preserving distinct without regard to case: the first spelling stays."""
-    earlier = lambda x, i: ~F.exists(F.slice(c, F.lit(1), i), lambda y: casefold(y) == casefold(x))
-    return F.filter(c, earlier)
+    """Order-preserving distinct without regard to case: the first spelling stays (A6). Null elements go."""
+    first = lambda a: bound(F.transform(a, casefold), lambda folded: F.filter(a, lambda x, i: F.array_position(folded, F.get(folded, i)) == i + 1))
+    return bound(c, first)
 
 
 def strip_fence(c: Column) -> Column:

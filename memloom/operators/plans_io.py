@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import loose_json as loose
 from ..functions import scoring, temporal
-from ..functions.text import clean_terms, distinct_folded
+from ..functions.text import bound, clean_terms, distinct_folded
 
 #: Most routes, queries a route, semantic queries and constraints of a plan.
 ROUTES, ROUTE_QUERIES, QUERIES, CONSTRAINTS = 8, 8, 16, 12
@@ -75,7 +75,8 @@ MODES = ("answer", "action", "mixed")
 def _range(v: Column) -> Column:
     """since and until of a temporal filter as dates; null unless it is an object with one of them."""
     day = lambda n: temporal.date_key(loose.as_text(loose.inner(v, n)))
-    return F.when(F.coalesce(day("since"), day("until")).isNotNull(), F.struct(day("since").alias("since"), day("until").alias("until")))
+    both = F.struct(day("since").alias("since"), day("until").alias("until"))
+    return bound(both, lambda r: F.when(F.coalesce(r["since"], r["until"]).isNotNull(), r))
 
 
 def _constraints(v: Column) -> Column:
@@ -156,7 +157,7 @@ def constraint_texts(constraints: Column) -> Column:
 
 def route_plans(plans: DataFrame) -> DataFrame:
     """A row a route of plans of `planner_answers`: what its search asks, within what, and what a reranker reads."""
-    t = plans.select("*", F.posexplode("evidence_routes").alias("n", "r"))
+    t = plans.select("*", F.posexplode_outer("evidence_routes").alias("n", "r"))  # never empty; outer, so that no filter computes the routes once more
     q, goal = F.trim(F.coalesce("query", F.lit(""))), F.col("r.evidence_goal")
     needs = constraint_texts(F.col("r.constraints"))
     line = lambda head, c: F.when(c != "", F.concat(F.lit(head), c))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import loose_json as loose
 from ..functions import scoring, temporal, text
 from ..sources.shared import stored
 from . import plans_io, ranking, sessions
@@ -286,14 +287,36 @@ def neighbourhood(candidates: DataFrame, turns: DataFrame, requests: DataFrame,
 
 
 def scored(candidates: DataFrame, rerank: DataFrame | None = None) -> DataFrame:
-    """Candidates with final score and rank in their route (J19, X8, X9, X10, W1). rerank(request, route, id, rerank)."""
+    """Candidates with final score and rank in their route.
+
+    rerank(request, route, id, rerank), a row a candidate at most. A column source_weight of the candidates, where it is there
+    and not null, stands for the weight of their source.
+    """
     bonus = scoring.signal_bonus(F.col("distance"), F.size("queries"))
     t = candidates if rerank is None else candidates.join(rerank, list(KEYS), "left")
-    final = scoring.final_score(F.col("field"), scoring.source_weight(F.col("source")), bonus, None if rerank is None else F.col("rerank"))
+    weight = scoring.source_weight(F.col("source"), F.col("source_weight") if "source_weight" in candidates.columns else None)
+    final = scoring.final_score(F.col("field"), weight, bonus, None if rerank is None else F.col("rerank"))
     t = t.withColumn("final", F.round(final, 9))
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("request", "route").orderBy(F.desc("final"), "id")))
 
 
+def rerank_pool(candidates: DataFrame, limit: int) -> DataFrame:
+    """request, route, n, id: the candidates of each route that a reranker gets, numbered from 0, best first."""
+    best = Window.partitionBy("request", "route").orderBy(F.desc("field"), "id")
+    return candidates.select("request", "route", "id", (F.row_number().over(best) - 1).alias("n")).filter(F.col("n") < limit)
+
+
+def reranked(pool: DataFrame, answers: DataFrame) -> DataFrame:
+    """request, route, id, rerank: what rerankers' answers (request, route, answer) say of their pools.
+
+    Results whose index is outside of the pool go; of two for one candidate the later counts; candidates without a result
+    have no row, and so keep their field score in `scored`. Both sides are bounded by the pool's limit a route.
+    """
+    given = answers.select("request", "route", F.posexplode(loose.rerank_items(F.col("answer"))).alias("place", "r"))
+    last = given.groupBy("request", "route", F.col("r.index").alias("n")).agg(F.max_by("r.score", "place").alias("raw"))
+    return pool.join(last, ["request", "route", "n"]).select("request", "route", "id", scoring.rerank_score(F.col("raw")).alias("rerank"))
+
+
 def requests_of(plans: DataFrame, k: int) -> DataFrame:
     """Requests with their strategy: plans(plan_id, query, question_type, since, until)."""
     t = plans_io.with_strategy(plans).withColumn("k", F.lit(k))
@@ -326,6 +349,19 @@ def search(requests: DataFrame, routes: DataFrame, channels: list[DataFrame], tu
     return out.drop("source").join(best.select("request", "id", "p.*", "matched"), ["request", "id"])
 
 
+def debug_payload(candidates: DataFrame, most: int = 500) -> DataFrame:
+    """Candidates as a trace shows them, texts over most characters cut."""
+    shown = F.trim(F.coalesce("text", F.lit("")))
+    shown = F.when(F.length(shown) > most, F.concat(F.substring(shown, 1, most), F.lit("..."))).otherwise(shown)
+    own = lambda c, kind: F.col(c) if c in candidates.columns else F.lit(None).cast(kind)
+    return candidates.select(
+        "request", "route", F.coalesce("id", F.lit("")).alias("id"), "source", "memory_type", F.col("role").alias("source_role"), F.col("field").alias("field_score"), F.col("distance").alias("semantic_distance"), F.col("retrieval").alias("retrieval_score"),
+        own("rerank", "double").alias("rerank_score"), own("final", "double").alias("final_score"), F.col("queries").alias("matched_queries"), F.col("channels").alias("matched_channels"), F.col("nodes").alias("matched_evidence_nodes"),
+        "created_at", F.when(F.col("source") == "episode", F.col("created_at")).alias("source_dialogue_time"), F.col("session").alias("source_session"), F.when(F.col("lo").isNotNull(), F.sequence("lo", "hi")).alias("evidence_turn_range"),
+        F.coalesce(F.col("hi") - F.col("lo") + 1, F.lit(0)).alias("source_turn_count"), "entities", F.struct(F.col("t_start").alias("start"), F.col("t_end").alias("end")).alias("temporal"), shown.alias("text"),
+    )
+
+
 def context_document(results: DataFrame) -> DataFrame:
     """request, context: the numbered document of a request's results(request, place, text, source, t_start, t_end, created_at)."""
     labels = F.array_distinct(F.filter(F.array(temporal.time_label(F.col("t_start")), temporal.time_label(F.col("t_end"))), lambda x: F.coalesce(x, F.lit("")) != ""))

@@ -229,3 +229,32 @@ def jobs(events: DataFrame) -> DataFrame:
 def is_empty(rows: DataFrame) -> bool:
     """Whether a table has rows, the gate before a search."""
     return rows.isEmpty()
+
+
+# ---- visual rows ----------------------------------------------------------------------------------------------
+
+VISUAL_TEXTS = ("image_url", "image_mime_type", "caption", "scene_type", "source_role", "last_retrieved_at", "expired_at")
+
+
+def visual_records(rows: DataFrame) -> DataFrame:
+    """Stored visual rows as typed records (P26): JSON columns as lists, empty where they are null or malformed; empty texts,
+    and 1 for a confidence or importance that is null or 0, 0 for counts, not expired where nothing says so."""
+    lists = lambda c, kind: F.coalesce(F.from_json(c, kind), F.array().cast(kind))
+    some = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(c))
+    changed = {c: F.coalesce(c, F.lit("")) for c in VISUAL_TEXTS} | {"entities": lists("entities", "array<string>"), "related_memory_record_ids": lists("related_memory_record_ids", "array<string>")}
+    changed |= {c: lists(c, "array<double>") for c in ("caption_embedding", "visual_embedding")} | {c: some(c) for c in ("confidence", "importance_score")}
+    changed |= {c: F.coalesce(c, F.lit(0)) for c in ("image_size", "retrieval_count")} | {"expired": F.coalesce("expired", F.lit(0)) != 0}
+    return rows.withColumns({c: v for c, v in changed.items() if c in rows.columns})
+
+
+def visual_page(records: DataFrame, limit: int = 50, offset: int = 0, session: str | None = None, include_expired: bool = False) -> DataFrame:
+    """A page of visual records, newest first, then by id; of one session, without expired ones unless asked for."""
+    some = records if session is None else records.filter(F.col("session_id") == session)
+    live = some if include_expired else some.filter(~F.col("expired"))
+    return live.orderBy(F.desc_nulls_last("timestamp"), "record_id").offset(offset).limit(limit)
+
+
+def session_visuals(records: DataFrame, k: int = 20) -> DataFrame:
+    """The k newest live visual records of every session, with their place."""
+    newest = Window.partitionBy("session_id").orderBy(F.desc_nulls_last("timestamp"), "record_id")
+    return records.filter(~F.col("expired")).withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= k)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from memloom.plans import catalog, retrieval, upkeep  # noqa: F401
+from memloom.plans import answers, catalog, retrieval, upkeep  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
