@@ -191,6 +191,18 @@ def reference_context(notes: Column, texts: Column, most: int = 12, limit: int =
     return F.rtrim(F.substring(F.concat_ws("\n", part("Resolved references: ", _of(notes)), part("Recent same-session records:\n", body)), 1, limit))
 
 
+def last_texts(rows: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """key, texts: the last distinct trimmed texts of rows(key, at, text), in the order in which each first came.
+
+    Equal texts of a key meet before they are ranked, and only most of them are collected. Keys without a text have none.
+    """
+    first = rows.groupBy(key, F.trim(F.coalesce("text", F.lit(""))).alias("text")).agg(F.min("at").alias("at"))
+    last = F.row_number().over(Window.partitionBy(key).orderBy((F.col("text") == "").cast("int"), F.desc("at"), F.desc("text")))
+    few = first.withColumn("n", last).filter(F.col("n") <= most)
+    texts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct((-F.col("n")).alias("o"), "text"))))
+    return few.groupBy(key).agg(texts.alias("x")).select(key, F.transform("x", lambda x: x["text"]).alias("texts"))
+
+
 def repaired_json(c: Column, schema: str) -> Column:
     """A model's JSON: in a fence, bare, between the outermost braces, or with Python's literals."""
     block = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)

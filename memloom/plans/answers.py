@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import loose_json as loose
-from ..operators import plans_io, search, stores
+from ..operators import compaction, plans_io, search, stores
 from ..sources import tables
-from .catalog import query
+from .catalog import _TURNS, _tokens, query
 from .retrieval import _BOOSTED, _S, _SHOWN, _channels, _requests, _shown
 
 # ---- planners -------------------------------------------------------------------------------------------------
@@ -147,3 +147,51 @@ def visual_page(spark, d):
 def session_visuals(spark, d):
     """Every session's newest visual records."""
     return stores.session_visuals(stores.visual_records(_visuals(spark, d))).select("session_id", "place", "record_id", "timestamp", "entities")
+
+
+# ---- compression of sessions ----------------------------------------------------------------------------------
+
+_ACTION = "CASE WHEN {0} > 540 THEN 'sync' WHEN {0} > 420 THEN 'async' ELSE 'none' END"
+_COMPACT = f"""WITH t AS (SELECT *, {_tokens('content')} + 4 AS n, role || ': ' || content AS line FROM ({_TURNS})),
+    x1 AS (SELECT session_id, count(*) AS live, sum(n) AS tokens FROM t WHERE turn_index <= 5 GROUP BY 1), b1 AS (SELECT session_id, {_ACTION.format('tokens')} AS action, CASE WHEN live > 4 THEN live - 4 ELSE 0 END AS b FROM x1),
+    o1 AS (SELECT session_id, b, CASE WHEN b = 0 OR action = 'none' THEN 'none' WHEN action = 'sync' THEN 'fresh' ELSE 'background' END AS origin FROM b1),
+    c1 AS (SELECT session_id, string_agg(substr(line, 1, 80), chr(10) ORDER BY turn_index) AS content FROM t JOIN o1 USING (session_id) WHERE turn_index < b AND origin <> 'none' GROUP BY 1),
+    s1 AS (SELECT session_id, b, origin, content FROM o1 LEFT JOIN c1 USING (session_id)), l AS (SELECT t.*, s1.origin AS o, s1.content AS c, s1.b AS pb FROM t LEFT JOIN s1 USING (session_id) WHERE NOT (coalesce(s1.origin, 'none') = 'fresh' AND turn_index < s1.b)),
+    x2 AS (SELECT session_id, any_value(o) AS o, any_value(c) AS c, any_value(pb) AS pb, count(*) AS live, sum(n) AS tokens, min(turn_index) AS lowest FROM l GROUP BY 1),
+    b2 AS (SELECT *, {_ACTION.format('tokens')} AS action, CASE WHEN live > 4 THEN lowest + live - 4 ELSE 0 END AS b FROM x2),
+    o2 AS (SELECT *, CASE WHEN action = 'sync' AND o = 'background' THEN 'prepared' WHEN action = 'sync' AND b > 0 THEN 'fresh' WHEN action = 'async' AND coalesce(o, 'none') <> 'background' AND b > 0 THEN 'background' ELSE 'none' END AS origin FROM b2),
+    li AS (SELECT session_id, -1 AS place, '[Previous Historical Summary]' || chr(10) || c AS line FROM o2 WHERE o = 'fresh' UNION ALL SELECT l.session_id, turn_index, line FROM l JOIN o2 USING (session_id) WHERE turn_index < o2.b),
+    c2 AS (SELECT session_id, string_agg(substr(line, 1, 80), chr(10) ORDER BY place) AS content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS k FROM li) WHERE k <= 6 GROUP BY 1),
+    f AS (SELECT o2.*, CASE o2.origin WHEN 'prepared' THEN pb ELSE b END AS to_, CASE o2.origin WHEN 'prepared' THEN c WHEN 'none' THEN NULL ELSE c2.content END AS made FROM o2 LEFT JOIN c2 USING (session_id)),
+    g AS (SELECT f.*, CASE WHEN origin IN ('fresh', 'prepared') THEN made WHEN o = 'fresh' THEN c END AS shown, greatest(CASE WHEN origin IN ('fresh', 'prepared') THEN to_ ELSE 0 END, CASE WHEN o = 'fresh' THEN pb ELSE 0 END) AS start FROM f)"""
+
+
+def _passes(spark, d) -> tuple[compaction.Compacted, compaction.Compacted]:
+    """Two passes: over each session's first six turns, then over all, with what the first has marked and prepared."""
+    t = tables.turns(spark, d)
+    none = spark.createDataFrame([], "session_id long, boundary_index int, content string")
+    first = compaction.compact(t.filter("turn_index <= 5"), none.withColumn("token_count", F.lit(0).cast("long")), none, budget=600)
+    return first, compaction.compact(first.turns.unionByName(t.filter("turn_index > 5")), first.summaries, first.prepared, budget=600)
+
+
+@query(f"{_COMPACT} SELECT session_id, action, origin, to_::INTEGER AS boundary_index, tokens::BIGINT AS tokens FROM g")
+def compaction_decisions(spark, d):
+    """What the second pass decides for each session: nothing, prepare, take what is ready, sum up now."""
+    return _passes(spark, d)[1].decisions
+
+
+@query(f"{_COMPACT} SELECT session_id, pb::INTEGER AS boundary_index, c AS content, 'summary' AS kind FROM g WHERE o = 'fresh' UNION ALL SELECT session_id, to_, made, 'summary' FROM g WHERE origin IN ('fresh', 'prepared') UNION ALL SELECT session_id, to_, made, 'prepared' FROM g WHERE origin = 'background' UNION ALL SELECT session_id, pb, c, 'prepared' FROM g WHERE o = 'background' AND action <> 'sync'")
+def compaction_summaries(spark, d):
+    """Summaries of both passes, and those that wait."""
+    second = _passes(spark, d)[1]
+    shown = lambda t, kind: t.select("session_id", "boundary_index", "content", F.lit(kind).alias("kind"))
+    return shown(second.summaries, "summary").unionByName(shown(second.prepared, "prepared"))
+
+
+@query(f"""{_COMPACT}, u AS (SELECT g.session_id, sum(n) AS n FROM t JOIN g USING (session_id) WHERE turn_index >= start GROUP BY 1)
+    SELECT session_id, start::BIGINT AS n_deleted, (u.n + CASE WHEN shown IS NULL THEN 0 ELSE {_tokens("('[Historical Summary]' || chr(10) || shown)")} + 4 END)::BIGINT AS tokens FROM g JOIN u USING (session_id)""")
+def compaction_usage(spark, d):
+    """Deleted turns and tokens of each session's context after the second pass."""
+    second = _passes(spark, d)[1]
+    gone = second.turns.groupBy("session_id").agg(F.count_if("deleted").alias("n_deleted"))
+    return gone.join(compaction.context_usage(second.turns, second.summaries), "session_id").select("session_id", "n_deleted", "tokens")

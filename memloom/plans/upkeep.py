@@ -440,7 +440,7 @@ def session_aliases(spark, d):
     SELECT source, rtrim(substr(concat_ws(chr(10), 'Resolved references: ' || source, 'Recent same-session records:' || chr(10) || array_to_string(list_transform(t[-12:], lambda x: '- ' || x), chr(10))), 1, 2400), ' ') AS context FROM u""")
 def reference_contexts(spark, d):
     """A source's last twelve distinct texts as reference for what follows."""
-    t = _docs(spark, d).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"))
+    t = projections.last_texts(_docs(spark, d).select("source", F.col("doc_id").alias("at"), "text"), "source")
     return t.select("source", projections.reference_context(F.col("source"), F.col("texts")).alias("context"))
 
 
