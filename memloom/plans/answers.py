@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import loose_json as loose
-from ..operators import compaction, plans_io, search, stores
+from ..operators import compaction, plans_io, query_cache, search, stores
 from ..sources import tables
 from .catalog import _TURNS, _tokens, query
 from .retrieval import _BOOSTED, _S, _SHOWN, _channels, _requests, _shown
@@ -195,3 +195,19 @@ def compaction_usage(spark, d):
     second = _passes(spark, d)[1]
     gone = second.turns.groupBy("session_id").agg(F.count_if("deleted").alias("n_deleted"))
     return gone.join(compaction.context_usage(second.turns, second.summaries), "session_id").select("session_id", "n_deleted", "tokens")
+
+
+# ---- vectors of queries ---------------------------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT doc_id AS place, CASE doc_id % 3 WHEN 0 THEN ' ' || upper(coalesce(source, '')) WHEN 1 THEN coalesce(source, '') || '  ' ELSE coalesce(source, '') || '-' || coalesce(lang, '') END AS query, doc_id % 4 = 0 AS early FROM documents),
+    k AS (SELECT place, trim(query) AS text, lower(trim(query)) AS key, early FROM q WHERE trim(query) <> ''), f AS (SELECT key, arg_min(text, place) AS text FROM k WHERE early GROUP BY key), a AS (SELECT key, arg_min(text, place) AS text FROM k GROUP BY key)
+    SELECT a.key, [length(coalesce(f.text, a.text))::DOUBLE, ascii(coalesce(f.text, a.text))::DOUBLE] AS vector, (f.key IS NULL)::INTEGER AS fresh FROM a LEFT JOIN f ON f.key = a.key""")
+def query_vectors_kept(spark, d):
+    """Queries of a second batch: those of the first one are not embedded again, whatever their spelling."""
+    i, s = F.col("doc_id") % 3, F.coalesce("source", F.lit(""))
+    spelled = F.when(i == 0, F.concat(F.lit(" "), F.upper(s))).when(i == 1, F.concat(s, F.lit("  "))).otherwise(F.concat(s, F.lit("-"), F.coalesce("lang", F.lit(""))))
+    q = tables.read(spark, d, "documents").select(F.col("doc_id").alias("place"), spelled.alias("query"))
+    embed = lambda t: t.select("key", F.array(F.length("text").cast("double"), F.ascii("text").cast("double")).alias("vector"))
+    one = query_cache.embedded(query_cache.empty(spark), q.filter("place % 4 = 0"), embed, 1)
+    return query_cache.embedded(one.cache, q, embed, 2).vectors

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from memloom.operators import compaction, search, stores
+from memloom.operators import compaction, query_cache, search, stores
 
 NONE = "session_id long, boundary_index int, content string"
 TURNS = "session_id long, turn_index int, role string, content string, deleted boolean"
@@ -75,3 +75,22 @@ def test_visual_rows(spark):
     page = lambda *a, **k: [x.record_id for x in stores.visual_page(r, *a, **k).collect()]
     assert page() == ["d", "a", "b"] and page(2, 1) == ["a", "b"] and page(session="s", include_expired=True) == ["a", "c", "b"] and page(offset=9) == []
     assert [(x.session_id, x.place, x.record_id) for x in stores.session_visuals(r, 1).orderBy("session_id").collect()] == [("s", 1, "a"), ("t", 1, "d")]
+
+
+def test_query_cache(spark):
+    """The key used longest ago goes first; a key found counts as used; blanks and queries without a vector are not kept."""
+    asked = []
+
+    def embed(t):
+        asked.append(sorted(r.text for r in t.collect()))
+        return t.select("key", F.when(F.col("key") != "bad", F.array(F.length("text").cast("double"))).alias("vector"))
+
+    batch = lambda *q: spark.createDataFrame(list(enumerate(q)), "place int, query string")
+    keys = lambda c: sorted(r.key for r in c.collect())
+    one = query_cache.embedded(query_cache.empty(spark), batch(" Aa ", "aA", "b", None, " ", "bad", "c"), embed, 1, 3)
+    assert keys(one.vectors) == keys(one.cache) == ["aa", "b", "c"]
+    two = query_cache.embedded(one.cache, batch("AA", "d"), embed, 2, 3)
+    assert sorted((r.key, r.vector, r.fresh) for r in two.vectors.collect()) == [("aa", [2.0], 0), ("d", [1.0], 1)]
+    assert keys(two.cache) == ["aa", "c", "d"]
+    assert asked == [["Aa", "b", "bad", "c"], ["d"]]
+    assert keys(query_cache.embedded(two.cache, batch(), embed, 3, 3).cache) == ["aa", "c", "d"]
