@@ -19,16 +19,11 @@ from .common import WORD, let, materialize, text_or_empty, words
 
 #: Bits of a hashed n-gram's bucket: the ratio table has 2 ** BITS doubles, whatever the corpus' size.
 BITS = 13
-#: At most so many trusted documents are used for the target multinomial (their ids are broadcast: 8 bytes each); a
-#: parameter of score_documents.
-TRUSTED_BOUND = 20_000
 #: A document is rejected if its score is more than so many standard deviations below the trusted ones' mean.
 SPREAD = 6.0
 #: Pseudo-count of each bucket.
 SMOOTHING = 1.0
 SYMBOLS = "[#*$%&|<>]"
-#: At most so many of the trusted documents (the first by hash order) set the threshold; a parameter of score_documents.
-JUDGED_BOUND = 2_000
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -73,23 +68,22 @@ def _bucket(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED_BOUND) -> DataFrame:
-    """Ids of at most ``bound`` documents labelled quality = 1, by hash order."""
-    ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of every document labelled quality = 1."""
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row, one array: the log ratio of each bucket. The counts cover every document."""
-    t = docs.select("doc_id", words(text_or_empty()).alias("w"))
-    t = t.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    """One row, one array: the log ratio of each bucket. The counts cover every document, and every one of trusted (a part of docs) again."""
+    counted = lambda t, raw: t.select(words(text_or_empty()).alias("w"), F.lit(raw).alias("raw"))
+    t = counted(docs, 1).unionByName(counted(trusted, 0))
     # each word with the one after it (null after the last): hashed and counted in generated code
     follows = F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w")).alias("y"))
-    t = t.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.inline(follows).alias("x", "y"))
+    t = t.select("raw", F.inline(follows).alias("x", "y"))
     one = F.xxhash64("x")
     two = F.when(F.col("y").isNull(), F.xxhash64(one)).otherwise(F.xxhash64(one, F.xxhash64("y")))
-    grams = t.select("trusted", F.explode(F.array(_bucket(one, bits), _bucket(two, bits))).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+    grams = t.select("raw", F.explode(F.array(_bucket(one, bits), _bucket(two, bits))).alias("b"))
+    counts = grams.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum(1 - F.col("raw")).alias("target"))
     size = 1 << bits
     # 2 ** bits rows at most meet in one task
     packed = counts.agg(F.collect_list(F.struct("b", "raw", "target")).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
@@ -129,19 +123,18 @@ def _scored(docs: DataFrame, table: DataFrame, bits: int) -> DataFrame:
     return t.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, spread: float = SPREAD, bits: int = BITS, bound: int = TRUSTED_BOUND, judged_bound: int = JUDGED_BOUND) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, spread: float = SPREAD, bits: int = BITS) -> DataFrame:
     """row (the input's columns), doc_id, base statistics, base_failed, llr (mean log ratio), threshold, kept.
 
-    At most bound trusted documents make the target multinomial, and the first judged_bound of them set the threshold.
+    Every trusted document counts in the target multinomial, and every one that passes the base rules sets the threshold.
 
-    The threshold is a function of the trusted sample alone (mean - spread * deviation of its scores, rounded
+    The threshold is a function of the trusted documents alone (mean - spread * deviation of their scores, rounded
     to six digits), the same for every document and every run.
     """
-    trusted = materialize(trusted_ids(labels, bound), "trusted")
+    # the ids grow with the labels: texts move once to meet them, and only the trusted ones are kept
+    trusted = materialize(docs.select("doc_id", "text").join(trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi"), "trusted", "zstd")
     table = materialize(ratio_table(docs, trusted, bits), "ratio")
-    judged = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(judged_bound)
-    sample = docs.join(F.broadcast(judged), "doc_id", "left_semi")
     cut = F.round(F.avg("llr") - spread * F.coalesce(F.stddev_pop("llr"), F.lit(0.0)), 6)
-    limit = materialize(_scored(sample, table, bits).filter(~F.col("base_failed")).agg(F.coalesce(cut, F.lit(float("-inf"))).alias("threshold")), "threshold")
+    limit = materialize(_scored(trusted, table, bits).filter(~F.col("base_failed")).agg(F.coalesce(cut, F.lit(float("-inf"))).alias("threshold")), "threshold")
     t = _scored(docs, table, bits).crossJoin(F.broadcast(limit))  # one row
     return t.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.col("threshold")))

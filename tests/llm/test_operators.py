@@ -110,6 +110,16 @@ def test_quality(spark, docs, empty):
     assert quality.score_documents(docs, labels.limit(0)).filter("kept = base_failed").count() == 0
 
 
+def test_quality_every_trusted_document(spark):
+    """However many documents are trusted, all of them make the target and the threshold."""
+    labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels).count() == 20_500
+    docs = spark.range(2_600).selectExpr("id as doc_id", "array_join(transform(sequence(1, 20 + int(id % 13)), i -> 'w' || (id * i) % 89), ' ') as text")
+    got = quality.score_documents(docs, labels).collect()
+    own = [r.llr for r in got if not r.base_failed]
+    assert len(own) > 2_000 and {r.threshold for r in got} == {round(float(np.mean(own) - 6 * np.std(own)), 6)}
+
+
 def test_line_dedup(docs, empty):
     distinct = sorted({(r[0] if r[0] is not None else -1, r[1] or "") for r in ROWS})
     found = collections.defaultdict(list)
