@@ -59,11 +59,18 @@ def _near(spark, d) -> DataFrame:
     return hits.join(F.broadcast(r.select(F.concat_ws("/", F.col("request").cast("string"), "route").alias("query_id"), "request", "route", F.col("goal").alias("query"))), "query_id").select("request", "route", "query", F.col("id").alias("vec"), "distance")
 
 
+def _evidence_of(spark, d, near: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, index) of the evidence that was hit: LIMIT nodes a route at most, however many nodes and records there are."""
+    hit = F.broadcast(near.select(F.col("vec").alias("vec_id")).distinct())
+    kind = F.get(F.array(*[F.lit(x) for x in ("entity", "tag", "entity_tag")]), (F.col("vec_id") % 3).cast("int"))
+    nodes = stored(tables.read(spark, d, "embeddings").join(hit, "vec_id", "left_semi").select(F.col("vec_id").cast("string").alias("id"), kind.alias("node_type"), (F.col("vec_id") % 50).alias("bucket")), "nodes")
+    return nodes, records.select("record_id", (F.col("record_id") % 50).alias("bucket")).join(F.broadcast(nodes), "bucket").select("id", "record_id")
+
+
 def _channels(spark, d) -> list[DataFrame]:
     near, records, turns = stored(_near(spark, d), "near"), tables.records(spark, d), tables.dated_turns(spark, d)
     as_id = lambda c: near.select("request", "route", "query", c.cast("string").alias("id"), "distance")
-    nodes = tables.read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.get(F.array(*[F.lit(x) for x in ("entity", "tag", "entity_tag")]), (F.col("vec_id") % 3).cast("int")).alias("node_type"), (F.col("vec_id") % 50).alias("bucket"))
-    index = nodes.join(records.select("record_id", (F.col("record_id") % 50).alias("bucket")), "bucket").select("id", "record_id")
+    nodes, index = _evidence_of(spark, d, near, records)
     turn_id = F.concat_ws(":", (F.col("vec") % 100).cast("string"), (F.col("vec") % 4).cast("string"))
     return [search.record_hits(as_id(F.col("vec")), records), search.node_hits(as_id(F.col("vec")), nodes, index, records, 6), search.turn_hits(as_id(turn_id), turns, _requests(spark))]
 

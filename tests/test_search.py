@@ -105,6 +105,16 @@ def test_search_row_by_row(spark, sf):
             assert seen.display_text == p.text and seen.matched_queries == p.queries and seen.matched_evidence_nodes == p.nodes
 
 
+def test_evidence_of_hits_only(spark):
+    """The evidence index of a search grows with the records, not with nodes times records."""
+    d = "/root/testdata/sf0.01"
+    near, records = retrieval._near(spark, d), tables.records(spark, d)
+    hit, ids = {r.vec for r in near.collect()}, [r.record_id for r in records.select("record_id").collect()]
+    nodes, index = retrieval._evidence_of(spark, d, near, records)
+    assert len(hit) < tables.read(spark, d, "embeddings").count() and {int(r.id) for r in nodes.collect()} == hit
+    assert sorted((int(r.id), r.record_id) for r in index.collect()) == sorted((n, i) for n in hit for i in ids if n % 50 == i % 50)
+
+
 def test_signature_has_six_parts():
     a = {"session": "s", "entities": {"x", "y"}, "queries": {"q"}, "nodes": {"n", "m"}, "turns": {1, 2, 3}, "terms": {"a", "b", "c", "d"}}
     b = {"session": "s", "entities": {"y"}, "queries": {"q"}, "nodes": {"m", "o"}, "turns": {3}, "terms": {"d", "e"}}
