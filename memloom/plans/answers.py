@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import loose_json as loose
 from ..operators import compaction, plans_io, query_cache, search, stores
 from ..sources import tables
+from ..sources.shared import stored
 from .catalog import _TURNS, _tokens, query
 from .retrieval import _BOOSTED, _S, _SHOWN, _channels, _requests, _shown
 
@@ -93,6 +94,7 @@ POOL = 20
 def reranked_candidates(spark, d):
     """Final scores with rerankers' answers: two of three candidates of each pool have a score, one twice, one is out of the pool; dialogue rows bring their own weight."""
     found = search.boosted(search.merged(*_channels(spark, d)), _requests(spark)).withColumn("source_weight", F.when(F.col("source") == "episode", F.lit(0.9)))
+    found = stored(found.drop("text"), "found")  # pool, answers and scores read it
     pool = search.rerank_pool(found, POOL)
     shapes = F.transform(F.filter(F.sequence(F.lit(0), F.lit(POOL + 9)), lambda n: n % 3 < 2), lambda n: F.struct(n.alias("index"), ((n * 7) % 11 / 4.0 - 0.5).cast("double").alias("relevance_score")))
     first = F.array(F.struct(F.lit(0).alias("index"), F.lit(0.9).cast("double").alias("relevance_score")))
