@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -119,19 +119,27 @@ def expand(node_hits: DataFrame, index: DataFrame, records: DataFrame | None = N
     return hit.withColumn("field", field).groupBy("record_id").agg(F.round(F.max("field"), 6).alias("field_score"), F.count(F.lit(1)).alias("n_nodes"))
 
 
+def _signature(item: str) -> list[Column]:
+    """256 bits in four longs, of which each item of a set sets one."""
+    at = lambda i: f"case when pmod(xxhash64({item}), 4) = {i} then shiftleft(1L, cast(pmod(shiftright(xxhash64({item}), 8), 64) as int)) else 0L end"
+    return [F.expr(f"bit_or({at(i)})").alias(f"bits{i}") for i in range(4)]
+
+
 def containment_tree(sets: DataFrame) -> DataFrame:
     """Best parent of each set (set_id, item rows): its smallest strict superset, then smallest id.
 
     A superset holds its subset's rarest item, so a set meets only the larger sets that have it; popular items join
-    nothing. The smallest superset has no other one between, so it is also the parent of the reduced tree.
+    nothing. Each set has a signature of 256 bits, one set by each item: where a bit of the smaller set is not in the larger
+    one's, the pair ends in the join. The items of the others are compared. The smallest superset has no other one between, so it is also the parent of the reduced tree.
     """
     s = sets.select("set_id", "item").distinct()
-    sizes = s.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = s.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), *_signature("item"))
     often = s.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
     rare = s.join(often, "item").groupBy("set_id").agg(F.min(F.struct("times", "item")).alias("rare")).select("set_id", F.col("rare.item").alias("item"))
-    child = rare.join(sizes, "set_id").select(F.col("set_id").alias("child"), F.col("n").alias("n_child"), "item")
-    parent = s.join(sizes, "set_id").select(F.col("set_id").alias("parent"), F.col("n").alias("n_parent"), "item")
-    pairs = child.join(parent, "item").filter("n_parent > n_child").drop("item")
+    child = rare.join(sizes, "set_id").select(F.col("set_id").alias("child"), F.col("n").alias("n_child"), "item", *[F.col(f"bits{i}").alias(f"c{i}") for i in range(4)])
+    parent = s.join(sizes, "set_id").select(F.col("set_id").alias("parent"), F.col("n").alias("n_parent"), "item", *[F.col(f"bits{i}").alias(f"p{i}") for i in range(4)])
+    may = " and ".join(f"c{i} & ~p{i} = 0" for i in range(4))
+    pairs = child.join(parent, "item").filter(f"n_parent > n_child and {may}").select("child", "parent", "n_child", "n_parent")
     shared = pairs.join(s.select(F.col("set_id").alias("child"), "item"), "child").join(s.select(F.col("set_id").alias("parent"), "item"), ["parent", "item"])
     over = shared.groupBy("child", "parent", "n_child", "n_parent").agg(F.count(F.lit(1)).alias("shared")).filter("shared = n_child")
     w = Window.partitionBy("child").orderBy("n_parent", "parent")

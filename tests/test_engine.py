@@ -5,7 +5,7 @@ import random
 import pytest
 
 from memloom.functions import scoring, temporal, text
-from memloom.operators import ranking, sessions, stores, vectors
+from memloom.operators import evidence, ranking, sessions, stores, vectors
 from memloom.streaming import chunker
 
 
@@ -192,3 +192,16 @@ def test_rerank_pool(spark):
             if left and len(chosen) < 90:
                 chosen.append(left[0])
     assert [r.id for r in got] == chosen
+
+
+def test_containment_signature(spark):
+    """Bits of a subset are bits of its superset, and the tree is that of the sets themselves, also where signatures are full."""
+    pick = random.Random(5)
+    sets = {i: set(pick.sample(range(40), pick.randrange(1, 7))) for i in range(120)} | {200: set(range(3000)), 201: set(range(1, 3000)), 202: set(range(2999, 6000))}
+    sets |= {300 + i: set(list(sets[i])[: len(sets[i]) // 2 + 1]) for i in range(40)}
+    rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "set_id long, item long")
+    bits = {r.set_id: r[1:] for r in rows.groupBy("set_id").agg(*evidence._signature("item")).collect()}
+    above = {c: [(len(sets[p]), p) for p in sets if sets[c] < sets[p]] for c in sets}
+    assert all(not a & ~b for c, found in above.items() for _, p in found for a, b in zip(bits[c], bits[p]))
+    assert any(a & ~b for c in sets for p in sets for a, b in zip(bits[c], bits[p]))
+    assert {(r.child, r.parent) for r in evidence.containment_tree(rows).collect()} == {(c, min(found)[1]) for c, found in above.items() if found}
