@@ -13,7 +13,7 @@ in an empty index gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.batches import last_batch, live, read_batches, write_batch
@@ -29,6 +29,14 @@ def _words(text: str):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
+def _counted(ordered: Column) -> Column:
+    """(term, tf) of a document's words in order: counted in its row, so that no row moves for it."""
+    firsts = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+    ends = lambda k, at: F.coalesce(F.get(at, k + 1), F.size(ordered))
+    runs = F.transform(F.array(firsts), lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (ends(k, at) - i).cast("bigint").alias("tf"))))
+    return F.get(runs, F.lit(0))
+
+
 def add(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", batch: int | None = None) -> int:
     """Write docs as a batch, in place of rows with their ids; the number of the batch."""
     spark = docs.sparkSession
@@ -36,7 +44,7 @@ def add(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text"
     d = docs.select(F.col(id_col).cast("long").alias("id"), _words(text).alias("w")).withColumn("len", F.size("w"))
     lengths = stored(d.select("id", "len"), "lengths")
     stats = _forget(spark, lengths.select("id"), folder, batch, lengths)
-    terms = d.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = d.select("id", "len", F.array_sort("w").alias("w")).select("id", "len", F.inline(_counted(F.col("w"))))
     parts = terms.withColumn("prefix", F.substring("term", 1, BEGINNING)).repartition("prefix", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
     write_batch(parts, folder, "postings", batch, ["prefix"])
     write_batch(lengths, folder, "lengths", batch)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memloom.operators import cells, postings, ranking, vectors
 from memloom.sources import batches
@@ -98,3 +99,11 @@ def test_search_reads_the_folders_of_its_terms(spark, tmp_path):
     folders = {f.split("prefix=")[1][:2] for f in spark.read.parquet(f"{place}/postings").inputFiles()}
     assert {"li", "ve", "ap", "w1"} <= folders and all(len(x) <= 2 for x in folders)
     assert postings.search(spark, f"{place}/none", ["license"], 5).count() == 0
+
+
+def test_words_counted_in_their_row(spark):
+    """A document's postings need no shuffle before they are dealt to their folders; they tell each word's number of times."""
+    t = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"] * 5)], "id long, w array<string>")
+    got = t.select("id", F.array_sort("w").alias("w")).select("id", F.inline(postings._counted(F.col("w"))))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 3), (1, "c", 1), (3, "x", 5)]
