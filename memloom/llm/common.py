@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether a query's shuffle files go as soon as it ends, instead of when the driver collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: dict[str, str] = {}
 
 
@@ -28,14 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy", release: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files are deleted when the driver's JVM ends.
+    The files are deleted when the driver's JVM ends; with release, df's shuffle files once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(SHUFFLES_GO)
+    try:
+        spark.conf.set(SHUFFLES_GO, "true" if release else before)
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath.getParent())

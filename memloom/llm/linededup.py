@@ -11,8 +11,9 @@ In both, a chunk that occurs again anywhere is removed, except its first occurre
 the text, then first in the text), after a comparison with that occurrence's bytes. The lines of that occurrence stay, also
 where another chunk that goes overlaps it, so each repeated chunk stays whole in one place. SQL expressions only.
 
-Only hashes, ids and line numbers are grouped over the corpus; texts move once, by document, and only the
-repeated chunks' texts are shuffled for the comparison.
+Only hashes, ids and line numbers are grouped over the corpus; texts move twice, by document, to meet its repeated chunks
+and then what goes; only the repeated chunks' texts are shuffled for the comparison. The first move's shuffle files go
+before the second begins, so the disk holds one copy of the texts at a time.
 
 Edge cases: null text is one empty line and stays null; texts of one line are never changed; rows that repeat
 doc_id and text, or text without a doc_id, are one document and keep the same lines; different texts under one doc_id,
@@ -132,7 +133,7 @@ def _dedup(docs: DataFrame, text: str, cut_up: Callable[[Column], Column], merge
     before = lambda i: F.get("hits", i - 1)
     leads = lambda x, i: (i == 0) | (before(i)["hash"] != x["hash"]) | (before(i)["n"] != x["n"])
     texts = let(lines, lambda ls: F.transform("hits", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hash"].alias("hash"), (leads(x, i) & x["first"].eqNullSafe(order)).alias("leads"), F.array_join(F.slice(ls, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("bytes"))))
-    texts = materialize(with_hits.select(*own, F.inline(texts)), "repeats")
+    texts = materialize(with_hits.select(*own, F.inline(texts)), "repeats", release=True)
     size = F.col("e") - F.col("s")
     kept = texts.filter("leads").groupBy(F.col("hash").alias("kh"), size.alias("kn")).agg(F.min("th").alias("kept_by"), F.min_by("bytes", "th").alias("kept"))
     marks = texts.join(kept, (F.col("hash") == F.col("kh")) & (size == F.col("kn")) & (F.col("bytes") == F.col("kept")))

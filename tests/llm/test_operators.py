@@ -200,6 +200,16 @@ def test_line_dedup_query_removes_short_runs(spark, tmp_path):
     assert sorted((r.doc_id, r.n_removed_lines) for r in got) == [(i, 2 * (i > 0)) for i in range(30)]
 
 
+def test_line_dedup_releases_its_first_shuffles(spark):
+    """Once the repeated lines are stored, no shuffle file of that step is left, without waiting for a garbage collection."""
+    held = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if "shuffle" in str(b)}
+    frame = spark.createDataFrame([(i, f"only {i}\nfirst shared line\nsecond shared line") for i in range(30)], "doc_id long, text string")
+    before = held()
+    got = linededup.dedup_runs(frame)
+    assert held() <= before
+    assert sorted((r.doc_id, r.n_removed_lines) for r in got.collect()) == [(i, 2 * (i > 0)) for i in range(30)]
+
+
 @pytest.mark.parametrize("hot", [substring.HOT, 200])
 def test_substring(docs, empty, hot):
     """The lower bound crowds every bucket, so they are split by ever longer minimisers."""
