@@ -18,6 +18,10 @@ from . import evidence, projections, sessions, stores
 MEMORY_TYPES = ("fact", "preference", "event", "constraint", "procedure", "failure_pattern", "tool_affordance")
 
 
+#: Rows that a Python worker of the stream holds at once: a batch of records is texts and two vectors each.
+BATCH_ROWS = 1_000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Columns of stored records.
 RECORD = "record_id string, memory_type string, semantic_text string, normalized_text string, entities array<string>, tags array<string>, session_id long, evidence_turns array<int>"
 
@@ -93,7 +97,14 @@ def ingest_stream(turns: DataFrame, folder: str, idle: str | None = None, write=
     number. Called again, it goes on where it, or a killed run, stopped.
     """
     out = chunker.log_stream(turns, idle=idle).writeStream.foreachBatch(lambda rows, batch: write(rows, batch, folder))
-    out.option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    conf = turns.sparkSession.conf
+    before = conf.get(_ARROW)
+    try:
+        conf.set(_ARROW, BATCH_ROWS)  # the stream and its batches keep the settings of its start
+        query = out.option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(_ARROW, before)
+    query.awaitTermination()
 
 
 def ingested(spark: SparkSession, folder: str) -> Ingested:
@@ -110,7 +121,7 @@ def embedded(column: str) -> Column:
     """The default embedding of a column of texts."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunker.embed(t or "").tolist())
+        return texts.map(lambda t: chunker.embed(t or ""))  # arrays of doubles, not lists of objects
 
     return F.pandas_udf(run, "array<double>")(column)
 

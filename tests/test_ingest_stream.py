@@ -164,3 +164,16 @@ def test_failure_and_replay(spark, tmp_path, fails):
     vectors = batches.read_batches(spark, place, "vectors", "record_id string, vector array<double>", "watermarks")
     assert {r[0] for r in vectors.select("record_id").collect()} == {r[0] for r in got.records.select("record_id").collect()}
     assert got.chunks.count() == got.chunks.distinct().count() and sessions.new_turns(turns, got.watermarks).filter("trim(content) <> ''").count() == 0
+
+
+def test_batches_of_the_stream_are_small(spark, tmp_path):
+    """What a Python worker holds of the stream is bounded by rows; other queries keep their setting."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    spark.createDataFrame(dialogues(3), SCHEMA).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    ingest.ingest_stream(source, f"file://{tmp_path}/out", write=lambda log, batch, folder: seen.append(log.sparkSession.conf.get(name)))
+    assert seen and set(seen) == {str(ingest.BATCH_ROWS)} and spark.conf.get(name) == before
+    run = ingest.embedded("t")
+    vectors = spark.createDataFrame([("tea",), (None,), ("",)], "t string").select(run).collect()
+    assert [r[0] for r in vectors] == [chunker.embed(t).tolist() for t in ("tea", "", "")]
