@@ -172,7 +172,12 @@ def test_batches_of_the_stream_are_small(spark, tmp_path):
     before = spark.conf.get(name)
     spark.createDataFrame(dialogues(3), SCHEMA).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    ingest.ingest_stream(source, f"file://{tmp_path}/out", write=lambda log, batch, folder: seen.append(log.sparkSession.conf.get(name)))
+
+    def write(log, batch, folder):
+        seen.append(log.sparkSession.conf.get(name))
+        log.write.format("noop").mode("overwrite").save()
+
+    ingest.ingest_stream(source, f"file://{tmp_path}/out", write=write)
     assert seen and set(seen) == {str(ingest.BATCH_ROWS)} and spark.conf.get(name) == before
     run = ingest.embedded("t")
     vectors = spark.createDataFrame([("tea",), (None,), ("",)], "t string").select(run).collect()
