@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,8 +35,12 @@ from . import throttle
 OUTPUT = "session_id long, event_id long, at long, kind string, accepted boolean, consolidated boolean, reason string, generation int, dirty int"
 _STATE = "last_event long, kind string, boundary_at long, consolidated_at long, pending boolean, dirty int, generation int"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+#: Between Spark and its Python workers each cell of a Row costs more than a decision, so an event crosses as one text, and the
+#: decisions on a session's events as one text for every _PACK of them.
+_CROSSING, _PACK = Row("session_id", "decided"), 1_000
 #: Boundaries, and whether each ends the session (else it starts a new generation).
 BOUNDARIES = {"before_reset": False, "session_end": True, "command_stop": True}
+KINDS = ("user", "assistant", "hook", *BOUNDARIES)
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,7 +90,7 @@ def take(session: Session | None, policy: Policy, event_id: int, at: int, kind:
     if session is not None and at >= expiry(session, policy):
         rows.append(expired(session, policy))
         session = None
-    if kind not in ("user", "assistant", "hook", *BOUNDARIES):
+    if kind not in KINDS:
         rows.append((event_id, at, kind, False, False, "unknown_kind", session.generation if session else 0, session.dirty if session else 0))
         return session, rows
     if session is None and kind not in ("user", "assistant"):
@@ -140,8 +144,24 @@ def decisions(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return throttle.in_order(events, "session_id", ["at", "event_id"], step, OUTPUT)
 
 
+def _event(text: str) -> tuple:
+    """at, whether event_id is null, event_id, signal and kind of an event that crossed as text."""
+    event_id, at, signal, kind = text.split(" ", 3)
+    return int(at), not event_id, int(event_id) if event_id else None, signal == "true", kind or None
+
+
+def _packed(session_id: int, rows: list[tuple]) -> Row:
+    """Rows of OUTPUT without session_id as one text: rows parted by newlines, cells by commas, None empty."""
+    cell = lambda x: "" if x is None else str(x)
+    return _CROSSING(session_id, "\n".join([",".join(map(cell, r)) for r in rows]))
+
+
 class Lives(StatefulProcessor):
-    """Sessions as state of a stream: one value a session, and a timer at which it has been idle for too long."""
+    """Sessions as state of a stream: one value a session, and a timer at which it has been idle for too long.
+
+    A session's timer follows from its value, so none are listed. A timer that an earlier run with another policy has left
+    fires for a session that is not idle yet, and does nothing.
+    """
 
     def __init__(self, policy: Policy):
         self.policy = policy
@@ -151,30 +171,35 @@ class Lives(StatefulProcessor):
         self.session = handle.getValueState("session", _STATE)
 
     def _known(self) -> Session | None:
-        return Session(*self.session.get()) if self.session.exists() else None
+        kept = self.session.get()
+        return None if kept is None else Session(*kept)
 
-    def _keep(self, session: Session | None) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if session is None:
-            self.session.clear()
-        else:
-            self.session.update(astuple(session))
-            self.handle.registerTimer(expiry(session, self.policy) // 1000)
+    def _timer(self, session: Session | None) -> int | None:
+        return None if session is None else expiry(session, self.policy) // 1000
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         session, out = self._known(), []
-        for event in pd.concat(list(rows)).sort_values(["at", "event_id"])[["event_id", "at", "kind", "signal"]].itertuples(index=False):
-            session, more = take(session, self.policy, *event)
+        old = self._timer(session)
+        for at, _, event_id, signal, kind in sorted((_event(r[-1]) for r in rows), key=lambda e: e[:3]):
+            session, more = take(session, self.policy, event_id, at, kind, signal)
             out += more
-        self._keep(session)
-        yield _frame(key[0], out)
+        new = self._timer(session)
+        if old not in (None, new):
+            self.handle.deleteTimer(old)
+        if session is not None:
+            self.session.update(astuple(session))
+            if new != old:
+                self.handle.registerTimer(new)
+        elif old is not None:
+            self.session.clear()
+        for i in range(0, len(out), _PACK):
+            yield _packed(key[0], out[i : i + _PACK])
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         session = self._known()
-        out = [] if session is None else [expired(session, self.policy)]
-        self.session.clear()
-        yield _frame(key[0], out)
+        if session is not None and self._timer(session) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.session.clear()
+            yield _packed(key[0], [expired(session, self.policy)])
 
     def close(self) -> None:
         pass
@@ -183,7 +208,14 @@ class Lives(StatefulProcessor):
 def decision_stream(events: DataFrame, policy: Policy = Policy(), late: str = "0 seconds") -> DataFrame:
     """`decisions` over a stream; events later than late behind the newest one may be dropped."""
     timed = events.filter("session_id is not null").withColumn("time", F.timestamp_micros("at")).withWatermark("time", late)
-    return timed.groupBy("session_id").transformWithStateInPandas(Lives(policy), OUTPUT, "append", "EventTime")
+    kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.concat(F.lit("="), F.hex("kind")))  # unknown ones may hold anything
+    cells = [F.coalesce(F.col("event_id").cast("string"), F.lit("")), F.col("at").cast("string"), F.coalesce("signal", F.lit(False)).cast("string"), F.coalesce(kind, F.lit(""))]
+    timed = timed.select("session_id", "time", F.concat_ws(" ", *cells).alias("event"))
+    lives = timed.groupBy("session_id").transformWithState(Lives(policy), "session_id long, decided string", "append", "EventTime")
+    lives = lives.select("session_id", F.explode(F.split("decided", "\n")).alias("r")).select("session_id", F.split("r", ",", -1).alias("r"))
+    typed = [F.when(F.get("r", F.lit(i)) != "", F.get("r", F.lit(i))).cast(t).alias(c) for i, (c, t) in enumerate(x.split() for x in OUTPUT.split(", ")[1:])]
+    told = F.when(F.col("kind").startswith("="), F.decode(F.unhex(F.substr("kind", F.lit(2))), "utf-8")).otherwise(F.col("kind"))
+    return lives.select("session_id", *typed).withColumn("kind", told)
 
 
 def run_stream(spark: SparkSession, events: DataFrame, place: str, policy: Policy = Policy()) -> DataFrame:

@@ -85,3 +85,12 @@ def test_folds_carry_state_over_batches(spark):
     finally:
         spark.conf.set(name, before)
     assert lifecycle.decisions(rows.limit(0)).count() == 0
+
+
+def test_kinds_of_any_text_cross_the_stream(spark, tmp_path):
+    """A session's decisions cross from Python as one text; unknown kinds keep theirs, whatever they hold."""
+    assert len(lifecycle._packed(1, [(1, 2, "user", True, False, "turn", 0, 1)] * 9)[1].split("\n")) == 9
+    kinds = ["user", "a,b\nc d", "", "=x", None, "中", "hook"]
+    spark.createDataFrame([(i, 1, (i + 1) * SECOND, k, False) for i, k in enumerate(kinds)], SCHEMA).write.parquet(str(tmp_path / "in"))
+    got = lifecycle.run_stream(spark, spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), f"file://{tmp_path}/run")
+    assert [(r.kind, r.reason == "unknown_kind") for r in sorted(got.collect(), key=lambda r: r.at)] == [(k, k not in ("user", "hook")) for k in kinds]
