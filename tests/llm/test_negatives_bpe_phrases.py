@@ -3,10 +3,14 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +179,37 @@ def test_hot_prefixes_are_dealt_deeper(spark):
     assert {("en", "of "), ("en", "the "), ("en", "of the ")} <= common and not any("x" in p for _, p in common)
     depth = {r.suffix: r.depth for r in collocations.suffixes(frame, common).collect()}
     assert depth["of the a of "] >= 3 and depth["x y z "] == 1
+
+
+PEAK = """
+import random
+import pyarrow as pa
+from memloom.llm import collocations
+
+def mb(name):
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(name)) >> 10
+
+pick = random.Random(3)
+vocabulary = ["".join(pick.choices("abcdefgh", k=6)) for _ in range(20_000)]
+texts = pa.array([" ".join(pick.choices(vocabulary, k=2_000)) for _ in range(1_200)])
+batch = pa.record_batch([pa.nulls(len(texts), pa.string()), texts], ["lang", "text"])
+before = mb("VmRSS")
+print(sum(int(s.counts.sum()) for s in collocations._blocks(iter([batch]), 4)), mb("VmHWM") - before)
+"""
+
+
+def test_blocks_of_texts_stay_small():
+    """Beside its batch of texts (17 MB) a Python worker holds the arrays of one small block."""
+    run = subprocess.run([sys.executable, "-c", PEAK], env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(queries.__file__)))}, capture_output=True, text=True, check=True)
+    words, peak = map(int, run.stdout.split())
+    assert words == 2_400_000 and peak < 180
+
+
+def test_many_words_and_languages():
+    """Rows stay in reverse order where lang and four words take two numbers."""
+    n = 60_000
+    texts = [f"a{i:05d} b{i:05d} c{i:05d}" for i in range(n)] + [f"x y c{i:05d} b{i * 7 % n:05d}" for i in range(0, n, 30)]
+    langs = [f"l{i:05d}" for i in range(n)] + ["l00000"] * (n // 30)
+    s = collocations.Suffixes(pa.array(langs), pa.array(texts), 4).grouped()
+    got = [t for t in s.texts(np.arange(len(s.counts)), 4).to_pylist() if t.startswith("x ")]
+    assert got == sorted((t + " " for t in texts if t.startswith("x ")), reverse=True) and s.counts.sum() == 3 * n + 4 * n // 30
