@@ -17,6 +17,8 @@ from ..sources.shared import stored
 from . import plans_io, ranking, sessions
 
 PAYLOAD = ("source", "memory_type", "text", "session", "lo", "hi", "role", "entities", "t_start", "t_end", "created_at")
+#: What stands for a candidate's text while the text stays in its table: its hash and its date spans.
+REFERENCE = ("text_key", "spans")
 KEYS = ("request", "route", "id")
 LISTS = ("queries", "channels", "nodes")
 
@@ -46,10 +48,31 @@ def of_turns(turns: DataFrame, session: str | None = None) -> DataFrame:
     )
 
 
+def referenced(rows: DataFrame) -> DataFrame:
+    """rows with REFERENCE; where it is not asked for, Spark leaves it out."""
+    return rows.withColumns({"text_key": F.xxhash64("text"), "spans": event_spans()})
+
+
+def texts_of(records: DataFrame, turns: DataFrame) -> DataFrame:
+    """id, text of all records and turns that candidates come from."""
+    return of_records(records).select("id", "text").unionByName(of_turns(turns).select("id", "text"))
+
+
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows, which are few and stored, with the texts(id, text) that their text_key stands for, and without REFERENCE.
+
+    Texts that share an id are told apart by text_key. Only the texts of these ids move.
+    """
+    wanted = rows.filter("text_key is not null").select("id")
+    own = texts.join(wanted, "id", "left_semi").select("id", F.xxhash64("text").alias("text_key"), F.col("text").alias("own")).distinct()
+    found = rows.join(own, ["id", "text_key"], "left").withColumn("text", F.coalesce("text", "own"))
+    return found.select(*[c for c in rows.columns if c not in REFERENCE])
+
+
 def record_hits(hits: DataFrame, records: DataFrame) -> DataFrame:
     """Direct record hits: a missing or expired record is no candidate."""
     score = scoring.retrieval_score(F.col("distance"))
-    found = hits.join(of_records(records), "id")
+    found = referenced(hits.join(of_records(records), "id"))
     return found.withColumns({"retrieval": score, "field": scoring.direct_hit(score), "channel": F.lit("record_normalized_ann"), "node": F.lit(None).cast("string")})
 
 
@@ -61,14 +84,14 @@ def node_hits(hits: DataFrame, nodes: DataFrame, index: DataFrame, records: Data
     typed = hits.join(nodes.select("id", "node_type"), "id").withColumn("kept", F.row_number().over(Window.partitionBy("request", "route", "query", "node_type").orderBy("distance", "id"))).filter(F.col("kept") <= per_type)
     score = scoring.clamp(scoring.retrieval_score(F.col("distance")) * scoring.node_weight(F.col("node_type")))
     found = typed.select("request", "route", "query", F.col("id").alias("node"), F.concat(F.col("node_type"), F.lit("_ann")).alias("channel"), score.alias("field"))
-    found = found.join(index.select(F.col("id").alias("node"), F.col("record_id").cast("string").alias("id")), "node").join(of_records(records), "id")
+    found = found.join(index.select(F.col("id").alias("node"), F.col("record_id").cast("string").alias("id")), "node").join(referenced(of_records(records)), "id")
     return found.withColumns({"distance": F.lit(1.0), "retrieval": F.lit(0.0)})
 
 
 def turn_hits(hits: DataFrame, turns: DataFrame, requests: DataFrame) -> DataFrame:
     """Raw-turn hits with the strategy's multiplier and role bonus."""
     score = scoring.retrieval_score(F.col("distance"))
-    found = hits.join(of_turns(turns), "id").join(requests.select("request", "raw_mult", "assistant_bonus", "user_bonus"), "request")
+    found = referenced(hits.join(of_turns(turns), "id")).join(requests.select("request", "raw_mult", "assistant_bonus", "user_bonus"), "request")
     field = scoring.raw_turn(score, F.col("raw_mult"), F.col("role"), F.col("assistant_bonus"), F.col("user_bonus"))
     found = found.withColumns({"retrieval": score, "field": field, "channel": F.lit("raw_turn_direct"), "node": F.lit(None).cast("string")})
     return found.drop("raw_mult", "assistant_bonus", "user_bonus")
@@ -76,35 +99,39 @@ def turn_hits(hits: DataFrame, turns: DataFrame, requests: DataFrame) -> DataFra
 
 def temporal_hits(found: DataFrame, records: DataFrame, routes: DataFrame) -> DataFrame:
     """Candidates of temporal recall (request, id, key, score, label), in every route of the request."""
-    rows = found.join(routes.select("request", "route"), "request").join(of_records(records), "id")
+    rows = found.join(routes.select("request", "route"), "request").join(referenced(of_records(records)), "id")
     return rows.withColumns({"field": F.col("score"), "query": F.col("label"), "distance": F.lit(1.0), "retrieval": F.lit(0.0), "channel": F.lit("temporal_range"), "node": F.col("key")})
 
 
-def merged(*channels: DataFrame) -> DataFrame:
+def merged(*channels: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """One row a candidate: best field and retrieval score, least distance, distinct queries, channels, nodes.
 
-    Lists are distinct and in order of their values.
+    Lists are distinct and in order of their values. more names further columns of the payload.
     """
-    columns = ["request", "route", "id", *PAYLOAD, "field", "retrieval", "distance", "query", "channel", "node"]
+    columns = ["request", "route", "id", *PAYLOAD, *more, "field", "retrieval", "distance", "query", "channel", "node"]
     rows = channels[0].select(*columns)
     for c in channels[1:]:
         rows = rows.unionByName(c.select(*columns))
     some = lambda c: F.sort_array(F.collect_set(F.nullif(c, F.lit(""))))
     t = rows.groupBy(*KEYS).agg(
-        F.max_by(F.struct(*PAYLOAD), "field").alias("p"), F.max("field").alias("field"), F.max("retrieval").alias("retrieval"), F.min("distance").alias("distance"),
+        F.max_by(F.struct(*PAYLOAD, *more), "field").alias("p"), F.max("field").alias("field"), F.max("retrieval").alias("retrieval"), F.min("distance").alias("distance"),
         some("query").alias("queries"), some("channel").alias("channels"), some("node").alias("nodes"),
     )
     return t.select(*KEYS, "p.*", "field", "retrieval", "distance", *LISTS)
 
 
 def united(*lists: DataFrame) -> DataFrame:
-    """Candidate lists as one: the payload with the higher field score (earlier lists on ties), distinct lists."""
+    """Candidate lists as one: the payload with the higher field score (earlier lists on ties), distinct lists.
+
+    REFERENCE, where the first list has it, belongs to the payload; it is null in lists without it.
+    """
     rows = lists[0].withColumn("at", F.lit(0))
     for i, c in enumerate(lists[1:], 1):
-        rows = rows.unionByName(c.withColumn("at", F.lit(i)))
+        rows = rows.unionByName(c.withColumn("at", F.lit(i)), allowMissingColumns=True)
+    payload = [*PAYLOAD, *[c for c in REFERENCE if c in lists[0].columns]]
     best = F.struct(F.col("field").alias("o1"), (-F.col("at")).alias("o2"))
     scores = ("field", "retrieval", "distance")
-    t = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*PAYLOAD, *scores), best).alias("p"), *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in LISTS])
+    t = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*payload, *scores), best).alias("p"), *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in LISTS])
     return t.select(*KEYS, "p.*", *LISTS)
 
 
@@ -121,7 +148,7 @@ def boosted(candidates: DataFrame, requests: DataFrame) -> DataFrame:
     """Strategy and temporal boosts (X5, X6, X7). requests has the strategy's columns, since and until.
 
     Dialogue turns get the raw-turn score if it is higher, records the bonus of the question type. An overlap of an event
-    date with the request's range adds .08, else of a dialogue's own date .04; nothing is filtered.
+    date with the request's range adds .08, else of a dialogue's own date .04; nothing is filtered. Candidates may bring spans.
     """
     t = candidates.join(requests.select("request", "strategy", "raw_mult", "assistant_bonus", "user_bonus", "since", "until"), "request")
     raw = scoring.raw_turn(scoring.clamp(F.col("retrieval")), F.col("raw_mult"), F.col("role"), F.col("assistant_bonus"), F.col("user_bonus"))
@@ -131,7 +158,7 @@ def boosted(candidates: DataFrame, requests: DataFrame) -> DataFrame:
     t = t.withColumn("field", scoring.clamp(F.when(episode, F.greatest("field", raw)).otherwise(F.col("field") + bonus)))
     since, until = temporal.date_key(F.col("since")), temporal.date_key(F.col("until"))
     asked = since.isNotNull() | until.isNotNull()
-    t = t.withColumns({"spans": event_spans(), "s": since, "u": until, "own": F.when(episode, temporal.date_key(F.col("created_at")))})
+    t = t.withColumns({"spans": F.col("spans") if "spans" in candidates.columns else event_spans(), "s": since, "u": until, "own": F.when(episode, temporal.date_key(F.col("created_at")))})
     event = F.exists("spans", lambda x: temporal.overlaps(x["start"], x["end"], F.col("s"), F.col("u")))
     source = (F.size("spans") == 0) & F.col("own").isNotNull() & temporal.in_range(F.col("own"), F.col("s"), F.col("u"))
     boost = F.when(~asked, F.lit(0.0)).when(event, F.lit(0.08)).when(source, F.lit(0.04)).otherwise(F.lit(0.0))
@@ -213,23 +240,23 @@ def excerpt(lines: DataFrame, keys: list[str], best: int = 12) -> DataFrame:
     return rows.select(*keys, F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("text"))
 
 
-def source_windows(candidates: DataFrame, turns: DataFrame, requests: DataFrame, routes: DataFrame) -> DataFrame:
+def source_windows(candidates: DataFrame, turns: DataFrame, requests: DataFrame, routes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Original dialogue around each route's best anchors, merged where windows touch.
 
     requests has k and the strategy's win_size, win_anchors, gap, chars; routes the goal. A merged window's score is that of
-    its parts with .03 for each merge; its text has up to four anchors in front and an excerpt of its turns.
+    its parts with .03 for each merge; its text has up to four anchors in front and an excerpt of its turns. With texts(id,
+    text), candidates have REFERENCE and the anchors' texts are looked up.
     """
     r = requests.select("request", "k", "win_size", "win_anchors", "gap", "chars")
-    a = candidates.filter("session is not null and session <> '' and lo is not null").join(r, "request").withColumn("score", anchor_score())
     # the limit counts all candidates, those without a session too
     order = Window.partitionBy("request", "route").orderBy(F.desc("score"), F.desc("retrieval"), "id")
-    every = candidates.withColumn("score", anchor_score()).withColumn("nth", F.row_number().over(order)).select(*KEYS, "nth")
-    a = a.join(every, list(KEYS)).filter(F.col("nth") <= F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), "k"), "win_anchors")))
-    a = a.withColumnRenamed("id", "anchor").select("request", "route", "anchor", "text", "session", "lo", "hi", "win_size", "gap", "chars", "score", "retrieval", "distance", "entities", "created_at", *LISTS)
+    a = candidates.withColumn("score", anchor_score()).withColumn("nth", F.row_number().over(order)).join(r, "request")
+    a = a.filter(F.col("nth") <= F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), "k"), "win_anchors"))).filter("session is not null and session <> '' and lo is not null")
+    a = stored(a, "best", release=True)  # so few that the turns need not move to them
     live = sessions.active(turns).select(F.col("session_id").cast("string").alias("session"), "turn_index", F.lower(F.trim("role")).alias("t_role"), F.trim("content").alias("content"), F.col("created_at").alias("t_created"))
     near = a.join(live, "session").filter(F.col("turn_index").between(F.col("lo") - F.col("win_size"), F.col("hi") + F.col("win_size")))
-    found = near.groupBy("request", "route", "anchor").agg(F.min("turn_index").alias("w_lo"), F.max("turn_index").alias("w_hi"))
-    a = a.join(found, ["request", "route", "anchor"])
+    found = near.groupBy(*KEYS).agg(F.min("turn_index").alias("w_lo"), F.max("turn_index").alias("w_hi"))
+    a = (a if texts is None else with_texts(a, texts)).join(found, list(KEYS)).withColumnRenamed("id", "anchor")
     own = ["request", "route", "session"]
     by = Window.partitionBy(*own).orderBy("w_lo", "w_hi", "anchor")
     reach = F.max("w_hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -247,7 +274,7 @@ def source_windows(candidates: DataFrame, turns: DataFrame, requests: DataFrame,
     w = w.withColumn("distance", F.when(F.col("n") > 1, scoring.clamp(1 - F.col("retrieval"))).otherwise(F.col("distance"))).join(routes.select("request", "route", "goal"), ["request", "route"], "left")
     w = w.withColumn("anchors", F.filter(F.array_distinct("anchors"), lambda x: x != ""))
     terms = text.query_terms(F.concat_ws(" ", F.coalesce("goal", F.lit("")), F.array_join("queries", " "), F.array_join("anchors", " ")))
-    w = w.withColumn("terms", terms)
+    w = stored(w.withColumn("terms", terms), "windows", release=True)
     rows = w.select(*keys, "lo", "hi", "terms", F.greatest(F.lit(800), "chars").alias("max_chars")).join(live, "session").filter(F.col("turn_index").between(F.col("lo"), F.col("hi")))
     split = F.filter(F.transform(F.split("content", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda x: F.trim(x)), lambda x: x != "")
     prefix = F.concat(F.lit("["), F.col("turn_index").cast("string"), F.lit(" role="), "t_role", F.lit("]"))
@@ -323,30 +350,47 @@ def requests_of(plans: DataFrame, k: int) -> DataFrame:
     return t.withColumnRenamed("plan_id", "request")
 
 
-def route_search(requests: DataFrame, routes: DataFrame, channels: list[DataFrame], turns: DataFrame) -> DataFrame:
-    """Scored candidates of every route, from the channels' hits."""
-    found = stored(boosted(merged(*channels), requests), "found")
-    anchors = stored(united(found, answer_windows(found, turns, requests)), "anchors")
-    return scored(united(anchors, source_windows(anchors, turns, requests, routes)))
+def route_search(requests: DataFrame, routes: DataFrame, channels: list[DataFrame], turns: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Scored candidates of every route, from the channels' hits.
+
+    With texts(id, text) the channels' text is left where it is: such candidates have REFERENCE instead, for `with_texts`.
+    """
+    if texts is not None:
+        channels = [c.withColumn("text", F.lit(None).cast("string")) for c in channels]
+    found = stored(boosted(merged(*channels, more=REFERENCE if texts is not None else ()), requests), "found", release=True)
+    anchors = stored(united(found, answer_windows(found, turns, requests)), "anchors", release=True)
+    return scored(united(anchors, source_windows(anchors, turns, requests, routes, texts)))
+
 
+def search(requests: DataFrame, routes: DataFrame, channels: list[DataFrame], turns: DataFrame, k: int, texts: DataFrame | None = None) -> DataFrame:
+    """The k best candidates of each request over its routes, in order (K22): fusion, diversity, dialogue budget.
 
-def search(requests: DataFrame, routes: DataFrame, channels: list[DataFrame], turns: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of each request over its routes, in order (K22): fusion, diversity, dialogue budget."""
-    requests = stored(requests, "requests")
-    ranked = stored(route_search(requests, routes, channels, turns).join(routes.select("request", "route", "route_no", "goal"), ["request", "route"]), "ranked")
+    Candidates are as many as the evidence leads to, so their texts stay in texts(id, text) (see `texts_of`; else in the
+    channels), and only the rows that are compared or returned get theirs.
+    """
+    if texts is None:
+        texts = channels[0].select("id", "text")
+        for c in channels[1:]:
+            texts = texts.unionByName(c.select("id", "text"))
+    requests, routes = stored(requests, "requests"), stored(routes, "routes")
+    ranked = stored(route_search(requests, routes, channels, turns, texts).join(routes.select("request", "route", "route_no", "goal"), ["request", "route"]), "ranked", release=True)
     hits = ranked.select("request", "route", "route_no", "id", F.col("final").alias("score"))
-    fused = ranking.rrf(hits, k)
+    fused = stored(ranking.rrf(hits, k), "fused", release=True)
     matches = F.sort_array(F.collect_set(F.struct("rank", "route", "goal")))  # a row a route (A16, P31)
     order = F.struct(F.col("final"), -F.col("route_no"))  # of equal ones the first route's
-    best = ranked.groupBy("request", "id").agg(F.max_by(F.struct(*PAYLOAD, "distance", *LISTS), order).alias("p"), matches.alias("matched"))
-    chosen = stored(fused.join(best, ["request", "id"]).select("request", "id", "score", "p.*", F.transform("matched", lambda m: m["route"]).alias("routes")), "chosen")
+
+    def best(ids: DataFrame) -> DataFrame:
+        rows = ranked.join(ids.select("request", "id"), ["request", "id"], "left_semi")
+        return rows.groupBy("request", "id").agg(F.max_by(F.struct(*PAYLOAD, *REFERENCE, "distance", *LISTS), order).alias("p"), matches.alias("matched"))
+
+    chosen = stored(fused.join(best(fused), ["request", "id"]).select("request", "id", "score", "p.*", F.transform("matched", lambda m: m["route"]).alias("routes")), "chosen", release=True)
     turns_of = F.when(F.col("lo").isNull(), _empty("array<int>")).otherwise(F.sequence("lo", "hi"))
-    varied = ranking.mmr(chosen.select("request", "id", "score", "text", "session", "entities", "queries", "nodes", turns_of.alias("turns")), k)
-    selected = stored(varied.join(chosen.select("request", "id", "source", "routes"), ["request", "id"]), "selected")
-    top = hits.groupBy("request", "id").agg(F.max("score").alias("score")).join(best.select("request", "id", F.col("p.source").alias("source")), ["request", "id"])
+    varied = ranking.mmr(with_texts(chosen, texts).select("request", "id", "score", "text", "session", "entities", "queries", "nodes", turns_of.alias("turns")), k)
+    selected = stored(varied.join(chosen.select("request", "id", "source", "routes"), ["request", "id"]), "selected", release=True)
+    top = ranked.groupBy("request", "id").agg(F.max("final").alias("score"), F.max_by("source", order).alias("source"))
     budgeted = selected.join(requests.select("request", "episode_ratio", "min_ratio"), "request")
-    out = ranking.episode_budget(budgeted, top, k, F.col("episode_ratio"), F.col("min_ratio"))
-    return out.drop("source").join(best.select("request", "id", "p.*", "matched"), ["request", "id"])
+    out = stored(ranking.episode_budget(budgeted, top, k, F.col("episode_ratio"), F.col("min_ratio")).drop("source"), "out", release=True)
+    return with_texts(stored(out.join(best(out).select("request", "id", "p.*", "matched"), ["request", "id"]), "results", release=True), texts)
 
 
 def debug_payload(candidates: DataFrame, most: int = 500) -> DataFrame:

@@ -258,5 +258,6 @@ def temporal_record_recall(spark, d):
 @query()
 def search_end_to_end(spark, d):
     """Every request's k best candidates over its routes (K21, K22); tests/test_search.py computes order, scores and rows again in plain Python."""
-    found = search.search(_requests(spark), _routes(spark), _channels(spark, d), tables.dated_turns(spark, d), K)
+    turns = tables.dated_turns(spark, d)
+    found = search.search(_requests(spark), _routes(spark), _channels(spark, d), turns, K, search.texts_of(tables.records(spark, d), turns))
     return search.provenance(found)
